@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.shared import bind
+
 #: Licence sentences in normal form, as their licences word them.
 SENTENCES = {
     "apache2-name": "licensed under the apache license version 2 0",
@@ -20,7 +22,8 @@ SENTENCES = {
     "apache2-see": "see the license for the specific language governing permissions and limitations under the license",
     "mit-name": "released under the mit license",
     "mit-name-licensed": "licensed under the mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-asis": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "gpl3-name": "this work is licensed under the gnu general public license version 3",
     "gpl3-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
@@ -53,28 +56,40 @@ RULES = [
     ("GPL-3.0-or-later", ["spdx-gpl3"]),
     ("MIT", ["mit-name"]),
     ("MIT", ["mit-name-licensed"]),
-    ("MIT", ["mit-grant", "mit-asis"]),
+    ("MIT", ["mit-grant", "mit-notice", "mit-asis"]),
     ("MIT", ["spdx-mit"]),
 ]
+#: A colon ends a sentence at the end of a line alone.
 SENTENCE_END = r"[.!?]+[ \t\r\n]+|\n+"
+#: Where lines are wrapped, an empty line ends a sentence, a single line feed does not.
+PARAGRAPH_END = r"[.!?:]+[ \t\r\n]*\n[ \t\r]*\n|[.!?]+[ \t\r\n]+|\n[ \t\r]*\n"
 #: Every known sentence holds one of these stems; other sentences need no normal form.
 STEMS = "licen|permi|provided|distribut"
 
 
-def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order, repeats included."""
-    lowered = F.lower(text)
-    sentences = F.filter(F.split(lowered, SENTENCE_END, -1), lambda s: s.rlike(STEMS))
+def _identified(lowered: Column, end: str) -> Column:
+    sentences = F.filter(F.split(lowered, end, -1), lambda s: s.rlike(STEMS))
     normal = F.transform(sentences, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
     known = F.create_map(*(F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)))
-    found = F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
-    return F.when(lowered.rlike(STEMS), found).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+
+
+def sentence_ids(text: Column) -> Column:
+    """Identifiers of the known sentences of a text, in order, repeats included.
+
+    A line is taken to end a sentence; if more sentences are known when only empty lines do (the
+    text is wrapped), those count.
+    """
+    lowered = F.lower(text)
+    both = F.array(_identified(lowered, SENTENCE_END), _identified(lowered, PARAGRAPH_END))
+    longer = bind(both, lambda b: F.when(F.size(F.get(b, F.lit(1))) > F.size(F.get(b, F.lit(0))), F.get(b, F.lit(1))).otherwise(F.get(b, F.lit(0))))
+    return F.when(lowered.rlike(STEMS), longer).otherwise(F.array().cast("array<string>"))
 
 
 def licences(ids: Column) -> Column:
     """Names of the licences whose rules the identifier sequence meets, ascending and distinct."""
-    sequence = F.concat(F.lit(";"), F.array_join(ids, ";"), F.lit(";"))
-    met = [F.when(sequence.like("%;" + ";%;".join(rule).replace("_", r"\_") + ";%"), F.lit(name)) for name, rule in RULES]
+    sequence = F.concat(F.lit(";"), F.array_join(ids, ";;"), F.lit(";"))
+    met = [F.when(sequence.like("%;" + ";%;".join(rule) + ";%"), F.lit(name)) for name, rule in RULES]
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*met))))
 
 
@@ -94,16 +109,11 @@ def oracle() -> str:
     quoted = lambda s: "'" + s + "'"
     known = "map {" + ", ".join(f"{quoted(s)}: {quoted(n)}" for n, s in SENTENCES.items()) + "}"
     met = ", ".join(f"CASE WHEN s LIKE '%;{';%;'.join(rule)};%' THEN {quoted(name)} END" for name, rule in RULES)
+    ids = lambda end: f"list_filter(list_transform(list_filter(string_split_regex(t, '{end}'), lambda p: regexp_matches(p, '{STEMS}')), lambda p: {known}[trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g'))]), lambda i: i IS NOT NULL)"
     return f"""
-WITH cut AS (
-  SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '{SENTENCE_END}') AS parts FROM documents
-), normal AS (
-  SELECT doc_id, list_transform(list_filter(parts, lambda p: regexp_matches(p, '{STEMS}')), lambda p: trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g'))) AS parts FROM cut
-), named AS (
-  SELECT doc_id, list_filter(list_transform(parts, lambda p: {known}[p]), lambda i: i IS NOT NULL) AS ids FROM normal
-), joined AS (
-  SELECT doc_id, ids, ';' || array_to_string(ids, ';') || ';' AS s FROM named
-)
+WITH low AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+named AS (SELECT doc_id, {ids(SENTENCE_END)} AS a, {ids(PARAGRAPH_END)} AS b FROM low),
+joined AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS ids, ';' || array_to_string(CASE WHEN len(b) > len(a) THEN b ELSE a END, ';;') || ';' AS s FROM named)
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
        array_to_string(list_sort(list_distinct([{met}])), ',') AS licences
 FROM joined"""

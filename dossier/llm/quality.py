@@ -127,7 +127,7 @@ def select_largest(scored: DataFrame, k: int, by: str = "noisy", tie: str = "doc
     rows = scored.withColumn("ordered", _ordered_bits(F.col(by)))
     prefix, left = 0, k
     for shift in (48, 32, 16, 0):
-        inside = rows.where(F.shiftrightunsigned("ordered", shift + 16) == prefix)
+        inside = rows if shift == 48 else rows.where(F.shiftrightunsigned("ordered", shift + 16) == prefix)
         counts = inside.groupBy(F.shiftrightunsigned("ordered", shift).bitwiseAND(0xFFFF).alias("part")).count().collect()
         for part, n in sorted(((r.part, r["count"]) for r in counts), reverse=True):  # 65536 rows at most
             if n >= left:
