@@ -32,7 +32,7 @@ def test_licences_match_duckdb(spark, sf):
 def test_licence_rules_need_order(spark):
     grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     asis = "The Software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."
-    rows = [(1, f"{grant} Other words. {asis}"), (2, f"{asis} {grant}"), (6, "\n".join(textwrap.wrap(f"{grant}", 60)).replace("conditions: The", "conditions:\n\nThe") + "\n\n" + "\n".join(textwrap.wrap(asis, 60))), (3, None), (4, ""), (5, "This is licensed. Or not.")]
+    rows = [(1, f"{grant} Other words. {asis}"), (2, f"{asis} {grant}"), (6, "\n\n".join("\n".join(textwrap.wrap(x, 60)) for x in (*grant.split("\n\n"), asis))), (3, None), (4, ""), (5, "This is licensed. Or not.")]
     got = {r.doc_id: r.licences for r in licenses.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ["MIT"], 6: ["MIT"], 2: [], 3: [], 4: [], 5: []}
 
