@@ -1 +1,166 @@
-"""Queries of this family."""
+"""Aggregation and coverage queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from dossier.catalog.ingestion import COHERENCE_SQL
+from dossier.operators import aggregation, corpus
+from dossier.registry import query
+from dossier.sources import pages
+from dossier.views import PAGE_SIZE, Tables
+
+
+@query("ag_committees", "SELECT committee, min(held_on) AS first_date, max(held_on) AS last_date, count(*) AS meetings FROM meetings WHERE term >= 19 AND contains(committee, 'committee') GROUP BY 1")
+def ag_committees(t: Tables) -> DataFrame:
+    return t.meetings.where("term >= 19").where(F.contains("committee", F.lit("committee"))).groupBy("committee").agg(F.min("held_on").alias("first_date"), F.max("held_on").alias("last_date"), F.count("*").alias("meetings"))
+
+
+@query("ag_group_sizes", "SELECT m.group_id, count(t.turn_id) AS turns, count(t.turn_id) > 0 AS loaded FROM meetings m LEFT JOIN (SELECT * FROM turns WHERE group_id % 6 != 1) t ON t.group_id = m.group_id GROUP BY 1")
+def ag_group_sizes(t: Tables) -> DataFrame:
+    sizes = t.turns.where("group_id % 6 != 1").groupBy("group_id").agg(F.count("*").alias("turns"))
+    return t.meetings.select("group_id").join(sizes, "group_id", "left").select("group_id", F.coalesce("turns", F.lit(0)).alias("turns"), F.col("turns").isNotNull().alias("loaded"))
+
+
+@query("ag_distinct_fill", "SELECT proposer AS key, min_by(title, group_id * 1000 + seq) FILTER (WHERE seq % 2 = 0) AS title, min_by(number, group_id * 1000 + seq) AS number, count(*) AS copies FROM agenda GROUP BY 1")
+def ag_distinct_fill(t: Tables) -> DataFrame:
+    """The first row wins; later rows fill only what it leaves blank."""
+    blanked = t.agenda.withColumn("title", F.when(F.col("seq") % 2 == 0, F.col("title")).otherwise(" "))
+    return aggregation.fill_first(blanked.withColumn("key", F.col("proposer")), ["key"], F.col("group_id") * 1000 + F.col("seq"), ["title", "number"])
+
+
+@query("ag_merge_agendas", "WITH f AS (SELECT group_id, number, lower(title) AS k, min(seq) AS seq, min_by(title, seq) AS title FROM agenda GROUP BY 1, 2, 3) SELECT group_id, count(*) AS items, string_agg(number || ' ' || title, '; ' ORDER BY seq) AS summary FROM f GROUP BY 1")
+def ag_merge_agendas(t: Tables) -> DataFrame:
+    """One row a meeting: its items without repeats (number and folded title), in order."""
+    first = t.agenda.groupBy("group_id", "number", F.lower("title").alias("k")).agg(F.min("seq").alias("seq"), F.min_by("title", "seq").alias("title"))
+    items = F.array_sort(F.collect_list(F.struct("seq", F.concat("number", F.lit(" "), "title").alias("item"))))
+    return first.groupBy("group_id").agg(F.count("*").alias("items"), F.array_join(F.transform(items, lambda x: x["item"]), "; ").alias("summary"))
+
+
+@query("ag_merge_inventory", "WITH g AS (SELECT number AS identity, count(DISTINCT group_id % 2) AS kinds, string_agg(DISTINCT proposer, ',' ORDER BY proposer) AS proposers, min(listed_on) AS first_day FROM agenda WHERE group_id % 3 = 0 GROUP BY 1) SELECT identity, CASE WHEN kinds = 1 THEN proposers END AS proposers, CASE WHEN kinds = 1 THEN first_day END AS first_day, CASE WHEN kinds > 1 THEN 'conflicting_kind' END AS gap FROM g")
+def ag_merge_inventory(t: Tables) -> DataFrame:
+    """Rows of one identity merge; conflicting kinds make a gap and drop what they say."""
+    merged = t.agenda.where("group_id % 3 = 0").groupBy(F.col("number").alias("identity")).agg(
+        F.count_distinct(F.col("group_id") % 2).alias("kinds"), F.array_join(F.array_sort(F.collect_set("proposer")), ",").alias("proposers"), F.min("listed_on").alias("first_day")
+    )
+    sound = F.col("kinds") == 1
+    return merged.select("identity", F.when(sound, F.col("proposers")).alias("proposers"), F.when(sound, F.col("first_day")).alias("first_day"), F.when(~sound, "conflicting_kind").alias("gap"))
+
+
+@query("ag_collection_coverage", f"WITH {COHERENCE_SQL} SELECT count(*) AS partitions_expected, count(*) FILTER (WHERE reasons = '') AS partitions_complete, CAST(sum(total) AS BIGINT) AS rows_expected, CAST(sum(rows) AS BIGINT) AS rows_fetched, CAST(sum(greatest(total - rows, 0)) AS BIGINT) AS rows_missing, bool_and(reasons = '') AS complete FROM verdicts")
+def ag_collection_coverage(t: Tables) -> DataFrame:
+    verdicts = pages.page_coherence(t.source_pages, ["dataset", "year"], PAGE_SIZE)
+    return verdicts.agg(
+        F.count("*").alias("partitions_expected"), F.count(F.when(F.col("coherent"), 1)).alias("partitions_complete"), F.sum("total").alias("rows_expected"), F.sum("rows").alias("rows_fetched"),
+        F.sum(F.greatest(F.col("total") - F.col("rows"), F.lit(0))).alias("rows_missing"), F.bool_and("coherent").alias("complete"),
+    )
+
+
+@query("ag_source_availability", f"WITH {COHERENCE_SQL}, grid AS (SELECT dataset, year FROM (SELECT DISTINCT dataset FROM source_rows), (SELECT unnest(generate_series(1994, 2001)) AS year)) SELECT g.dataset, g.year, CASE WHEN v.rows IS NULL THEN 'no_records' WHEN reasons != '' THEN 'incomplete' ELSE 'records_found' END AS state, coalesce(v.rows, 0) AS rows FROM grid g LEFT JOIN verdicts v USING (dataset, year)")
+def ag_source_availability(t: Tables) -> DataFrame:
+    """Every planned scope appears, whether anything was found in it or not."""
+    grid = t.source_rows.select("dataset").distinct().withColumn("year", F.explode(F.sequence(F.lit(1994).cast("long"), F.lit(2001).cast("long"))))
+    verdicts = pages.page_coherence(t.source_pages, ["dataset", "year"], PAGE_SIZE).select("dataset", "year", "rows", "coherent")
+    state = F.when(F.col("rows").isNull(), "no_records").when(~F.col("coherent"), "incomplete").otherwise("records_found")
+    return grid.join(verdicts, ["dataset", "year"], "left").select("dataset", "year", state.alias("state"), F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+SCOPE_SQL = """
+  e AS (SELECT source, lang, CASE WHEN source = 'src3' THEN NULL ELSE count(*) END AS expected FROM documents GROUP BY 1, 2),
+  o AS (SELECT source, lang, count(*) FILTER (WHERE ok) AS succeeded, count(*) FILTER (WHERE NOT ok) AS failed FROM (SELECT source, lang, doc_id % 50 != 7 AS ok FROM documents WHERE source != 'src5' OR doc_id % 4 != 1) GROUP BY 1, 2),
+  cells AS (SELECT source, lang, expected, coalesce(succeeded, 0) AS succeeded, coalesce(failed, 0) AS failed, expected - coalesce(succeeded, 0) - coalesce(failed, 0) AS unaccounted FROM e LEFT JOIN o USING (source, lang))"""
+
+
+def scope_cells(t: Tables) -> DataFrame:
+    docs = t.raw("documents")
+    expected = docs.groupBy("source", "lang").agg(F.count("*").alias("n")).select("source", "lang", F.when(F.col("source") != "src3", F.col("n")).alias("expected"))
+    outcomes = docs.where("source != 'src5' or doc_id % 4 != 1").select("source", "lang", (F.col("doc_id") % 50 != 7).alias("ok"))
+    return corpus.scope_coverage(expected, outcomes, ["source", "lang"])
+
+
+@query("ag_scope_coverage", f"WITH {SCOPE_SQL} SELECT *, coalesce(unaccounted = 0 AND failed = 0, false) AS complete, coalesce(unaccounted < 0, false) AS over_accounted FROM cells")
+def ag_scope_coverage(t: Tables) -> DataFrame:
+    return scope_cells(t)
+
+
+@query("ag_build_summary", f"WITH {SCOPE_SQL} SELECT CASE WHEN bool_or(expected IS NULL) THEN NULL ELSE CAST(sum(expected) AS BIGINT) END AS expected, CAST(sum(succeeded) AS BIGINT) AS succeeded, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(unaccounted) AS BIGINT) AS known_unattempted FROM cells")
+def ag_build_summary(t: Tables) -> DataFrame:
+    """The total expected is unknown as soon as one scope's is."""
+    unknown = F.bool_or(F.col("expected").isNull())
+    return scope_cells(t).agg(F.when(unknown, None).otherwise(F.sum("expected")).alias("expected"), F.sum("succeeded").alias("succeeded"), F.sum("failed").alias("failed"), F.sum("unaccounted").alias("known_unattempted"))
+
+
+@query("co_publish_gate", f"WITH {SCOPE_SQL} SELECT source, bool_and(coalesce(unaccounted = 0 AND failed = 0, false)) AS publishable FROM cells GROUP BY 1")
+def co_publish_gate(t: Tables) -> DataFrame:
+    return scope_cells(t).groupBy("source").agg(F.bool_and("complete").alias("publishable"))
+
+
+LEDGER_SQL = """
+  axis AS (SELECT 'bill' AS axis, count(*) AS checked, count(*) FILTER (WHERE result IS NOT NULL) AS matched, 0 AS failed, CAST(NULL AS VARCHAR) AS reason FROM entities
+    UNION ALL SELECT 'meeting', count(*), count(*) FILTER (WHERE kind = 'plenary'), 0, NULL FROM meetings UNION ALL SELECT 'document', count(*), count(*) FILTER (WHERE lang = 'en'), count(*) FILTER (WHERE doc_id % 50 = 7), 'download_failed' FROM documents
+    UNION ALL SELECT 'speech', count(*), count(*) FILTER (WHERE role = 'assistant'), 0, 'unknown_universe' FROM turns)"""
+
+
+@query("ag_axis_ledger", f"WITH {LEDGER_SQL} SELECT axis, CASE WHEN reason = 'unknown_universe' THEN NULL ELSE checked END AS candidate_total, checked, matched, CAST(failed AS BIGINT) AS failed, coalesce(reason, '') AS gaps, reason IS NULL AND failed = 0 AS complete FROM axis")
+def ag_axis_ledger(t: Tables) -> DataFrame:
+    """A row for each axis of evidence; complete only with a known total, no failure and no gap."""
+    axis = lambda df, name, matched, failed, reason: df.agg(F.count("*").alias("checked"), F.count(F.when(matched, 1)).alias("matched"), F.count(F.when(failed, 1)).alias("failed")).select(F.lit(name).alias("axis"), "checked", "matched", "failed", F.lit(reason).cast("string").alias("reason"))
+    none = F.lit(False)
+    rows = axis(t.entities, "bill", F.col("result").isNotNull(), none, None).unionByName(axis(t.meetings, "meeting", F.col("kind") == "plenary", none, None))
+    rows = rows.unionByName(axis(t.raw("documents"), "document", F.col("lang") == "en", F.col("doc_id") % 50 == 7, "download_failed")).unionByName(axis(t.turns, "speech", F.col("role") == "assistant", none, "unknown_universe"))
+    total = F.when(F.coalesce(F.col("reason") != "unknown_universe", F.lit(True)), F.col("checked"))
+    return rows.select("axis", total.alias("candidate_total"), "checked", "matched", "failed", F.coalesce("reason", F.lit("")).alias("gaps"), (F.col("reason").isNull() & (F.col("failed") == 0)).alias("complete"))
+
+
+@query("ag_inventory", "SELECT number, count(*) AS records, count(*) FILTER (WHERE event_type = 'debate') AS debates, min(day) AS first_day, max(day) AS last_day FROM (SELECT number, proposed_at AS day, 'proposed' AS event_type FROM entities UNION ALL SELECT number, held_on, 'debate' FROM links) GROUP BY 1")
+def ag_inventory(t: Tables) -> DataFrame:
+    records = t.entities.select("number", F.col("proposed_at").alias("day"), F.lit("proposed").alias("kind")).unionByName(t.links.select("number", F.col("held_on").alias("day"), F.lit("debate").alias("kind")))
+    return records.groupBy("number").agg(F.count("*").alias("records"), F.count(F.when(F.col("kind") == "debate", 1)).alias("debates"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
+@query("ag_canonical_entities", "SELECT turn_id, bool_or(number IN (SELECT number FROM entities)) AS eligible, count(*) AS numbers FROM links GROUP BY 1")
+def ag_canonical_entities(t: Tables) -> DataFrame:
+    proven = t.entities.select("number").distinct().withColumn("known", F.lit(True))
+    return t.links.join(proven, "number", "left").groupBy("turn_id").agg(F.bool_or(F.coalesce("known", F.lit(False))).alias("eligible"), F.count("*").alias("numbers"))
+
+
+@query("ag_concat_text", r"SELECT group_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY seq)) AS digest, count(*) AS parts FROM turns GROUP BY 1")
+def ag_concat_text(t: Tables) -> DataFrame:
+    """Texts of one meeting in order; a group is one conversation, so the list is bounded by it."""
+    listed = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    return t.turns.groupBy("group_id").agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["text"]), "\n\n"), 256).alias("digest"), F.count("*").alias("parts"))
+
+
+@query("ag_provisional", "SELECT term, count(*) AS total, count(*) FILTER (WHERE committee = 'MACHINERY') AS accepted, count(*) FILTER (WHERE committee != 'MACHINERY') AS rejected FROM entities GROUP BY 1")
+def ag_provisional(t: Tables) -> DataFrame:
+    kept = F.col("committee") == "MACHINERY"
+    return t.entities.groupBy("term").agg(F.count("*").alias("total"), F.count(F.when(kept, 1)).alias("accepted"), F.count(F.when(~kept, 1)).alias("rejected"))
+
+
+@query(
+    "ag_quality",
+    """WITH s AS (SELECT group_id, count(*) AS speeches, avg(CAST(length(text) > 60 AS INT)) AS provenance, count(DISTINCT CASE WHEN role = 'system' THEN role END) AS suspects FROM turns GROUP BY 1), b AS (SELECT group_id, count(DISTINCT number) AS bills FROM links WHERE number IN (SELECT number FROM entities) GROUP BY 1)
+    SELECT group_id, CAST(greatest(0, 100 - CASE WHEN coalesce(bills, 0) = 0 THEN 25 ELSE 0 END - CASE WHEN speeches < 3 THEN 20 ELSE 0 END - round_even((1 - provenance) * 30, 0) - least(15, suspects * 3)) AS BIGINT) AS score, speeches >= 3 AND provenance = 1 AS sufficient FROM s LEFT JOIN b USING (group_id)""",
+)
+def ag_quality(t: Tables) -> DataFrame:
+    """Points off for missing bills, few speeches, missing provenance (rounded half-even) and suspect speakers."""
+    s = t.turns.groupBy("group_id").agg(F.count("*").alias("speeches"), F.avg((F.char_length("text") > 60).cast("int")).alias("provenance"), F.count_distinct(F.when(F.col("role") == "system", F.col("role"))).alias("suspects"))
+    b = t.links.join(t.entities.select("number"), "number", "left_semi").groupBy("group_id").agg(F.count_distinct("number").alias("bills"))
+    off = F.when(F.coalesce("bills", F.lit(0)) == 0, 25).otherwise(0) + F.when(F.col("speeches") < 3, 20).otherwise(0) + F.bround((1 - F.col("provenance")) * 30, 0) + F.least(F.lit(15), F.col("suspects") * 3)
+    return s.join(b, "group_id", "left").select("group_id", F.greatest(F.lit(0.0), 100 - off).cast("long").alias("score"), ((F.col("speeches") >= 3) & (F.col("provenance") == 1)).alias("sufficient"))
+
+
+@query("ag_top_speakers", "WITH c AS (SELECT committee, role, count(*) AS n FROM turns GROUP BY 1, 2) SELECT committee, role, n, row_number() OVER (PARTITION BY committee ORDER BY n DESC, role) AS rank FROM c QUALIFY rank <= 10")
+def ag_top_speakers(t: Tables) -> DataFrame:
+    counts = t.turns.groupBy("committee", "role").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("committee").orderBy(F.desc("n"), "role"))
+    return counts.withColumn("rank", rank.cast("long")).where("rank <= 10")
+
+
+@query("ag_review_sample", "WITH f AS (SELECT committee, group_id, min(seq) AS seq FROM turns GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY committee ORDER BY group_id) AS k FROM f) SELECT r.committee, r.group_id, left(text, 120) AS excerpt, sha256(left(text, 120)) AS digest FROM r JOIN turns t ON t.group_id = r.group_id AND t.seq = r.seq WHERE k <= 3")
+def ag_review_sample(t: Tables) -> DataFrame:
+    """Three documents of each committee for review: the first turn's excerpt and its hash."""
+    firsts = t.turns.groupBy("committee", "group_id").agg(F.min_by(F.left("text", F.lit(120)), "seq").alias("excerpt"))
+    k = F.row_number().over(Window.partitionBy("committee").orderBy("group_id"))
+    return firsts.withColumn("k", k).where("k <= 3").select("committee", "group_id", "excerpt", F.sha2("excerpt", 256).alias("digest"))

@@ -1 +1,168 @@
-"""Queries of this family."""
+"""Filter and scope queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+from dossier.operators.linking import interval_scope
+from dossier.registry import query
+from dossier.views import Tables
+
+
+def structured(turns: DataFrame, **wanted) -> DataFrame:
+    """Turns that meet every given filter: term, role exact; committee, speaker by substring; dates inclusive.
+
+    A null value in a row never matches; ``day_from`` after ``day_to`` is an error.
+    """
+    if wanted.get("day_from") and wanted.get("day_to") and wanted["day_from"] > wanted["day_to"]:
+        raise ValueError("day_from is after day_to")
+    tests = {
+        "term": lambda v: F.col("term") == v, "role": lambda v: F.col("role") == v, "committee": lambda v: F.contains(F.lower("committee"), F.lit(v.lower())),
+        "speaker": lambda v: F.contains(F.lower("role"), F.lit(v.lower())), "day_from": lambda v: F.col("held_on") >= F.lit(v).cast("date"), "day_to": lambda v: F.col("held_on") <= F.lit(v).cast("date"),
+    }
+    for name, value in wanted.items():
+        if value is not None:
+            turns = turns.where(tests[name](value))
+    return turns
+
+
+@query("flt_structured", "SELECT turn_id FROM turns WHERE term = 19 AND contains(lower(committee), 'ee 1') AND contains(lower(role), 'ass') AND held_on BETWEEN DATE '2020-01-01' AND DATE '2021-12-31'")
+def flt_structured(t: Tables) -> DataFrame:
+    return structured(t.turns, term=19, committee="EE 1", speaker="ass", day_from="2020-01-01", day_to="2021-12-31").select("turn_id")
+
+
+FILTER_SQL = "wanted AS (SELECT n_nationkey AS query_id, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey % 4 + 18 END AS w_term, CASE WHEN n_nationkey % 2 = 0 THEN 'user' END AS w_role, CASE WHEN n_nationkey % 5 = 0 THEN DATE '2020-03-01' END AS w_from FROM nation)"
+
+
+@query("flt_query_filters_join", f"WITH {FILTER_SQL} SELECT CAST(query_id AS BIGINT) AS query_id, count(*) AS n, min(turn_id) AS first FROM wanted JOIN turns ON (w_term IS NULL OR term = w_term) AND (w_role IS NULL OR role = w_role) AND (w_from IS NULL OR held_on >= w_from) GROUP BY 1")
+def flt_query_filters_join(t: Tables) -> DataFrame:
+    """Filters of a whole query table; null is no constraint.  The query side is broadcast only if small."""
+    k = F.col("n_nationkey")
+    wanted = t.raw("nation").select(k.cast("long").alias("query_id"), F.when(k % 3 == 0, k % 4 + 18).alias("w_term"), F.when(k % 2 == 0, "user").alias("w_role"), F.when(k % 5 == 0, F.lit("2020-03-01").cast("date")).alias("w_from"))
+    free = lambda w, test: F.col(w).isNull() | test
+    on = free("w_term", F.col("term") == F.col("w_term")) & free("w_role", F.col("role") == F.col("w_role")) & free("w_from", F.col("held_on") >= F.col("w_from"))
+    return t.turns.select("turn_id", "term", "role", "held_on").join(F.broadcast(wanted), on).groupBy("query_id").agg(F.count("*").alias("n"), F.min("turn_id").alias("first"))
+
+
+TERMS = [(15, "1995-03-01", "1996-12-31"), (16, "1997-01-01", "1998-06-30"), (17, "1998-09-01", "2000-12-31")]
+TERMS_SQL = "terms AS (SELECT * FROM (VALUES (15::BIGINT, DATE '1995-03-01', DATE '1996-12-31'), (16, DATE '1997-01-01', DATE '1998-06-30'), (17, DATE '1998-09-01', DATE '2000-12-31')) v(scope, day_from, day_to))"
+
+
+def office_terms(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(TERMS, "scope long, f string, u string").select("scope", F.col("f").cast("date").alias("day_from"), F.col("u").cast("date").alias("day_to"))
+
+
+@query("flt_interval_scope", f"WITH {TERMS_SQL} SELECT number, proposed_at, scope FROM entities LEFT JOIN terms ON proposed_at BETWEEN day_from AND day_to")
+def flt_interval_scope(t: Tables) -> DataFrame:
+    return interval_scope(t.entities.select("number", "proposed_at"), office_terms(t), "proposed_at").select("number", "proposed_at", "scope")
+
+
+MONTH_SQL = """spans AS (SELECT number, proposed_at AS f, processed_at AS u FROM entities WHERE processed_at IS NOT NULL),
+  months AS (SELECT number, f, u, CAST(unnest(generate_series(CAST(date_trunc('month', f) AS TIMESTAMP), CAST(u AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS m FROM spans)"""
+
+
+def month_slices(spans: DataFrame) -> DataFrame:
+    """``(number, f, u)`` cut into calendar months that tile it."""
+    months = spans.withColumn("m", F.explode(F.sequence(F.trunc("f", "MM"), F.col("u"), F.expr("interval 1 month"))))
+    return months.select("number", F.greatest("m", "f").alias("slice_from"), F.least(F.last_day("m"), "u").alias("slice_to"))
+
+
+@query("flt_month_buckets", f"WITH {MONTH_SQL} SELECT number, greatest(m, f) AS slice_from, least(last_day(m), u) AS slice_to FROM months")
+def flt_month_buckets(t: Tables) -> DataFrame:
+    return month_slices(t.entities.where("processed_at is not null").select("number", F.col("proposed_at").alias("f"), F.col("processed_at").alias("u")))
+
+
+@query("flt_month_tiling", f"WITH {MONTH_SQL}, s AS (SELECT number, greatest(m, f) AS a, least(last_day(m), u) AS b FROM months), g AS (SELECT number, a, lag(b) OVER (PARTITION BY number ORDER BY a) AS before FROM s) SELECT number, CAST(count(*) FILTER (WHERE before IS NOT NULL AND a != before + 1) AS BIGINT) AS faults, count(*) AS slices FROM g GROUP BY 1")
+def flt_month_tiling(t: Tables) -> DataFrame:
+    slices = flt_month_buckets(t)
+    before = F.lag("slice_to").over(Window.partitionBy("number").orderBy("slice_from"))
+    fault = F.count(F.when(F.col("before").isNotNull() & (F.col("slice_from") != F.date_add("before", 1)), 1))
+    return slices.withColumn("before", before).groupBy("number").agg(fault.alias("faults"), F.count("*").alias("slices"))
+
+
+@query(
+    "flt_collapse_months",
+    "WITH m AS (SELECT DISTINCT committee, year(proposed_at) AS y, month(proposed_at) AS mo FROM entities WHERE CAST(number AS BIGINT) % 8 < 2), c AS (SELECT committee, y, count(*) AS n FROM m GROUP BY 1, 2) SELECT committee, CAST(y AS BIGINT) AS y, CASE WHEN n = 12 THEN CAST(y AS VARCHAR) ELSE CAST(y AS VARCHAR) || '-' || lpad(CAST(mo AS VARCHAR), 2, '0') END AS key FROM c JOIN m USING (committee, y) GROUP BY ALL",
+)
+def flt_collapse_months(t: Tables) -> DataFrame:
+    """A year with all its months becomes one key."""
+    m = t.entities.where(F.col("number").cast("long") % 8 < 2).select("committee", F.year("proposed_at").cast("long").alias("y"), F.month("proposed_at").alias("mo"))
+    years = m.groupBy("committee", "y").agg(F.array_sort(F.collect_set("mo")).alias("months"))
+    keys = F.when(F.size("months") == 12, F.array(F.col("y").cast("string"))).otherwise(F.transform("months", lambda k: F.concat(F.col("y").cast("string"), F.lit("-"), F.lpad(k.cast("string"), 2, "0"))))
+    return years.select("committee", "y", F.explode(keys).alias("key"))
+
+
+DROP_SQL = "causes AS (SELECT number, CASE WHEN term = 17 AND committee = 'BUILDING' THEN 'missing_date' WHEN proposed_at < DATE '1996-01-01' OR proposed_at > DATE '1999-12-31' THEN 'outside_range' WHEN committee = 'HOUSEHOLD' THEN 'missing_committee' WHEN committee != 'MACHINERY' THEN 'committee_mismatch' END AS cause FROM entities)"
+
+
+def drop_causes(t: Tables) -> DataFrame:
+    """The first failing cause of each entity, null for kept ones."""
+    day = F.when(~((F.col("term") == 17) & (F.col("committee") == "BUILDING")), F.col("proposed_at"))
+    committee = F.when(F.col("committee") != "HOUSEHOLD", F.col("committee"))
+    cause = F.when(day.isNull(), "missing_date").when(~day.between(F.lit("1996-01-01").cast("date"), F.lit("1999-12-31").cast("date")), "outside_range").when(committee.isNull(), "missing_committee").when(committee != "MACHINERY", "committee_mismatch")
+    return t.entities.select("number", cause.alias("cause"))
+
+
+@query("flt_strict_family", f"WITH {DROP_SQL} SELECT coalesce(cause, 'kept') AS cause, count(*) AS n FROM causes GROUP BY 1")
+def flt_strict_family(t: Tables) -> DataFrame:
+    return drop_causes(t).groupBy(F.coalesce("cause", F.lit("kept")).alias("cause")).agg(F.count("*").alias("n"))
+
+
+@query("flt_status", "SELECT number, coalesce(result, 'pending') AS status, result IS NULL AS is_pending FROM entities")
+def flt_status(t: Tables) -> DataFrame:
+    blank = F.coalesce(F.trim("result"), F.lit("")) == ""
+    return t.entities.select("number", F.when(blank, "pending").otherwise(F.col("result")).alias("status"), blank.alias("is_pending"))
+
+
+@query("flt_proposal_scope", "SELECT link_type, count(*) AS n, count(DISTINCT number) AS numbers FROM links WHERE number IN (SELECT number FROM entities WHERE proposed_at BETWEEN DATE '1996-01-01' AND DATE '1998-12-31') GROUP BY 1")
+def flt_proposal_scope(t: Tables) -> DataFrame:
+    kept = t.entities.where("proposed_at between date'1996-01-01' and date'1998-12-31'").select("number")
+    return t.links.join(kept, "number", "left_semi").groupBy("link_type").agg(F.count("*").alias("n"), F.count_distinct("number").alias("numbers"))
+
+
+@query(
+    "flt_content_terms",
+    "WITH n AS (SELECT query_id, count(*) AS wanted FROM query_terms GROUP BY 1), h AS (SELECT query_id, turn_id, count(*) AS matched FROM query_terms JOIN turn_terms USING (term) GROUP BY 1, 2), f AS (SELECT h.*, matched >= least(3, wanted) AS good FROM h JOIN n USING (query_id)), g AS (SELECT *, bool_or(good) OVER (PARTITION BY query_id) AS any_good FROM f) SELECT query_id, turn_id, matched FROM g WHERE good OR NOT any_good",
+)
+def flt_content_terms(t: Tables) -> DataFrame:
+    """Results with enough content terms; where none has, all stay."""
+    wanted = t.query_terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
+    hits = t.query_terms.join(t.turn_terms, "term").groupBy("query_id", "turn_id").agg(F.count("*").alias("matched")).join(wanted, "query_id")
+    marked = hits.withColumn("good", F.col("matched") >= F.least(F.lit(3), F.col("wanted")))
+    some = marked.groupBy("query_id").agg(F.bool_or("good").alias("some"))
+    return marked.join(some, "query_id").where("good or not some").select("query_id", "turn_id", "matched")
+
+
+@query("flt_derived_window", "WITH d AS (SELECT committee, unnest([proposed_at, processed_at]) AS day FROM entities WHERE term = 16), m AS (SELECT DISTINCT committee, CAST(date_trunc('month', day) AS DATE) AS month FROM d WHERE day IS NOT NULL UNION SELECT committee, CAST(unnest([date_trunc('month', DATE '2001-07-31'), date_trunc('month', DATE '2001-07-31' - INTERVAL 1 MONTH)]) AS DATE) FROM (SELECT DISTINCT committee FROM entities WHERE term = 16)) SELECT committee, month FROM m")
+def flt_derived_window(t: Tables) -> DataFrame:
+    """Months of the matched entities' dates and the two last months up to a day."""
+    own = t.entities.where("term = 16")
+    today = F.lit("2001-07-31").cast("date")
+    days = own.select("committee", F.explode(F.array("proposed_at", "processed_at", F.lit(today), F.add_months(today, -1))).alias("day"))
+    return days.where("day is not null").select("committee", F.trunc("day", "MM").alias("month")).distinct()
+
+
+@query("flt_meeting_window", "SELECT event_id, CAST(ts AS DATE) AS day FROM events WHERE event_id % 13 != 5 AND CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'")
+def flt_meeting_window(t: Tables) -> DataFrame:
+    """Raw date texts in several forms; what does not parse is dropped."""
+    from dossier.functions.text import parse_any_date
+
+    form = F.when(F.col("event_id") % 13 == 5, F.lit("n/a")).when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy.MM.dd")).otherwise(F.date_format("ts", "yyyyMMdd"))
+    raw = t.raw("events").select("event_id", form.alias("raw"))
+    return raw.select("event_id", parse_any_date(F.col("raw")).alias("day")).where("day between date'2024-01-05' and date'2024-01-12'")
+
+
+@query("txt_script_flag", "SELECT doc_id, NOT regexp_matches(text, '[^\\x00-\\x7F]') AS latin_only, regexp_matches(text, '[äöüß]') AS german FROM documents")
+def txt_script_flag(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", (~F.col("text").rlike(r"[^\x00-\x7F]")).alias("latin_only"), F.col("text").rlike("[äöüß]").alias("german"))
+
+
+@query("txt_question_flag", "SELECT turn_id, contains(text, 'que ') OR contains(text, 'the') AS asks FROM turns")
+def txt_question_flag(t: Tables) -> DataFrame:
+    from dossier.functions.text import contains_any
+
+    return t.turns.select("turn_id", contains_any(F.col("text"), ["que ", "the"]).alias("asks"))
+
+

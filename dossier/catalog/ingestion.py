@@ -1 +1,170 @@
-"""Queries of this family."""
+"""Source and sink queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from dossier.functions.text import parse_any_date, stable_id
+from dossier.operators import corpus
+from dossier.registry import query
+from dossier.sources import pages
+from dossier.views import PAGE_SIZE, Tables
+
+
+@query("src_envelope", "SELECT dataset, year, page, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys, max(total) AS total FROM source_rows WHERE NOT (year = 1996) AND year != 1999 GROUP BY 1, 2, 3")
+def src_envelope(t: Tables) -> DataFrame:
+    """Pages written as envelopes and decoded again; 1996 answers no data, 1999 an error code."""
+    row = F.create_map(F.lit("ID"), F.col("o_orderkey").cast("string"), F.lit("CUSTOMER"), F.col("o_custkey").cast("string"))
+    bundled = t.source_rows.groupBy("dataset", "year", "page", "total").agg(F.to_json(F.collect_list(row)).alias("rows"))
+    code = F.when(F.col("year") == 1996, pages.NO_DATA).when(F.col("year") == 1999, "ERROR-300").otherwise(pages.OK)
+    body = F.format_string('{"d":[{"head":[{"list_total_count":%d},{"RESULT":{"CODE":"%s","MESSAGE":"m"}}]},{"row":%s}]}', "total", code, "rows")
+    decoded = pages.decode_envelopes(bundled.select("dataset", "year", "page", body.alias("value")), "d")
+    ids = F.col("fields")["ID"].cast("long")
+    return decoded.where("error is null").groupBy("dataset", "year", "page").agg(F.count("*").alias("rows"), F.sum(ids).alias("keys"), F.max("total").alias("total"))
+
+
+COHERENCE_SQL = """
+  w AS (SELECT dataset, year, content, n_rows, count(*) AS copies FROM source_pages GROUP BY ALL), r AS (SELECT dataset, year, max(copies) AS copies FROM w GROUP BY 1, 2),
+  s AS (SELECT dataset, year, count(DISTINCT total) AS totals, max(total) AS tm, count(*) AS n_pages, count(DISTINCT page) AS dp, min(page) AS a, max(page) AS b, CAST(sum(n_rows) AS BIGINT) AS rows,
+    sum(CAST(n_rows != CASE WHEN page < ceil(total / 100) THEN 100 ELSE total - (ceil(total / 100) - 1) * 100 END AS INT)) AS short FROM source_pages GROUP BY 1, 2),
+  verdicts AS (SELECT dataset, year, n_pages, rows, tm AS total, concat_ws(',', CASE WHEN totals > 1 THEN 'total_changed' END, CASE WHEN n_pages > dp THEN 'duplicate_page' END, CASE WHEN a != 1 OR b != ceil(tm / 100) OR dp < ceil(tm / 100) THEN 'missing_page' END,
+    CASE WHEN short > 0 THEN 'wrong_row_count' END, CASE WHEN copies > 1 THEN 'repeated_page' END) AS reasons FROM s JOIN r USING (dataset, year))"""
+
+
+@query("src_page_coherence", f"WITH {COHERENCE_SQL} SELECT *, reasons = '' AS coherent FROM verdicts")
+def src_page_coherence(t: Tables) -> DataFrame:
+    return pages.page_coherence(t.source_pages, ["dataset", "year"], PAGE_SIZE)
+
+
+@query("src_expand_pages", "SELECT dataset, year, total, unnest(generate_series(2, CAST(ceil(total / 100) AS BIGINT))) AS page FROM (SELECT DISTINCT dataset, year, total FROM source_rows)")
+def src_expand_pages(t: Tables) -> DataFrame:
+    return pages.expand_pages(t.source_rows.select("dataset", "year", "total").distinct(), PAGE_SIZE)
+
+
+@query("src_norm_meeting", "SELECT 'meeting-' || CAST(conv_id AS VARCHAR) AS meeting_id, DATE '2020-01-01' + CAST(conv_id % 1500 AS INTEGER) AS held_on, conv_id % 4 + 18 AS term, CASE WHEN conv_id % 2 = 0 THEN 'committee ' || CAST(conv_id % 7 AS VARCHAR) ELSE 'subcommittee' END AS committee FROM (SELECT DISTINCT conv_id FROM conversations)")
+def src_norm_meeting(t: Tables) -> DataFrame:
+    """Raw string rows with aliases, several date forms and a term inside text."""
+    k = F.col("group_id")
+    form = F.when(k % 3 == 0, F.date_format("held_on", "yyyy-MM-dd")).when(k % 3 == 1, F.date_format("held_on", "yyyy.MM.dd")).otherwise(F.date_format("held_on", "yyyyMMdd"))
+    raw = t.meetings.select(
+        F.when(k % 2 == 0, F.concat(F.lit(" "), "committee", F.lit(" "))).otherwise("").alias("COMM_NAME"), F.when(k % 2 == 1, F.lit("subcommittee")).alias("CMIT_NM"), F.concat(F.lit("term no. "), F.col("term").cast("string")).alias("ERACO"),
+        F.when(k % 5 == 0, form).otherwise(" ").alias("CONF_DATE"), F.when(k % 5 != 0, form).alias("CONF_DT"), k.cast("string").alias("CONF_ID"),
+    )
+    return raw.select(
+        F.concat(F.lit("meeting-"), pages.first_nonblank("CONF_ID")).alias("meeting_id"), parse_any_date(F.col("CONF_DATE"), F.col("CONF_DT")).alias("held_on"),
+        F.regexp_extract("ERACO", "([0-9]+)", 1).cast("long").alias("term"), pages.first_nonblank("COMM_NAME", "CMIT_NM").alias("committee"),
+    )
+
+
+NORM_BILL_SQL = "n AS (SELECT CASE WHEN CAST(number AS BIGINT) % 10 != 3 THEN number END AS number, CASE WHEN CAST(number AS BIGINT) % 12 != 5 THEN name END AS name, term FROM entities)"
+
+
+def _normal_bills(t: Tables) -> DataFrame:
+    k = F.col("number").cast("long")
+    raw = t.entities.select(F.when(k % 10 != 3, F.col("number")).otherwise(" ").alias("BILL_NO"), F.when(k % 12 != 5, F.concat(F.lit(" "), "name")).alias("BILL_NAME"), "term")
+    return raw.select(pages.first_nonblank("BILL_NO").alias("number"), pages.first_nonblank("BILL_NAME").alias("name"), "term")
+
+
+@query("src_norm_bill", f"WITH {NORM_BILL_SQL} SELECT number, name, term FROM n WHERE number IS NOT NULL AND name IS NOT NULL")
+def src_norm_bill(t: Tables) -> DataFrame:
+    return _normal_bills(t).where("number is not null and name is not null and term is not null")
+
+
+@query("src_norm_bill_rejects", f"WITH {NORM_BILL_SQL} SELECT CASE WHEN number IS NULL THEN 'missing_number' ELSE 'missing_name' END AS reason, count(*) AS n FROM n WHERE number IS NULL OR name IS NULL GROUP BY 1")
+def src_norm_bill_rejects(t: Tables) -> DataFrame:
+    reason = F.when(F.col("number").isNull(), "missing_number").when(F.col("name").isNull(), "missing_name").when(F.col("term").isNull(), "missing_term")
+    return _normal_bills(t).select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("src_classify", "SELECT group_id, kind FROM meetings")
+def src_classify(t: Tables) -> DataFrame:
+    name = F.when(F.col("kind") == "plenary", "Plenary session").when(F.col("kind") == "subcommittee", "Plenary sub panel").otherwise("Standing committee")
+    return t.meetings.select("group_id", pages.classify_meeting(name, F.col("committee")).alias("kind"))
+
+
+@query("src_stable_ids", r"SELECT group_id, seq, CAST(group_id AS VARCHAR) || ':speech-' || lpad(CAST(seq AS VARCHAR), 4, '0') AS speech_id, sha256(CAST(seq AS VARCHAR) || chr(31) || number || chr(31) || trim(regexp_replace(title, '\s+', ' ', 'g')))[1:16] AS agenda_id, regexp_replace(lower(proposer), '[^a-z0-9]+', '-', 'g') AS slug FROM agenda")
+def src_stable_ids(t: Tables) -> DataFrame:
+    speech = F.concat(F.col("group_id").cast("string"), F.lit(":speech-"), F.lpad(F.col("seq").cast("string"), 4, "0"))
+    agenda = stable_id(F.col("seq").cast("string"), F.col("number"), F.trim(F.regexp_replace("title", r"\s+", " ")))
+    return t.agenda.select("group_id", "seq", speech.alias("speech_id"), agenda.alias("agenda_id"), F.regexp_replace(F.lower("proposer"), "[^a-z0-9]+", "-").alias("slug"))
+
+
+@query(
+    "src_constraints",
+    """SELECT 'blank_text' AS rule, count(*) FILTER (WHERE trim(text) = '') AS violations FROM turns UNION ALL SELECT 'seven_digits', count(*) FILTER (WHERE NOT regexp_matches(number, '^[0-9]{7}$')) FROM entities
+    UNION ALL SELECT 'confidence_range', count(*) FILTER (WHERE confidence NOT BETWEEN 0 AND 0.9) FROM links UNION ALL SELECT 'unique_group_line', (SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1))
+    UNION ALL SELECT 'entity_exists', count(*) FROM links WHERE number NOT IN (SELECT number FROM entities WHERE result IS NOT NULL) UNION ALL SELECT 'role_domain', count(*) FILTER (WHERE role NOT IN ('user', 'assistant')) FROM turns""",
+)
+def src_constraints(t: Tables) -> DataFrame:
+    """One data-quality report: a row for each rule with the number of rows that break it."""
+    broken = lambda df, rule, bad: df.agg(F.count(F.when(bad, 1)).alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+    repeated = t.raw("lineitem").groupBy("l_orderkey", "l_linenumber").count()
+    orphans = t.links.join(t.entities.where("result is not null"), "number", "left_anti")
+    report = [
+        broken(t.turns, "blank_text", F.trim("text") == ""), broken(t.entities, "seven_digits", ~F.col("number").rlike("^[0-9]{7}$")), broken(t.links, "confidence_range", ~F.col("confidence").between(0, 0.9)),
+        broken(repeated, "unique_group_line", F.col("count") > 1), broken(orphans, "entity_exists", F.lit(True)), broken(t.turns, "role_domain", ~F.col("role").isin("user", "assistant")),
+    ]
+    out = report[0]
+    for part in report[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+URL_SQL = r"CASE WHEN NOT starts_with(url, 'https://') THEN 'not_https' WHEN NOT regexp_matches(regexp_extract(url, '^https?://([^/?#]+)', 1), '(^|\.)example\.(com|org)$') THEN 'host' WHEN contains(url, '#') THEN 'fragment' WHEN regexp_matches(url, '[?&](key|apikey|api_key|servicekey|token|secret)=') THEN 'secret_parameter' END"
+
+
+@query("src_url_policy", f"SELECT page_id, coalesce({URL_SQL}, 'accepted') AS verdict FROM pages")
+def src_url_policy(t: Tables) -> DataFrame:
+    return t.raw("pages").select("page_id", F.coalesce(pages.url_verdict(F.col("url"), ["example.com", "example.org"]), F.lit("accepted")).alias("verdict"))
+
+
+@query("src_redact_url", "SELECT page_id, regexp_replace(url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'KEY=abc' || CAST(page_id AS VARCHAR) || '&z=1', '([?&]KEY=)[^&#]*', '\\1***') AS url FROM pages")
+def src_redact_url(t: Tables) -> DataFrame:
+    keyed = F.concat("url", F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("KEY=abc"), F.col("page_id").cast("string"), F.lit("&z=1"))
+    return t.raw("pages").select("page_id", pages.redact_url(keyed).alias("url"))
+
+
+@query("src_url_identity", "SELECT page_id, CASE WHEN len(regexp_extract_all(url, '[?&]page=([^&#]*)', 1)) = 1 AND regexp_matches(regexp_extract(url, '[?&]page=([^&#]*)', 1), '^[A-Za-z0-9_-]{1,64}$') THEN 'id:' || regexp_extract(url, '[?&]page=([^&#]*)', 1) ELSE 'url:' || sha256(url)[1:16] END AS identity FROM pages")
+def src_url_identity(t: Tables) -> DataFrame:
+    return t.raw("pages").select("page_id", pages.url_identity(F.col("url"), "page").alias("identity"))
+
+
+@query("src_html_links", """WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\s+href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href FROM pages) SELECT page_id, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href END AS target, count(*) AS n FROM a GROUP BY 1, 2""")
+def src_html_links(t: Tables) -> DataFrame:
+    return pages.html_links(t.raw("pages"), "page_id", "url", "html").groupBy("page_id", "target").agg(F.count("*").alias("n"))
+
+
+UPSERT_SQL = "b AS (SELECT c_custkey, c_name, c_acctbal, 1 AS version FROM customer), i AS (SELECT c_custkey + 50 AS c_custkey, c_name || ' new' AS c_name, c_acctbal + 1 AS c_acctbal, 2 AS version FROM customer WHERE c_custkey % 3 = 0)"
+
+
+@query("src_upsert", f"WITH {UPSERT_SQL} SELECT c_custkey, c_name, round(c_acctbal, 4) AS c_acctbal, CAST(version AS BIGINT) AS version FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY version DESC) AS k FROM (SELECT * FROM b UNION ALL SELECT * FROM i)) WHERE k = 1")
+def src_upsert(t: Tables) -> DataFrame:
+    base = t.raw("customer").select("c_custkey", "c_name", "c_acctbal", F.lit(1).cast("long").alias("version"))
+    new = base.where("c_custkey % 3 = 0").select((F.col("c_custkey") + 50).alias("c_custkey"), F.concat("c_name", F.lit(" new")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"), F.lit(2).cast("long").alias("version"))
+    return corpus.upsert(base, new, ["c_custkey"], "version").withColumn("c_acctbal", F.round("c_acctbal", 4))
+
+
+@query("src_replace_group", "SELECT group_id, seq, role FROM turns WHERE group_id % 4 != 1 UNION ALL SELECT group_id, seq + 100, 'replaced' FROM turns WHERE group_id % 4 = 1 AND seq < 2")
+def src_replace_group(t: Tables) -> DataFrame:
+    base = t.turns.select("group_id", "seq", "role")
+    new = base.where("group_id % 4 = 1 and seq < 2").select("group_id", (F.col("seq") + 100).alias("seq"), F.lit("replaced").alias("role"))
+    return corpus.replace_groups(base, new, "group_id")
+
+
+FINGERPRINT_SQL = "SELECT count(*) AS n_rows, bit_xor(d) AS xored, CAST(sum(d % 1000003) AS BIGINT) AS summed FROM (SELECT CAST('0x' || sha256(CAST(doc_id AS VARCHAR) || chr(31) || coalesce(lang, chr(0)) || chr(31) || coalesce(text, chr(0)))[1:15] AS BIGINT) AS d FROM documents)"
+
+
+@query("src_table_fingerprint", FINGERPRINT_SQL)
+def src_table_fingerprint(t: Tables) -> DataFrame:
+    return corpus.table_fingerprint(t.raw("documents"), ["doc_id", "lang", "text"])
+
+
+@query("snk_snapshot", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, CASE WHEN length(text) <= 4000 THEN sha256(text) END AS inline_digest, length(text) > 4000 AS in_side_table, sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS bytes, (row_number() OVER (ORDER BY doc_id) - 1) // 50 AS page_bucket FROM documents")
+def snk_snapshot(t: Tables) -> DataFrame:
+    """Positions come from sorted ranges: counts by range, their running sum, and a local number."""
+    from dossier.operators.aggregation import global_positions
+
+    docs = t.raw("documents").select("doc_id", F.char_length("text").alias("c"), F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("bytes"))
+    placed = global_positions(docs, "doc_id")
+    return placed.select("doc_id", "position", F.when(F.col("c") <= 4000, F.col("digest")).alias("inline_digest"), (F.col("c") > 4000).alias("in_side_table"), "digest", "bytes", F.floor(F.col("position") / 50).alias("page_bucket"))

@@ -1 +1,195 @@
-"""Queries of this family."""
+"""Join and link queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from dossier.operators import linking
+from dossier.registry import query
+from dossier.views import Tables
+
+
+@query("jn_context", "SELECT h.turn_id AS hit, t.turn_id, t.seq - h.seq AS delta, t.role FROM turns h JOIN turns t ON h.group_id = t.group_id AND t.seq BETWEEN h.seq - 1 AND h.seq + 2 WHERE h.group_id % 5 = 0 AND h.seq % 3 = 1")
+def jn_context(t: Tables) -> DataFrame:
+    return linking.context(t.turns, t.turns.where("group_id % 5 = 0 and seq % 3 = 1"), 1, 2)
+
+
+@query("jn_adjacent", "SELECT turn_id, lag(text) OVER w AS previous_text, lead(text) OVER w AS next_text FROM turns WINDOW w AS (PARTITION BY group_id ORDER BY seq)")
+def jn_adjacent(t: Tables) -> DataFrame:
+    return linking.adjacent(t.turns).select("turn_id", "previous_text", "next_text")
+
+
+@query("wn_prev_next", "SELECT turn_id, lag(turn_id) OVER w AS previous, lead(turn_id) OVER w AS next FROM turns WINDOW w AS (PARTITION BY group_id ORDER BY seq)")
+def wn_prev_next(t: Tables) -> DataFrame:
+    return linking.adjacent(t.turns).select("turn_id", "previous", "next")
+
+
+QA_SQL = """
+  seen AS (SELECT turn_id, group_id, role, role = 'user' AS asks, lead(turn_id) OVER w AS n1, lead(role) OVER w AS r1, lead(turn_id, 2) OVER w AS n2, lead(role, 2) OVER w AS r2 FROM turns WINDOW w AS (PARTITION BY group_id ORDER BY seq)),
+  qa AS (SELECT turn_id AS source, n1 AS target, 'QUESTION_TO' AS relation, 0.9::DOUBLE AS confidence FROM seen WHERE asks AND r1 = 'assistant'
+    UNION ALL SELECT n1, turn_id, 'ANSWER_TO', 0.9::DOUBLE FROM seen WHERE asks AND r1 = 'assistant'
+    UNION ALL SELECT n2, turn_id, 'FOLLOW_UP_TO', 0.8::DOUBLE FROM seen WHERE asks AND r1 = 'assistant' AND r2 = 'user')"""
+
+
+def relations(t: Tables) -> DataFrame:
+    """The supplied turns have no question mark; a user's turn asks and an assistant's answers."""
+    return linking.question_answer_relations(t.turns, F.col("role") == "user", ["assistant"])
+
+
+@query("jn_qa_relations", f"WITH {QA_SQL} SELECT * FROM qa")
+def jn_qa_relations(t: Tables) -> DataFrame:
+    return relations(t)
+
+
+@query("jn_explicit_mentions", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def jn_explicit_mentions(t: Tables) -> DataFrame:
+    return linking.substring_links(t.raw("documents").select("doc_id", "text"), t.raw("benchmark").select("item_id", F.col("text").alias("pattern")), "doc_id", "item_id")
+
+
+@query("jn_hydrate", "SELECT turn_id, role, m.kind, m.url || '#' || CAST(seq AS VARCHAR) AS citation, m.held_on FROM turns JOIN meetings m USING (group_id) WHERE seq < 3")
+def jn_hydrate(t: Tables) -> DataFrame:
+    joined = t.turns.where("seq < 3").select("turn_id", "role", "seq", "group_id").join(t.meetings, "group_id")
+    return joined.select("turn_id", "role", "kind", F.concat("url", F.lit("#"), F.col("seq").cast("string")).alias("citation"), "held_on")
+
+
+@query("jn_related_turns", "SELECT number, turn_id, confidence, row_number() OVER (PARTITION BY number ORDER BY confidence DESC, held_on DESC, turn_id) AS rank FROM links JOIN entities USING (number)")
+def jn_related_turns(t: Tables) -> DataFrame:
+    order = Window.partitionBy("number").orderBy(F.desc("confidence"), F.desc("held_on"), "turn_id")
+    return t.links.join(t.entities.select("number"), "number").select("number", "turn_id", "confidence", F.row_number().over(order).cast("long").alias("rank"))
+
+
+@query("jn_linked_entities", "WITH r AS (SELECT group_id, number, confidence, proposed_at, row_number() OVER (PARTITION BY group_id, number ORDER BY confidence DESC, proposed_at, number) AS k FROM links JOIN entities USING (number)) SELECT group_id, number, confidence, proposed_at FROM r WHERE k = 1")
+def jn_linked_entities(t: Tables) -> DataFrame:
+    """Distinct linked entities of each group, the best link each: a grouped maximum."""
+    best = t.links.groupBy("group_id", "number").agg(F.max("confidence").alias("confidence"))
+    return best.join(t.entities.select("number", "proposed_at"), "number").select("group_id", "number", "confidence", "proposed_at")
+
+
+ROLE_SQL = """
+  wanted AS (SELECT DISTINCT s_suppkey % 20 AS query_id, s_name AS name FROM supplier WHERE s_suppkey < 40),
+  firsts AS (SELECT group_id, proposer, seq, seq = 1 AS representative FROM agenda),
+  hits AS (SELECT query_id, group_id, bool_or(representative) AS representative, bool_or(NOT representative) AS co FROM firsts JOIN wanted ON proposer = name GROUP BY 1, 2)"""
+
+
+@query("jn_role_match", f"WITH {ROLE_SQL} SELECT query_id, group_id, representative, co, CASE WHEN representative THEN 'proposer:representative' ELSE 'proposer:co' END AS reason FROM hits")
+def jn_role_match(t: Tables) -> DataFrame:
+    """The first proposer of an agenda represents it, the others support it; names match whole."""
+    wanted = t.raw("supplier").where("s_suppkey < 40").select((F.col("s_suppkey") % 20).alias("query_id"), F.col("s_name").alias("proposer")).distinct()
+    hits = t.agenda.select("group_id", "proposer", (F.col("seq") == 1).alias("first")).join(wanted, "proposer").groupBy("query_id", "group_id").agg(F.bool_or("first").alias("representative"), F.bool_or(~F.col("first")).alias("co"))
+    return hits.withColumn("reason", F.when(F.col("representative"), "proposer:representative").otherwise("proposer:co"))
+
+
+@query("jn_semi_by_number", "SELECT group_id, bool_or(number IN (SELECT number FROM entities WHERE result IS NOT NULL)) AS admitted, CASE WHEN NOT bool_or(number IN (SELECT number FROM entities WHERE result IS NOT NULL)) THEN 'no_selected_proposer_bill' END AS reason FROM agenda GROUP BY 1")
+def jn_semi_by_number(t: Tables) -> DataFrame:
+    accepted = t.entities.where("result is not null").select("number").distinct().withColumn("ok", F.lit(True))
+    marked = t.agenda.select("group_id", "number").join(accepted, "number", "left").groupBy("group_id").agg(F.bool_or(F.coalesce("ok", F.lit(False))).alias("admitted"))
+    return marked.withColumn("reason", F.when(~F.col("admitted"), "no_selected_proposer_bill"))
+
+
+@query("jn_required_exact", "SELECT DISTINCT number FROM agenda WHERE number NOT IN (SELECT number FROM entities WHERE committee = 'BUILDING')")
+def jn_required_exact(t: Tables) -> DataFrame:
+    return t.agenda.select("number").distinct().join(t.entities.where("committee = 'BUILDING'"), "number", "left_anti")
+
+
+MAPPING_SQL = """
+  cand AS (SELECT doc_id % 400 AS identity, doc_id, CASE WHEN doc_id % 11 = 0 THEN 'moved' ELSE source END AS url, row_number() OVER (PARTITION BY doc_id % 400 ORDER BY doc_id) AS copy FROM documents),
+  work AS (SELECT doc_id % 450 AS identity, count(*) AS targets, min(source) AS url FROM documents WHERE doc_id % 3 != 0 AND doc_id < 900 GROUP BY 1)"""
+
+
+@query("jn_exact_mapping", f"WITH {MAPPING_SQL} SELECT doc_id, CASE WHEN copy > 1 THEN 'duplicate' WHEN targets IS NULL THEN 'unmapped' WHEN targets > 1 THEN 'ambiguous' WHEN c.url != w.url THEN 'url_mismatch' ELSE 'mapped' END AS outcome FROM cand c LEFT JOIN work w USING (identity)")
+def jn_exact_mapping(t: Tables) -> DataFrame:
+    docs = t.raw("documents")
+    copy = F.row_number().over(Window.partitionBy("identity").orderBy("doc_id"))
+    cand = docs.select((F.col("doc_id") % 400).alias("identity"), "doc_id", F.when(F.col("doc_id") % 11 == 0, "moved").otherwise(F.col("source")).alias("url")).withColumn("copy", copy)
+    work = docs.where("doc_id % 3 != 0 and doc_id < 900").groupBy((F.col("doc_id") % 450).alias("identity")).agg(F.count("*").alias("targets"), F.min("source").alias("work_url"))
+    outcome = F.when(F.col("copy") > 1, "duplicate").when(F.col("targets").isNull(), "unmapped").when(F.col("targets") > 1, "ambiguous").when(F.col("url") != F.col("work_url"), "url_mismatch").otherwise("mapped")
+    return cand.join(work, "identity", "left").select("doc_id", outcome.alias("outcome"))
+
+
+@query(
+    "jn_title_binding",
+    """WITH asked AS (SELECT l_orderkey AS group_id, l_linenumber AS k, p_name AS title, CASE WHEN l_partkey % 3 = 0 THEN lpad(CAST(l_partkey AS VARCHAR), 7, '0') END AS asked_number, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 = 0)
+    SELECT a.group_id, CAST(k AS BIGINT) AS k, a.title, l_suppkey, CASE WHEN count(*) FILTER (WHERE number = asked_number) = 1 THEN 'bound' WHEN count(*) FILTER (WHERE number = asked_number) > 1 THEN 'ambiguous' ELSE 'inferred_unresolved' END AS status, count(*) AS titles
+    FROM asked a JOIN agenda g ON a.group_id = g.group_id AND a.title = g.title GROUP BY a.group_id, k, a.title, l_suppkey, asked_number""",
+)
+def jn_title_binding(t: Tables) -> DataFrame:
+    """A turn is bound to an agenda item only if the title is equal and the exact number agrees on one."""
+    number = F.when(F.col("l_partkey") % 3 == 0, F.lpad(F.col("l_partkey").cast("string"), 7, "0"))
+    asked = t.raw("lineitem").where("l_orderkey % 10 = 0").join(t.raw("part"), F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").cast("long").alias("k"), F.col("p_name").alias("title"), number.alias("asked_number"), "l_suppkey"
+    )
+    joined = asked.join(t.agenda.select("group_id", "title", "number"), ["group_id", "title"])
+    agreed = F.count(F.when(F.col("number") == F.col("asked_number"), 1))
+    counted = joined.groupBy("group_id", "k", "title", "l_suppkey", "asked_number").agg(agreed.alias("agreed"), F.count("*").alias("titles"))
+    status = F.when(F.col("agreed") == 1, "bound").when(F.col("agreed") > 1, "ambiguous").otherwise("inferred_unresolved")
+    return counted.select("group_id", "k", "title", "l_suppkey", status.alias("status"), "titles")
+
+
+@query(
+    "jn_status_overlay",
+    """WITH s AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 7, '0') AS number, CASE WHEN l_linestatus = 'F' THEN 'processed' WHEN l_returnflag = 'A' THEN 'withdrawn' END AS value, (l_shipdate, l_linenumber, l_partkey, l_suppkey) AS ord FROM lineitem),
+    o AS (SELECT number, max_by(value, ord) FILTER (WHERE value IS NOT NULL) AS value, count(DISTINCT value) > 1 AS conflict FROM s GROUP BY 1)
+    SELECT number, coalesce(o.value, result) AS result, coalesce(conflict, false) AS conflict FROM entities LEFT JOIN o USING (number)""",
+)
+def jn_status_overlay(t: Tables) -> DataFrame:
+    """The last non-blank status overwrites; differing values are also a conflict."""
+    value = F.when(F.col("l_linestatus") == "F", "processed").when(F.col("l_returnflag") == "A", "withdrawn")
+    rows = t.raw("lineitem").select(F.lpad(F.col("l_orderkey").cast("string"), 7, "0").alias("number"), value.alias("value"), F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey").alias("ord"))
+    overlay = rows.where("value is not null").groupBy("number").agg(F.max_by("value", "ord").alias("value"), (F.count_distinct("value") > 1).alias("conflict"))
+    return t.entities.select("number", "result").join(overlay, "number", "left").select("number", F.coalesce("value", "result").alias("result"), F.coalesce("conflict", F.lit(False)).alias("conflict"))
+
+
+@query("jn_agenda_gaps", "WITH a AS (SELECT group_id, seq, title FROM agenda WHERE CAST(number AS BIGINT) % 4 = 0), e AS (SELECT p_name AS title, count(DISTINCT p_partkey) AS n FROM part WHERE p_partkey % 50 = 0 GROUP BY 1) SELECT group_id, seq, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'inferred_unresolved' ELSE 'ambiguous' END AS gap FROM a LEFT JOIN e USING (title)")
+def jn_agenda_gaps(t: Tables) -> DataFrame:
+    titles = t.raw("part").where("p_partkey % 50 = 0").groupBy(F.col("p_name").alias("title")).agg(F.count_distinct("p_partkey").alias("n"))
+    gap = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "inferred_unresolved").otherwise("ambiguous")
+    return t.agenda.where(F.col("number").cast("long") % 4 == 0).select("group_id", "seq", "title").join(titles, "title", "left").select("group_id", "seq", gap.alias("gap"))
+
+
+@query(
+    "jn_document_binding",
+    """WITH d AS (SELECT doc_id, 'https://records.example.org/minutes?id=' || CAST(doc_id % 300 AS VARCHAR) AS url FROM documents), m AS (SELECT url, count(*) AS n, min(group_id) AS group_id FROM meetings GROUP BY 1),
+    g AS (SELECT group_id, string_agg(number, ',' ORDER BY number) AS numbers FROM (SELECT DISTINCT group_id, number FROM agenda) GROUP BY 1)
+    SELECT doc_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'bound' END AS status, CASE WHEN n = 1 THEN coalesce(numbers, '') END AS numbers FROM d LEFT JOIN m USING (url) LEFT JOIN g USING (group_id)""",
+)
+def jn_document_binding(t: Tables) -> DataFrame:
+    docs = t.raw("documents").select("doc_id", F.concat(F.lit("https://records.example.org/minutes?id="), (F.col("doc_id") % 300).cast("string")).alias("url"))
+    meetings = t.meetings.groupBy("url").agg(F.count("*").alias("n"), F.min("group_id").alias("group_id"))
+    numbers = t.agenda.groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set("number")), ",").alias("numbers"))
+    status = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("bound")
+    return docs.join(meetings, "url", "left").join(numbers, "group_id", "left").select("doc_id", status.alias("status"), F.when(F.col("n") == 1, F.coalesce("numbers", F.lit(""))).alias("numbers"))
+
+
+@query("jn_entity_links", "SELECT number, turn_id, link_type, confidence FROM links WHERE number IN (SELECT number FROM entities WHERE result IS NOT NULL)")
+def jn_entity_links(t: Tables) -> DataFrame:
+    return t.links.join(t.entities.where("result is not null"), "number", "left_semi").select("number", "turn_id", "link_type", "confidence")
+
+
+@query(
+    "jn_exact_enforce",
+    """WITH wanted AS (SELECT DISTINCT number FROM agenda WHERE CAST(number AS BIGINT) % 9 = 0), e AS (SELECT number FROM entities WHERE number IN (SELECT number FROM wanted)),
+    l AS (SELECT * FROM links WHERE number IN (SELECT number FROM e)), h AS (SELECT DISTINCT group_id FROM l)
+    SELECT t.group_id, count(*) AS turns, count(*) FILTER (WHERE t.turn_id IN (SELECT turn_id FROM l)) AS matched FROM turns t WHERE t.group_id IN (SELECT group_id FROM h) GROUP BY 1""",
+)
+def jn_exact_enforce(t: Tables) -> DataFrame:
+    """Entities, then links, then turns are each cut down to what the exact numbers reach."""
+    wanted = t.agenda.where(F.col("number").cast("long") % 9 == 0).select("number").distinct()
+    entities = t.entities.join(wanted, "number", "left_semi").select("number")
+    links = t.links.join(entities, "number", "left_semi").select("turn_id", "group_id").distinct()
+    turns = t.turns.select("group_id", "turn_id").join(links.select("group_id").distinct(), "group_id", "left_semi")
+    marked = turns.join(links.select("turn_id", F.lit(1).alias("m")), "turn_id", "left")
+    return marked.groupBy("group_id").agg(F.count("*").alias("turns"), F.count("m").alias("matched"))
+
+
+@query(
+    "wn_threads",
+    """WITH hits AS (SELECT l_orderkey AS group_id, l_linenumber AS seq FROM lineitem WHERE l_orderkey < 0 UNION SELECT group_id, seq FROM turns WHERE (group_id + seq) % 4 = 0),
+    f AS (SELECT group_id, seq, coalesce(CAST(seq - lag(seq) OVER (PARTITION BY group_id ORDER BY seq) > 3 AS INT), 1) AS new FROM hits), n AS (SELECT *, sum(new) OVER (PARTITION BY group_id ORDER BY seq) AS thread FROM f),
+    s AS (SELECT group_id, thread, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_hits FROM n GROUP BY 1, 2),
+    j AS (SELECT s.*, t.seq AS pos, t.role FROM s JOIN turns t ON t.group_id = s.group_id AND t.seq BETWEEN first_seq - 2 AND last_seq + 2), p AS (SELECT group_id, thread, role, min(pos) AS first_at FROM j GROUP BY 1, 2, 3),
+    q AS (SELECT group_id, thread, string_agg(role, ',' ORDER BY first_at) AS participants FROM p GROUP BY 1, 2)
+    SELECT j.group_id, CAST(j.thread AS BIGINT) AS thread, first_seq, last_seq, n_hits, participants, count(*) AS n_turns FROM j JOIN q ON j.group_id = q.group_id AND j.thread = q.thread GROUP BY ALL""",
+)
+def wn_threads(t: Tables) -> DataFrame:
+    return linking.threads(t.turns.where("(group_id + seq) % 4 = 0"), t.turns, gap=3)

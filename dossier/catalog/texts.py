@@ -1 +1,178 @@
-"""Queries of this family."""
+"""Text and segmentation queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from dossier.functions import text
+from dossier.operators.segmentation import segment
+from dossier.registry import query
+from dossier.views import Tables
+
+
+@query("txt_normalize", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS text FROM documents""")
+def txt_normalize(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", text.normalize(F.col("text")).alias("text"))
+
+
+@query("txt_match_key", r"SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS key FROM documents")
+def txt_match_key(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", text.match_key(F.col("text")).alias("key"))
+
+
+@query("txt_exact_numbers", r"SELECT k, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(note, '[^0-9]+'), lambda x: length(x) = 7))), ',') AS numbers FROM (SELECT o_orderkey AS k, 'bill ' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') || ', see ' || CAST(o_custkey + 1000000 AS VARCHAR) || ' and 12345678' AS note FROM orders)")
+def txt_exact_numbers(t: Tables) -> DataFrame:
+    note = F.concat(F.lit("bill "), F.lpad(F.col("o_orderkey").cast("string"), 7, "0"), F.lit(", see "), (F.col("o_custkey") + 1000000).cast("string"), F.lit(" and 12345678"))
+    return t.raw("orders").select(F.col("o_orderkey").alias("k"), F.array_join(text.exact_numbers(note), ",").alias("numbers"))
+
+
+GLOSSARY = [("widget", "tool", ["widget", "widgets", "gadget"], ["bolt"]), ("bolt", "tool", ["bolt", "screw"], []), ("small", "size", ["small", "tiny"], ["red"]), ("red", "colour", ["red", "crimson"], [])]
+GLOSSARY_SQL = """surfaces AS (SELECT * FROM (VALUES ('widget', 'widget'), ('widget', 'widgets'), ('widget', 'gadget'), ('bolt', 'bolt'), ('bolt', 'screw'), ('small', 'small'), ('small', 'tiny'), ('red', 'red'), ('red', 'crimson')) v(concept, surface)),
+  related AS (SELECT * FROM (VALUES ('widget', 'bolt'), ('small', 'red')) v(concept, other))"""
+
+
+def glossary(t: Tables) -> tuple[DataFrame, DataFrame]:
+    surfaces = t.spark.createDataFrame([(c, s) for c, _, own, _ in GLOSSARY for s in own], "concept string, surface string")
+    related = t.spark.createDataFrame([(c, r) for c, _, _, more in GLOSSARY for r in more], "concept string, other string")
+    return surfaces, related
+
+
+@query(
+    "txt_glossary_expand",
+    f"""WITH {GLOSSARY_SQL}, w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS surface FROM part), d AS (SELECT DISTINCT p_partkey, concept FROM w JOIN surfaces USING (surface)),
+    e AS (SELECT p_partkey, surface AS term, 1 AS priority FROM d JOIN surfaces USING (concept) UNION ALL SELECT p_partkey, s.surface, 2 FROM d JOIN related r USING (concept) JOIN surfaces s ON s.concept = other)
+    SELECT p_partkey, term, CASE min(priority) WHEN 1 THEN 'equivalent' ELSE 'related' END AS reason FROM e GROUP BY 1, 2""",
+)
+def txt_glossary_expand(t: Tables) -> DataFrame:
+    """Detected concepts give their equivalents and their related concepts' surfaces; equivalent wins."""
+    surfaces, related = map(F.broadcast, glossary(t))  # the glossary is a fixed table of nine rows
+    words = t.raw("part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("surface"))
+    found = words.join(surfaces, "surface").select("p_partkey", "concept").distinct()
+    equal = found.join(surfaces, "concept").select("p_partkey", F.col("surface").alias("term"), F.lit(1).alias("priority"))
+    near = found.join(related, "concept").select("p_partkey", F.col("other").alias("concept")).join(surfaces, "concept").select("p_partkey", F.col("surface").alias("term"), F.lit(2).alias("priority"))
+    best = equal.unionByName(near).groupBy("p_partkey", "term").agg(F.min("priority").alias("p"))
+    return best.select("p_partkey", "term", F.when(F.col("p") == 1, "equivalent").otherwise("related").alias("reason"))
+
+
+@query("txt_canonicalize", "SELECT c_custkey, coalesce(CASE lower(trim(c_mktsegment)) WHEN 'building' THEN 'construction' WHEN 'household' THEN 'home' END, c_mktsegment) AS canonical FROM customer")
+def txt_canonicalize(t: Tables) -> DataFrame:
+    alias = t.spark.createDataFrame([("building", "construction"), ("household", "home")], "key string, name string")
+    joined = t.raw("customer").withColumn("key", F.lower(F.trim("c_mktsegment"))).join(F.broadcast(alias), "key", "left")
+    return joined.select("c_custkey", F.coalesce("name", "c_mktsegment").alias("canonical"))
+
+
+@query("txt_replace_equivalents", r"SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '\b(widgets|gadget)\b', 'widget', 'g'), '\b(screw)\b', 'bolt', 'g') AS text FROM part")
+def txt_replace_equivalents(t: Tables) -> DataFrame:
+    """Surfaces become their concept, longest first."""
+    out = F.lower("p_name")
+    for concept, _, own, _ in GLOSSARY:
+        others = sorted((s for s in own if s != concept), key=len, reverse=True)
+        if concept in ("widget", "bolt"):
+            out = F.regexp_replace(out, rf"\b({'|'.join(others)})\b", concept)
+    return t.raw("part").select("p_partkey", out.alias("text"))
+
+
+@query(
+    "txt_phrases",
+    r"""WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[1:12], lambda x: x NOT IN ('the', 'of', 'and') AND length(x) >= 2 AND NOT regexp_matches(x, '^[0-9]+$')) AS k FROM benchmark)
+    SELECT item_id, CAST(len(list_distinct(list_concat(list_concat(CASE WHEN len(k) >= 3 THEN list_transform(generate_series(1, len(k) - 2), lambda i: k[i] || k[i + 1] || k[i + 2]) ELSE [] END, CASE WHEN len(k) >= 2 THEN list_transform(generate_series(1, len(k) - 1), lambda i: k[i] || k[i + 1]) ELSE [] END), k))) AS BIGINT) AS n,
+    CASE WHEN len(k) >= 3 THEN k[1] || k[2] || k[3] WHEN len(k) = 2 THEN k[1] || k[2] ELSE k[1] END AS first FROM w""",
+)
+def txt_phrases(t: Tables) -> DataFrame:
+    own = t.raw("benchmark").select("item_id", text.phrases(F.slice(text.tokens(F.col("text")), 1, 12), ["the", "of", "and"]).alias("p"))
+    return own.select("item_id", F.size("p").cast("long").alias("n"), F.get("p", F.lit(0)).alias("first"))
+
+
+def transcripts(t: Tables) -> DataFrame:
+    """Conversations joined again as transcript pages of three turns each, a marker line a turn."""
+    line = F.concat(F.lit("○"), "role", F.lit(" "), F.lpad(F.col("seq").cast("string"), 2, "0"), F.lit(" "), "text")
+    heads = F.when(F.col("seq") % 4 == 2, F.concat(F.lit("1. item "), F.col("seq").cast("string"), F.lit("\n"), line)).otherwise(line)
+    page = (F.floor(F.col("seq") / 3) + 1).cast("long")
+    pages = t.turns.select("group_id", page.alias("page"), F.struct("seq", heads.alias("l")).alias("x")).groupBy("group_id", "page").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return pages.select(F.col("group_id").alias("doc"), "page", F.array_join(F.transform("xs", lambda x: x["l"]), "\n").alias("text"))
+
+
+@query("txt_segment_turns", "SELECT group_id AS doc, row_number() OVER (PARTITION BY group_id ORDER BY seq) AS turn, role || ' ' || lpad(CAST(seq AS VARCHAR), 2, '0') AS label, trim(text) AS body FROM turns WHERE trim(text) != ''")
+def txt_segment_turns(t: Tables) -> DataFrame:
+    """A round trip: segmenting the transcripts gives the turns back."""
+    turns, _ = segment(transcripts(t))
+    return turns.select("doc", "turn", "label", "body")
+
+
+@query("txt_stitch_pages", "WITH p AS (SELECT group_id, seq, seq // 3 + 1 AS page FROM turns) SELECT group_id AS doc, row_number() OVER (PARTITION BY group_id ORDER BY seq) AS turn, CASE WHEN seq % 3 = 2 AND EXISTS (SELECT 1 FROM p q WHERE q.group_id = p.group_id AND q.page = p.page + 1) THEN CAST(page AS VARCHAR) || '|' || CAST(page + 1 AS VARCHAR) ELSE CAST(page AS VARCHAR) END AS pages FROM p")
+def txt_stitch_pages(t: Tables) -> DataFrame:
+    """Every later page begins with a line that goes on with the last turn of the page before."""
+    pages = transcripts(t).withColumn("text", F.regexp_replace("text", r"(?m)^1\. item [0-9]+\n", ""))
+    carried = pages.withColumn("text", F.when(F.col("page") > 1, F.concat(F.lit("goes on\n"), "text")).otherwise(F.col("text")))
+    turns, _ = segment(carried)
+    return turns.select("doc", "turn", "pages")
+
+
+@query("txt_agenda_ffill", "SELECT group_id, seq, last_value(CASE WHEN seq % 4 = 2 THEN 'item ' || CAST(seq AS VARCHAR) END IGNORE NULLS) OVER (PARTITION BY group_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS agenda FROM turns")
+def txt_agenda_ffill(t: Tables) -> DataFrame:
+    seen = F.last(F.when(F.col("seq") % 4 == 2, F.concat(F.lit("item "), F.col("seq").cast("string"))), ignorenulls=True)
+    return t.turns.select("group_id", "seq", seen.over(Window.partitionBy("group_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)).alias("agenda"))
+
+
+@query("txt_agenda_entities", "SELECT lpad(CAST(l_partkey AS VARCHAR), 7, '0') AS number, max_by(p_name, (l_orderkey, l_linenumber, l_suppkey)) AS title, max_by(s_name, (l_orderkey, l_linenumber, l_suppkey)) AS proposer FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
+def txt_agenda_entities(t: Tables) -> DataFrame:
+    """Agenda lines such as "3. title (proposer)(number 0000012)" give entities; the last line of a number counts."""
+    rows = t.raw("lineitem").join(t.raw("part"), F.col("l_partkey") == F.col("p_partkey")).join(t.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    line = F.concat(F.col("l_linenumber").cast("string"), F.lit(". "), "p_name", F.lit(" ("), "s_name", F.lit(")(number "), F.lpad(F.col("l_partkey").cast("string"), 7, "0"), F.lit(")"))
+    pattern = r"^[0-9]+\.\s+(.+?)\s+\(([^()]*)\)\(number ([0-9]{7})\)$"
+    part = lambda k: F.regexp_extract("line", pattern, k)
+    named = rows.select(line.alias("line"), F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("at")).select(part(3).alias("number"), part(1).alias("title"), part(2).alias("proposer"), "at")
+    return named.where("number != ''").groupBy("number").agg(F.max_by("title", "at").alias("title"), F.max_by("proposer", "at").alias("proposer"))
+
+
+@query("txt_split_label", r"SELECT c_custkey, trim(regexp_extract(c_name, '^([^#]+)#', 1)) AS name, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'minister' ELSE 'member' END AS role, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN lower(c_mktsegment) END AS organization FROM customer")
+def txt_split_label(t: Tables) -> DataFrame:
+    """Labels "ORG minister NAME#n" or "NAME#n member" are split by an ordered cascade, once for each distinct label."""
+    office = F.col("c_mktsegment").isin("BUILDING", "MACHINERY")
+    label = F.when(office, F.concat("c_mktsegment", F.lit(" minister "), "c_name")).otherwise(F.concat("c_name", F.lit(" member")))
+    people = t.raw("customer").select("c_custkey", label.alias("label"))
+    got = lambda pattern, k: F.nullif(F.regexp_extract("label", pattern, k), F.lit(""))
+    minister, member = r"^(\S+) minister ([^#]+)#", r"^([^#]+)#\S* member$"
+    rules = people.select("label").distinct().select(
+        "label", F.trim(F.coalesce(got(minister, 2), got(member, 1))).alias("name"), F.when(got(minister, 2).isNotNull(), "minister").otherwise("member").alias("role"), F.lower(got(minister, 1)).alias("organization")
+    )
+    return people.join(rules, "label").select("c_custkey", "name", "role", "organization")
+
+
+@query("txt_member_name", "SELECT s_suppkey, regexp_matches(s_name, '^[A-Za-z]+#[0-9]+$') AS valid, length(s_name) > 12 OR contains(s_name, 'minister') AS suspect FROM supplier")
+def txt_member_name(t: Tables) -> DataFrame:
+    name = F.col("s_name")
+    return t.raw("supplier").select("s_suppkey", name.rlike("^[A-Za-z]+#[0-9]+$").alias("valid"), ((F.char_length(name) > 12) | F.contains(name, F.lit("minister"))).alias("suspect"))
+
+
+@query("txt_split_names", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE c_name || '|' || c_mktsegment END AS names FROM customer")
+def txt_split_names(t: Tables) -> DataFrame:
+    raw = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit(" et al. 12"))).otherwise(F.concat("c_name", F.lit(", https://x.example/a ; "), "c_mktsegment", F.lit(",")))
+    return t.raw("customer").select("c_custkey", F.array_join(text.split_names(raw), "|").alias("names"))
+
+
+@query("txt_integrity", "SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS digest FROM documents")
+def txt_integrity(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", F.char_length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("digest"))
+
+
+@query("dt_parse_any", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 != 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders")
+def dt_parse_any(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    formats = F.when(k % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 4 == 1, F.date_format("o_orderdate", "yyyy.MM.dd")).when(k % 4 == 2, F.date_format("o_orderdate", "yyyy/MM/dd")).otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
+    first = F.when(k % 7 == 0, "soon").when(k % 3 == 0, " ").otherwise(formats)
+    return t.raw("orders").select("o_orderkey", first.alias("a"), F.when(k % 7 == 0, "1997-13-45").otherwise(formats).alias("b")).select("o_orderkey", text.parse_any_date(F.col("a"), F.col("b")).alias("day"))
+
+
+@query(
+    "ag_parse_quality",
+    "SELECT group_id AS doc, count(*) AS expected, count(*) AS parsed, count(*) AS correct, 1.0::DOUBLE AS f1 FROM turns WHERE trim(text) != '' GROUP BY 1",
+)
+def ag_parse_quality(t: Tables) -> DataFrame:
+    """Parsed turns against the golden ones, by position; the round trip scores 1."""
+    turns, _ = segment(transcripts(t))
+    parsed = turns.select("doc", "turn", F.col("label").alias("got"))
+    golden = t.turns.where(F.trim("text") != "").select(F.col("group_id").alias("doc"), F.row_number().over(Window.partitionBy("group_id").orderBy("seq")).cast("long").alias("turn"), F.concat("role", F.lit(" "), F.lpad(F.col("seq").cast("string"), 2, "0")).alias("want"))
+    both = golden.join(parsed, ["doc", "turn"], "full_outer").groupBy("doc").agg(F.count("want").alias("expected"), F.count("got").alias("parsed"), F.count(F.when(F.col("want") == F.col("got"), 1)).alias("correct"))
+    return both.withColumn("f1", F.round(2 * F.col("correct") / (F.col("expected") + F.col("parsed")), 6))

@@ -80,7 +80,7 @@ def contains_any(text: Column, signals: list[str]) -> Column:
 def split_names(text: Column) -> Column:
     """Names of a proposer string; links are dropped, and "X et al. N" gives X alone."""
     compact = F.regexp_extract(text, r"^\s*(.+?)\s+et al\.\s*[0-9]*\s*$", 1)
-    names = F.filter(F.transform(F.split(text, r"[,;/·]"), F.trim), lambda n: (n != "") & ~n.rlike("^https?:"))
+    names = F.filter(F.transform(F.split(F.regexp_replace(text, r"https?://[^\s,;]+", ""), r"[,;/·]"), lambda n: F.trim(n)), lambda n: n != "")
     return F.when(compact != "", F.array(compact)).otherwise(names)
 
 
