@@ -1 +1,147 @@
-"""Queries of this family."""
+"""Evidence graph queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from dossier.catalog.linking import QA_SQL, relations
+from dossier.operators import corpus, evidence
+from dossier.registry import query
+from dossier.views import Tables
+
+NODES_SQL = """
+  claimed AS (SELECT 'bill:' || number AS id, 'bill' AS node_type, name AS label, number AS locator FROM entities WHERE CAST(number AS BIGINT) < 1400
+    UNION ALL SELECT 'status:' || number, 'bill_status', result, number FROM entities WHERE result IS NOT NULL UNION ALL SELECT 'meeting:' || CAST(group_id AS VARCHAR), 'meeting', committee, url FROM meetings
+    UNION ALL SELECT 'minutes:' || CAST(group_id AS VARCHAR), 'minutes_document', kind, url FROM meetings WHERE group_id % 9 != 4 UNION ALL SELECT 'speech:' || turn_id, 'speech', role, CAST(seq AS VARCHAR) FROM turns
+    UNION ALL SELECT 'person:' || role, 'person', role, turn_id FROM turns UNION ALL SELECT 'agenda:' || number, 'agenda', title, CAST(group_id % 2 AS VARCHAR) FROM agenda WHERE group_id < 60
+    UNION ALL SELECT 'response:' || turn_id, 'government_response', CASE WHEN seq % 2 = 1 THEN 'qa_response' ELSE 'statement' END, CAST(seq AS VARCHAR) FROM turns WHERE role = 'assistant'),
+  merged AS (SELECT id, count(DISTINCT node_type || chr(31) || label || CASE WHEN node_type = 'person' THEN '' ELSE chr(31) || locator END) AS versions, min((node_type, label, locator)) AS n, count(*) AS claims FROM claimed GROUP BY 1),
+  nodes AS (SELECT id, n[1] AS node_type, n[2] AS label, n[3] AS locator, claims FROM merged WHERE versions = 1)"""
+
+
+def claimed_nodes(t: Tables) -> DataFrame:
+    node = lambda df, prefix, key, kind, label, locator: df.select(F.concat(F.lit(prefix + ":"), F.col(key).cast("string")).alias("id"), F.lit(kind).alias("node_type"), label.alias("label"), locator.alias("locator"))
+    c, seq = F.col, F.col("seq").cast("string")
+    parts = [
+        node(t.entities.where(c("number").cast("long") < 1400), "bill", "number", "bill", c("name"), c("number")), node(t.entities.where("result is not null"), "status", "number", "bill_status", c("result"), c("number")),
+        node(t.meetings, "meeting", "group_id", "meeting", c("committee"), c("url")), node(t.meetings.where("group_id % 9 != 4"), "minutes", "group_id", "minutes_document", c("kind"), c("url")),
+        node(t.turns, "speech", "turn_id", "speech", c("role"), seq), node(t.turns, "person", "role", "person", c("role"), c("turn_id")),
+        node(t.agenda.where("group_id < 60"), "agenda", "number", "agenda", c("title"), (c("group_id") % 2).cast("string")),
+        node(t.turns.where("role = 'assistant'"), "response", "turn_id", "government_response", F.when(c("seq") % 2 == 1, "qa_response").otherwise("statement"), seq),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("gr_nodes", f"WITH {NODES_SQL} SELECT * FROM nodes")
+def gr_nodes(t: Tables) -> DataFrame:
+    return evidence.merge_nodes(claimed_nodes(t))[0]
+
+
+@query("gr_node_conflicts", f"WITH {NODES_SQL} SELECT id, versions, claims FROM merged WHERE versions > 1")
+def gr_node_conflicts(t: Tables) -> DataFrame:
+    return evidence.merge_nodes(claimed_nodes(t))[1]
+
+
+EDGES_SQL = f"""{NODES_SQL}, {QA_SQL},
+  claims AS (SELECT 'bill:' || number AS source, 'status:' || number AS target, 'has_status' AS edge_type, 'overlay' AS reason FROM entities WHERE CAST(number AS BIGINT) % 3 != 0
+    UNION SELECT 'meeting:' || CAST(group_id AS VARCHAR), 'minutes:' || CAST(group_id AS VARCHAR), 'has_minutes', 'url' FROM meetings UNION SELECT 'minutes:' || CAST(group_id AS VARCHAR), 'speech:' || turn_id, 'contains_speech', 'parsed' FROM turns
+    UNION SELECT 'person:' || role, 'speech:' || turn_id, 'made_speech', 'speaker' FROM turns UNION SELECT 'speech:' || turn_id, 'bill:' || number, 'discusses_bill', link_type FROM links UNION SELECT 'agenda:' || number, 'bill:' || number, 'agenda_for_bill', 'exact_number' FROM agenda WHERE group_id < 80
+    UNION SELECT 'speech:' || source, 'speech:' || target, lower(relation), 'adjacent' FROM qa UNION SELECT 'response:' || turn_id, 'speech:' || turn_id, 'derived_from_speech', 'role' FROM turns WHERE role != 'system'),
+  marked AS (SELECT source, target, edge_type, reason, CASE WHEN a.id IS NULL AND b.id IS NULL THEN 'missing_both' WHEN a.id IS NULL THEN 'missing_source' WHEN b.id IS NULL THEN 'missing_target' END AS gap FROM claims LEFT JOIN nodes a ON a.id = source LEFT JOIN nodes b ON b.id = target)"""
+
+
+def edge_claims(t: Tables) -> DataFrame:
+    edge = lambda df, p, a, q, b, kind, reason: df.select(F.concat(F.lit(p + ":"), F.col(a).cast("string")).alias("source"), F.concat(F.lit(q + ":"), F.col(b).cast("string")).alias("target"), kind.alias("edge_type"), reason.alias("reason"))
+    lit, c = F.lit, F.col
+    parts = [
+        edge(t.entities.where(c("number").cast("long") % 3 != 0), "bill", "number", "status", "number", lit("has_status"), lit("overlay")), edge(t.meetings, "meeting", "group_id", "minutes", "group_id", lit("has_minutes"), lit("url")),
+        edge(t.turns, "minutes", "group_id", "speech", "turn_id", lit("contains_speech"), lit("parsed")), edge(t.turns, "person", "role", "speech", "turn_id", lit("made_speech"), lit("speaker")),
+        edge(t.links, "speech", "turn_id", "bill", "number", lit("discusses_bill"), c("link_type")), edge(t.agenda.where("group_id < 80"), "agenda", "number", "bill", "number", lit("agenda_for_bill"), lit("exact_number")),
+        edge(relations(t), "speech", "source", "speech", "target", F.lower("relation"), lit("adjacent")), edge(t.turns.where("role != 'system'"), "response", "turn_id", "speech", "turn_id", lit("derived_from_speech"), lit("role")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def resolved(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return evidence.resolve_edges(edge_claims(t), gr_nodes(t))
+
+
+@query("gr_edges", f"WITH {EDGES_SQL} SELECT source, target, edge_type, reason FROM marked WHERE gap IS NULL")
+def gr_edges(t: Tables) -> DataFrame:
+    return resolved(t)[0]
+
+
+@query("gr_unresolved", f"WITH {EDGES_SQL} SELECT * FROM marked WHERE gap IS NOT NULL")
+def gr_unresolved(t: Tables) -> DataFrame:
+    return resolved(t)[1]
+
+
+@query("gr_responses", f"WITH {QA_SQL}, touched AS (SELECT source AS turn_id FROM qa WHERE relation = 'ANSWER_TO' UNION SELECT target FROM qa WHERE relation = 'QUESTION_TO') SELECT t.turn_id, CASE WHEN x.turn_id IS NOT NULL THEN 'qa_response' ELSE 'statement' END AS label FROM turns t LEFT JOIN touched x ON x.turn_id = t.turn_id WHERE role = 'assistant'")
+def gr_responses(t: Tables) -> DataFrame:
+    qa = relations(t)
+    touched = qa.where("relation = 'ANSWER_TO'").select(F.col("source").alias("turn_id")).unionByName(qa.where("relation = 'QUESTION_TO'").select(F.col("target").alias("turn_id"))).distinct().withColumn("qa", F.lit(True))
+    return t.turns.where("role = 'assistant'").select("turn_id").join(touched, "turn_id", "left").select("turn_id", F.when(F.col("qa"), "qa_response").otherwise("statement").alias("label"))
+
+
+@query("gr_page_links", "WITH p AS (SELECT group_id, seq // 3 AS page, count(*) AS n FROM turns WHERE group_id % 5 != 2 GROUP BY 1, 2), l AS (SELECT turn_id, group_id, unnest(CASE WHEN seq % 3 = 2 THEN [seq // 3, seq // 3 + 1] ELSE [seq // 3] END) AS page FROM turns) SELECT turn_id, l.page, CASE WHEN n IS NULL THEN 'missing' WHEN n > 3 THEN 'ambiguous' ELSE 'linked' END AS status FROM l LEFT JOIN p USING (group_id, page)")
+def gr_page_links(t: Tables) -> DataFrame:
+    """Locators such as "0|1" are taken apart and each part looked up among the pages."""
+    page = F.floor(F.col("seq") / 3)
+    known = t.turns.where("group_id % 5 != 2").groupBy("group_id", page.alias("page")).agg(F.count("*").alias("n"))
+    locator = F.when(F.col("seq") % 3 == 2, F.concat(page.cast("string"), F.lit("|"), (page + 1).cast("string"))).otherwise(page.cast("string"))
+    parts = t.turns.select("turn_id", "group_id", F.explode(F.transform(F.split(locator, r"\|"), lambda p: p.cast("long"))).alias("page"))
+    status = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 3, "ambiguous").otherwise("linked")
+    return parts.join(known, ["group_id", "page"], "left").select("turn_id", "page", status.alias("status"))
+
+
+@query("gr_issue_links", f"WITH {NODES_SQL}, i AS (SELECT item_id, unnest(['bill:' || lpad(CAST(item_id * 40 AS VARCHAR), 7, '0'), 'meeting:' || CAST(item_id AS VARCHAR), 'speech:' || CAST(item_id AS VARCHAR) || ':speech-0001']) AS ref FROM benchmark) SELECT item_id, ref, id IS NOT NULL AS linked FROM i LEFT JOIN nodes ON id = ref")
+def gr_issue_links(t: Tables) -> DataFrame:
+    k = F.col("item_id")
+    refs = F.array(F.concat(F.lit("bill:"), F.lpad((k * 40).cast("string"), 7, "0")), F.concat(F.lit("meeting:"), k.cast("string")), F.concat(F.lit("speech:"), k.cast("string"), F.lit(":speech-0001")))
+    asked = t.raw("benchmark").select("item_id", F.explode(refs).alias("ref"))
+    known = gr_nodes(t).select(F.col("id").alias("ref"), F.lit(True).alias("known"))
+    return asked.join(known, "ref", "left").select("item_id", "ref", F.col("known").isNotNull().alias("linked"))
+
+
+@query("gr_counts_hash", f"WITH {EDGES_SQL}, d AS (SELECT edge_type, CAST('0x' || sha256(source || chr(31) || target || chr(31) || edge_type)[1:15] AS BIGINT) AS d FROM marked WHERE gap IS NULL) SELECT edge_type, count(*) AS n, bit_xor(d) AS xored FROM d GROUP BY 1")
+def gr_counts_hash(t: Tables) -> DataFrame:
+    digest = F.conv(F.substring(F.sha2(F.concat_ws("\u001f", "source", "target", "edge_type"), 256), 1, 15), 16, 10).cast("long")
+    return gr_edges(t).groupBy("edge_type").agg(F.count("*").alias("n"), F.bit_xor(digest).alias("xored"))
+
+
+RECORDS_SQL = """
+  records AS (SELECT 'bills' AS evidence_type, number AS id, CAST(proposed_at AS VARCHAR) AS sort_key, name AS title FROM entities UNION ALL SELECT 'bill_status', number, CAST(processed_at AS VARCHAR), result FROM entities WHERE result IS NOT NULL
+    UNION ALL SELECT 'agendas', CAST(group_id AS VARCHAR) || '/' || CAST(seq AS VARCHAR), CAST(listed_on AS VARCHAR), title FROM agenda WHERE group_id < 200 UNION ALL SELECT 'speeches', turn_id, CAST(held_on AS VARCHAR), role FROM turns
+    UNION ALL SELECT 'government_responses', turn_id, CAST(held_on AS VARCHAR), role FROM turns WHERE role = 'assistant' UNION ALL SELECT 'subcommittee_minutes', CAST(group_id AS VARCHAR), CAST(held_on AS VARCHAR), committee FROM meetings WHERE kind = 'subcommittee')"""
+
+
+def evidence_records(t: Tables) -> DataFrame:
+    rec = lambda df, kind, key, day, title: df.select(F.lit(kind).alias("evidence_type"), key.cast("string").alias("id"), F.col(day).cast("string").alias("sort_key"), F.col(title).alias("title"))
+    c = F.col
+    parts = [
+        rec(t.entities, "bills", c("number"), "proposed_at", "name"), rec(t.entities.where("result is not null"), "bill_status", c("number"), "processed_at", "result"),
+        rec(t.agenda.where("group_id < 200"), "agendas", F.concat_ws("/", c("group_id").cast("string"), c("seq").cast("string")), "listed_on", "title"), rec(t.turns, "speeches", c("turn_id"), "held_on", "role"),
+        rec(t.turns.where("role = 'assistant'"), "government_responses", c("turn_id"), "held_on", "role"), rec(t.meetings.where("kind = 'subcommittee'"), "subcommittee_minutes", c("group_id"), "held_on", "committee"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("gr_evidence_records", f"WITH {RECORDS_SQL} SELECT *, row_number() OVER (PARTITION BY evidence_type ORDER BY sort_key, id) AS place FROM records")
+def gr_evidence_records(t: Tables) -> DataFrame:
+    order = Window.partitionBy("evidence_type").orderBy("sort_key", "id")
+    return evidence_records(t).withColumn("place", F.row_number().over(order).cast("long"))
+
+
+@query("gr_fingerprint", f"WITH {RECORDS_SQL}, d AS (SELECT CAST('0x' || sha256(evidence_type || chr(31) || id || chr(31) || sort_key)[1:15] AS BIGINT) AS d FROM records) SELECT count(*) AS n_rows, bit_xor(d) AS xored, CAST(sum(d % 1000003) AS BIGINT) AS summed FROM d")
+def gr_fingerprint(t: Tables) -> DataFrame:
+    return corpus.table_fingerprint(evidence_records(t), ["evidence_type", "id", "sort_key"])

@@ -1 +1,115 @@
-"""Queries of this family."""
+"""Corpus lifecycle and revision queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from dossier.operators import corpus
+from dossier.registry import query
+from dossier.views import Tables
+
+REVISIONS_SQL = """
+  old AS (SELECT doc_id, sha256(text) AS digest FROM documents WHERE doc_id % 10 != 9),
+  new AS (SELECT doc_id, CASE WHEN doc_id % 10 = 4 THEN sha256(text || '!') ELSE sha256(text) END AS digest FROM documents WHERE doc_id % 10 != 3)"""
+
+
+def revisions(t: Tables) -> tuple[DataFrame, DataFrame]:
+    docs = t.raw("documents")
+    old = docs.where("doc_id % 10 != 9").select("doc_id", F.sha2("text", 256).alias("digest"))
+    changed = F.when(F.col("doc_id") % 10 == 4, F.sha2(F.concat("text", F.lit("!")), 256)).otherwise(F.sha2("text", 256))
+    return old, docs.where("doc_id % 10 != 3").select("doc_id", changed.alias("digest"))
+
+
+@query("so_revision_diff", f"WITH {REVISIONS_SQL} SELECT doc_id, CASE WHEN o.digest IS NULL THEN 'added' WHEN n.digest IS NULL THEN 'removed' WHEN o.digest = n.digest THEN 'same' ELSE 'changed' END AS change FROM old o FULL JOIN new n USING (doc_id)")
+def so_revision_diff(t: Tables) -> DataFrame:
+    return corpus.revision_diff(*revisions(t), "doc_id", "digest")
+
+
+@query("so_scope_prune", f"WITH {REVISIONS_SQL} SELECT doc_id FROM old WHERE NOT (doc_id % 2 = 1 AND doc_id NOT IN (SELECT doc_id FROM new))")
+def so_scope_prune(t: Tables) -> DataFrame:
+    """Documents of scopes listed anew that are no longer listed leave; other scopes stay."""
+    old, new = revisions(t)
+    listed = old.where("doc_id % 2 = 1").join(new, "doc_id", "left_semi").select("doc_id")
+    return old.where("not doc_id % 2 = 1").select("doc_id").unionByName(listed)
+
+
+@query("co_revision", f"WITH {REVISIONS_SQL} SELECT doc_id, coalesce(n.digest, o.digest) AS digest, n.digest IS NOT NULL AND o.digest IS DISTINCT FROM n.digest AS rewritten FROM (SELECT * FROM old WHERE doc_id % 10 != 3) o FULL JOIN new n USING (doc_id)")
+def co_revision(t: Tables) -> DataFrame:
+    """Parent without removals, overlaid with what came in."""
+    old, new = revisions(t)
+    diff = corpus.revision_diff(old, new, "doc_id", "digest")
+    upserts = new.join(diff.where("change in ('added', 'changed')"), "doc_id", "left_semi").withColumn("rewritten", F.lit(True))
+    kept = old.join(diff.where("change = 'same'"), "doc_id", "left_semi").withColumn("rewritten", F.lit(False))
+    return kept.unionByName(upserts)
+
+
+@query("co_verify", f"WITH {REVISIONS_SQL} SELECT doc_id, CASE WHEN n.digest IS NULL THEN 'missing' WHEN n.digest != o.digest THEN 'tampered' END AS fault FROM old o LEFT JOIN new n USING (doc_id) WHERE n.digest IS NULL OR n.digest != o.digest")
+def co_verify(t: Tables) -> DataFrame:
+    """Stored rows hashed again and held against the manifest."""
+    manifest, stored = revisions(t)
+    joined = manifest.join(stored.withColumnRenamed("digest", "found"), "doc_id", "left")
+    fault = F.when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("digest"), "tampered")
+    return joined.select("doc_id", fault.alias("fault")).where("fault is not null")
+
+
+INVENTORY_SQL = """
+  per AS (SELECT number, count(*) AS originals FROM (SELECT number FROM entities UNION ALL SELECT number FROM entities WHERE CAST(number AS BIGINT) % 40 = 5) WHERE CAST(number AS BIGINT) % 25 != 2 GROUP BY 1),
+  work AS (SELECT number, term, CASE WHEN originals IS NULL THEN 'missing_original' WHEN originals > 1 THEN 'several_originals' WHEN proposed_at < DATE '1995-02-01' THEN 'missing_date' END AS gap FROM entities LEFT JOIN per USING (number))"""
+
+
+def work_items(t: Tables) -> DataFrame:
+    """Every entity as a work item, or as a gap with its reason."""
+    k = F.col("number").cast("long")
+    listed = t.entities.select("number").unionByName(t.entities.where(k % 40 == 5).select("number")).where(k % 25 != 2)
+    per = listed.groupBy("number").agg(F.count("*").alias("originals"))
+    gap = F.when(F.col("originals").isNull(), "missing_original").when(F.col("originals") > 1, "several_originals").when(F.col("proposed_at") < F.lit("1995-02-01").cast("date"), "missing_date")
+    return t.entities.join(per, "number", "left").select("number", "term", gap.alias("gap"))
+
+
+@query("co_inventory", f"WITH {INVENTORY_SQL} SELECT term, count(*) FILTER (WHERE gap IS NULL) AS items, count(gap) AS gaps, CASE WHEN term = 16 THEN NULL ELSE count(*) FILTER (WHERE gap IS NULL) END AS expected FROM work GROUP BY 1")
+def co_inventory(t: Tables) -> DataFrame:
+    """Counts of each term; where its metadata is incomplete the expectation is unknown."""
+    counted = work_items(t).groupBy("term").agg(F.count(F.when(F.col("gap").isNull(), 1)).alias("items"), F.count("gap").alias("gaps"))
+    return counted.withColumn("expected", F.when(F.col("term") != 16, F.col("items")))
+
+
+@query("co_inventory_gaps", f"WITH {INVENTORY_SQL} SELECT number, gap FROM work WHERE gap IS NOT NULL")
+def co_inventory_gaps(t: Tables) -> DataFrame:
+    return work_items(t).where("gap is not null").select("number", "gap")
+
+
+ATTEMPTS_SQL = """
+  attempts AS (SELECT event_id, user_id AS work_id, CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'permanent' ELSE 'retryable' END AS outcome FROM events),
+  ledger AS (SELECT work_id, count(*) AS attempts, max_by(outcome, (CASE outcome WHEN 'success' THEN 1 ELSE 0 END, event_id)) AS outcome FROM attempts GROUP BY 1)"""
+
+
+def ledger(t: Tables) -> DataFrame:
+    """Latest outcome and attempts of every work item; a success is final."""
+    outcome = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "permanent").otherwise("retryable")
+    attempts = t.raw("events").select("event_id", F.col("user_id").alias("work_id"), outcome.alias("outcome"))
+    return attempts.groupBy("work_id").agg(F.count("*").alias("attempts"), F.max_by("outcome", F.struct(F.col("outcome") == "success", "event_id")).alias("outcome"))
+
+
+@query("co_outcome_ledger", f"WITH {ATTEMPTS_SQL} SELECT *, outcome = 'retryable' AND attempts < 80 AS next_batch FROM ledger")
+def co_outcome_ledger(t: Tables) -> DataFrame:
+    return ledger(t).withColumn("next_batch", (F.col("outcome") == "retryable") & (F.col("attempts") < 80))
+
+
+@query("co_merge_checkpoint", f"WITH {REVISIONS_SQL} SELECT o.doc_id FROM old o JOIN new n ON o.doc_id = n.doc_id AND o.digest IS NOT DISTINCT FROM n.digest")
+def co_merge_checkpoint(t: Tables) -> DataFrame:
+    """Prior outcomes are kept only for byte-identical work items."""
+    old, new = revisions(t)
+    same = (old["doc_id"] == new["doc_id"]) & old["digest"].eqNullSafe(new["digest"])
+    return old.join(new, same, "left_semi").select("doc_id")
+
+
+@query("rk_corpus_recall", """WITH hits AS (SELECT query_id, doc_id, count(*) AS matched FROM query_terms JOIN doc_terms USING (term) GROUP BY 1, 2), scoped AS (SELECT h.*, CASE WHEN doc_id % 10 = 3 THEN 'gap_missing_date' WHEN lang != 'en' THEN 'excluded_language' ELSE 'verified' END AS scope FROM hits h JOIN documents USING (doc_id) WHERE matched >= 3)
+    SELECT query_id, count(*) FILTER (WHERE scope = 'verified') AS verified, count(*) FILTER (WHERE scope = 'gap_missing_date') AS gaps, count(*) FILTER (WHERE scope = 'excluded_language') AS excluded, CASE WHEN bool_or(scope = 'gap_missing_date') THEN 'incomplete' ELSE 'verified' END AS status FROM scoped GROUP BY 1""")
+def rk_corpus_recall(t: Tables) -> DataFrame:
+    """Any-term recall over the whole corpus, scoped afterwards; a gap makes a query's answer incomplete."""
+    hits = t.query_terms.join(t.doc_terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("matched")).where("matched >= 3")
+    scope = F.when(F.col("doc_id") % 10 == 3, "gap").when(F.col("lang") != "en", "excluded").otherwise("verified")
+    scoped = hits.join(t.raw("documents").select("doc_id", "lang"), "doc_id").withColumn("scope", scope)
+    n = lambda s: F.count(F.when(F.col("scope") == s, 1))
+    return scoped.groupBy("query_id").agg(n("verified").alias("verified"), n("gap").alias("gaps"), n("excluded").alias("excluded"), F.when(n("gap") > 0, "incomplete").otherwise("verified").alias("status"))

@@ -1 +1,74 @@
-"""Queries of this family."""
+"""End-user compositions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from dossier.catalog.evidence import RECORDS_SQL, evidence_records, gr_edges, gr_unresolved
+from dossier.catalog.evidence import EDGES_SQL
+from dossier.catalog.searching import BM25_SQL
+from dossier.operators import linking
+from dossier.plans import research
+from dossier.registry import query
+from dossier.views import Tables
+
+
+@query("pl_search_speeches", f"WITH {BM25_SQL}, a AS (SELECT turn_id, group_id, lag(turn_id) OVER w AS previous, lead(turn_id) OVER w AS next FROM turns WINDOW w AS (PARTITION BY group_id ORDER BY seq)) SELECT query_id, r.turn_id, rank, score, previous, next, url FROM ranked r JOIN a ON a.turn_id = r.turn_id JOIN meetings m ON m.group_id = a.group_id WHERE rank <= 10")
+def pl_search_speeches(t: Tables) -> DataFrame:
+    return research.search_speeches(t)
+
+
+@query("pl_speech_context", "SELECT h.turn_id AS hit, t.turn_id, t.role, m.url FROM turns h JOIN turns t ON t.group_id = h.group_id AND t.seq BETWEEN h.seq - 2 AND h.seq + 2 JOIN meetings m ON m.group_id = t.group_id WHERE h.group_id % 8 = 2 AND h.seq = 2")
+def pl_speech_context(t: Tables) -> DataFrame:
+    near = linking.context(t.turns, t.turns.where("group_id % 8 = 2 and seq = 2"), 2, 2)
+    return near.join(t.turns.select("turn_id", "group_id"), "turn_id").join(t.meetings.select("group_id", "url"), "group_id").select("hit", "turn_id", "role", "url")
+
+
+@query("pl_bill_status", "WITH a AS (SELECT number, count(DISTINCT turn_id) AS turns, max(held_on) AS last_debate, max_by(turn_id, (confidence, held_on, turn_id)) AS best_turn FROM links GROUP BY 1) SELECT number, coalesce(result, 'pending') AS status, coalesce(turns, 0) AS turns, last_debate, best_turn FROM entities LEFT JOIN a USING (number)")
+def pl_bill_status(t: Tables) -> DataFrame:
+    return research.bill_status(t)
+
+
+@query(
+    "pl_explore_issue",
+    f"""WITH {BM25_SQL}, hits AS (SELECT query_id, turn_id FROM ranked WHERE rank <= 30),
+    linked AS (SELECT query_id, number, max(confidence) AS confidence, count(DISTINCT turn_id) AS n FROM hits JOIN links USING (turn_id) GROUP BY 1, 2), known AS (SELECT l.*, result, proposed_at FROM linked l JOIN entities USING (number)),
+    core AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, proposed_at DESC, number) AS k FROM (SELECT *, max(confidence) OVER (PARTITION BY query_id) AS best FROM known) WHERE confidence = best),
+    bills AS (SELECT query_id, count(*) AS bills, max(CASE WHEN k = 1 THEN number END) AS top_bill, count(result) AS processed FROM core GROUP BY 1),
+    placed AS (SELECT query_id, group_id, held_on, coalesce(CAST(seq - lag(seq) OVER (PARTITION BY query_id, group_id ORDER BY seq) > 3 AS INT), 1) AS starts FROM hits JOIN turns USING (turn_id)),
+    th AS (SELECT query_id, count(*) AS speeches, CAST(sum(starts) AS BIGINT) AS threads, count(DISTINCT group_id) AS meetings, min(held_on) AS first_day, max(held_on) AS last_day FROM placed GROUP BY 1)
+    SELECT query_id, speeches, threads, meetings, first_day, last_day, coalesce(bills, 0) AS bills, coalesce(processed, 0) AS processed, top_bill,
+      CAST(100 - CASE WHEN coalesce(bills, 0) = 0 THEN 25 ELSE 0 END - CASE WHEN speeches < 3 THEN 20 ELSE 0 END - CASE WHEN threads = 0 THEN 25 ELSE 0 END AS BIGINT) AS quality FROM th LEFT JOIN bills USING (query_id)""",
+)
+def pl_explore_issue(t: Tables) -> DataFrame:
+    return research.explore_issue(t)
+
+
+@query("pl_overview", f"WITH {RECORDS_SQL} SELECT evidence_type, count(*) AS records, min(sort_key) AS first_key, max(sort_key) AS last_key, min_by(id, (sort_key, id)) AS representative FROM records GROUP BY 1")
+def pl_overview(t: Tables) -> DataFrame:
+    return evidence_records(t).groupBy("evidence_type").agg(F.count("*").alias("records"), F.min("sort_key").alias("first_key"), F.max("sort_key").alias("last_key"), F.min_by("id", F.struct("sort_key", "id")).alias("representative"))
+
+
+@query("pl_research", f"WITH {EDGES_SQL} SELECT edge_type, count(*) FILTER (WHERE gap IS NULL) AS resolved, count(gap) AS unresolved, count(*) AS claims FROM marked GROUP BY 1")
+def pl_research(t: Tables) -> DataFrame:
+    """The graph's accounting: resolved and unresolved claims are all claims."""
+    good = gr_edges(t).groupBy("edge_type").agg(F.count("*").alias("resolved"))
+    bad = gr_unresolved(t).groupBy("edge_type").agg(F.count("*").alias("unresolved"))
+    both = good.join(bad, "edge_type", "full_outer").fillna(0, ["resolved", "unresolved"])
+    return both.withColumn("claims", F.col("resolved") + F.col("unresolved"))
+
+
+@query("pl_result_page", f"WITH {RECORDS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY evidence_type ORDER BY sort_key, id) AS place, count(*) OVER (PARTITION BY evidence_type) AS total FROM records) SELECT evidence_type, id, place, total FROM r WHERE place BETWEEN 21 AND 40")
+def pl_result_page(t: Tables) -> DataFrame:
+    order = Window.partitionBy("evidence_type").orderBy("sort_key", "id")
+    records = evidence_records(t)
+    sizes = records.groupBy("evidence_type").agg(F.count("*").alias("total"))
+    page = records.withColumn("place", F.row_number().over(order).cast("long")).where("place <= 40").where("place >= 21")
+    return page.join(F.broadcast(sizes), "evidence_type").select("evidence_type", "id", "place", "total")  # a row for each of nine types
+
+
+@query("pl_evidence_text", "SELECT turn_id, text, sha256(text) AS digest FROM turns JOIN meetings USING (group_id) WHERE kind = 'plenary'")
+def pl_evidence_text(t: Tables) -> DataFrame:
+    wanted = t.meetings.where("kind = 'plenary'").select("group_id")
+    return t.turns.join(wanted, "group_id", "left_semi").select("turn_id", "text", F.sha2("text", 256).alias("digest"))

@@ -1 +1,51 @@
-"""Queries of this family."""
+"""Streaming queries: what has arrived is processed, and the final table is compared."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from dossier.registry import query
+from dossier.streaming import arrivals
+from dossier.views import Tables
+
+
+def events(t: Tables) -> DataFrame:
+    return arrivals.open_stream(t.spark, f"{t.sf_dir}/events.parquet")
+
+
+@query("st_idempotent_ingest", "SELECT event_type, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
+def st_idempotent_ingest(t: Tables) -> DataFrame:
+    """Every event is delivered twice and counted once."""
+    twice = events(t).unionByName(events(t))
+    rows = arrivals.drain(arrivals.absorb_redelivery(twice, "event_id", "ts").select("event_id", "event_type"), "append")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
+@query("st_readiness", "SELECT user_id, count(DISTINCT event_type) AS seen, count(DISTINCT event_type) >= 5 AS ready FROM events GROUP BY 1")
+def st_readiness(t: Tables) -> DataFrame:
+    return arrivals.latest_state(arrivals.drain(arrivals.readiness(events(t), "user_id", "event_type", 5), "update"), ["user_id"])
+
+
+@query("st_progress", "SELECT user_id, count(*) AS arrived, count(*) FILTER (WHERE event_type = 'purchase') AS accepted, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events GROUP BY 1")
+def st_progress(t: Tables) -> DataFrame:
+    counted = arrivals.progress(events(t), "user_id", F.col("event_type") == "purchase", F.col("event_type") == "error")
+    return arrivals.latest_state(arrivals.drain(counted, "update"), ["user_id"])
+
+
+@query(
+    "st_threads",
+    """WITH g AS (SELECT user_id, ts, coalesce(CAST(ts - lag(ts) OVER w >= INTERVAL 6 HOUR AS INT), 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g),
+    s AS (SELECT user_id, k, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n FROM n GROUP BY 1, 2) SELECT user_id, strftime(first_at, '%Y-%m-%d %H:%M:%S') AS first_at, n FROM s WHERE last_at + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events)""",
+)
+def st_threads(t: Tables) -> DataFrame:
+    """Sessions that the watermark has passed."""
+    closed = arrivals.drain(arrivals.threads(events(t), "user_id", "ts", "6 hours"), "append")
+    return closed.select("user_id", F.date_format("first_at", "yyyy-MM-dd HH:mm:ss").alias("first_at"), "n")
+
+
+@query("st_incremental_index", "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM doc_terms GROUP BY 1")
+def st_incremental_index(t: Tables) -> DataFrame:
+    """The index maintained as documents arrive equals one built at once."""
+    stream = arrivals.open_stream(t.spark, f"{t.sf_dir}/documents.parquet").select("doc_id", "text")
+    return arrivals.incremental_postings(stream, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
