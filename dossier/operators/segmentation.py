@@ -43,7 +43,7 @@ def segment(pages: DataFrame, bullet: str = BULLET, colon: str = COLON, agenda:
     turns = parts.groupBy("doc", "turn").agg(
         F.max("label").alias("label"), F.array_sort(F.collect_list("part")).alias("parts"), F.max("agenda").alias("agenda"), F.min("offset").alias("start")
     )
-    body = F.trim(F.array_join(F.transform("parts", lambda p: p["said"]), "\n"))
+    body = F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["said"]), "\n"), r"^\s+|\s+$", "")
     spanned = F.array_join(F.array_distinct(F.transform("parts", lambda p: p["page"].cast("string"))), "|")
     turns = turns.select("doc", "turn", "label", body.alias("body"), "agenda", spanned.alias("pages"), "start")
     reason = F.when(F.coalesce("label", F.lit("")) == "", "empty_label").when(F.col("body") == "", "empty_body")
