@@ -34,8 +34,9 @@ CUES = r"(?i)(phone|tel|call|fax|mobile|card|visa|credit|account|iban|ssn|social
 CONTEXT = 24
 ROUNDS = 12
 RATE = 0.3
-#: A generator's threshold is the least at which kept-out candidates above it reach this precision.
-PRECISION = 0.9
+#: A generator's threshold is the least at which kept-out candidates above it reach this precision; recall comes
+#: first in redaction, so two in five that pass the strict checks are enough.
+PRECISION = 0.4
 
 
 def _luhn(digits: Column) -> Column:
