@@ -72,3 +72,45 @@ def pl_result_page(t: Tables) -> DataFrame:
 def pl_evidence_text(t: Tables) -> DataFrame:
     wanted = t.meetings.where("kind = 'plenary'").select("group_id")
     return t.turns.join(wanted, "group_id", "left_semi").select("turn_id", "text", F.sha2("text", 256).alias("digest"))
+
+
+@query("pl_get_speech", "SELECT turn_id, role, text, committee, t.held_on, url || '#' || CAST(seq AS VARCHAR) AS citation FROM turns t JOIN meetings m USING (group_id, committee) WHERE seq = 1")
+def pl_get_speech(t: Tables) -> DataFrame:
+    joined = t.turns.where("seq = 1").join(t.meetings.select("group_id", "url"), "group_id")
+    return joined.select("turn_id", "role", "text", "committee", "held_on", F.concat("url", F.lit("#"), F.col("seq").cast("string")).alias("citation"))
+
+
+@query("pl_list_committees", "SELECT committee, count(*) AS meetings, min(held_on) AS first_date, max(held_on) AS last_date FROM meetings GROUP BY 1")
+def pl_list_committees(t: Tables) -> DataFrame:
+    return t.meetings.groupBy("committee").agg(F.count("*").alias("meetings"), F.min("held_on").alias("first_date"), F.max("held_on").alias("last_date"))
+
+
+@query("pl_list_meetings", "SELECT kind, group_id, held_on, place FROM (SELECT kind, group_id, held_on, row_number() OVER (PARTITION BY kind ORDER BY held_on DESC, group_id) AS place FROM meetings WHERE term = 19) WHERE place <= 20")
+def pl_list_meetings(t: Tables) -> DataFrame:
+    order = Window.partitionBy("kind").orderBy(F.desc("held_on"), "group_id")
+    return t.meetings.where("term = 19").select("kind", "group_id", "held_on", F.row_number().over(order).cast("long").alias("place")).where("place <= 20")
+
+
+@query("pl_search_bills", "WITH s AS (SELECT CASE WHEN contains(name, 'urgent') THEN 1 ELSE 2 END AS query_id, number, name, coalesce(result, 'pending') AS status, proposed_at FROM entities WHERE contains(name, 'urgent') OR contains(name, 'low')), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY proposed_at DESC, number) AS rank FROM s WHERE status = 'pending') SELECT CAST(query_id AS BIGINT) AS query_id, number, name, status, rank FROM r WHERE rank <= 25")
+def pl_search_bills(t: Tables) -> DataFrame:
+    wanted = t.spark.createDataFrame([(1, "urgent"), (2, "low")], "query_id long, word string")
+    found = t.entities.join(F.broadcast(wanted), F.contains("name", "word")).withColumn("status", F.coalesce("result", F.lit("pending"))).where("status = 'pending'")  # two query words
+    order = Window.partitionBy("query_id").orderBy(F.desc("proposed_at"), "number")
+    return found.select("query_id", "number", "name", "status", F.row_number().over(order).cast("long").alias("rank")).where("rank <= 25")
+
+
+@query("pl_corpus_build", "WITH o AS (SELECT source, doc_id % 50 != 7 AS ok FROM documents), g AS (SELECT source, count(*) AS expected, count(*) FILTER (WHERE ok) AS built, count(*) FILTER (WHERE NOT ok) AS failed FROM o GROUP BY 1) SELECT *, failed = 0 AS published, CASE WHEN failed = 0 THEN built ELSE 0 END AS documents FROM g")
+def pl_corpus_build(t: Tables) -> DataFrame:
+    """Inventory, outcomes, coverage and the publication gate; only complete scopes are published."""
+    from dossier.operators.corpus import scope_coverage
+
+    docs = t.raw("documents").select("source", (F.col("doc_id") % 50 != 7).alias("ok"))
+    cells = scope_coverage(docs.groupBy("source").agg(F.count("*").alias("expected")), docs, ["source"])
+    return cells.select("source", "expected", F.col("succeeded").alias("built"), "failed", F.col("complete").alias("published"), F.when(F.col("complete"), F.col("succeeded")).otherwise(0).alias("documents"))
+
+
+@query("pl_parser_review", "SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS expected, CAST(sum(n) AS BIGINT) AS correct FROM (SELECT group_id, count(*) AS n FROM turns WHERE trim(text) != '' GROUP BY 1)")
+def pl_parser_review(t: Tables) -> DataFrame:
+    from dossier.catalog.texts import ag_parse_quality
+
+    return ag_parse_quality(t).agg(F.count("*").alias("documents"), F.sum("expected").alias("expected"), F.sum("correct").alias("correct"))

@@ -342,3 +342,46 @@ def txt_query_terms(t: Tables) -> DataFrame:
     return t.raw("benchmark").select("item_id", F.array_join(query_terms(F.col("text")), " ").alias("terms"))
 
 
+
+
+def _letter_counts():
+    """A stand-in for a model: relative frequencies of five letters."""
+    import numpy as np
+
+    def embed(texts):
+        counts = np.array([[t.count(c) for c in "aeiou"] for t in texts], np.float32).reshape(-1, 5)
+        return counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+
+    return embed
+
+
+LETTERS_SQL = "l AS (SELECT turn_id, text, [len(text) - len(replace(text, c, '')) FOR c IN ['a', 'e', 'i', 'o', 'u']] AS n FROM turns)"
+
+
+@query("ud_embedder", f"WITH {LETTERS_SQL} SELECT turn_id, CAST(generate_subscripts(n, 1) - 1 AS BIGINT) AS dimension, round(CAST(unnest(n) AS DOUBLE) / greatest(list_sum(n), 1), 4) AS value FROM l")
+def ud_embedder(t: Tables) -> DataFrame:
+    from dossier.functions.embedding import embed
+
+    vectors = t.turns.select("turn_id", F.posexplode(embed(F.col("text"), _letter_counts, 5)).alias("dimension", "value"))
+    return vectors.select("turn_id", F.col("dimension").cast("long").alias("dimension"), F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+@query("rk_embed_build", "SELECT turn_id, CASE WHEN seq % 7 = 3 THEN 'missing' WHEN seq % 7 = 5 THEN 'stale' END AS fault FROM turns WHERE seq % 7 IN (3, 5)")
+def rk_embed_build(t: Tables) -> DataFrame:
+    """Vectors built from an older text are found by its hash, as are rows without one."""
+    from dossier.functions.embedding import build_vectors, stale_vectors
+
+    older = t.turns.where("seq % 7 != 3").withColumn("text", F.when(F.col("seq") % 7 == 5, F.concat("text", F.lit(" older"))).otherwise(F.col("text")))
+    return stale_vectors(build_vectors(older, "turn_id", "text", _letter_counts, 5, "letters"), t.turns, "turn_id", "text")
+
+
+@query("rk_speech_search", f"WITH {FUSED_SQL}, m AS (SELECT query_id, turn_id AS item, string_agg(term, ' ' ORDER BY term) AS matched_terms FROM query_terms JOIN turn_terms USING (term) GROUP BY 1, 2), a AS (SELECT turn_id AS item, group_id, lag(turn_id) OVER w AS previous, lead(turn_id) OVER w AS next FROM turns WINDOW w AS (PARTITION BY group_id ORDER BY seq)) SELECT f.query_id, f.item, f.rank, f.score, matched_terms, previous, next, url FROM final f JOIN m USING (query_id, item) JOIN a USING (item) JOIN meetings USING (group_id) WHERE f.rank <= 5")
+def rk_speech_search(t: Tables) -> DataFrame:
+    """The end user's search: fused ranking, matched terms, neighbours and citation for the rows shown."""
+    from dossier.operators.linking import adjacent
+
+    best = _fused(t).where("rank <= 5")
+    terms = t.query_terms.join(t.turn_terms.withColumnRenamed("turn_id", "item"), "term").join(best.select("query_id", "item"), ["query_id", "item"])
+    matched = terms.groupBy("query_id", "item").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("matched_terms"))  # a query's own terms
+    around = adjacent(t.turns.select("group_id", "seq", "turn_id", "text")).select(F.col("turn_id").alias("item"), "group_id", "previous", "next")
+    return best.join(matched, ["query_id", "item"]).join(around, "item").join(t.meetings.select("group_id", "url"), "group_id").select("query_id", "item", "rank", "score", "matched_terms", "previous", "next", "url")
