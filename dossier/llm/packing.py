@@ -27,9 +27,9 @@ CAPACITY = 1024
 #: Open windows of a partition; beyond it all are joined, cut and emitted (16 MB of ids at 1024).
 MAX_OPEN = 4096
 #: Texts encoded at a time.
-SLICE = 256
+SLICE = 512
 
-SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 Piece = tuple[object, int, int, bytes]  # document id, start in it, its number of ids, ids
 
@@ -93,14 +93,14 @@ class LevelPacker:
 
 def pack_documents(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0,
-    capacity: int = CAPACITY, max_open: int = MAX_OPEN,
+    capacity: int = CAPACITY, max_open: int = MAX_OPEN, with_ids: bool = True,
 ) -> DataFrame:
     """Pack every document of ``docs`` into windows of ``capacity`` ids.
 
     A document is its token ids and then ``end_id``.  One row per piece: ``doc_id``, ``start``
     (ids of the document before it), ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``,
-    ``offset`` in the sequence, and the ``ids`` (little-endian uint32).  A sequence is full or as
-    long as a power of two.
+    ``offset`` in the sequence, and with ``with_ids`` the ``ids`` (little-endian uint32).  A sequence is
+    full or as long as a power of two.
 
     Null and empty texts are the end id alone; null ids stay null; repeated rows are packed each;
     an empty table gives no rows; other columns are not read.
@@ -120,12 +120,13 @@ def pack_documents(
             for window in windows:
                 offset = 0
                 for doc, start, total, ids in window:
-                    out.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, sequence, offset, ids))
+                    row = (doc, start, len(ids) // 4, zlib.crc32(ids), total, sequence, offset)
+                    out.append((*row, ids) if with_ids else row)
                     offset += len(ids) // 4
                 sequence += 1
             types = [arrow_id, *[pa.int64()] * 6, pa.binary()]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names[: len(out[0])])
 
         for batch in batches:
             arrow_id = batch.column(0).type
@@ -139,4 +140,5 @@ def pack_documents(
         if rest := packer.close():
             yield rows(rest)
 
-    return frame.mapInArrow(pack, SCHEMA.format(id=id_type.simpleString()))
+    schema = SCHEMA.format(id=id_type.simpleString()) + (", ids binary" if with_ids else "")
+    return frame.mapInArrow(pack, schema)

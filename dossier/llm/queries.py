@@ -51,13 +51,13 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokens.default_tokenizer()).drop("ids")
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokens.default_tokenizer(), with_ids=False)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.token_folder(spark)
     manifest = token_files.write_token_files(_table(spark, sf_dir, "documents"), tokens.default_tokenizer(), folder)
-    return token_files.read_token_files(spark, folder, manifest).drop("ids")
+    return token_files.read_token_files(spark, folder, manifest, with_ids=False)
 
 
 def is_held_out() -> F.Column:

@@ -30,7 +30,7 @@ MAGIC = b"EFTOKEN1"
 SAMPLE = 256
 #: Bytes of token ids after which a file ends; a document is never split over files.
 FILE_BYTES = 32 << 20
-SLICE = 256
+SLICE = 512
 
 
 def ef_encode(values: np.ndarray) -> bytes:
@@ -176,16 +176,17 @@ def write_token_files(
     return written(ordered.mapInArrow(write, "name string, part long, seq long, n_docs long, n_ids long"), "token-manifest")
 
 
-def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """One row per document from the files that the manifest names: ``doc_id, start, n_tokens, ids_crc32, ids``.
 
-    ``start`` counts the ids of all documents before it, over all files in order.
+    ``start`` counts the ids of all documents before it, over all files in order.  Without ``with_ids``
+    the ids themselves are left out.
     """
     # one row per file, so this window orders thousands of rows where the files hold terabytes
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("name", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eft").load(path) if manifest.take(1) else None
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
     if files is None:
         return spark.createDataFrame([], schema)
 
@@ -199,9 +200,12 @@ def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> Dat
                     upto = at + len(ids)
                     columns = [
                         pa.array(file.docs[at:upto], pa.int64()), pa.array(starts[at:upto] + base, pa.int64()), pa.array((file.ends - starts)[at:upto], pa.int64()),
-                        pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary()),
+                        pa.array([zlib.crc32(x) for x in ids], pa.int64()),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+                    if with_ids:
+                        columns, names = [*columns, pa.array(ids, pa.binary())], [*names, "ids"]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     name = F.substring_index("path", "/", -1)
     return files.select(name.alias("name"), "content").join(based, "name").select("base", "content").mapInArrow(read, schema)

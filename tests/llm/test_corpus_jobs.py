@@ -26,7 +26,7 @@ def plain_ids(rows):
 
 def test_chunked_ids_equal_whole_text_ids():
     e = tokens.ChunkEncoder(tokens.default_tokenizer())
-    texts = ["", None, "a b", "a  b", " a", "a ", "a\nb c.\n\nd", "x y z", "don't stop, it's 12,5 o'clock.)", "日本 語. <|endoftext|> é", "a\tb\r\nc", "tail .", "..", "a. b! c? d) 'x'", "e.g. U.S.A. 3.14.", "\n", "a\n b"]
+    texts = ["", None, "a b", "a  b", " a", "a ", "a\nb c.\n\nd", "x y z", "don't stop, it's 12,5 o'clock.)", "日本 語. <|endoftext|> é", "a\tb\r\nc", "tail .", "..", "a. b! c? d) 'x'", "e.g. U.S.A. 3.14.", "\n", "a\n b", "Ünïcode wörds ﬁne ǅ ʰ Ⅷ ٣ x² e\u0301 naïve", "a\u2028b c\x1cd", "\ufeffa b", "été. été, été\nété. 日本語 日本語."]
     for _ in range(2):
         assert e.encode_many(texts) == [np.array(e.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
