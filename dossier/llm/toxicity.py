@@ -1,7 +1,8 @@
 """Operator 7: toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of its hashed character n-grams (with word edges); its vector is their mean,
-a document's vector the mean over its words, and a softmax over that gives the score.  Table and
+a document's vector the mean over its words, each weighted by the root of its count, with some
+neutral words added; a softmax over that gives the score.  Table and
 softmax are trained together, in numpy, on a bounded sample of labelled documents.  A misspelt
 word shares most of its n-grams with the word it comes from, so it needs no vector of its own.
 
@@ -12,7 +13,10 @@ numbers, and a document the mean of its words'.  Workers keep the numbers of wor
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import sqrt
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,8 @@ BUCKETS = 1 << 16
 SIZE = 4
 EPOCHS = 12
 THRESHOLD = 0.3
+#: Neutral words added to every document: a few words alone prove little.
+PRIOR_WORDS = 30
 CACHE_WORDS = 1_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W_]+")
@@ -85,12 +91,14 @@ class Model:
     def scores(self, texts: list[str | None]) -> list[float]:
         out = []
         for at in range(0, len(texts), 256):
-            found = [words(t) for t in texts[at : at + 256]]
+            found = [Counter(words(t)) for t in texts[at : at + 256]]
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
             self.learn(list({w for ws in found for w in ws}.difference(self.known)))
             number = self.known.__getitem__
-            out += [self.bias + (sum(map(number, ws)) / len(ws) if ws else 0.0) for ws in found]
+            for bag in found:
+                weights = [sqrt(n) for n in bag.values()]
+                out.append(self.bias + sum(map(mul, map(number, bag), weights)) / (sum(weights) + PRIOR_WORDS))
         return (1 / (1 + np.exp(-np.clip(out, -30, 30)))).tolist()
 
 
@@ -112,8 +120,18 @@ def _batch(rows: list[tuple[np.ndarray, np.ndarray]], flat: np.ndarray, bounds:
     )
 
 
-def train(bags: list[list[str]], labels: list[int], rate: float, buckets: int = BUCKETS, size: int = SIZE, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Fit n-gram table and softmax together, by Adagrad over batches of documents.
+def _all_subwords(vocabulary: list[str], buckets: int, block: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words, word by word, and their bounds, worked out a block of words at a time."""
+    parts, sizes = [], []
+    for at in range(0, len(vocabulary), block):
+        flat, first = subwords(vocabulary[at : at + block], buckets)
+        parts.append(flat)
+        sizes.append(np.diff(np.append(first, len(flat))))
+    return np.concatenate(parts), np.append(0, np.cumsum(np.concatenate(sizes)))
+
+
+def train(bags: list[str], labels: list[int], rate: float, buckets: int = BUCKETS, size: int = SIZE, epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """Fit n-gram table and softmax together, by Adagrad over batches of documents (space-joined words).
 
     ``rate`` is the natural share of label 1; the bias is moved from the sample's share to it.
     """
@@ -121,13 +139,15 @@ def train(bags: list[list[str]], labels: list[int], rate: float, buckets: int =
     if not any(labels) or all(labels):
         return Model(np.zeros(buckets), float(np.log(rate / (1 - rate))))
     rng = np.random.default_rng(seed)
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for b in bags for w in (b or [""])))}
-    flat, first = subwords(list(vocabulary), buckets)
-    bounds = np.append(first, len(flat))
+    vocabulary: dict[str, int] = {}
     rows = []
-    for b in bags:
-        ids, counts = np.unique([vocabulary[w] for w in b or [""]], return_counts=True)
-        rows.append((ids, counts / len(b) if b else counts * 0.0))
+    for bag in bags:  # one document's words at a time: a list of all would be the largest thing here
+        listed = bag.split() or [""]
+        ids, counts = np.unique([vocabulary.setdefault(w, len(vocabulary)) for w in listed], return_counts=True)
+        weights = np.sqrt(counts) * float(bool(bag))
+        rows.append((ids.astype(np.int32), (weights / (weights.sum() + PRIOR_WORDS)).astype(np.float32)))
+    flat, bounds = _all_subwords(list(vocabulary), buckets)
+    del vocabulary
     order = rng.permutation(len(bags))
     batches = [(d, _batch([rows[i] for i in d], flat, bounds)) for d in np.array_split(order, max(1, len(order) // 64))]
     table = rng.uniform(-1, 1, (buckets, size)) / size
@@ -185,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kind = texts.schema["labelled"].dataType.simpleString()
     rows = sorted((r.id, r.label, r.bag) for r in found.mapInArrow(bags, f"id {kind}, label int, bag string").toLocalIterator())
     total = sum(counts.values())
-    return train([b.split() for _, _, b in rows], [y for _, y, _ in rows], counts.get(1, 0) / total if total else 0.0)
+    return train([b for _, _, b in rows], [y for _, y, _ in rows], counts.get(1, 0) / total if total else 0.0)
 
 
 def score(docs: DataFrame, model: Model, text: Column) -> Column:
