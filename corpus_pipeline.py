@@ -38,7 +38,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokens.default_tokenizer()).drop("ids")
+    return packing.pack_documents(docs, tokens.default_tokenizer(), with_ids=False)
 
 
 STAGES = [
