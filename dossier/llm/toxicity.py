@@ -141,7 +141,7 @@ def train(bags: list[str], labels: list[int], rate: float, buckets: int = BUCKET
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     rows = []
-    for bag in bags:  # one document's words at a time: a list of all would be the largest thing here
+    for bag in bags:  # one document's words at a time: a list of all would be the driver's largest object
         listed = bag.split() or [""]
         ids, counts = np.unique([vocabulary.setdefault(w, len(vocabulary)) for w in listed], return_counts=True)
         weights = np.sqrt(counts) * float(bool(bag))
