@@ -116,15 +116,15 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
     return scored.withColumn("noisy", F.col("log_weight") - F.log(-F.log(uniform)))
 
 
-def _ordered_bits(x):
-    """A double's bits as a long that sorts as the double does."""
-    # doubles have no bit cast in SQL: 40 bits of fraction are exact up to 2 ** 23, far beyond any sum here
-    return F.greatest(F.least(F.floor(x * F.lit(float(1 << 40))), F.lit((1 << 62) - 1)), F.lit(-(1 << 62))).cast("long") + F.lit(1 << 62)
+def _ordered(x):
+    """A double as a long that sorts alike: steps of 2 ** -32 within a thousand million either way."""
+    scaled = F.floor(x * F.lit(float(1 << 32)))
+    return F.greatest(F.least(scaled, F.lit((1 << 62) - 1)), F.lit(-(1 << 62))).cast("long") + F.lit(1 << 62)
 
 
 def select_largest(scored: DataFrame, k: int, by: str = "noisy", tie: str = "doc_id") -> DataFrame:
     """``scored`` with ``selected``: true for the k rows with the largest ``by``, ties by the smaller ``tie``."""
-    rows = scored.withColumn("ordered", _ordered_bits(F.col(by)))
+    rows = scored.withColumn("ordered", _ordered(F.col(by)))
     prefix, left = 0, k
     for shift in (48, 32, 16, 0):
         inside = rows if shift == 48 else rows.where(F.shiftrightunsigned("ordered", shift + 16) == prefix)
