@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def context(turns: DataFrame, hits: DataFrame, before: int, after: int) -> DataFrame:
@@ -43,20 +44,25 @@ def substring_links(texts: DataFrame, patterns: DataFrame, id_col: str, pattern_
     is verified.  Longer patterns block on more characters.  Patterns shorter than the least
     length are left out.
     """
+    size = F.char_length("pattern")
+    present = {r.k for r in patterns.select(F.coalesce(*(F.when(size >= k, k) for k in lengths)).alias("k")).distinct().collect()}
     found = None
     for i, k in enumerate(lengths):
-        longest = None if i == 0 else lengths[i - 1]
-        own = patterns.where(F.char_length("pattern") >= k)
-        if longest:
-            own = own.where(F.char_length("pattern") < longest)
-        own = own.withColumn("block", F.left("pattern", F.lit(k)))
-        # shingles leave the scan only where some pattern begins so: the blocks are joined before the texts are carried
-        last = F.char_length("text") - k
-        shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), last + 1), lambda j: F.substring("text", j, F.lit(k))))  # noqa: B023
-        exploded = texts.where(last >= 0).select(id_col, F.explode(shingles).alias("block"))
+        if k not in present:
+            continue
+        own = patterns.where(size >= k)
+        if i:
+            own = own.where(size < lengths[i - 1])
+        own = own.withColumn("block", F.xxhash64(F.left("pattern", F.lit(k))))
+        # an empty match before each character captures the k characters from there: all shingles in one pass
+        shingles = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+        hashes = F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s)))
+        exploded = texts.where(F.char_length("text") >= k).select(id_col, F.explode(hashes).alias("block"))
         candidates = exploded.join(own.select("block", pattern_id), "block").select(id_col, pattern_id)
         verified = candidates.join(texts, id_col).join(own.select(pattern_id, "pattern"), pattern_id).where(F.contains("text", "pattern")).select(id_col, pattern_id)
         found = verified if found is None else found.unionByName(verified)
+    if found is None:
+        return texts.sparkSession.createDataFrame([], T.StructType([texts.schema[id_col], patterns.schema[pattern_id]]))
     return found.distinct()
 
 

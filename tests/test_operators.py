@@ -164,3 +164,8 @@ def test_entry_survives_without_the_training_operators(monkeypatch):
         monkeypatch.delitem(sys.modules, name)
     entry = importlib.import_module("__spark_entry__")
     assert len(entry.queries()) > 120 and not any(n.startswith("op") for n in entry.queries())
+
+
+def test_substring_links_without_long_patterns(spark):
+    texts = spark.createDataFrame([(1, "abc")], "id long, text string")
+    assert linking.substring_links(texts, spark.createDataFrame([(1, "ab")], "p long, pattern string"), "id", "p").count() == 0
