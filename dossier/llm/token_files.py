@@ -29,7 +29,7 @@ from dossier.llm.tokens import encoder
 MAGIC = b"EFTOKEN1"
 SAMPLE = 256
 #: Bytes of token ids after which a file ends; a document is never split over files.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
 SLICE = 512
 
 
@@ -87,16 +87,15 @@ class EliasFano:
         return value.astype(np.int64)
 
 
-def file_image(docs: list[int | None], ids: list[bytes], width: int) -> bytes:
-    """A file's bytes; ``docs`` ascend, nulls first; ``ids`` are little-endian uint32."""
+def file_parts(docs: list[int | None], ids: list[bytes], width: int) -> list[bytes]:
+    """A file's bytes in parts; ``docs`` ascend, nulls first; ``ids`` take ``width`` bytes each, little-endian."""
     nulls = sum(d is None for d in docs)
     known = np.array(docs[nulls:], np.int64)
     first = int(known[0]) if len(known) else 0
-    ends = np.cumsum([len(x) // 4 for x in ids])
-    flat = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}")
-    head = np.array([len(docs), len(flat), nulls, first, width], "<i8").tobytes()
+    ends = np.cumsum([len(x) // width for x in ids])
+    head = np.array([len(docs), int(ends[-1]) if len(ends) else 0, nulls, first, width], "<i8").tobytes()
     gaps = known.astype(np.uint64) - np.int64(first).astype(np.uint64)
-    return MAGIC + head + ef_encode(ends) + ef_encode(gaps) + flat.tobytes()
+    return [MAGIC, head, ef_encode(ends), ef_encode(gaps), *ids]
 
 
 class TokenFile:
@@ -149,10 +148,10 @@ def write_token_files(
 
         def flush() -> None:
             name = f"tokens-{part:06d}-{len(names):06d}-{attempt}.eft"
-            with store.open_output_stream(f"{folder}/{name}") as f:
-                f.write(file_image(own, ids, width))
+            with store.open_output_stream(f"{folder}/{name}", buffer_size=1 << 20) as f:
+                f.writelines(file_parts(own, ids, width))
             names.append(name)
-            counts.append((len(own), sum(map(len, ids)) // 4))
+            counts.append((len(own), sum(map(len, ids)) // width))
             own.clear()
             ids.clear()
 
@@ -162,8 +161,8 @@ def write_token_files(
                 rows = batch.slice(at, SLICE)
                 for doc, text in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist())):
                     own.append(doc)
-                    ids.append(text + end)
-                    held += len(text) // 4 * width
+                    ids.append(np.frombuffer(text + end, "<u4").astype(f"<u{width}").tobytes())
+                    held += len(ids[-1])
                     if held >= file_bytes:
                         flush()
                         held = 0
