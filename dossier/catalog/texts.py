@@ -80,7 +80,7 @@ def txt_replace_equivalents(t: Tables) -> DataFrame:
     CASE WHEN len(k) >= 3 THEN k[1] || k[2] || k[3] WHEN len(k) = 2 THEN k[1] || k[2] ELSE k[1] END AS first FROM w""",
 )
 def txt_phrases(t: Tables) -> DataFrame:
-    own = t.raw("benchmark").select("item_id", text.phrases(F.slice(text.tokens(F.col("text")), 1, 12), ["the", "of", "and"]).alias("p"))
+    own = t.raw("benchmark").select("item_id", text.phrases(text.tokens(F.col("text")), ["the", "of", "and"]).alias("p"))
     return own.select("item_id", F.size("p").cast("long").alias("n"), F.get("p", F.lit(0)).alias("first"))
 
 

@@ -120,8 +120,8 @@ class Tables:
 
     @cached_property
     def query_terms(self) -> DataFrame:
-        """The first six words of every benchmark item are a query."""
-        return self.raw("benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(tokens(F.col("text")), 1, 6)).alias("term")).distinct()
+        """All words of every benchmark item are a query."""
+        return self.raw("benchmark").select(F.col("item_id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).distinct()
 
     @cached_property
     def turn_terms(self) -> DataFrame:
