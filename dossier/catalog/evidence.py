@@ -24,10 +24,10 @@ def claimed_nodes(t: Tables) -> DataFrame:
     node = lambda df, prefix, key, kind, label, locator: df.select(F.concat(F.lit(prefix + ":"), F.col(key).cast("string")).alias("id"), F.lit(kind).alias("node_type"), label.alias("label"), locator.alias("locator"))
     c, seq = F.col, F.col("seq").cast("string")
     parts = [
-        node(t.entities.where(c("number").cast("long") < 1400), "bill", "number", "bill", c("name"), c("number")), node(t.entities.where("result is not null"), "status", "number", "bill_status", c("result"), c("number")),
+        node(t.entities, "bill", "number", "bill", c("name"), c("number")), node(t.entities.where("result is not null"), "status", "number", "bill_status", c("result"), c("number")),
         node(t.meetings, "meeting", "group_id", "meeting", c("committee"), c("url")), node(t.meetings.where("group_id % 9 != 4"), "minutes", "group_id", "minutes_document", c("kind"), c("url")),
         node(t.turns, "speech", "turn_id", "speech", c("role"), seq), node(t.turns, "person", "role", "person", c("role"), c("turn_id")),
-        node(t.agenda.where("group_id < 60"), "agenda", "number", "agenda", c("title"), (c("group_id") % 2).cast("string")),
+        node(t.agenda, "agenda", "number", "agenda", c("title"), (c("group_id") % 2).cast("string")),
         node(t.turns.where("role = 'assistant'"), "response", "turn_id", "government_response", F.when(c("seq") % 2 == 1, "qa_response").otherwise("statement"), seq),
     ]
     out = parts[0]
@@ -60,7 +60,7 @@ def edge_claims(t: Tables) -> DataFrame:
     parts = [
         edge(t.entities.where(c("number").cast("long") % 3 != 0), "bill", "number", "status", "number", lit("has_status"), lit("overlay")), edge(t.meetings, "meeting", "group_id", "minutes", "group_id", lit("has_minutes"), lit("url")),
         edge(t.turns, "minutes", "group_id", "speech", "turn_id", lit("contains_speech"), lit("parsed")), edge(t.turns, "person", "role", "speech", "turn_id", lit("made_speech"), lit("speaker")),
-        edge(t.links, "speech", "turn_id", "bill", "number", lit("discusses_bill"), c("link_type")), edge(t.agenda.where("group_id < 80"), "agenda", "number", "bill", "number", lit("agenda_for_bill"), lit("exact_number")),
+        edge(t.links, "speech", "turn_id", "bill", "number", lit("discusses_bill"), c("link_type")), edge(t.agenda, "agenda", "number", "bill", "number", lit("agenda_for_bill"), lit("exact_number")),
         edge(relations(t), "speech", "source", "speech", "target", F.lower("relation"), lit("adjacent")), edge(t.turns.where("role != 'system'"), "response", "turn_id", "speech", "turn_id", lit("derived_from_speech"), lit("role")),
     ]
     out = parts[0]
@@ -127,7 +127,7 @@ def evidence_records(t: Tables) -> DataFrame:
     c = F.col
     parts = [
         rec(t.entities, "bills", c("number"), "proposed_at", "name"), rec(t.entities.where("result is not null"), "bill_status", c("number"), "processed_at", "result"),
-        rec(t.agenda.where("group_id < 200"), "agendas", F.concat_ws("/", c("group_id").cast("string"), c("seq").cast("string")), "listed_on", "title"), rec(t.turns, "speeches", c("turn_id"), "held_on", "role"),
+        rec(t.agenda, "agendas", F.concat_ws("/", c("group_id").cast("string"), c("seq").cast("string")), "listed_on", "title"), rec(t.turns, "speeches", c("turn_id"), "held_on", "role"),
         rec(t.turns.where("role = 'assistant'"), "government_responses", c("turn_id"), "held_on", "role"), rec(t.meetings.where("kind = 'subcommittee'"), "subcommittee_minutes", c("group_id"), "held_on", "committee"),
     ]
     out = parts[0]

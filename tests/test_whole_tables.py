@@ -6,6 +6,8 @@ import pytest
 from oracle import connect, difference
 
 from dossier import registry
+from dossier.catalog import evidence
+from dossier.views import Tables
 
 SQL = registry.oracle_sql()
 QUERIES = registry.queries()
@@ -14,6 +16,8 @@ QUERIES = registry.queries()
 TERMS = [("[1:6]", "")]
 CUTS = {name: TERMS for name in ("rk_bm25", "rk_match_search", "rk_match_all", "rk_rrf", "rk_hybrid", "rk_speech_search", "pl_search_speeches", "pl_explore_issue", "flt_content_terms")}
 CUTS |= {"rk_corpus_recall": [*TERMS, (" WHERE matched >= 3)", ")")], "txt_phrases": [("[1:12]", "")]}
+GRAPH = [(" WHERE CAST(number AS BIGINT) < 1400", ""), (" FROM agenda WHERE group_id < 60", " FROM agenda"), (" FROM agenda WHERE group_id < 80", " FROM agenda"), (" FROM agenda WHERE group_id < 200", " FROM agenda")]
+CUTS |= {name: GRAPH for name in ("gr_nodes", "gr_node_conflicts", "gr_edges", "gr_unresolved", "gr_issue_links", "gr_counts_hash", "pl_research", "gr_evidence_records", "gr_fingerprint", "pl_overview", "pl_result_page")}
 
 
 @pytest.fixture(scope="module")
@@ -27,3 +31,32 @@ def test_query_over_whole_tables(spark, sf, con, name):
     for cut, whole in CUTS[name]:
         sql = sql.replace(cut, whole)
     assert difference(QUERIES[name](spark, sf), sql, con) == ""
+
+
+class Small(Tables):
+    """Hand-made tables."""
+
+    def __init__(self, spark, tables):
+        super().__init__(spark, "")
+        self.tables = tables
+
+    def raw(self, name):
+        return self.tables[name]
+
+
+def test_ends_of_agenda_edges_with_high_ids(spark):
+    made = lambda schema, *data: spark.createDataFrame(list(data), schema)
+    line = lambda order, number, part: (order, part, 1, number, 1.0, "1997-01-02")
+    t = Small(spark, {
+        "conversations": made("conv_id long, turn long, role string, text string", (1, 0, "user", "x")),
+        "customer": made("c_custkey long, c_name string, c_mktsegment string", (1, "c", "BUILDING")),
+        "orders": made("o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate string", (1, 1, "O", "LOW", "1997-01-01"), (5000, 1, "O", "LOW", "1997-01-01"), (9000, 1, "O", "LOW", "1997-01-01")),
+        "part": made("p_partkey long, p_name string", (5000, "both"), (8000, "no bill"), (9000, "two"), (7000, "neither")),
+        "supplier": made("s_suppkey long, s_name string", (1, "s")),
+        "lineitem": made("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_extendedprice double, l_shipdate string", line(5000, 1, 5000), line(5000, 2, 8000), line(5000, 3, 9000), line(5001, 1, 9000), line(5000, 4, 7000), line(5001, 2, 7000)),
+    })
+    good, bad = evidence.resolved(t)
+    assert [tuple(r) for r in good.where("edge_type = 'agenda_for_bill'").select("source", "target").collect()] == [("agenda:0005000", "bill:0005000")]
+    gaps = {r.source: r.gap for r in bad.where("edge_type = 'agenda_for_bill'").collect()}
+    assert gaps == {"agenda:0008000": "missing_target", "agenda:0009000": "missing_source", "agenda:0007000": "missing_both"}
+    assert evidence.evidence_records(t).where("evidence_type = 'agendas'").count() == 6
