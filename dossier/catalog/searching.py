@@ -193,7 +193,7 @@ GATE_TERMS = [(0, "issue", "urgent"), (0, "related_issue", "small"), (1, "issue"
 
 
 def gate_decisions(t: Tables) -> DataFrame:
-    """Ten queries over every seventh entity; agendas come from line items of the same number."""
+    """Ten queries over all entities; agendas come from line items of the same number."""
     q = t.raw("embeddings").select((F.col("vec_id") % 10).alias("query_id")).distinct()
     m = F.col("query_id") % 5
     day = lambda s: F.when(m == 3, F.lit(s).cast("date"))
@@ -201,7 +201,7 @@ def gate_decisions(t: Tables) -> DataFrame:
     terms = t.spark.createDataFrame(GATE_TERMS, "query_id long, kind string, term string")
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "title"))), lambda x: x["title"]), " ")
     agendas = t.agenda.groupBy(F.lpad(F.col("group_id").cast("string"), 7, "0").alias("number")).agg(match_key(listed).alias("agenda"))
-    own = t.entities.where(F.col("number").cast("long") % 7 == 0).join(agendas, "number", "left").select(
+    own = t.entities.join(agendas, "number", "left").select(
         F.col("number").alias("candidate"), "number", F.lower("committee").alias("committee"), F.when(F.col("term") != 17, F.col("proposed_at")).alias("day"),
         match_key(F.col("name")).alias("title"), F.coalesce("agenda", F.lit("")).alias("agenda"), match_key(F.col("proposer")).alias("body"),
     )

@@ -18,6 +18,8 @@ CUTS = {name: TERMS for name in ("rk_bm25", "rk_match_search", "rk_match_all", "
 CUTS |= {"rk_corpus_recall": [*TERMS, (" WHERE matched >= 3)", ")")], "txt_phrases": [("[1:12]", "")]}
 GRAPH = [(" WHERE CAST(number AS BIGINT) < 1400", ""), (" FROM agenda WHERE group_id < 60", " FROM agenda"), (" FROM agenda WHERE group_id < 80", " FROM agenda"), (" FROM agenda WHERE group_id < 200", " FROM agenda")]
 CUTS |= {name: GRAPH for name in ("gr_nodes", "gr_node_conflicts", "gr_edges", "gr_unresolved", "gr_issue_links", "gr_counts_hash", "pl_research", "gr_evidence_records", "gr_fingerprint", "pl_overview", "pl_result_page")}
+GATE = [(" WHERE CAST(number AS BIGINT) % 7 = 0", "")]
+CUTS |= {name: GATE for name in ("rk_relevance_gate", "rk_gate_rank", "rk_gate_decisions", "rk_tier_select", "ag_rejections")}
 
 
 @pytest.fixture(scope="module")
