@@ -88,7 +88,7 @@ def flt_month_tiling(t: Tables) -> DataFrame:
 )
 def flt_collapse_months(t: Tables) -> DataFrame:
     """A year with all its months becomes one key."""
-    m = t.entities.where(F.col("number").cast("long") % 8 < 2).select("committee", F.year("proposed_at").cast("long").alias("y"), F.month("proposed_at").alias("mo"))
+    m = t.entities.select("committee", F.year("proposed_at").cast("long").alias("y"), F.month("proposed_at").alias("mo"))
     years = m.groupBy("committee", "y").agg(F.array_sort(F.collect_set("mo")).alias("months"))
     keys = F.when(F.size("months") == 12, F.array(F.col("y").cast("string"))).otherwise(F.transform("months", lambda k: F.concat(F.col("y").cast("string"), F.lit("-"), F.lpad(k.cast("string"), 2, "0"))))
     return years.select("committee", "y", F.explode(keys).alias("key"))

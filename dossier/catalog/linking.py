@@ -12,7 +12,7 @@ from dossier.views import Tables
 
 @query("jn_context", "SELECT h.turn_id AS hit, t.turn_id, t.seq - h.seq AS delta, t.role FROM turns h JOIN turns t ON h.group_id = t.group_id AND t.seq BETWEEN h.seq - 1 AND h.seq + 2 WHERE h.group_id % 5 = 0 AND h.seq % 3 = 1")
 def jn_context(t: Tables) -> DataFrame:
-    return linking.context(t.turns, t.turns.where("group_id % 5 = 0 and seq % 3 = 1"), 1, 2)
+    return linking.context(t.turns, t.turns, 1, 2)
 
 
 @query("jn_adjacent", "SELECT turn_id, lag(text) OVER w AS previous_text, lead(text) OVER w AS next_text FROM turns WINDOW w AS (PARTITION BY group_id ORDER BY seq)")
@@ -49,7 +49,7 @@ def jn_explicit_mentions(t: Tables) -> DataFrame:
 
 @query("jn_hydrate", "SELECT turn_id, role, m.kind, m.url || '#' || CAST(seq AS VARCHAR) AS citation, m.held_on FROM turns JOIN meetings m USING (group_id) WHERE seq < 3")
 def jn_hydrate(t: Tables) -> DataFrame:
-    joined = t.turns.where("seq < 3").select("turn_id", "role", "seq", "group_id").join(t.meetings, "group_id")
+    joined = t.turns.select("turn_id", "role", "seq", "group_id").join(t.meetings, "group_id")
     return joined.select("turn_id", "role", "kind", F.concat("url", F.lit("#"), F.col("seq").cast("string")).alias("citation"), "held_on")
 
 
@@ -75,7 +75,7 @@ ROLE_SQL = """
 @query("jn_role_match", f"WITH {ROLE_SQL} SELECT query_id, group_id, representative, co, CASE WHEN representative THEN 'proposer:representative' ELSE 'proposer:co' END AS reason FROM hits")
 def jn_role_match(t: Tables) -> DataFrame:
     """The first proposer of an agenda represents it, the others support it; names match whole."""
-    wanted = t.raw("supplier").where("s_suppkey < 40").select((F.col("s_suppkey") % 20).alias("query_id"), F.col("s_name").alias("proposer")).distinct()
+    wanted = t.raw("supplier").select((F.col("s_suppkey") % 20).alias("query_id"), F.col("s_name").alias("proposer")).distinct()
     hits = t.agenda.select("group_id", "proposer", (F.col("seq") == 1).alias("first")).join(wanted, "proposer").groupBy("query_id", "group_id").agg(F.bool_or("first").alias("representative"), F.bool_or(~F.col("first")).alias("co"))
     return hits.withColumn("reason", F.when(F.col("representative"), "proposer:representative").otherwise("proposer:co"))
 
@@ -102,7 +102,7 @@ def jn_exact_mapping(t: Tables) -> DataFrame:
     docs = t.raw("documents")
     copy = F.row_number().over(Window.partitionBy("identity").orderBy("doc_id"))
     cand = docs.select((F.col("doc_id") % 400).alias("identity"), "doc_id", F.when(F.col("doc_id") % 11 == 0, "moved").otherwise(F.col("source")).alias("url")).withColumn("copy", copy)
-    work = docs.where("doc_id % 3 != 0 and doc_id < 900").groupBy((F.col("doc_id") % 450).alias("identity")).agg(F.count("*").alias("targets"), F.min("source").alias("work_url"))
+    work = docs.where("doc_id % 3 != 0").groupBy((F.col("doc_id") % 450).alias("identity")).agg(F.count("*").alias("targets"), F.min("source").alias("work_url"))
     outcome = F.when(F.col("copy") > 1, "duplicate").when(F.col("targets").isNull(), "unmapped").when(F.col("targets") > 1, "ambiguous").when(F.col("url") != F.col("work_url"), "url_mismatch").otherwise("mapped")
     return cand.join(work, "identity", "left").select("doc_id", outcome.alias("outcome"))
 
@@ -116,7 +116,7 @@ def jn_exact_mapping(t: Tables) -> DataFrame:
 def jn_title_binding(t: Tables) -> DataFrame:
     """A turn is bound to an agenda item only if the title is equal and the exact number agrees on one."""
     number = F.when(F.col("l_partkey") % 3 == 0, F.lpad(F.col("l_partkey").cast("string"), 7, "0"))
-    asked = t.raw("lineitem").where("l_orderkey % 10 = 0").join(t.raw("part"), F.col("l_partkey") == F.col("p_partkey")).select(
+    asked = t.raw("lineitem").join(t.raw("part"), F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").cast("long").alias("k"), F.col("p_name").alias("title"), number.alias("asked_number"), "l_suppkey"
     )
     joined = asked.join(t.agenda.select("group_id", "title", "number"), ["group_id", "title"])
@@ -142,9 +142,9 @@ def jn_status_overlay(t: Tables) -> DataFrame:
 
 @query("jn_agenda_gaps", "WITH a AS (SELECT group_id, seq, title FROM agenda WHERE CAST(number AS BIGINT) % 4 = 0), e AS (SELECT p_name AS title, count(DISTINCT p_partkey) AS n FROM part WHERE p_partkey % 50 = 0 GROUP BY 1) SELECT group_id, seq, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'inferred_unresolved' ELSE 'ambiguous' END AS gap FROM a LEFT JOIN e USING (title)")
 def jn_agenda_gaps(t: Tables) -> DataFrame:
-    titles = t.raw("part").where("p_partkey % 50 = 0").groupBy(F.col("p_name").alias("title")).agg(F.count_distinct("p_partkey").alias("n"))
+    titles = t.raw("part").groupBy(F.col("p_name").alias("title")).agg(F.count_distinct("p_partkey").alias("n"))
     gap = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "inferred_unresolved").otherwise("ambiguous")
-    return t.agenda.where(F.col("number").cast("long") % 4 == 0).select("group_id", "seq", "title").join(titles, "title", "left").select("group_id", "seq", gap.alias("gap"))
+    return t.agenda.select("group_id", "seq", "title").join(titles, "title", "left").select("group_id", "seq", gap.alias("gap"))
 
 
 @query(
@@ -174,7 +174,7 @@ def jn_entity_links(t: Tables) -> DataFrame:
 )
 def jn_exact_enforce(t: Tables) -> DataFrame:
     """Entities, then links, then turns are each cut down to what the exact numbers reach."""
-    wanted = t.agenda.where(F.col("number").cast("long") % 9 == 0).select("number").distinct()
+    wanted = t.agenda.select("number").distinct()
     entities = t.entities.join(wanted, "number", "left_semi").select("number")
     links = t.links.join(entities, "number", "left_semi").select("turn_id", "group_id").distinct()
     turns = t.turns.select("group_id", "turn_id").join(links.select("group_id").distinct(), "group_id", "left_semi")

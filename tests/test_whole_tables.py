@@ -6,7 +6,7 @@ import pytest
 from oracle import connect, difference
 
 from dossier import registry
-from dossier.catalog import evidence
+from dossier.catalog import evidence, linking
 from dossier.views import Tables
 
 SQL = registry.oracle_sql()
@@ -20,6 +20,12 @@ GRAPH = [(" WHERE CAST(number AS BIGINT) < 1400", ""), (" FROM agenda WHERE grou
 CUTS |= {name: GRAPH for name in ("gr_nodes", "gr_node_conflicts", "gr_edges", "gr_unresolved", "gr_issue_links", "gr_counts_hash", "pl_research", "gr_evidence_records", "gr_fingerprint", "pl_overview", "pl_result_page")}
 GATE = [(" WHERE CAST(number AS BIGINT) % 7 = 0", "")]
 CUTS |= {name: GATE for name in ("rk_relevance_gate", "rk_gate_rank", "rk_gate_decisions", "rk_tier_select", "ag_rejections")}
+CUTS |= {
+    "jn_context": [(" WHERE h.group_id % 5 = 0 AND h.seq % 3 = 1", "")], "jn_hydrate": [(" WHERE seq < 3", "")], "jn_role_match": [(" WHERE s_suppkey < 40", "")],
+    "jn_exact_mapping": [(" AND doc_id < 900", "")], "jn_title_binding": [(" WHERE l_orderkey % 10 = 0", "")], "jn_agenda_gaps": [(" WHERE CAST(number AS BIGINT) % 4 = 0", ""), (" WHERE p_partkey % 50 = 0", "")],
+    "jn_exact_enforce": [(" WHERE CAST(number AS BIGINT) % 9 = 0", "")], "flt_collapse_months": [(" WHERE CAST(number AS BIGINT) % 8 < 2", "")], "ag_merge_inventory": [(" WHERE group_id % 3 = 0", "")],
+    "so_unique_last": [(" WHERE user_id % 7 != 0", "")],
+}
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +68,14 @@ def test_ends_of_agenda_edges_with_high_ids(spark):
     gaps = {r.source: r.gap for r in bad.where("edge_type = 'agenda_for_bill'").collect()}
     assert gaps == {"agenda:0008000": "missing_target", "agenda:0009000": "missing_source", "agenda:0007000": "missing_both"}
     assert evidence.evidence_records(t).where("evidence_type = 'agendas'").count() == 6
+
+
+def test_proposers_and_work_items_with_high_ids(spark):
+    made = lambda schema, *data: spark.createDataFrame(list(data), schema)
+    t = Small(spark, {
+        "supplier": made("s_suppkey long, s_name string", (5, "low"), (57, "high")), "part": made("p_partkey long, p_name string", (1, "p")),
+        "lineitem": made("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_extendedprice double, l_shipdate string", (9, 1, 57, 1, 1.0, "1997-01-02"), (9, 1, 5, 2, 1.0, "1997-01-02")),
+        "documents": made("doc_id long, source string", (50, "web"), (950, "web")),
+    })
+    assert sorted((r.query_id, r.group_id, r.reason) for r in linking.jn_role_match(t).collect()) == [(5, 9, "proposer:co"), (17, 9, "proposer:representative")]
+    assert {r.doc_id: r.outcome for r in linking.jn_exact_mapping(t).where("doc_id = 50").collect()} == {50: "ambiguous"}
