@@ -16,9 +16,11 @@ from dossier.llm.shared import bind
 SENTENCES = {
     "apache2-name": "licensed under the apache license version 2 0",
     "apache2-name-the": "licensed under the apache license version 2 0 the license",
+    "apache2-name-comply": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
     "apache2-comply": "you may not use this file except in compliance with the license",
     "apache2-copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
     "apache2-asis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache2-copy-asis": "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache2-see": "see the license for the specific language governing permissions and limitations under the license",
     "mit-name": "released under the mit license",
     "mit-name-licensed": "licensed under the mit license",
@@ -36,6 +38,7 @@ SENTENCES = {
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "spdx-apache2": "spdx license identifier apache 2 0",
     "spdx-mit": "spdx license identifier mit",
     "spdx-gpl3": "spdx license identifier gpl 3 0 or later",
@@ -44,8 +47,11 @@ SENTENCES = {
 RULES = [
     ("Apache-2.0", ["apache2-name"]),
     ("Apache-2.0", ["apache2-name-the", "apache2-comply", "apache2-asis", "apache2-see"]),
+    ("Apache-2.0", ["apache2-name-comply", "apache2-asis", "apache2-see"]),
+    ("Apache-2.0", ["apache2-name-comply", "apache2-copy-asis", "apache2-see"]),
     ("Apache-2.0", ["spdx-apache2"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("CC-BY-4.0", ["ccby4-name"]),
     ("CC-BY-4.0", ["ccby4-work"]),
     ("CC-BY-NC-4.0", ["ccbync4-name"]),
@@ -67,29 +73,60 @@ PARAGRAPH_END = r"[.!?:]+[ \t\r\n]*\n[ \t\r]*\n|[.!?]+[ \t\r\n]+|\n[ \t\r]*\n"
 STEMS = "licen|permi|provided|distribut"
 
 
+def _identifier(sentence: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)))
+    return F.try_element_at(known, F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " ")))
+
+
 def _identified(lowered: Column, end: str) -> Column:
     sentences = F.filter(F.split(lowered, end, -1), lambda s: s.rlike(STEMS))
-    normal = F.transform(sentences, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    known = F.create_map(*(F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)))
-    return F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    return F.filter(F.transform(sentences, _identifier), lambda i: i.isNotNull())
+
+
+def _placed(lowered: Column, end: str) -> Column:
+    """The identifiers as (at, id), ``at`` the place of the sentence's first letter or digit."""
+
+    def place(pieces: Column, ends: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            def one(piece: Column) -> Column:
+                first = acc["at"] + F.char_length(F.regexp_extract(piece, "^[^a-z0-9]*", 0))
+                new = bind(F.when(piece.rlike(STEMS), _identifier(piece)), lambda name: F.when(name.isNotNull(), F.array(F.struct(first.alias("at"), name.alias("id")))).otherwise(none))
+                after = acc["at"] + F.char_length(piece) + F.coalesce(F.char_length(F.get(ends, i)), F.lit(0))
+                return F.struct(after.alias("at"), F.concat(acc["out"], new).alias("out"))
+
+            return bind(F.get(pieces, i), one)
+
+        none = F.array().cast("array<struct<at:int,id:string>>")
+        return F.aggregate(F.sequence(F.lit(0), F.size(pieces) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    return bind(F.regexp_extract_all(lowered, F.lit(end), F.lit(0)), lambda ends: bind(F.split(lowered, end, -1), lambda pieces: place(pieces, ends)))
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order, repeats included.
 
-    A line is taken to end a sentence; if more sentences are known when only empty lines do (the
-    text is wrapped), those count.
+    A line is taken to end a sentence, and again only an empty line (the text is wrapped); the
+    sentences known either way are merged by their places, those known both ways counted once.
     """
     lowered = F.lower(text)
     both = F.array(_identified(lowered, SENTENCE_END), _identified(lowered, PARAGRAPH_END))
-    longer = bind(both, lambda b: F.when(F.size(F.get(b, F.lit(1))) > F.size(F.get(b, F.lit(0))), F.get(b, F.lit(1))).otherwise(F.get(b, F.lit(0))))
-    return F.when(lowered.rlike(STEMS), longer).otherwise(F.array().cast("array<string>"))
+    merged = F.transform(F.array_sort(F.array_distinct(F.concat(_placed(lowered, SENTENCE_END), _placed(lowered, PARAGRAPH_END)))), lambda x: x["id"])
+
+    def choose(b: Column) -> Column:
+        lines, paragraphs = F.get(b, F.lit(0)), F.get(b, F.lit(1))
+        return F.when(F.size(lines) == 0, paragraphs).when(F.size(paragraphs) == 0, lines).otherwise(merged)
+
+    return F.when(lowered.rlike(STEMS), bind(both, choose)).otherwise(F.array().cast("array<string>"))
 
 
 def licences(ids: Column) -> Column:
-    """Names of the licences whose rules the identifier sequence meets, ascending and distinct."""
-    sequence = F.concat(F.lit(";"), F.array_join(ids, ";;"), F.lit(";"))
-    met = [F.when(sequence.like("%;" + ";%;".join(rule) + ";%"), F.lit(name)) for name, rule in RULES]
+    """Names of the licences whose rules the identifier sequence meets, ascending and distinct.
+
+    A binary clause that an endorsement clause follows belongs to BSD-3-Clause alone.
+    """
+    whole = F.concat(F.lit(";"), F.array_join(ids, ";;"), F.lit(";"))
+    two = F.regexp_replace(whole, ";bsd-binary;(?=(?:;(?!bsd-)[^;]*;)*;bsd-endorse;)", "")
+    met = [F.when((two if name == "BSD-2-Clause" else whole).like("%;" + ";%;".join(rule) + ";%"), F.lit(name)) for name, rule in RULES]
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*met))))
 
 
