@@ -193,16 +193,20 @@ def fit(found: DataFrame) -> Model:
     return Model(prior, trees, thresholds)
 
 
-def add_proposals(found: DataFrame, model: Model) -> DataFrame:
-    """``found`` with ``added``: proposals that the model accepts and that overlap no checked span."""
+def accepted_proposals(proposed: Column, base: Column, model: Model) -> Column:
+    """Named spans of the proposals that the model accepts and that overlap no checked span."""
 
     def chosen(c: Column) -> Column:
         limit = F.when(c["kind"] == "address", model.thresholds["address"]).otherwise(model.thresholds["number"])
         return model.column(features(c) | {"kind": F.when(c["kind"] == "number", 1).otherwise(0)}) >= limit - 1e-9
 
-    new = apart(F.col("proposed"), F.concat("email", "ip", "card", "phone"))
     plain = lambda c: F.struct(*(c[k].alias(k) for k in ("start", "rank", "end", "kind", "value")))
-    return found.withColumn("added", F.transform(F.filter(new, chosen), plain))
+    return F.transform(F.filter(apart(proposed, base), chosen), plain)
+
+
+def add_proposals(found: DataFrame, model: Model) -> DataFrame:
+    """``found`` with ``added``: proposals that the model accepts and that overlap no checked span."""
+    return found.withColumn("added", accepted_proposals(F.col("proposed"), F.concat("email", "ip", "card", "phone"), model))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,11 +224,17 @@ def all_spans() -> Column:
     return F.concat("email", "ip", "card", "phone", "added")
 
 
-def redact_pii(docs: DataFrame, text_col: str = "text", mark: str = "[PII]") -> DataFrame:
-    """``docs`` with the checked spans in ``text_col`` replaced by ``mark``; all else stays."""
+def redact_pii(docs: DataFrame, text_col: str = "text", mark: str = "[PII]", model: Model | None = None) -> DataFrame:
+    """``docs`` with the checked and added spans in ``text_col`` replaced by ``mark``; all else stays.
+
+    Without a ``model`` one is fitted to the candidates of all of ``docs``.
+    """
     name = fresh(docs, "pii_spans")
     text = F.col(text_col).cast("string")
-    found = docs.withColumn(name, F.concat(*base_spans(F.coalesce(text, F.lit(""))).values()))
+    model = model or fit(propose(docs, text_col, text_col))
+    full = F.coalesce(text, F.lit(""))
+    spans = bind(F.concat(*base_spans(full).values()), lambda base: F.concat(base, accepted_proposals(candidates(full), base, model)))
+    found = docs.withColumn(name, spans)
     return found.withColumn(text_col, redact(text, F.col(name), mark)).drop(name)
 
 

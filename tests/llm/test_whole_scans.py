@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import textwrap
 
-from dossier.llm import licenses
+from dossier.llm import licenses, pii
 
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
@@ -33,3 +33,18 @@ def test_licence_sentences_of_lines_and_paragraphs(spark):
     got = {r.doc_id: r for r in licenses.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i].licences for i in range(len(texts))] == [["Apache-2.0"], ["Apache-2.0"], ["BSD-2-Clause", "MIT"], ["BSD-3-Clause"], ["BSD-3-Clause"], ["BSD-2-Clause", "BSD-3-Clause"], ["Apache-2.0"]]
     assert got[2].sentence_ids == ["mit-name", "bsd-grant", "bsd-source", "bsd-binary"] and got[3].sentence_ids == ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]
+
+
+def test_added_spans_are_redacted(spark):
+    def card(k: int) -> str:
+        head = [int(c) for c in f"411111111{k:06d}"]
+        odd = sum(2 * d - 9 if d > 4 else 2 * d for d in head[::2]) + sum(head[1::2])
+        return "".join(map(str, head)) + str(-odd % 10)
+
+    mistyped = lambda c: c[:-1] + str((int(c[-1]) + 1) % 10)
+    cards = [card(7919 * k % 1_000_000) for k in range(300)]
+    rows = [(i, f"card {c} paid") for i, c in enumerate(cards)] + [(1000 + i, f"card {mistyped(c)} paid") for i, c in enumerate(cards[:5])]
+    docs = spark.createDataFrame([(i, t, "kept") for i, t in rows], "doc_id long, text string, email string")
+    assert all(len(r.added) == 1 for r in pii.find_pii(docs).where("doc_id >= 1000").collect())
+    got = {r.doc_id: (r.text, r.email) for r in pii.redact_pii(docs).collect()}
+    assert got == {i: ("card [PII] paid", "kept") for i, _ in rows}
