@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.shared import bind, fresh
-from dossier.llm.spans import apart, digest, matches, named, redact
+from dossier.llm.spans import digest, matches, named, outside, redact
 
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ASSIGN_VALUE = r"""(?i)^(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
@@ -22,8 +22,10 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Bits a character that the highest window must reach, by the candidate's class.
 THRESHOLDS = {"hex": 3.0, "letters": 4.1, "mixed": 3.7}
-#: A candidate that holds one of these in lower case is no secret.
+#: A part of a candidate, cut at = and /, that holds one of these in lower case is no secret.
 ALLOWED = ["example", "sample", "placeholder", "changeme", "your_", "your-", "xxxx", "0000000", "1234567", "abcdefg", "lorem", "-----", "_____", "====="]
+#: The longest stretches of a candidate without such parts.
+UNNAMED = rf"(?:/|(?<!=)={{1,4}}+(?!=)|(?<![A-Za-z0-9+_-])(?![A-Za-z0-9+_-]*?(?i:{'|'.join(ALLOWED)}))[A-Za-z0-9+_-]++)++"
 
 
 def highest_entropy(value: Column, window: int = WINDOW) -> Column:
@@ -54,15 +56,22 @@ def highest_entropy(value: Column, window: int = WINDOW) -> Column:
 
 def _suspicious(span: Column) -> Column:
     value = span["value"]
-    allowed = F.lit(False)
-    for word in ALLOWED:
-        allowed = allowed | F.lower(value).contains(word)
     limit = (
         F.when(value.rlike("^[0-9a-fA-F]+$") & value.rlike("[0-9]"), THRESHOLDS["hex"])
         .when(value.rlike("[0-9]") & value.rlike("[A-Za-z]"), THRESHOLDS["mixed"])
         .when(value.rlike("[a-z]") & value.rlike("[A-Z]"), THRESHOLDS["letters"])
     )
-    return F.coalesce(~allowed & (highest_entropy(value) >= limit), F.lit(False))
+    return F.coalesce(highest_entropy(value) >= limit, F.lit(False))
+
+
+def _unnamed(span: Column) -> Column:
+    """The span, or if it holds an allowed word its stretches of window length without one."""
+    value, allowed = span["value"], F.lit(False)
+    for word in ALLOWED:
+        allowed = allowed | F.lower(value).contains(word)
+    moved = lambda s: F.struct((s["start"] + span["start"]).alias("start"), (s["end"] + span["start"]).alias("end"), s["value"].alias("value"))
+    rest = F.filter(matches(value, UNNAMED), lambda s: F.char_length(s["value"]) >= WINDOW)
+    return F.when(allowed, F.transform(rest, moved)).otherwise(F.array(span))
 
 
 def base_spans(text: Column) -> tuple[Column, Column, Column]:
@@ -73,22 +82,22 @@ def base_spans(text: Column) -> tuple[Column, Column, Column]:
 
 
 def entropy_spans(text: Column) -> Column:
-    """Named spans of candidates whose highest window passes its class's threshold."""
-    return named(F.filter(matches(text, CANDIDATE), _suspicious), "entropy", 3)
+    """Named spans of candidates, less their allowed parts, whose highest window passes its class's threshold."""
+    return named(F.filter(F.flatten(F.transform(matches(text, CANDIDATE), _unnamed)), _suspicious), "entropy", 3)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, assign, access, hex, entropy)``: arrays of named spans for every row.
 
-    Spans are (start, rank, end, kind, value) in code points, end exclusive.  Entropy spans that
-    overlap one of the others are left out.  Null and empty texts have none; rows, ids (null or
+    Spans are (start, rank, end, kind, value) in code points, end exclusive.  Of entropy spans the
+    parts outside the others are given.  Null and empty texts have none; rows, ids (null or
     repeated) and their number stay as they are; other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     assign, access, hexes = base_spans(text)
     rows = rows.select("doc_id", assign.alias("assign"), access.alias("access"), hexes.alias("hex"), entropy_spans(text).alias("entropy"))
-    return rows.withColumn("entropy", apart(F.col("entropy"), F.concat("assign", "access", "hex")))
+    return rows.withColumn("entropy", outside(F.col("entropy"), F.concat("assign", "access", "hex")))
 
 
 def all_spans() -> Column:

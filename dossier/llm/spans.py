@@ -49,6 +49,26 @@ def apart(spans: Column, base: Column) -> Column:
     return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
 
+def outside(spans: Column, base: Column) -> Column:
+    """The parts of the named ``spans`` that lie outside ``base``."""
+
+    def parts(s: Column) -> Column:
+        def part(start: Column, end: Column) -> Column:
+            value = F.substring(s["value"], start - s["start"] + 1, end - start)
+            return F.struct(start.alias("start"), s["rank"].alias("rank"), end.alias("end"), s["kind"].alias("kind"), value.alias("value"))
+
+        def step(acc: Column, b: Column) -> Column:
+            out = F.when(b["start"] > acc["at"], F.concat(acc["out"], F.array(part(acc["at"], b["start"])))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), out.alias("out"))
+
+        own = F.array_sort(F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        first = F.struct(s["start"].alias("at"), none("struct<start:int,rank:int,end:int,kind:string,value:string>").alias("out"))
+        rest = lambda acc: F.when(acc["at"] < s["end"], F.concat(acc["out"], F.array(part(acc["at"], s["end"])))).otherwise(acc["out"])
+        return F.aggregate(own, first, step, rest)
+
+    return F.flatten(F.transform(spans, parts))
+
+
 def redact(text: Column, spans: Column, mark: str) -> Column:
     """``text`` with every stretch that spans cover replaced by ``mark``."""
 
