@@ -1,19 +1,34 @@
-"""Regular-expression matches with their code point positions, from DataFrame functions only."""
+"""Regular-expression matches with their code point positions, from DataFrame functions only.
+
+Everything is about linear in the text and its matches: running sums and running maxima are taken
+by doubling (log2 n passes of one ``transform``), never by appending to an array, and stretches of a
+long text are cut out of blocks of it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dossier.llm.shared import bind
 
 SPAN = "struct<start:int,end:int,value:string>"
+#: Characters of the blocks that stretches of a text are cut from.
+BLOCK = 4096
 
 
 def none(kind: str = SPAN) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """``values`` (ints) with each replaced by the join (an associative operation) of all up to it."""
+    steps = F.filter(F.lit([1 << k for k in range(31)]), lambda p: p < F.size(values))
+    return F.aggregate(steps, values, lambda acc, p: F.transform(acc, lambda x, i: F.when(i >= p, join(x, F.get(acc, i - p))).otherwise(x)))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` as array of (start, end, value); end is exclusive.
 
@@ -21,14 +36,9 @@ def matches(text: Column, pattern: str) -> Column:
     """
 
     def place(hits: Column, gaps: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.char_length(F.get(gaps, i))
-            end = start + F.char_length(F.get(hits, i))
-            span = F.struct(start.alias("start"), end.alias("end"), F.get(hits, i).alias("value"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-        first = F.struct(F.lit(0).alias("at"), none().alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), first, step, lambda acc: acc["out"])
+        lengths = F.transform(hits, lambda h, i: F.char_length(h) + F.char_length(F.get(gaps, i)))
+        span = lambda end, h: F.struct((end - F.char_length(h)).alias("start"), end.alias("end"), h.alias("value"))
+        return F.zip_with(running(lengths, lambda a, b: a + b), hits, span)
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return bind(found, lambda hits: F.when(F.size(hits) == 0, none()).otherwise(bind(F.split(text, pattern, -1), lambda gaps: place(hits, gaps))))
@@ -44,42 +54,84 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def covered(spans: Column) -> Column:
+    """What ``spans`` cover, as disjoint (start, end) in order; spans that touch stay apart."""
+
+    def merged(own: Column, reach: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(-1))
+        heads = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.get(own, i)["start"] >= before(i))
+        last = lambda heads, k: F.coalesce(F.get(heads, k + 1), F.size(own)) - 1
+        return bind(heads, lambda h: F.transform(h, lambda i, k: F.struct(F.get(own, i)["start"].alias("start"), F.get(reach, last(h, k)).alias("end"))))
+
+    empty = none("struct<start:int,end:int>")
+    ends = lambda own: running(F.transform(own, lambda s: s["end"]), F.greatest)
+    sorted_spans = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.when(F.size(spans) == 0, empty).otherwise(bind(sorted_spans, lambda own: bind(ends(own), lambda reach: merged(own, reach))))
+
+
+def _leading(cover: Column, holds: Callable[[Column], Column]) -> Column:
+    """How many of the first elements ``holds`` is true of, by halving; after the first false one it is false."""
+    steps = F.lit([1 << k for k in reversed(range(31))])
+    return F.aggregate(steps, F.lit(0), lambda at, p: F.when((p <= F.size(cover) - at) & holds(F.get(cover, at + p - 1)), at + p).otherwise(at))
+
+
+def _first_beyond(cover: Column, place: Column) -> Column:
+    """How many of the disjoint ``cover`` end at or before ``place``."""
+    return _leading(cover, lambda c: c["end"] <= place)
+
+
 def apart(spans: Column, base: Column) -> Column:
     """Those of ``spans`` that overlap none of ``base``."""
-    return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = lambda cover, s: F.coalesce(F.get(cover, _first_beyond(cover, s["start"]))["start"] >= s["end"], F.lit(True))
+    chosen = bind(covered(base), lambda cover: F.filter(spans, lambda s: free(cover, s)))
+    return F.when((F.size(spans) == 0) | (F.size(base) == 0), spans).otherwise(chosen)
 
 
 def outside(spans: Column, base: Column) -> Column:
     """The parts of the named ``spans`` that lie outside ``base``."""
 
-    def parts(s: Column) -> Column:
-        def part(start: Column, end: Column) -> Column:
-            value = F.substring(s["value"], start - s["start"] + 1, end - start)
-            return F.struct(start.alias("start"), s["rank"].alias("rank"), end.alias("end"), s["kind"].alias("kind"), value.alias("value"))
+    def parts(s: Column, cover: Column) -> Column:
+        def cut(low: Column, high: Column) -> Column:
+            # the gaps between the covered stretches from number low to high (exclusive), within the span
+            start = lambda i: F.when(i == low, s["start"]).otherwise(F.greatest(F.get(cover, i - 1)["end"], s["start"]))
+            end = lambda i: F.when(i == high, s["end"]).otherwise(F.least(F.get(cover, i)["start"], s["end"]))
+            part = lambda a, b: F.struct(a.alias("start"), s["rank"].alias("rank"), b.alias("end"), s["kind"].alias("kind"), stretch(s["value"], a - s["start"], b - s["start"]).alias("value"))
+            return F.filter(F.transform(F.sequence(low, high), lambda i: part(start(i), end(i))), lambda p: p["start"] < p["end"])
+
+        high = _leading(cover, lambda c: c["start"] < s["end"])
+        return bind(F.struct(_first_beyond(cover, s["start"]).alias("low"), high.alias("high")), lambda x: cut(x["low"], F.greatest(x["low"], x["high"])))
+
+    every = bind(covered(base), lambda cover: F.flatten(F.transform(spans, lambda s: parts(s, cover))))
+    return F.when((F.size(spans) == 0) | (F.size(base) == 0), spans).otherwise(every)
 
-        def step(acc: Column, b: Column) -> Column:
-            out = F.when(b["start"] > acc["at"], F.concat(acc["out"], F.array(part(acc["at"], b["start"])))).otherwise(acc["out"])
-            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), out.alias("out"))
 
-        own = F.array_sort(F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        first = F.struct(s["start"].alias("at"), none("struct<start:int,rank:int,end:int,kind:string,value:string>").alias("out"))
-        rest = lambda acc: F.when(acc["at"] < s["end"], F.concat(acc["out"], F.array(part(acc["at"], s["end"])))).otherwise(acc["out"])
-        return F.aggregate(own, first, step, rest)
+def stretch(text: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` (exclusive) of ``text``."""
+    return F.substring(text, start + 1, end - start)
 
-    return F.flatten(F.transform(spans, parts))
+
+def _cutter(text: Column, blocks: Column) -> Callable[[Column, Column], Column]:
+    """A function that cuts stretches out of ``text`` by way of its ``blocks`` where it has more than one."""
+
+    def cut(start: Column, end: Column) -> Column:
+        low, high = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+        one = stretch(F.get(blocks, low), start - low * BLOCK, end - low * BLOCK)
+        more = F.concat(
+            stretch(F.get(blocks, low), start - low * BLOCK, F.lit(BLOCK)), F.array_join(F.slice(blocks, low + 2, F.greatest(high - low - 1, F.lit(0))), ""),
+            F.coalesce(stretch(F.get(blocks, high), F.lit(0), end - high * BLOCK), F.lit("")),
+        )
+        return F.when(start >= end, "").when(F.size(blocks) < 2, stretch(text, start, end)).when(low == high, one).otherwise(more)
+
+    return cut
 
 
 def redact(text: Column, spans: Column, mark: str) -> Column:
     """``text`` with every stretch that spans cover replaced by ``mark``."""
 
-    def step(acc: Column, s: Column) -> Column:
-        cut = F.greatest(acc["at"], s["start"])
-        kept = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(
-            F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(kept, F.lit(mark))).otherwise("")).alias("out"), F.greatest(cut, s["end"]).alias("at")
-        )
-
-    end = F.lit(2**31 - 1)
-    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    done = F.aggregate(F.array_sort(spans), first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, end)))
-    return F.when(F.size(spans) == 0, text).otherwise(done)
+    def done(cover: Column, blocks: Column) -> Column:
+        cut = _cutter(text, blocks)
+        kept = lambda s, i: F.concat(cut(F.coalesce(F.get(cover, i - 1)["end"], F.lit(0)), s["start"]), F.lit(mark))
+        return F.concat(F.array_join(F.transform(cover, kept), ""), cut(F.element_at(cover, -1)["end"], F.char_length(text)))
+
+    blocks = F.when(F.char_length(text) > BLOCK, F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))).otherwise(F.array(text))
+    return F.when(F.size(spans) == 0, text).otherwise(bind(covered(spans), lambda cover: bind(blocks, lambda b: done(cover, b))))
