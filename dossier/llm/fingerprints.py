@@ -1,12 +1,15 @@
 """Operator 2: order MinHash of documents.
 
-A text's tokens (runs without white space, in pieces of at most 16 characters) give k-mers of three
-tokens.  Equal k-mers are numbered by occurrence, and the hash of (k-mer, occurrence) puts each
-in one of 32 bins.  A bin keeps its two smallest, puts them in the order they have in the text and
-hashes that tuple, so moved passages change the signature where a set of k-mers would not.
-
-One hash serves all bins (one permutation), so the work is a sort of the document's k-mers.  Only
-DataFrame functions; the arrays hold packed longs: a hash above, the position in the low 28 bits.
+A k-mer is 16 characters from a word's start on, and in runs of characters without white space from
+every character on that has 16 such before it, so texts without spaces have their k-mers too and
+an edit changes only those around it.  Equal k-mers are numbered by occurrence.  Each of 32 slots has
+a permutation of its own of the (k-mer, occurrence) pairs and one bit of it that splits them in two;
+the least pair of each half is selected, the two are put in the order they have in the text, and
+their tuple is hashed.  Moved passages change that order where a set of k-mers would not notice.
+
+Only DataFrame functions.  A document's k-mers become rows for as long as the map side of one
+aggregation takes, which keeps 64 running minima a document in generated code; what is shuffled is
+those minima.
 """
 
 from __future__ import annotations
@@ -14,78 +17,100 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.shared import bind
+from dossier.llm.shared import bind, fresh
 
-TOKEN = r"\S{1,16}"
-K = 3
-BINS = 32
-KEPT = 2
+K = 16
+#: A match takes a word's first 16 characters or, further on in a word, one; its k-mer is looked ahead for.
+KMER = rf"(?s)(?=(\S.{{0,{K - 1}}}))(?:(?<!\S)\S{{1,{K}}}|(?<=\S)\S)"
+SLOTS = 32
 POSITION = (1 << 28) - 1
-WIDTH = 8  # hex digits of a bin
+WIDTH = 8  # hex digits of a slot
 EMPTY = "-" * WIDTH
 
 
-def _kmer(tokens: Column, i: Column) -> Column:
-    """Hash of the k-mer at a place; tokens beyond the end of a short text count as null."""
-    return F.xxhash64(*(F.get(tokens, i + j) for j in range(K)))
-
-
 def _packed(value: Column, position: Column) -> Column:
     return F.shiftleft(value, 28).bitwiseOR(position.cast("long"))
 
 
-def order_min_hash(text: Column) -> Column:
-    """The signature of a text: 32 times 8 hex digits; a bin without k-mers is dashes, no tokens give ''."""
+def kmers(text: Column) -> Column:
+    """The k-mers of a text as array of (hash of k-mer and occurrence number, position), in no order."""
+
+    def numbered(hashes: Column) -> Column:
+        """Where k-mers repeat: sorted, so that equal ones are neighbours with ascending positions."""
+        head = lambda a, i: F.shiftrightunsigned(F.get(a, i), 28)
+
+        def runs(packed: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(packed) - 1), lambda i: (i == 0) | (head(packed, i) != F.coalesce(head(packed, i - 1), F.lit(-1))))
 
-    def of_tokens(tokens: Column) -> Column:
-        last = F.greatest(F.size(tokens) - K, F.lit(0))
-        kmers = F.sort_array(F.transform(F.sequence(F.lit(0), last), lambda i: _packed(_kmer(tokens, i), i)))
-        return F.when(F.size(tokens) == 0, F.lit("")).otherwise(bind(kmers, lambda a: bind(numbered(a), lambda b: signature(tokens, b))))
+            def one(starts: Column) -> Column:
+                pair = lambda i, first: F.struct(F.xxhash64(head(packed, i), i - first).alias("hash"), F.get(packed, i).bitwiseAND(POSITION).cast("int").alias("at"))
+                run = lambda first, r: F.transform(F.sequence(first, F.coalesce(F.get(starts, r + 1), F.size(packed)) - 1), lambda i: pair(i, first))
+                return F.flatten(F.transform(starts, run))
 
-    def numbered(kmers: Column) -> Column:
-        """Sorted (bin and order, position) of every k-mer with its occurrence number."""
-        head = lambda i: F.shiftrightunsigned(F.get(kmers, i), 28)
-        places = F.sequence(F.lit(0), F.size(kmers) - 1)
-        starts = F.filter(places, lambda i: (i == 0) | (head(i) != F.coalesce(head(i - 1), F.lit(-1))))
+            return bind(starts, one)
 
-        def run(starts: Column) -> Column:
-            def one(start: Column, r: Column) -> Column:
-                end = F.coalesce(F.get(starts, r + 1), F.size(kmers)) - 1
-                value = head(start)
-                return F.transform(F.sequence(start, end), lambda i: _packed(F.xxhash64(value, i - start), F.get(kmers, i).bitwiseAND(POSITION)))
+        return bind(F.sort_array(F.transform(hashes, _packed)), runs)
 
-            return F.sort_array(F.flatten(F.transform(starts, one)))
+    low = lambda h: F.shiftrightunsigned(F.shiftleft(h, 28), 28)
+    alone = lambda hashes: F.transform(hashes, lambda h, i: F.struct(F.xxhash64(h, F.lit(0)).alias("hash"), i.alias("at")))
+    hashes = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(KMER), F.lit(1)), lambda k: low(F.xxhash64(k)))
+    return bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), alone(h)).otherwise(numbered(h)))
 
-        return bind(starts, run)
 
-    def signature(tokens: Column, entries: Column) -> Column:
-        bin_of = lambda x: F.shiftrightunsigned(x, 59)
-        least = F.filter(entries, lambda x, i: (i < KEPT) | (bin_of(F.get(entries, F.greatest(i - KEPT, F.lit(0)))) != bin_of(x)))
+def _slots(hash: Column, at: Column) -> list[Column]:
+    """The running minima of all slots: 36 bits of the permuted hash above the position, for each half."""
+    out = []
+    for slot in range(SLOTS):
+        permuted = F.xxhash64(hash, F.lit(slot))
+        value = F.shiftleft(F.shiftrightunsigned(permuted, 29), 28).bitwiseOR(at.cast("long"))
+        for half in (0, 1):
+            out.append(F.min(F.when((permuted < 0) == F.lit(bool(half)), value)).alias(f"slot_{slot}_{half}"))
+    return out
 
-        def one_bin(kept: Column, b: Column) -> Column:
-            own = F.sort_array(F.transform(F.filter(kept, lambda x: bin_of(x) == b), lambda x: x.bitwiseAND(POSITION)))
-            tuple_hash = lambda p: F.xxhash64(F.transform(p, lambda i: _kmer(tokens, i.cast("int"))))
-            digits = lambda p: F.lower(F.right(F.lpad(F.hex(tuple_hash(p)), 16, "0"), F.lit(WIDTH)))
-            return bind(own, lambda p: F.when(F.size(p) == 0, F.lit(EMPTY)).otherwise(digits(p)))
 
-        return bind(least, lambda kept: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: one_bin(kept, b)), ""))
+def _signature() -> Column:
+    """32 times 8 hex digits from the minima; a slot without k-mers is dashes, no k-mers at all give ''."""
+    digits = []
+    for slot in range(SLOTS):
+        low, high = F.col(f"slot_{slot}_0"), F.col(f"slot_{slot}_1")
+        place, what = lambda x: x.bitwiseAND(POSITION), lambda x: F.shiftrightunsigned(x, 28)
+        one, two = F.when(place(low) <= place(high), what(low)).when(high.isNull(), what(low)).otherwise(what(high)), F.when(place(low) <= place(high), what(high)).when(high.isNull(), None).otherwise(what(low))
+        hashed = F.lower(F.right(F.lpad(F.hex(F.xxhash64(one, two)), 16, "0"), F.lit(WIDTH)))
+        digits.append(F.when(low.isNull() & high.isNull(), EMPTY).otherwise(hashed))
+    return F.when(F.coalesce(*(F.col(f"slot_0_{h}") for h in (0, 1))).isNull(), "").otherwise(F.concat(*digits))
 
-    return bind(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), of_tokens)
+
+def order_min_hash(rows: DataFrame, text: str, into: str) -> DataFrame:
+    """``rows`` with the column ``text`` replaced by its signature ``into``; all other columns are kept.
+
+    The signature is 32 times 8 hex digits, equal for equal texts; texts of white space alone, empty
+    and null texts give ''.
+    """
+    if into.lower() in {c.lower() for c in rows.columns if c != text}:
+        raise ValueError(f"there is a column {into} already")
+    kept, number = [c for c in rows.columns if c != text], fresh(rows, "row_number")
+    found = rows.withColumn(number, F.monotonically_increasing_id()).select(*kept, number, F.explode_outer(kmers(F.col(text))).alias(text))
+    least = found.groupBy(number, *kept).agg(*_slots(F.col(f"{text}.hash"), F.col(f"{text}.at")))
+    return least.select(*kept, _signature().alias(into))
 
 
 def likeness(one: Column, other: Column) -> Column:
-    """Share of equal bins among those that either text fills, 0 to 1; two texts without tokens: 1."""
+    """Share of equal slots among those that either text fills, 0 to 1; two texts without k-mers: 1."""
     part = lambda s, b: F.substring(s, b * WIDTH + 1, WIDTH)
-    bins = F.sequence(F.lit(0), F.lit(BINS - 1))
-    filled = F.size(F.filter(bins, lambda b: (part(one, b) != EMPTY) | (part(other, b) != EMPTY)))
-    equal = F.size(F.filter(bins, lambda b: (part(one, b) == part(other, b)) & (part(one, b) != EMPTY)))
+    slots = F.sequence(F.lit(0), F.lit(SLOTS - 1))
+    filled = F.size(F.filter(slots, lambda b: (part(one, b) != EMPTY) | (part(other, b) != EMPTY)))
+    equal = F.size(F.filter(slots, lambda b: (part(one, b) == part(other, b)) & (part(one, b) != EMPTY)))
     return F.when((one == "") & (other == ""), 1.0).when((one == "") | (other == ""), 0.0).otherwise(equal / filled)
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, fingerprint)`` for every row; null texts are empty, null and repeated ids stay."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("fingerprint", order_min_hash(F.col("text")))
+    """``(doc_id, fingerprint)`` for every row.
+
+    Null and empty texts have the fingerprint ''; null and repeated ids and repeated rows stay; an empty
+    table gives no rows; other columns are not read, whatever their names.  Very long texts take time
+    in proportion to their length.
+    """
+    return order_min_hash(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text", "fingerprint")
 
 
 def _rank_in(values: list[int], x: Column) -> Column:
@@ -97,36 +122,41 @@ def _rank_in(values: list[int], x: Column) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
 
 
-def with_next(rows: DataFrame, carry: list[str], buckets: int | None = None) -> DataFrame:
-    """``rows`` with ``next_<c>`` of the following row by ``doc_id`` for each c of ``carry``; after the last the first.
+def with_next(rows: DataFrame, carry: list[str], id_col: str = "doc_id", tie_col: str = "text", buckets: int | None = None) -> DataFrame:
+    """``rows`` with ``next_<c>`` of the following row by ``id_col`` (an integer) for each c of ``carry``; after the last the first.
 
     Rows are dealt to buckets by ranges of the id, whose bounds are percentiles; the first row of a
     bucket is also sent to the bucket before it.  What is broadcast are two numbers a bucket.  Null
-    ids come first; equal ids are ordered by the text's hash.
+    ids come first; equal ids are ordered by the hash of ``tie_col``.  All columns of ``rows`` stay as
+    they are, whatever their names; ``next_<c>`` must be new.  An empty table gives no rows.
     """
+    if clash := {f"next_{c}".lower() for c in carry} & {c.lower() for c in rows.columns}:
+        raise ValueError(f"there are columns {sorted(clash)} already")
     spark = rows.sparkSession
     if buckets is None:
         buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.withColumn("tie", F.xxhash64("text"))
-    shares = [k / buckets for k in range(1, buckets)]
-    bounds = keyed.agg(F.percentile_approx("doc_id", F.lit(shares), F.lit(max(1000, 10 * buckets)))).first()[0] or []
-    bounds = sorted(set(bounds))
-    bucket = _rank_in(bounds, F.col("doc_id")).cast("int")
-    firsts = {r.bucket: r.first for r in keyed.select(bucket.alias("bucket"), F.struct("doc_id", "tie").alias("row")).groupBy("bucket").agg(F.min("row").alias("first")).collect()}
+    tie, at_bucket, deal = (fresh(rows, f"{name}_of_row") for name in ("tie", "bucket", "deal"))
+    keyed = rows.withColumn(tie, F.xxhash64(tie_col))
+    shares = [k / buckets for k in range(1, buckets)] or [0.5]
+    bounds = keyed.agg(F.percentile_approx(id_col, F.lit(shares), F.lit(max(1000, 10 * buckets)))).first()[0] or []
+    bounds = sorted(set(bounds)) if buckets > 1 else []
+    bucket = _rank_in(bounds, F.col(id_col)).cast("int")
+    found = keyed.select(bucket.alias("bucket"), F.struct(F.col(id_col).alias("id"), F.col(tie).alias("tie")).alias("row")).groupBy("bucket").agg(F.min("row").alias("first")).collect()
+    firsts = {r.bucket: r.first for r in found}
     if not firsts:
         return rows.select("*", *(F.col(c).alias(f"next_{c}") for c in carry))
     order = sorted(firsts)
     ids, ties, before = [None] * (len(bounds) + 1), [None] * (len(bounds) + 1), [0] * (len(bounds) + 1)
     for k, b in enumerate(order):
-        ids[b], ties[b], before[b] = firsts[b].doc_id, firsts[b].tie, order[k - 1]
-    at = lambda values, kind: F.get(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), F.col("bucket"))
-    is_first = F.col("doc_id").eqNullSafe(at(ids, "long")) & (F.col("tie") == at(ties, "long"))
-    own = F.struct(F.col("bucket").alias("to"), F.lit(False).alias("guard"))
+        ids[b], ties[b], before[b] = firsts[b].id, firsts[b].tie, order[k - 1]
+    at = lambda values, kind: F.get(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), F.col(at_bucket))
+    is_first = F.col(id_col).eqNullSafe(at(ids, "long")) & (F.col(tie) == at(ties, "long"))
+    own = F.struct(F.col(at_bucket).alias("to"), F.lit(False).alias("guard"))
     guard = F.struct(at(before, "int").alias("to"), F.lit(True).alias("guard"))
-    dealt = keyed.withColumn("bucket", bucket).withColumn("deal", F.explode(F.when(is_first, F.array(own, guard)).otherwise(F.array(own))))
-    window = Window.partitionBy("deal.to").orderBy("deal.guard", F.col("doc_id").asc_nulls_first(), "tie")
+    dealt = keyed.withColumn(at_bucket, bucket).withColumn(deal, F.explode(F.when(is_first, F.array(own, guard)).otherwise(F.array(own))))
+    window = Window.partitionBy(f"{deal}.to").orderBy(f"{deal}.guard", F.col(id_col).asc_nulls_first(), tie)
     followed = dealt.select("*", *(F.lead(c).over(window).alias(f"next_{c}") for c in carry))
-    return followed.where(~F.col("deal.guard")).drop("deal", "bucket", "tie")
+    return followed.where(~F.col(f"{deal}.guard")).drop(deal, at_bucket, tie)
 
 
 def edited_text() -> Column:
