@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.components import connected_components
@@ -144,6 +144,14 @@ def links(fingerprints: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.select("key", "pair", "fp").mapInArrow(compare, "a long, b long")
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, fp)`` of every row, and ``(fp, root, doc_id)``: each fingerprint's class and smallest id."""
+    own = written(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col).cast("string")).alias("fp")), "fingerprints")
+    by_fp = written(own.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct-fingerprints")
+    roots = connected_components(links(by_fp.select("fp"), block)).select(F.col("node").alias("fp"), "root")
+    return own, by_fp.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row: its SimHash and the smallest id it is linked to.
 
@@ -152,25 +160,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as often as they came in.  A null id is never a class's smallest, unless all are null.  An empty
     table gives no rows; other columns are not read.
     """
-    own = written(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col).cast("string")).alias("fp")), "fingerprints")
-    by_fp = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = connected_components(links(by_fp.select("fp"), block)).select(F.col("node").alias("fp"), "root")
-    rooted = by_fp.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    own, rooted = _classes(docs, id_col, text_col, block)
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest id, with all its columns.
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each class: that of the smallest id, and of its rows the one with the least
+    fingerprint and text; with all its columns, whatever their names.
 
-    Rows without an id cannot be told apart and stay.  Of rows that share an id one stays.
+    A row is known by its id and its fingerprint, so a unique text stays though another row has its id.
+    Rows without an id cannot be told apart and stay.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    key, order = fresh(docs, "kept_id"), fresh(docs, "kept_order")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    rows = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col(key)).drop(key)
-    from pyspark.sql import Window
-
-    rows = rows.withColumn(order, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where(F.col(order) == 1).drop(order)
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+    own, rooted = _classes(docs, id_col, text_col, block)
+    key, print_, order = (fresh(docs, f"kept_{name}") for name in ("id", "print", "order"))
+    least = rooted.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("kept"))
+    kept = written(least.select(F.col("kept.doc_id").alias(key), F.col("kept.fp").alias(print_)), "kept")
+    shared = own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key))
+    shared = written(shared, "shared-ids")  # ids of several rows; only these need their fingerprint again
+    rows = docs.where(F.col(id_col).isNotNull()).join(kept.join(shared, key, "left_anti").select(key), F.col(id_col) == F.col(key)).drop(key)
+    out = rows.unionByName(docs.where(F.col(id_col).isNull()))
+    if shared.take(1):
+        several = docs.join(kept.select(key).join(shared, key).distinct(), F.col(id_col) == F.col(key)).drop(key)
+        several = several.withColumn(print_, fingerprint(F.col(text_col).cast("string")))
+        wanted = kept.withColumnRenamed(print_, order).join(shared, key)
+        several = several.join(wanted, (F.col(id_col) == F.col(key)) & (F.col(print_) == F.col(order))).drop(key, order)
+        first = F.row_number().over(Window.partitionBy(id_col, print_).orderBy(text_col))
+        out = out.unionByName(several.withColumn(order, first).where(F.col(order) == 1).drop(order, print_))
+    return out
