@@ -6,8 +6,9 @@ is its number of open windows filled up to ``h``.  A document's last piece goes
 whole windows of a long document are cut off first.  What is still open in the end is joined
 and cut into full windows and windows whose lengths are powers of two, so nothing is padded.
 
-No row is shuffled: packing depends on nothing outside a partition, and a lost task repeats
-its own partition with the same sequence ids.
+No row is shuffled: packing depends on nothing outside a partition, and a task that is repeated
+gives the same sequence ids as long as it reads the same rows in the same order, as it does from files.
+A partition holds the ids of its open windows, at most the last piece of each of its documents.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 from dossier.llm.tokens import encoder
 
 CAPACITY = 1024
-#: Open windows of a partition; beyond it all are joined, cut and emitted (16 MB of ids at 1024).
-MAX_OPEN = 4096
 #: Texts encoded at a time.
 SLICE = 512
 
@@ -37,8 +36,8 @@ Piece = tuple[object, int, int, bytes]  # document id, start in it, its number o
 class LevelPacker:
     """Windows of one partition.  ``add`` and ``close`` return the windows that are complete."""
 
-    def __init__(self, capacity: int = CAPACITY, max_open: int = MAX_OPEN):
-        self.capacity, self.max_open = capacity, max_open
+    def __init__(self, capacity: int = CAPACITY):
+        self.capacity = capacity
         self.count = np.zeros(capacity + 1, np.int64)
         self.windows: dict[int, list[list[Piece]]] = {}  # by level
 
@@ -67,8 +66,6 @@ class LevelPacker:
             else:
                 self.count[level + size] += 1
                 self.windows.setdefault(level + size, []).append(window)
-            if self.count.sum() > self.max_open:
-                full += self.close()
         return full
 
     def close(self) -> list[list[Piece]]:
@@ -93,7 +90,7 @@ class LevelPacker:
 
 def pack_documents(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0,
-    capacity: int = CAPACITY, max_open: int = MAX_OPEN, with_ids: bool = True,
+    capacity: int = CAPACITY, with_ids: bool = True,
 ) -> DataFrame:
     """Pack every document of ``docs`` into windows of ``capacity`` ids.
 
@@ -103,13 +100,14 @@ def pack_documents(
     full or as long as a power of two.
 
     Null and empty texts are the end id alone; null ids stay null; repeated rows are packed each;
-    an empty table gives no rows; other columns are not read.
+    an empty table gives no rows; other columns are not read; very long texts are cut into full
+    windows; of levels that are equally good (a tie) the fullest is taken.
     """
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = frame.schema["id"].dataType
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(tokenizer).encode_many, LevelPacker(capacity, max_open)
+        encode, packer = encoder(tokenizer).encode_many, LevelPacker(capacity)
         end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 36
         arrow_id = None
