@@ -3,7 +3,7 @@
 A file holds the concatenated ids of consecutive documents.  Two Elias-Fano sequences stand
 before them: where each document ends, and its document id less the smallest.  A sequence of
 n values up to u takes about n * (2 + log2(u / n)) bits; a select directory with the place of
-every 256th one bit returns any value without decoding the rest.
+every 256th one bit returns any value without decoding the rest, and that is how files are read.
 
 Layout, little-endian: ``magic`` 8 bytes; ``docs, ids, null_docs, first_doc`` int64; ``width``
 (bytes an id takes) int64; then boundaries, document ids, token ids.  An Elias-Fano block is
@@ -31,6 +31,8 @@ SAMPLE = 256
 #: Bytes of token ids after which a file ends; a document is never split over files.
 FILE_BYTES = 16 << 20
 SLICE = 512
+#: Most tasks that read files.
+READERS = 10_000
 
 
 def ef_encode(values: np.ndarray) -> bytes:
@@ -49,42 +51,36 @@ def ef_encode(values: np.ndarray) -> bytes:
 
 
 class EliasFano:
-    """A block read back: ``select(i)`` is value i, ``all()`` every value; ``end`` is where it ends."""
+    """A block read back: ``select(i)`` is value i; ``end`` is where the block ends.
+
+    A select goes to the directory's place at or before one bit i and counts the ones of the words
+    from there; nothing else is decoded.
+    """
 
     def __init__(self, raw: bytes | memoryview, at: int):
         self.n, self.low_bits, lows, highs = (int(x) for x in np.frombuffer(raw, "<i8", 4, at))
         at += 32
-        self.low = np.frombuffer(raw, np.uint8, lows, at)
-        self.high = np.frombuffer(raw, np.uint8, highs, at + lows)
+        self.low, self.high = memoryview(raw)[at : at + lows], memoryview(raw)[at + lows : at + lows + highs]
         samples = -(-self.n // SAMPLE)
         self.directory = np.frombuffer(raw, "<u4", samples, at + lows + highs)
         self.end = at + lows + highs + 4 * samples
 
-    def select(self, i: int) -> int:
+    def _place(self, i: int) -> int:
+        """The bit at which one bit number i stands."""
         place = int(self.directory[i // SAMPLE])
         left, byte = i % SAMPLE, place // 8
-        bits = np.unpackbits(self.high[byte : byte + SAMPLE], bitorder="little")[place % 8 :]
-        start = place
-        while left:
-            found = np.flatnonzero(bits[1:]) + 1
-            if len(found) >= left:
-                place, left = start + int(found[left - 1]), 0
-            else:
-                left -= len(found)
-                start += len(bits) - 1  # the last bit read stands for bits[0] of the next part
-                byte = (start + 1) // 8
-                bits = np.append(np.uint8(0), np.unpackbits(self.high[byte : byte + SAMPLE], bitorder="little")[(start + 1) % 8 :])
-        first = i * self.low_bits
-        low = np.unpackbits(self.low[first // 8 : (first + self.low_bits + 7) // 8], bitorder="little")[first % 8 : first % 8 + self.low_bits]
-        return ((place - i) << self.low_bits) | sum(int(b) << k for k, b in enumerate(low))
+        word = int.from_bytes(self.high[byte : byte + 8], "little") >> place % 8 << place % 8
+        while (ones := word.bit_count()) <= left:
+            left, byte = left - ones, byte + 8
+            word = int.from_bytes(self.high[byte : byte + 8], "little")
+        for _ in range(left):
+            word &= word - 1
+        return 8 * byte + (word & -word).bit_length() - 1
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        value = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            value |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return value.astype(np.int64)
+    def select(self, i: int) -> int:
+        first = i * self.low_bits
+        low = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8], "little") >> first % 8
+        return (self._place(i) - i) << self.low_bits | low & (1 << self.low_bits) - 1
 
 
 def file_parts(docs: list[int | None], ids: list[bytes], width: int) -> list[bytes]:
@@ -99,21 +95,29 @@ def file_parts(docs: list[int | None], ids: list[bytes], width: int) -> list[byt
 
 
 class TokenFile:
-    """A file read back: ``docs`` and ``ends`` by document; ``ids(i)`` its ids as uint32."""
+    """A file read back: document i of ``n`` has the id ``doc(i)``, the ids from ``bounds(i)`` and, as uint32, ``ids(i)``.
 
-    def __init__(self, raw: bytes):
-        if raw[:8] != MAGIC:
+    Ids and boundaries are selected one at a time; no table of them is made.
+    """
+
+    def __init__(self, raw: bytes | memoryview):
+        if bytes(raw[:8]) != MAGIC:
             raise ValueError("not a token file")
-        n, total, nulls, first, width = (int(x) for x in np.frombuffer(raw, "<i8", 5, 8))
+        self.n, total, self.nulls, self.first, width = (int(x) for x in np.frombuffer(raw, "<i8", 5, 8))
         self.boundaries = EliasFano(raw, 48)
-        gaps = EliasFano(raw, self.boundaries.end)
-        self.docs: list[int | None] = [None] * nulls + (gaps.all() + first).tolist()
-        self.ends = self.boundaries.all()
-        self.flat = np.frombuffer(raw, f"<u{width}", total, gaps.end)
-        assert len(self.docs) == n and (not n or self.ends[-1] == total)
+        self.gaps = EliasFano(raw, self.boundaries.end)
+        self.flat = np.frombuffer(raw, f"<u{width}", total, self.gaps.end)
+        assert self.boundaries.n == self.n and self.gaps.n == self.n - self.nulls and (not self.n or self.boundaries.select(self.n - 1) == total)
+
+    def doc(self, i: int) -> int | None:
+        return None if i < self.nulls else self.first + self.gaps.select(i - self.nulls)
+
+    def bounds(self, i: int) -> tuple[int, int]:
+        return self.boundaries.select(i - 1) if i else 0, self.boundaries.select(i)
 
     def ids(self, i: int) -> np.ndarray:
-        return self.flat[self.ends[i - 1] if i else 0 : self.ends[i]].astype("<u4")
+        start, end = self.bounds(i)
+        return self.flat[start:end].astype("<u4")
 
 
 def write_token_files(
@@ -179,35 +183,45 @@ def read_token_files(spark: SparkSession, path: str, manifest: DataFrame, with_i
     """One row per document from the files that the manifest names: ``doc_id, start, n_tokens, ids_crc32, ids``.
 
     ``start`` counts the ids of all documents before it, over all files in order.  Without ``with_ids``
-    the ids themselves are left out.
+    the ids themselves are left out.  The manifest's rows are dealt to tasks, which open the files they
+    name by themselves, so no file's content is moved.
     """
-    # one row per file, so this window orders thousands of rows where the files hold terabytes
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    based = manifest.select("name", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eft").load(path) if manifest.take(1) else None
+    # one row a writing task, then one a file of a task: the files hold terabytes where these windows order thousands of rows
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("own")).select("part", F.coalesce(F.sum("own").over(earlier(Window.orderBy("part"))), F.lit(0)).alias("part_base"))
+    inside = F.coalesce(F.sum("n_ids").over(earlier(Window.partitionBy("part").orderBy("seq"))), F.lit(0))
+    based = manifest.withColumn("inside", inside).join(parts, "part").select((F.col("part_base") + F.col("inside")).alias("base"), "name")
+    files = manifest.count()
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    if files is None:
+    if not files:
         return spark.createDataFrame([], schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path)
         for batch in batches:
-            for base, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                file = TokenFile(raw.as_py())
-                starts = np.append(0, file.ends[:-1])
-                for at in range(0, len(file.docs), 4096):
-                    ids = [file.ids(i).tobytes() for i in range(at, min(at + 4096, len(file.docs)))]
-                    upto = at + len(ids)
-                    columns = [
-                        pa.array(file.docs[at:upto], pa.int64()), pa.array(starts[at:upto] + base, pa.int64()), pa.array((file.ends - starts)[at:upto], pa.int64()),
-                        pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                    ]
-                    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+            for base, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with store.open_input_stream(f"{folder}/{name}") as f:
+                    file = TokenFile(memoryview(f.read()))
+                end = 0
+                for at in range(0, file.n, 4096):
+                    docs, starts, sizes, sums, all_ids = [], [], [], [], []
+                    for i in range(at, min(at + 4096, file.n)):
+                        start, end = end, file.boundaries.select(i)  # a document begins where the one before it ends
+                        ids = file.flat[start:end].astype("<u4").tobytes()
+                        docs.append(file.doc(i))
+                        starts.append(base + start)
+                        sizes.append(end - start)
+                        sums.append(zlib.crc32(ids))
+                        if with_ids:
+                            all_ids.append(ids)
+                    columns, names = [pa.array(c, pa.int64()) for c in (docs, starts, sizes, sums)], ["doc_id", "start", "n_tokens", "ids_crc32"]
                     if with_ids:
-                        columns, names = [*columns, pa.array(ids, pa.binary())], [*names, "ids"]
+                        columns, names = [*columns, pa.array(all_ids, pa.binary())], [*names, "ids"]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    name = F.substring_index("path", "/", -1)
-    return files.select(name.alias("name"), "content").join(based, "name").select("base", "content").mapInArrow(read, schema)
+    return based.repartition(min(files, READERS), "name").mapInArrow(read, schema)
 
 
 def token_folder(spark: SparkSession) -> str:
