@@ -20,11 +20,15 @@ from operator import mul
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most labelled documents of either label that a fit collects; the hash of the id picks them.
+from dossier.llm.shared import written
+
+#: Most labelled documents of either label that a fit collects, and most bytes of their word counts; in the order
+#: of the hash of the id, a document that would exceed the bytes is passed over.
 SAMPLE = 2000
+SAMPLE_BYTES = 24 << 20
 BUCKETS = 1 << 16
 SIZE = 4
 EPOCHS = 12
@@ -130,8 +134,13 @@ def _all_subwords(vocabulary: list[str], buckets: int, block: int = 20_000) -> t
     return np.concatenate(parts), np.append(0, np.cumsum(np.concatenate(sizes)))
 
 
+def counted(text: str | None) -> str:
+    """A text's distinct words with their counts, space-joined."""
+    return " ".join(f"{w} {n}" for w, n in Counter(words(text)).items())
+
+
 def train(bags: list[str], labels: list[int], rate: float, buckets: int = BUCKETS, size: int = SIZE, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Fit n-gram table and softmax together, by Adagrad over batches of documents (space-joined words).
+    """Fit n-gram table and softmax together, by Adagrad over batches of documents (as ``counted`` gives them).
 
     ``rate`` is the natural share of label 1; the bias is moved from the sample's share to it.
     """
@@ -142,9 +151,9 @@ def train(bags: list[str], labels: list[int], rate: float, buckets: int = BUCKET
     vocabulary: dict[str, int] = {}
     rows = []
     for bag in bags:  # one document's words at a time: a list of all would be the driver's largest object
-        listed = bag.split() or [""]
-        ids, counts = np.unique([vocabulary.setdefault(w, len(vocabulary)) for w in listed], return_counts=True)
-        weights = np.sqrt(counts) * float(bool(bag))
+        listed = bag.split() or ["", "0"]
+        ids, counts = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in listed[::2]]), np.array(listed[1::2], np.float64)
+        weights = np.sqrt(counts)
         rows.append((ids.astype(np.int32), (weights / (weights.sum() + PRIOR_WORDS)).astype(np.float32)))
     flat, bounds = _all_subwords(list(vocabulary), buckets)
     del vocabulary
@@ -183,12 +192,16 @@ RATE = 0.1  # of Adagrad
 SCALE = 20.0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` labelled documents of each label, picked by the hash of their id.
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES
+) -> Model:
+    """Train on at most ``sample`` labelled documents of each label, ``sample_bytes`` of word counts in all.
 
-    Labels other than 0 and 1 and null ids are left out; an id labelled twice counts once, as its
-    largest label; null texts are empty.  Word counts, not texts, come to the driver.  Without
-    documents of both labels the model scores every text by the share of label 1.
+    The hash of the id picks them.  Labels other than 0 and 1 and null ids are left out; an id labelled
+    twice counts once, as its largest label; of rows that share an id one counts; null texts are empty.
+    Word counts, not texts, come to the driver, and their bytes are bounded, so very long texts are
+    counted whole or passed over.  Without documents of both labels the model scores every text by
+    the share of label 1.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("labelled")).agg(F.max(label_col).cast("int").alias("label"))
     counts = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
@@ -199,17 +212,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            listed = [words(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([" ".join(b) for b in listed], pa.string())], names=["id", "label", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([counted(t.as_py()) for t in batch.column(2)], pa.string())], names=["id", "label", "bag"])
 
     kind = texts.schema["labelled"].dataType.simpleString()
-    rows = sorted((r.id, r.label, r.bag) for r in found.mapInArrow(bags, f"id {kind}, label int, bag string").toLocalIterator())
+    listed = written(found.mapInArrow(bags, f"id {kind}, label int, bag string").groupBy("id", "label").agg(F.min("bag").alias("bag")), "word-counts")
+    order = [F.xxhash64("id"), F.col("id")]
+    sized = listed.where(F.octet_length("bag") <= sample_bytes // 8).select("*", F.sum(F.octet_length("bag") + 64).over(Window.partitionBy("label").orderBy(*order)).alias("so_far"))
+    rows = sorted((r.id, r.label, r.bag) for r in sized.where(F.col("so_far") <= sample_bytes // 2).toLocalIterator())
     total = sum(counts.values())
     return train([b for _, _, b in rows], [y for _, y, _ in rows], counts.get(1, 0) / total if total else 0.0)
 
 
 def score(docs: DataFrame, model: Model, text: Column) -> Column:
-    """Column with the score of ``text`` in 0 to 1; null and empty texts score as the bias does."""
+    """Column with the score of ``text`` in 0 to 1; null and empty texts score as the bias does.
+
+    Each row is scored by itself, so repeated rows and very long texts need no care.
+    """
     held = docs.sparkSession.sparkContext.broadcast((model.number, model.bias))
     own: list[Model] = []
 
