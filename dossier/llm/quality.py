@@ -7,20 +7,21 @@ largest sums are a sample without replacement in proportion to the weights.
 
 Counting and scoring are narrow passes in numpy; what crosses the network is one vector of counts
 a partition.  The k-th largest sum is found by radix selection: four grouped counts over 16 bits
-of the sum's ordered bits each, so no task orders all documents.
+of the scaled sum each, so no task orders all documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.decontamination import words_of
-from dossier.llm.shared import written
+from dossier.llm.shared import fresh, written
 
 BUCKETS = 10_000
 #: Most labelled documents that make up the target; the hash of the id picks them.
@@ -116,30 +117,49 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
     return scored.withColumn("noisy", F.col("log_weight") - F.log(-F.log(uniform)))
 
 
-def _ordered(x):
-    """A double as a long that sorts alike: steps of 2 ** -32 within a thousand million either way."""
-    scaled = F.floor(x * F.lit(float(1 << 32)))
-    return F.greatest(F.least(scaled, F.lit((1 << 62) - 1)), F.lit(-(1 << 62))).cast("long") + F.lit(1 << 62)
+def _threshold(rows: DataFrame, value: Column, left: int) -> tuple[int, int]:
+    """The ``left``-th largest of the longs ``value`` (not negative), and how many of its equals are among the ``left`` largest.
 
-
-def select_largest(scored: DataFrame, k: int, by: str = "noisy", tie: str = "doc_id") -> DataFrame:
-    """``scored`` with ``selected``: true for the k rows with the largest ``by``, ties by the smaller ``tie``."""
-    rows = scored.withColumn("ordered", _ordered(F.col(by)))
-    prefix, left = 0, k
+    Radix selection: grouped counts of 16 bits at a time, 65536 rows at most each.
+    """
+    prefix = 0
     for shift in (48, 32, 16, 0):
-        inside = rows if shift == 48 else rows.where(F.shiftrightunsigned("ordered", shift + 16) == prefix)
-        counts = inside.groupBy(F.shiftrightunsigned("ordered", shift).bitwiseAND(0xFFFF).alias("part")).count().collect()
-        for part, n in sorted(((r.part, r["count"]) for r in counts), reverse=True):  # 65536 rows at most
+        inside = rows if shift == 48 else rows.where(F.shiftrightunsigned(value, shift + 16) == prefix)
+        counts = inside.groupBy(F.shiftrightunsigned(value, shift).bitwiseAND(0xFFFF).alias("part")).count().collect()
+        for part, n in sorted(((r.part, r["count"]) for r in counts), reverse=True):
             if n >= left:
+                prefix = prefix << 16 | part
                 break
             left -= n
-        else:
-            return rows.withColumn("selected", F.lit(k > 0)).drop("ordered")
-        prefix = prefix << 16 | part
-    equal = rows.where(F.col("ordered") == prefix)  # rows of one exact sum: repeats of a document id
-    ranked = equal.withColumn("selected", F.row_number().over(Window.orderBy(F.col(tie).asc_nulls_last())) <= left)
-    rest = rows.where(F.col("ordered") != prefix).withColumn("selected", F.col("ordered") > prefix)
-    return rest.unionByName(ranked).drop("ordered")
+    return prefix, left
+
+
+def select_largest(scored: DataFrame, k: int, by: str = "noisy", tie: str = "doc_id") -> DataFrame:
+    """``scored`` with ``selected``: true for the k rows with the largest ``by``, ties by the smaller ``tie``.
+
+    ``by`` is a double, ``tie`` a long.  Three keys decide one after the other, each by radix selection: the
+    sum in steps of a 2 ** -62nd of the largest, the tie, and for rows alike in both the row's place in
+    the table, so no task orders rows.  A null ``tie`` comes after all others, a null or NaN ``by`` last.  ``scored`` has to
+    be a table that is read again in the same order, as one written before is.  A column ``selected``
+    is replaced; all others stay.
+    """
+    names = [c for c in scored.columns if c.lower() != "selected"]
+    size, place = fresh(scored, "key_of_size"), fresh(scored, "key_of_place")
+    n, most = scored.agg(F.count("*"), F.max(F.abs(F.when(~F.isnan(by), F.col(by))))).first()
+    if k <= 0 or k >= n:
+        return scored.select(*names, F.lit(k > 0).alias("selected"))
+    unit = 2.0 ** (61 - max(-900, math.frexp(most or 1.0)[1]))
+    whole = F.floor(F.col(by) * F.lit(unit)).cast("long") + F.lit(1 << 61)
+    rows = scored.select(*names, F.monotonically_increasing_id().alias(place)).withColumn(size, F.when(F.col(by).isNull() | F.isnan(by), 0).otherwise(whole + 1))
+    after = F.bitwise_not(F.col(tie).cast("long").bitwiseXOR(F.lit(-(1 << 63))))  # as unsigned, larger for smaller ties
+    halves = [F.coalesce(F.shiftrightunsigned(after, 32) + 1, F.lit(0)), F.coalesce(after.bitwiseAND(0xFFFFFFFF), F.lit(0))]
+    keys = [F.col(size), *halves, F.lit((1 << 62) - 1) - F.col(place)]
+    inside, selected = F.lit(True), F.lit(False)
+    for key in keys:
+        least, k = _threshold(rows.where(inside), key, k)
+        selected = selected | (inside & (key > least))
+        inside = inside & (key == least)
+    return rows.select(*names, (selected | inside).alias("selected"))
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", share: float | None = None, seed: int = 8) -> DataFrame:
@@ -147,7 +167,8 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     ``share`` of the rows is selected; by default the share of label 1 among the labels, or all
     without labels.  Null and empty texts have weight 0; repeated ids get the same noise; null ids
-    are drawn alike; an empty table gives no rows; other columns are not read.
+    are drawn alike; ties go to the smaller id; an empty table gives no rows; other columns are not
+    read, whatever their names.  Very long texts are counted and weighed whole.
     """
     scored = written(weigh(docs, fit(docs, labels, id_col, text_col, label_col), id_col, text_col, seed), "quality-scores")
     if share is None:
