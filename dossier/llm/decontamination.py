@@ -1,13 +1,14 @@
 """Operator 10: benchmark decontamination with suffix arrays of the training text.
 
-Every slice of documents (a shard of a few MB) gets a suffix array: its word suffixes in
-lexicographic order, kept where they can match at all, that is where the first words are those
-of some test suffix.  All test suffixes are binary-searched in it, which yields every place where
-a window of the test set occurs; consecutive places on one diagonal give the longest verbatim
-match and its location.  A shard answers for its own documents, so nothing is shuffled.
+Every slice of documents (a shard of a few MB) gets a suffix array: the places of all its known words
+in the lexicographic order of what follows them, by prefix doubling.  Every suffix of the test items
+is binary-searched in it: its neighbours there give its longest verbatim match in the shard and where
+it is, and the interval of suffixes that begin with its window gives every place where the window
+occurs.  A shard answers for its own documents, so nothing is shuffled.
 
 Test words are numbered by sorted 64-bit hash; a training word outside that vocabulary is 0 and
-ends every match.  The test set is broadcast in blocks of a checked size, one pass a block.
+ends every match.  Words of matches are compared byte by byte before a match counts.  The test set
+is broadcast in blocks of a checked size, one pass and one block in memory at a time.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.shared import fresh
+from dossier.llm.shared import fresh, written
 
 WINDOW = 10
 #: Bytes of test text that are broadcast at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of training text in a shard.
 SHARD_BYTES = 2 << 20
-LEAD = 4  # words by which suffixes that cannot match are left out
+STEP = 16  # words that a comparison takes at a time
 
 RESULT = "n_words long, n_hit long, items array<string>, longest long, longest_item string, longest_item_start long, longest_start long, hits binary"
 
@@ -77,33 +78,107 @@ def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(raw) + b"\n", np.uint8), begin[:-1]
 
 
+def word_ends(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the words that begin at ``starts`` end."""
+    edge = np.flatnonzero(~_IS_WORD[raw])
+    return edge[np.searchsorted(edge, starts)]  # every text is followed by a line feed
+
+
+def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
+    """Places of all positive ``ids`` ordered by the ids from there on, up to a 0 or ``depth`` ids; equals by place.
+
+    Prefix doubling: suffixes that agree in h ids are ordered by the rank of what stands h further
+    on, until none agree or h reaches ``depth``.  Only ties are sorted again.
+    """
+    n = len(ids)
+    order = np.flatnonzero(ids)
+    order = order[np.argsort(ids[order], kind="stable")]
+    rank = np.zeros(n + 1, np.int64)  # 0 where no suffix begins; otherwise 1 + the place in order of the first equal suffix
+
+    def ranks(sorted_key: np.ndarray) -> np.ndarray:
+        new = np.ones(len(sorted_key), bool)
+        new[1:] = sorted_key[1:] != sorted_key[:-1]
+        return np.maximum.accumulate(np.where(new, np.arange(len(sorted_key)), 0))
+
+    rank[order] = ranks(ids[order]) + 1
+    ends = np.append(np.flatnonzero(ids == 0), n)
+    rest = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # ids up to the next 0
+    tied, h = np.arange(len(order)), 1
+    while h < depth:
+        # of the tied, those alone among their equals are settled, and so are those that end within what is compared
+        own = rank[order[tied]]
+        equal = np.zeros(len(tied), bool)
+        equal[1:] = own[1:] == own[:-1]
+        tied = tied[equal | np.append(equal[1:], False)] if len(tied) else tied
+        if not len(tied):
+            break
+        places = order[tied]
+        key = rank[places] * (n + 2) + rank[places + h]
+        by = np.argsort(key, kind="stable")
+        places, key = places[by], key[by]
+        order[tied] = places
+        rank[places] = tied[ranks(key)] + 1
+        h *= 2
+        tied = tied[rest[places] >= h]
+    return order
+
+
 class TestSet:
-    """Windows of a block of test items, ready for the search."""
+    """Words, suffixes and windows of a block of test items, ready for the search."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.window = window
         self.names = [name for name, _ in items]
-        raw, begin = _joined([text for _, text in items])
-        starts, hashes = words_of(raw)
+        self.raw, begin = _joined([text for _, text in items])
+        self.starts, hashes = words_of(self.raw)
+        self.stops = word_ends(self.raw, self.starts)
         self.vocabulary = np.unique(hashes)
         self.low_bits = np.zeros(1 << 16, bool)
         self.low_bits[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
-        ids = np.searchsorted(self.vocabulary, hashes).astype(np.int64) + 1
-        bounds = np.append(np.searchsorted(starts, begin), len(starts))
+        bounds = np.append(np.searchsorted(self.starts, begin), len(self.starts))
         counts = np.diff(bounds)
-        item = np.repeat(np.arange(len(items)), np.where(counts > 0, np.maximum(counts - window + 1, 1), 0))
-        first = np.concatenate([np.arange(b, b + max(n - window + 1, 1)) for b, n in zip(bounds[:-1], counts) if n] or [np.zeros(0, np.int64)])
-        length = np.minimum(counts[item], window) if len(items) else np.zeros(0, np.int64)
-        padded = np.append(ids, np.zeros(window, np.int64))
-        rows = padded[first[:, None] + np.arange(window)] * (np.arange(window) < length[:, None])
-        self.rows, inverse = np.unique(rows, axis=0, return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        self.occurs_item, self.occurs_at = item[order], (first - bounds[item])[order]
-        self.occurs = np.searchsorted(inverse[order], np.arange(len(self.rows) + 1))
-        self.length = (self.rows > 0).sum(axis=1)
-        self.low = suffix_keys(self.rows)
-        self.high = suffix_keys(np.where(self.rows > 0, self.rows, 0xFFFFFFFF))
-        self.leads = {n: np.unique(mixed(self.rows[np.minimum(self.length, LEAD) == n], n)) for n in set(np.minimum(self.length, LEAD).tolist())}
+        # a 0 after every item: word w of item i stands at w + i
+        self.item = np.repeat(np.arange(len(items)), counts)
+        self.at = np.arange(len(self.starts)) + self.item
+        self.words = np.zeros(len(self.starts) + len(items) + STEP, np.int64)
+        self.words[self.at] = np.searchsorted(self.vocabulary, hashes) + 1
+        self.inner = np.arange(len(self.starts)) - bounds[self.item] if len(items) else np.zeros(0, np.int64)
+        self.rest = counts[self.item] - self.inner if len(items) else np.zeros(0, np.int64)  # words up to the item's end
+        self.depth = int(counts.max(initial=1))
+        # windows: the first ``window`` words of a suffix, or an item of fewer; one number for equal ones
+        self.is_window = (self.rest >= window) | (self.inner == 0)
+        suffix = suffix_array(self.words, self.depth)
+        place = np.zeros(len(self.words), np.int64)
+        place[self.at] = np.arange(len(self.at))
+        self.order = place[suffix]  # words by the order of their suffixes
+        first = np.flatnonzero(self.is_window)
+        size = np.minimum(self.rest[first], window)
+        rows = np.zeros((len(first), window), np.int32)
+        for k in range(window):
+            inside = size > k
+            rows[inside, k] = self.words[self.at[first[inside]] + k]
+        _, example, number = np.unique(rows, axis=0, return_index=True, return_inverse=True) if len(first) else (rows, first, first)
+        self.window_at, self.window_size = first[example], size[example]
+        # what items hold a window; windows of the same items share a group
+        pairs = np.unique(np.stack([number.ravel(), self.item[first]], axis=1), axis=0) if len(first) else np.zeros((0, 2), np.int64)
+        edge = np.searchsorted(pairs[:, 0], np.arange(len(example) + 1))
+        known: dict[bytes, int] = {}
+        self.groups: list[np.ndarray] = []
+        self.window_group = np.zeros(len(example), np.int64)
+        for w in range(len(example)):
+            held = pairs[edge[w] : edge[w + 1], 1].astype(np.int32)
+            key = held.tobytes()
+            if key not in known:
+                known[key] = len(self.groups)
+                self.groups.append(held)
+            self.window_group[w] = known[key]
+        ranked = np.argsort(np.array(self.names, object), kind="stable") if self.names else np.zeros(0, np.int64)
+        self.sorted_names = pa.array([self.names[i] for i in ranked], pa.string())
+        self.name_rank = np.zeros(len(items), np.int64)
+        names = np.array(self.names, object)[ranked]
+        self.name_rank[ranked] = np.cumsum(np.append(0, (names[1:] != names[:-1]).astype(np.int64))) if len(items) else ranked
+        self.sorted_names = pa.array(sorted(set(self.names)), pa.string())
+        self.lists: dict[bytes, np.ndarray] = {}
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """Vocabulary numbers of word hashes, 0 for other words."""
@@ -116,93 +191,157 @@ class TestSet:
             out[maybe[same]] = place[same] + 1
         return out
 
-
-def suffix_keys(rows: np.ndarray) -> np.ndarray:
-    """Rows of word numbers as byte strings that sort as the rows do."""
-    return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * rows.shape[1]}").ravel() if len(rows) else np.zeros(0, "S4")
-
-
-def mixed(rows: np.ndarray, n: int) -> np.ndarray:
-    """One number for the first n word numbers of each row."""
-    out = np.zeros(len(rows), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            out = (out ^ rows[:, k].astype(np.uint64)) * _P
-            out ^= out >> np.uint64(29)
-    return out
-
-
-def search_shard(texts: list[str | None], test: TestSet) -> list[dict]:
-    """Results of a shard's documents, as the columns of RESULT."""
-    window = test.window
+    def items_of(self, groups: np.ndarray) -> np.ndarray:
+        """Ranks of the names of the items of any of the groups, ascending."""
+        key = groups.tobytes()
+        if key not in self.lists:
+            if len(self.lists) > 1000:
+                self.lists.clear()
+            self.lists[key] = np.unique(self.name_rank[np.concatenate([self.groups[g] for g in groups])])
+        return self.lists[key]
+
+
+def agreement(one: np.ndarray, at: np.ndarray, other: np.ndarray, there: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many words agree from places ``at`` of ``one`` and ``there`` of ``other``, up to ``most`` or a 0."""
+    out = np.zeros(len(at), np.int64)
+    live, step = np.arange(len(at)), np.arange(STEP)
+    while len(live):
+        # a 0 is followed by STEP more in both, so reading on past it is harmless
+        mine, theirs = one[np.minimum(at[live, None] + out[live, None] + step, len(one) - 1)], other[np.minimum(there[live, None] + out[live, None] + step, len(other) - 1)]
+        differ = (mine != theirs) | (mine == 0)
+        first = np.where(differ.any(axis=1), differ.argmax(axis=1), STEP)
+        out[live] += first
+        live = live[(first == STEP) & (out[live] < most[live])]
+    return np.minimum(out, most)
+
+
+def _bound(words: np.ndarray, order: np.ndarray, test: np.ndarray, at: np.ndarray, size: np.ndarray, after: bool) -> np.ndarray:
+    """Where in the suffix array ``order`` the first ``size`` words from ``at`` belong, before or after their equals."""
+    low, high = np.zeros(len(at), np.int64), np.full(len(at), len(order), np.int64)
+    while len(live := np.flatnonzero(low < high)):
+        mid = (low[live] + high[live]) // 2
+        place, mine = order[mid], at[live]
+        same = agreement(words, place, test, mine, size[live])
+        whole = same == size[live]
+        less = np.where(whole, after, words[np.minimum(place + same, len(words) - 1)] < test[np.minimum(mine + same, len(test) - 1)])
+        low[live[less]] = mid[less] + 1
+        high[live[~less]] = mid[~less]
+    return low
+
+
+def search_shard(texts: list[str | None], test: TestSet) -> pa.StructArray:
+    """Results of a shard's documents, as the fields of RESULT."""
     raw, begin = _joined(texts)
     starts, hashes = words_of(raw)
-    bounds = np.append(np.searchsorted(starts, begin), len(starts))
-    ids = np.append(test.number(hashes), np.zeros(window, np.int64))
-    n = len(starts)
-    doc_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    inside = np.append(np.repeat(bounds[1:], np.diff(bounds)), np.zeros(0, np.int64))  # where the word's document ends
-    maybe = np.zeros(n, bool)
-    known = np.flatnonzero(ids[:n])
-    for k, leads in test.leads.items():
-        at = known
-        for j in range(1, k):
-            at = at[ids[at + j] > 0]
-        lead = mixed(np.stack([ids[at + j] for j in range(k)], axis=1), k)
-        place = np.searchsorted(leads, lead)
-        place[place == len(leads)] = 0
-        maybe[at[leads[place] == lead]] = True
-    at = np.flatnonzero(maybe)
-    rows = ids[at[:, None] + np.arange(window)] * (at[:, None] + np.arange(window) < inside[at][:, None])
-    keys = suffix_keys(rows)
-    order = np.argsort(keys, kind="stable")  # the suffix array
-    keys = keys[order]
-    low, high = np.searchsorted(keys, test.low, "left"), np.searchsorted(keys, test.high, "right")
-    sizes = high - low if len(keys) else np.zeros(len(test.rows), np.int64)
-    which = np.repeat(np.arange(len(sizes)), sizes)
-    place = at[order[np.repeat(low, sizes) + np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)]] if len(which) else np.zeros(0, np.int64)
-    # words that windows cover
-    cover = np.zeros(n + 1, np.int64)
-    np.add.at(cover, place, 1)
-    np.add.at(cover, place + test.length[which], -1)
-    hit = np.cumsum(cover)[:n] > 0
-    # every occurrence of a window in the items: its diagonal, and the longest run on it
-    many = test.occurs[which + 1] - test.occurs[which]
-    source = np.repeat(np.arange(len(which)), many)
-    occurrence = np.repeat(test.occurs[which], many) + np.arange(len(source)) - np.repeat(np.cumsum(many) - many, many)
-    item, inner, spot = test.occurs_item[occurrence], test.occurs_at[occurrence], place[source]
-    doc = doc_of[spot]
-    by = np.lexsort((spot, spot - inner, item, doc))
-    item, inner, spot, doc, size = item[by], inner[by], spot[by], doc[by], test.length[which][source][by]
-    new = np.ones(len(by), bool)
-    new[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(spot - inner) != 0) | (np.diff(spot) > 1)
-    run = np.flatnonzero(new)
-    last = np.append(run[1:], len(by)) - 1
-    long = spot[last] + size[last] - spot[run] if len(run) else np.zeros(0, np.int64)
-    out = []
-    of_doc = np.searchsorted(doc[run], np.arange(len(texts) + 1))
-    for d in range(len(texts)):
-        s, e = bounds[d], bounds[d + 1]
-        row = {"n_words": int(e - s), "n_hit": int(hit[s:e].sum()), "items": [], "longest": 0, "longest_item": None, "longest_item_start": None, "longest_start": None, "hits": None}
-        if row["n_hit"]:
-            a, b = of_doc[d], of_doc[d + 1]
-            best = a + int(np.argmax(long[a:b]))
-            row["items"] = sorted({test.names[i] for i in item[run[a:b]].tolist()})
-            row |= {"longest": int(long[best]), "longest_item": test.names[item[run[best]]], "longest_item_start": int(inner[run[best]]), "longest_start": int(spot[run[best]] - s)}
-            row["hits"] = np.packbits(hit[s:e]).tobytes()
-        out.append(row)
-    return out
-
-
-def _merged(old: dict | None, new: dict) -> dict:
-    """Results of two blocks of the test set for one document."""
-    if old is None or not old["n_hit"]:
-        return new
-    if not new["n_hit"]:
-        return old
-    best = old if old["longest"] >= new["longest"] else new
-    hits = np.frombuffer(old["hits"], np.uint8) | np.frombuffer(new["hits"], np.uint8)
-    return best | {"items": sorted({*old["items"], *new["items"]}), "hits": hits.tobytes(), "n_hit": int(np.bitwise_count(hits).sum())}
+    number = test.number(hashes)
+    while True:
+        found, wrong = _search(raw, starts, np.append(np.searchsorted(starts, begin), len(starts)), number, test)
+        if not len(wrong):
+            return found
+        number[wrong] = 0  # another word with the hash of a test word
+
+
+def _search(raw: np.ndarray, starts: np.ndarray, bounds: np.ndarray, number: np.ndarray, test: TestSet) -> tuple[pa.StructArray | None, np.ndarray]:
+    n_docs, counts = len(bounds) - 1, np.diff(bounds)
+    doc_of = np.repeat(np.arange(n_docs), counts)
+    at = np.arange(len(starts)) + doc_of  # a 0 after every document
+    words = np.zeros(len(starts) + n_docs + STEP, np.int64)
+    words[at] = number
+    word_at = np.zeros(len(words), np.int64)
+    word_at[at] = np.arange(len(starts))
+    order = suffix_array(words, test.depth)
+    # every test suffix: where it belongs, and its longest match with the suffixes before and after
+    lead = words[order]
+    low, high = np.searchsorted(lead, test.words[test.at], "left"), np.searchsorted(lead, test.words[test.at], "right")
+    some = np.flatnonzero(low < high)
+    place = low.copy()
+    for part in np.array_split(some, max(1, len(some) // 50_000)):
+        place[part] = _bound(words, order, test.words, test.at[part], test.rest[part], False)
+    long, where = np.zeros(len(test.at), np.int64), np.full(len(test.at), -1)
+    for near in (place - 1, place):
+        usable = some[(near[some] >= 0) & (near[some] < len(order))]
+        spot = order[near[usable]]
+        same = agreement(words, spot, test.words, test.at[usable], test.rest[usable])
+        better = usable[same > long[usable]]
+        where[better] = spot[same > long[usable]]
+        long[better] = same[same > long[usable]]
+    # every place of every window
+    size = test.window_size
+    wanted = np.flatnonzero(long[test.window_at] >= size)
+    begin, end = (_bound(words, order, test.words, test.at[test.window_at[wanted]], size[wanted], after) for after in (False, True))
+    many = end - begin
+    which = np.repeat(wanted, many)
+    spot = order[np.repeat(begin, many) + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)] if len(which) else np.zeros(0, np.int64)
+    cover = np.zeros(len(words) + 1, np.int64)
+    np.add.at(cover, spot, 1)
+    np.add.at(cover, spot + size[which], -1)
+    hit = (np.cumsum(cover) > 0)[at]
+    # the longest match of a document: of every place where a window begins with the nearest test suffixes
+    heads = np.unique(spot)
+    rank = np.zeros(len(words), np.int64)
+    rank[order] = np.arange(len(order))
+    by_place = place[test.order]
+    after = np.searchsorted(by_place, rank[heads], "right")  # test suffixes up to ``after`` belong at or before the head
+    best, partner = np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64)
+    for near in (after - 1, after):
+        usable = np.flatnonzero((near >= 0) & (near < len(test.order)))
+        suffix = test.order[near[usable]]
+        same = agreement(words, heads[usable], test.words, test.at[suffix], test.rest[suffix])
+        better = same > best[usable]
+        best[usable[better]], partner[usable[better]] = same[better], suffix[better]
+    # compare the bytes of the words of matches; hashes alone do not prove them equal
+    mine = np.repeat(word_at[heads], best) + _counting(best)
+    theirs = np.repeat(partner, best) + _counting(best)
+    mine, one = np.unique(mine, return_index=True)
+    wrong = mine[~_same_bytes(raw, starts[mine], word_ends(raw, starts[mine]), test, theirs[one])] if len(mine) else mine
+    if len(wrong):
+        return None, wrong
+    head_doc = doc_of[word_at[heads]]
+    first = np.lexsort((heads, -best, head_doc))
+    edge = np.searchsorted(head_doc[first], np.arange(n_docs + 1))
+    groups = np.unique(np.stack([doc_of[word_at[spot]], test.window_group[which]], axis=1), axis=0) if len(which) else np.zeros((0, 2), np.int64)
+    group_edge = np.searchsorted(groups[:, 0], np.arange(n_docs + 1))
+    totals = np.append(0, np.cumsum(hit))
+    n_hit = totals[bounds[1:]] - totals[bounds[:-1]]
+    chosen = [first[edge[d]] if n_hit[d] else None for d in range(n_docs)]
+    names = [test.items_of(groups[group_edge[d] : group_edge[d + 1], 1]) if n_hit[d] else np.zeros(0, np.int64) for d in range(n_docs)]
+    offsets = np.append(0, np.cumsum([len(x) for x in names])).astype(np.int32)
+    items = pa.ListArray.from_arrays(offsets, test.sorted_names.take(pa.array(np.concatenate([np.zeros(0, np.int64), *names]))))
+    of = lambda f: pa.array([None if c is None else int(f(c)) for c in chosen], pa.int64())
+    fields = {
+        "n_words": pa.array(counts, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "items": items,
+        "longest": pa.array([0 if c is None else int(best[c]) for c in chosen], pa.int64()),
+        "longest_item": pa.array([None if c is None else test.names[test.item[partner[c]]] for c in chosen], pa.string()),
+        "longest_item_start": of(lambda c: test.inner[partner[c]]), "longest_start": of(lambda c: word_at[heads[c]] - bounds[head_doc[c]]),
+        "hits": pa.array([np.packbits(hit[s:e]).tobytes() if k else None for s, e, k in zip(bounds[:-1], bounds[1:], n_hit)], pa.binary()),
+    }
+    return pa.StructArray.from_arrays(list(fields.values()), names=list(fields)), wrong
+
+
+def _counting(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of ``sizes``, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _same_bytes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, test: TestSet, word: np.ndarray) -> np.ndarray:
+    """Which words from ``start`` to ``stop`` are the test's words of these numbers, after A-Z became a-z."""
+    size, theirs = stop - start, test.stops[word] - test.starts[word]
+    same = size == theirs
+    size = np.where(same, size, 0)
+    unequal = _LOWER[raw[np.repeat(start, size) + _counting(size)]] != _LOWER[test.raw[np.repeat(test.starts[word], size) + _counting(size)]]
+    owner = np.repeat(np.arange(len(start)), size)
+    same[owner[unequal]] = False
+    return same
+
+
+def _merged(parts: list[dict]) -> dict:
+    """Results of several blocks of the test set for one document."""
+    parts = [p for p in parts if p["n_hit"]]
+    best = max(parts, key=lambda p: p["longest"])
+    hits = parts[0]["hits"]
+    for p in parts[1:]:
+        hits = (np.frombuffer(hits, np.uint8) | np.frombuffer(p["hits"], np.uint8)).tobytes()
+    return best | {"items": sorted({i for p in parts for i in p["items"]}), "hits": hits, "n_hit": int(np.bitwise_count(np.frombuffer(hits, np.uint8)).sum())}
 
 
 def _shards(texts: pa.Array, limit: int = SHARD_BYTES) -> Iterator[list[str | None]]:
@@ -217,13 +356,12 @@ def _shards(texts: pa.Array, limit: int = SHARD_BYTES) -> Iterator[list[str | No
         yield part
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
     """The test items in blocks of about ``block_bytes``, by ranges of the item's hash."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    for k in range(blocks):
-        yield [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]
+    return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) for k in range(blocks)]
 
 
 def benchmark_matches(
@@ -233,49 +371,67 @@ def benchmark_matches(
     """``docs`` with a struct column ``into``: words, words hit, items that occur, the longest match.
 
     ``items`` are ids as strings, in order; ``longest`` is the number of words of the longest
-    verbatim match, of the item ``longest_item`` from its word ``longest_item_start``, at the
-    document's word ``longest_start`` (the first such).  A test set beyond ``block_bytes`` takes one
-    pass for each block, in a chain of narrow steps.
+    verbatim match that begins where a window does, of the item ``longest_item`` from its word
+    ``longest_item_start``, at the document's word ``longest_start`` (the first such).  A test set beyond
+    ``block_bytes`` takes one pass over the texts for each block; ``docs`` is then written once, and
+    so are the hits of each pass, which are put together by row.
 
     Null and empty texts have no words; items without words or id match nothing; repeated rows and
-    items are handled alike; all columns of ``docs`` are kept, so ``into`` must be a new name.
+    items are handled alike; very long texts are shards of their own; an empty table gives no rows;
+    all columns of ``docs`` are kept, so ``into`` must be a new name.
     """
     if into.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"there is a column {into} already")
-    spark, out, before = docs.sparkSession, docs, None
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        name = fresh(out, "block_matches")
-        out = out.withColumn(name, _matcher(spark.sparkContext.broadcast(items), window)(F.col(text_col).cast("string"), *([F.col(before)] if before else [])))
-        if before:
-            out = out.drop(before)
-        before = name
-    return out.withColumnRenamed(before, into)
+    spark = docs.sparkSession
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    load = lambda block: spark.sparkContext.broadcast([(r.item, r.text) for r in block.collect()])  # noqa: E731  # at most about ``block_bytes``
+    if len(blocks) == 1:
+        return docs.withColumn(into, _matcher(load(blocks[0]), window)(F.col(text_col).cast("string")))
+    key, found = fresh(docs, "row_of_docs"), fresh(docs, "matches_of_row")
+    kept = written(docs.withColumn(key, F.monotonically_increasing_id()), "decontamination-rows")
+    hits = None
+    for k, block in enumerate(blocks):
+        held = load(block)
+        part = kept.select(key, _matcher(held, window)(F.col(text_col).cast("string")).alias(found))
+        part = written(part if k == 0 else part.where(F.col(f"{found}.n_hit") > 0), "decontamination-hits")
+        held.destroy()  # one block is in memory at a time
+        hits = part if hits is None else hits.unionByName(part)
+    merged = hits.groupBy(key).agg(F.collect_list(found).alias(found))  # as many as there are blocks, at most
+    several = F.size(F.filter(found, lambda m: m["n_hit"] > 0)) > 1
+    alone = F.coalesce(F.get(F.filter(found, lambda m: m["n_hit"] > 0), F.lit(0)), F.get(found, F.lit(0)))
+    one = merged.where(~several).select(key, alone.alias(into)).unionByName(merged.where(several).select(key, _merger()(F.col(found)).alias(into)))
+    return kept.join(one, key).drop(key)
+
+
+def _arrow(rows: list[dict]) -> pa.StructArray:
+    kinds = {"items": pa.list_(pa.string()), "longest_item": pa.string(), "hits": pa.binary()}
+    fields = [f.split()[0] for f in RESULT.split(", ")]
+    return pa.StructArray.from_arrays([pa.array([r[f] for r in rows], kinds.get(f, pa.int64())) for f in fields], names=fields)
+
+
+_TYPE = f"struct<{', '.join(f.replace(' ', ': ') for f in RESULT.split(', '))}>"
+
+
+def _merger():
+    @F.arrow_udf(_TYPE)
+    def merge(parts: pa.Array) -> pa.Array:
+        return _arrow([_merged(p) for p in parts.to_pylist()])
+
+    return merge
 
 
 def _matcher(items, window: int):
     held: list[TestSet] = []
 
-    def work(texts: pa.Array, old: pa.Array | None) -> pa.Array:
+    @F.arrow_udf(_TYPE)
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if not held:
             held.append(TestSet(items.value, window))
-        rows = [row for shard in _shards(texts) for row in search_shard(shard, held[0])]
-        if old is not None:
-            rows = [_merged(a, b) for a, b in zip(old.to_pylist(), rows)]
-        kinds = {"items": pa.list_(pa.string()), "longest_item": pa.string(), "hits": pa.binary()}
-        fields = [f.split()[0] for f in RESULT.split(", ")]
-        return pa.StructArray.from_arrays([pa.array([r[f] for r in rows], kinds.get(f, pa.int64())) for f in fields], names=fields)
-
-    @F.arrow_udf(f"struct<{RESULT.replace(' ', ': ').replace(',:', ',')}>")
-    def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield work(texts, None)
-
-    @F.arrow_udf(f"struct<{RESULT.replace(' ', ': ').replace(',:', ',')}>")
-    def later(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, old in batches:
-            yield work(texts, old)
+            parts = [search_shard(shard, held[0]) for shard in _shards(texts)]
+            yield pa.concat_arrays(parts) if parts else _arrow([])
 
-    return lambda text, *old: later(text, *old) if old else first(text)
+    return search
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
