@@ -34,6 +34,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced; ``n_chars`` follows the text where it counted it."""
     done = secrets.redact_secrets(docs)
+    if "n_chars" not in docs.columns:
+        return done
     return done.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("long"))).select(docs.columns)
 
 
