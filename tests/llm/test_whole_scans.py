@@ -35,6 +35,90 @@ def test_licence_sentences_of_lines_and_paragraphs(spark):
     assert got[2].sentence_ids == ["mit-name", "bsd-grant", "bsd-source", "bsd-binary"] and got[3].sentence_ids == ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]
 
 
+MIT = """Copyright (c) 2019 Some Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+THREE_CLAUSES = """/*
+ * Copyright (c) 2011, The Regents of Some University. All rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are
+ * met:
+ *
+ *   * Redistributions of source code must retain the above copyright
+ *     notice, this list of conditions and the following disclaimer.
+ *   * Redistributions in binary form must reproduce the above copyright
+ *     notice, this list of conditions and the following disclaimer in the
+ *     documentation and/or other materials provided with the distribution.
+ *   * Neither the name of Some University nor the names of its contributors
+ *     may be used to endorse or promote products derived from this software
+ *     without specific prior written permission.
+ */"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS."""
+MPL = """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+LGPL = """    This library is free software; you can redistribute it and/or
+    modify it under the terms of the GNU Lesser General Public
+    License as published by the Free Software Foundation; either
+    version 2.1 of the License, or (at your option) any later version.
+
+    This library is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+AGPL = LGPL.replace("library", "program").replace("Lesser", "Affero").replace("2.1", "3")
+GPL = LGPL.replace("library", "program").replace("GNU Lesser", "GNU").replace("2.1", "2")
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+GPL3_TEXT = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed."""
+
+
+def test_published_licences(spark):
+    """Texts as their licences publish them, not taken from the operator's own sentences."""
+    cases = [
+        (MIT, ["MIT"]), (THREE_CLAUSES, ["BSD-3-Clause"]), (THREE_CLAUSES[: THREE_CLAUSES.index(" *   * Neither")], ["BSD-2-Clause"]), (ISC, ["ISC"]), (MPL, ["MPL-2.0"]), (LGPL, ["LGPL-2.1-or-later"]),
+        (AGPL, ["AGPL-3.0-or-later"]), (GPL, ["GPL-2.0-or-later"]), (UNLICENSE, ["Unlicense"]), (GPL3_TEXT, ["GPL-3.0-only"]), ("# " + "\n# ".join(APACHE.splitlines()), ["Apache-2.0"]),
+        ("This file is licensed under the MIT license.", ["MIT"]), ("/* SPDX-License-Identifier: BSD-3-Clause */", ["BSD-3-Clause"]), ("SPDX-License-Identifier: LGPL-2.1-or-later", ["LGPL-2.1-or-later"]),
+        ("CC0 1.0 Universal", ["CC0-1.0"]), (MIT + "\n" + THREE_CLAUSES + "\n" + GPL, ["BSD-3-Clause", "GPL-2.0-or-later", "MIT"]), (MIT * 50, ["MIT"]), ("A licence is permitted. Redistribution is not.", []),
+        ("Permission is granted to the licensed driver under the mite license", []),
+    ]
+    data = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licenses.scan_licences(data).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def test_added_spans_are_redacted(spark):
     def card(k: int) -> str:
         head = [int(c) for c in f"411111111{k:06d}"]
