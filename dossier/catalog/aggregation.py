@@ -38,7 +38,7 @@ def ag_merge_agendas(t: Tables) -> DataFrame:
     return first.groupBy("group_id").agg(F.count("*").alias("items"), F.array_join(F.transform(items, lambda x: x["item"]), "; ").alias("summary"))
 
 
-@query("ag_merge_inventory", "WITH g AS (SELECT number AS identity, count(DISTINCT group_id % 2) AS kinds, string_agg(DISTINCT proposer, ',' ORDER BY proposer) AS proposers, min(listed_on) AS first_day FROM agenda WHERE group_id % 3 = 0 GROUP BY 1) SELECT identity, CASE WHEN kinds = 1 THEN proposers END AS proposers, CASE WHEN kinds = 1 THEN first_day END AS first_day, CASE WHEN kinds > 1 THEN 'conflicting_kind' END AS gap FROM g")
+@query("ag_merge_inventory", "WITH g AS (SELECT number AS identity, count(DISTINCT group_id % 2) AS kinds, string_agg(DISTINCT proposer, ',' ORDER BY proposer) AS proposers, min(listed_on) AS first_day FROM agenda GROUP BY 1) SELECT identity, CASE WHEN kinds = 1 THEN proposers END AS proposers, CASE WHEN kinds = 1 THEN first_day END AS first_day, CASE WHEN kinds > 1 THEN 'conflicting_kind' END AS gap FROM g")
 def ag_merge_inventory(t: Tables) -> DataFrame:
     """Rows of one identity merge; conflicting kinds make a gap and drop what they say."""
     merged = t.agenda.groupBy(F.col("number").alias("identity")).agg(

@@ -11,10 +11,10 @@ from dossier.registry import query
 from dossier.views import Tables
 
 NODES_SQL = """
-  claimed AS (SELECT 'bill:' || number AS id, 'bill' AS node_type, name AS label, number AS locator FROM entities WHERE CAST(number AS BIGINT) < 1400
+  claimed AS (SELECT 'bill:' || number AS id, 'bill' AS node_type, name AS label, number AS locator FROM entities
     UNION ALL SELECT 'status:' || number, 'bill_status', result, number FROM entities WHERE result IS NOT NULL UNION ALL SELECT 'meeting:' || CAST(group_id AS VARCHAR), 'meeting', committee, url FROM meetings
     UNION ALL SELECT 'minutes:' || CAST(group_id AS VARCHAR), 'minutes_document', kind, url FROM meetings WHERE group_id % 9 != 4 UNION ALL SELECT 'speech:' || turn_id, 'speech', role, CAST(seq AS VARCHAR) FROM turns
-    UNION ALL SELECT 'person:' || role, 'person', role, turn_id FROM turns UNION ALL SELECT 'agenda:' || number, 'agenda', title, CAST(group_id % 2 AS VARCHAR) FROM agenda WHERE group_id < 60
+    UNION ALL SELECT 'person:' || role, 'person', role, turn_id FROM turns UNION ALL SELECT 'agenda:' || number, 'agenda', title, CAST(group_id % 2 AS VARCHAR) FROM agenda
     UNION ALL SELECT 'response:' || turn_id, 'government_response', CASE WHEN seq % 2 = 1 THEN 'qa_response' ELSE 'statement' END, CAST(seq AS VARCHAR) FROM turns WHERE role = 'assistant'),
   merged AS (SELECT id, count(DISTINCT node_type || chr(31) || label || CASE WHEN node_type = 'person' THEN '' ELSE chr(31) || locator END) AS versions, min((node_type, label, locator)) AS n, count(*) AS claims FROM claimed GROUP BY 1),
   nodes AS (SELECT id, n[1] AS node_type, n[2] AS label, n[3] AS locator, claims FROM merged WHERE versions = 1)"""
@@ -49,7 +49,7 @@ def gr_node_conflicts(t: Tables) -> DataFrame:
 EDGES_SQL = f"""{NODES_SQL}, {QA_SQL},
   claims AS (SELECT 'bill:' || number AS source, 'status:' || number AS target, 'has_status' AS edge_type, 'overlay' AS reason FROM entities WHERE CAST(number AS BIGINT) % 3 != 0
     UNION SELECT 'meeting:' || CAST(group_id AS VARCHAR), 'minutes:' || CAST(group_id AS VARCHAR), 'has_minutes', 'url' FROM meetings UNION SELECT 'minutes:' || CAST(group_id AS VARCHAR), 'speech:' || turn_id, 'contains_speech', 'parsed' FROM turns
-    UNION SELECT 'person:' || role, 'speech:' || turn_id, 'made_speech', 'speaker' FROM turns UNION SELECT 'speech:' || turn_id, 'bill:' || number, 'discusses_bill', link_type FROM links UNION SELECT 'agenda:' || number, 'bill:' || number, 'agenda_for_bill', 'exact_number' FROM agenda WHERE group_id < 80
+    UNION SELECT 'person:' || role, 'speech:' || turn_id, 'made_speech', 'speaker' FROM turns UNION SELECT 'speech:' || turn_id, 'bill:' || number, 'discusses_bill', link_type FROM links UNION SELECT 'agenda:' || number, 'bill:' || number, 'agenda_for_bill', 'exact_number' FROM agenda
     UNION SELECT 'speech:' || source, 'speech:' || target, lower(relation), 'adjacent' FROM qa UNION SELECT 'response:' || turn_id, 'speech:' || turn_id, 'derived_from_speech', 'role' FROM turns WHERE role != 'system'),
   marked AS (SELECT source, target, edge_type, reason, CASE WHEN a.id IS NULL AND b.id IS NULL THEN 'missing_both' WHEN a.id IS NULL THEN 'missing_source' WHEN b.id IS NULL THEN 'missing_target' END AS gap FROM claims LEFT JOIN nodes a ON a.id = source LEFT JOIN nodes b ON b.id = target)"""
 
@@ -118,7 +118,7 @@ def gr_counts_hash(t: Tables) -> DataFrame:
 
 RECORDS_SQL = """
   records AS (SELECT 'bills' AS evidence_type, number AS id, CAST(proposed_at AS VARCHAR) AS sort_key, name AS title FROM entities UNION ALL SELECT 'bill_status', number, CAST(processed_at AS VARCHAR), result FROM entities WHERE result IS NOT NULL
-    UNION ALL SELECT 'agendas', CAST(group_id AS VARCHAR) || '/' || CAST(seq AS VARCHAR), CAST(listed_on AS VARCHAR), title FROM agenda WHERE group_id < 200 UNION ALL SELECT 'speeches', turn_id, CAST(held_on AS VARCHAR), role FROM turns
+    UNION ALL SELECT 'agendas', CAST(group_id AS VARCHAR) || '/' || CAST(seq AS VARCHAR), CAST(listed_on AS VARCHAR), title FROM agenda UNION ALL SELECT 'speeches', turn_id, CAST(held_on AS VARCHAR), role FROM turns
     UNION ALL SELECT 'government_responses', turn_id, CAST(held_on AS VARCHAR), role FROM turns WHERE role = 'assistant' UNION ALL SELECT 'subcommittee_minutes', CAST(group_id AS VARCHAR), CAST(held_on AS VARCHAR), committee FROM meetings WHERE kind = 'subcommittee')"""
 
 

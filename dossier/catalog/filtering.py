@@ -6,44 +6,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+from dossier.operators.filters import matching, structured
 from dossier.operators.linking import interval_scope
 from dossier.registry import query
 from dossier.views import Tables
 
 
-def structured(turns: DataFrame, **wanted) -> DataFrame:
-    """Turns that meet every given filter: term, role exact; committee, speaker by substring; dates inclusive.
-
-    A null value in a row never matches; ``day_from`` after ``day_to`` is an error.
-    """
-    if wanted.get("day_from") and wanted.get("day_to") and wanted["day_from"] > wanted["day_to"]:
-        raise ValueError("day_from is after day_to")
-    tests = {
-        "term": lambda v: F.col("term") == v, "role": lambda v: F.col("role") == v, "committee": lambda v: F.contains(F.lower("committee"), F.lit(v.lower())),
-        "speaker": lambda v: F.contains(F.lower("role"), F.lit(v.lower())), "day_from": lambda v: F.col("held_on") >= F.lit(v).cast("date"), "day_to": lambda v: F.col("held_on") <= F.lit(v).cast("date"),
-    }
-    for name, value in wanted.items():
-        if value is not None:
-            turns = turns.where(tests[name](value))
-    return turns
+@query("flt_structured", "SELECT turn_id FROM turns WHERE term = 19 AND role = 'user' AND organization = 'office 1' AND kind = 'committee' AND contains(lower(committee), 'ittee') AND contains(lower(speaker), 'user') AND held_on BETWEEN DATE '2020-01-01' AND DATE '2022-12-31'")
+def flt_structured(t: Tables) -> DataFrame:
+    wanted = {"term": 19, "role": "user", "organization": "office 1", "kind": "committee", "committee": "ITTEE", "speaker": "User", "day_from": "2020-01-01", "day_to": "2022-12-31"}
+    return structured(t.turns, **wanted).select("turn_id")
 
 
-@query("flt_structured", "SELECT turn_id FROM turns WHERE term = 19 AND contains(lower(committee), 'ee 1') AND contains(lower(role), 'ass') AND held_on BETWEEN DATE '2020-01-01' AND DATE '2021-12-31'")
-def flt_structured(t: Tables) -> DataFrame:
-    return structured(t.turns, term=19, committee="EE 1", speaker="ass", day_from="2020-01-01", day_to="2021-12-31").select("turn_id")
+FILTER_SQL = """wanted AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey % 4 + 18 END AS w_term, CASE WHEN n_nationkey % 2 = 0 THEN 'user' END AS w_role, CASE WHEN n_nationkey % 4 = 1 THEN 'office 1' END AS w_organization,
+    CASE WHEN n_nationkey % 7 = 2 THEN 'plenary' END AS w_kind, CASE WHEN n_nationkey % 5 = 1 THEN 'EE 3' END AS w_committee, CASE WHEN n_nationkey % 6 = 1 THEN 'T 2' END AS w_speaker, CASE WHEN n_nationkey % 5 = 0 THEN DATE '2020-03-01' END AS w_from, CASE WHEN n_nationkey % 10 = 0 THEN DATE '2021-03-01' END AS w_to FROM nation)"""
+FILTER_ON = """(w_term IS NULL OR term = w_term) AND (w_role IS NULL OR role = w_role) AND (w_organization IS NULL OR organization = w_organization) AND (w_kind IS NULL OR kind = w_kind) AND (w_committee IS NULL OR contains(lower(committee), lower(w_committee)))
+    AND (w_speaker IS NULL OR contains(lower(speaker), lower(w_speaker))) AND (w_from IS NULL OR held_on >= w_from) AND (w_to IS NULL OR held_on <= w_to)"""
 
 
-FILTER_SQL = "wanted AS (SELECT n_nationkey AS query_id, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey % 4 + 18 END AS w_term, CASE WHEN n_nationkey % 2 = 0 THEN 'user' END AS w_role, CASE WHEN n_nationkey % 5 = 0 THEN DATE '2020-03-01' END AS w_from FROM nation)"
+def query_filters(t: Tables) -> DataFrame:
+    """Eight filters of each query, null where it sets none."""
+    k = F.col("n_nationkey")
+    day = lambda test, s: F.when(test, F.lit(s).cast("date"))
+    return t.raw("nation").select(
+        k.cast("long").alias("query_id"), F.when(k % 3 == 0, k % 4 + 18).alias("term"), F.when(k % 2 == 0, "user").alias("role"), F.when(k % 4 == 1, "office 1").alias("organization"), F.when(k % 7 == 2, "plenary").alias("kind"),
+        F.when(k % 5 == 1, "EE 3").alias("committee"), F.when(k % 6 == 1, "T 2").alias("speaker"), day(k % 5 == 0, "2020-03-01").alias("day_from"), day(k % 10 == 0, "2021-03-01").alias("day_to"),
+    )
 
 
-@query("flt_query_filters_join", f"WITH {FILTER_SQL} SELECT CAST(query_id AS BIGINT) AS query_id, count(*) AS n, min(turn_id) AS first FROM wanted JOIN turns ON (w_term IS NULL OR term = w_term) AND (w_role IS NULL OR role = w_role) AND (w_from IS NULL OR held_on >= w_from) GROUP BY 1")
+@query("flt_query_filters_join", f"WITH {FILTER_SQL} SELECT query_id, turn_id FROM wanted JOIN turns ON {FILTER_ON}")
 def flt_query_filters_join(t: Tables) -> DataFrame:
-    """Filters of a whole query table; null is no constraint.  The query side is broadcast only if small."""
-    k = F.col("n_nationkey")
-    wanted = t.raw("nation").select(k.cast("long").alias("query_id"), F.when(k % 3 == 0, k % 4 + 18).alias("w_term"), F.when(k % 2 == 0, "user").alias("w_role"), F.when(k % 5 == 0, F.lit("2020-03-01").cast("date")).alias("w_from"))
-    free = lambda w, test: F.col(w).isNull() | test
-    on = free("w_term", F.col("term") == F.col("w_term")) & free("w_role", F.col("role") == F.col("w_role")) & free("w_from", F.col("held_on") >= F.col("w_from"))
-    return t.turns.select("turn_id", "term", "role", "held_on").join(F.broadcast(wanted), on).groupBy("query_id").agg(F.count("*").alias("n"), F.min("turn_id").alias("first"))
+    return matching(t.turns, query_filters(t))
 
 
 TERMS = [(15, "1995-03-01", "1996-12-31"), (16, "1997-01-01", "1998-06-30"), (17, "1998-09-01", "2000-12-31")]
@@ -84,7 +77,7 @@ def flt_month_tiling(t: Tables) -> DataFrame:
 
 @query(
     "flt_collapse_months",
-    "WITH m AS (SELECT DISTINCT committee, year(proposed_at) AS y, month(proposed_at) AS mo FROM entities WHERE CAST(number AS BIGINT) % 8 < 2), c AS (SELECT committee, y, count(*) AS n FROM m GROUP BY 1, 2) SELECT committee, CAST(y AS BIGINT) AS y, CASE WHEN n = 12 THEN CAST(y AS VARCHAR) ELSE CAST(y AS VARCHAR) || '-' || lpad(CAST(mo AS VARCHAR), 2, '0') END AS key FROM c JOIN m USING (committee, y) GROUP BY ALL",
+    "WITH m AS (SELECT DISTINCT committee, year(proposed_at) AS y, month(proposed_at) AS mo FROM entities), c AS (SELECT committee, y, count(*) AS n FROM m GROUP BY 1, 2) SELECT committee, CAST(y AS BIGINT) AS y, CASE WHEN n = 12 THEN CAST(y AS VARCHAR) ELSE CAST(y AS VARCHAR) || '-' || lpad(CAST(mo AS VARCHAR), 2, '0') END AS key FROM c JOIN m USING (committee, y) GROUP BY ALL",
 )
 def flt_collapse_months(t: Tables) -> DataFrame:
     """A year with all its months becomes one key."""
@@ -124,13 +117,13 @@ def flt_proposal_scope(t: Tables) -> DataFrame:
 
 @query(
     "flt_content_terms",
-    "WITH n AS (SELECT query_id, count(*) AS wanted FROM query_terms GROUP BY 1), h AS (SELECT query_id, turn_id, count(*) AS matched FROM query_terms JOIN turn_terms USING (term) GROUP BY 1, 2), f AS (SELECT h.*, matched >= least(3, wanted) AS good FROM h JOIN n USING (query_id)), g AS (SELECT *, bool_or(good) OVER (PARTITION BY query_id) AS any_good FROM f) SELECT query_id, turn_id, matched FROM g WHERE good OR NOT any_good",
+    "WITH n AS (SELECT query_id, count(*) AS wanted FROM query_terms GROUP BY 1), h AS (SELECT query_id, turn_id, count(*) AS matched FROM query_terms JOIN turn_terms USING (term) GROUP BY 1, 2), f AS (SELECT h.*, matched >= least(2, wanted) AS good FROM h JOIN n USING (query_id)), g AS (SELECT *, bool_or(good) OVER (PARTITION BY query_id) AS any_good FROM f) SELECT query_id, turn_id, matched FROM g WHERE good OR NOT any_good",
 )
 def flt_content_terms(t: Tables) -> DataFrame:
     """Results with enough content terms; where none has, all stay."""
     wanted = t.query_terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
     hits = t.query_terms.join(t.turn_terms, "term").groupBy("query_id", "turn_id").agg(F.count("*").alias("matched")).join(wanted, "query_id")
-    marked = hits.withColumn("good", F.col("matched") >= F.least(F.lit(3), F.col("wanted")))
+    marked = hits.withColumn("good", F.col("matched") >= F.least(F.lit(2), F.col("wanted")))
     some = marked.groupBy("query_id").agg(F.bool_or("good").alias("some"))
     return marked.join(some, "query_id").where("good or not some").select("query_id", "turn_id", "matched")
 

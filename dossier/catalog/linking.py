@@ -10,7 +10,7 @@ from dossier.registry import query
 from dossier.views import Tables
 
 
-@query("jn_context", "SELECT h.turn_id AS hit, t.turn_id, t.seq - h.seq AS delta, t.role FROM turns h JOIN turns t ON h.group_id = t.group_id AND t.seq BETWEEN h.seq - 1 AND h.seq + 2 WHERE h.group_id % 5 = 0 AND h.seq % 3 = 1")
+@query("jn_context", "SELECT h.turn_id AS hit, t.turn_id, t.seq - h.seq AS delta, t.role FROM turns h JOIN turns t ON h.group_id = t.group_id AND t.seq BETWEEN h.seq - 1 AND h.seq + 2")
 def jn_context(t: Tables) -> DataFrame:
     return linking.context(t.turns, t.turns, 1, 2)
 
@@ -47,7 +47,7 @@ def jn_explicit_mentions(t: Tables) -> DataFrame:
     return linking.substring_links(t.raw("documents").select("doc_id", "text"), t.raw("benchmark").select("item_id", F.col("text").alias("pattern")), "doc_id", "item_id")
 
 
-@query("jn_hydrate", "SELECT turn_id, role, m.kind, m.url || '#' || CAST(seq AS VARCHAR) AS citation, m.held_on FROM turns JOIN meetings m USING (group_id) WHERE seq < 3")
+@query("jn_hydrate", "SELECT turn_id, role, m.kind, m.url || '#' || CAST(seq AS VARCHAR) AS citation, m.held_on FROM turns JOIN meetings m USING (group_id)")
 def jn_hydrate(t: Tables) -> DataFrame:
     joined = t.turns.select("turn_id", "role", "seq", "group_id").join(t.meetings, "group_id")
     return joined.select("turn_id", "role", "kind", F.concat("url", F.lit("#"), F.col("seq").cast("string")).alias("citation"), "held_on")
@@ -67,7 +67,7 @@ def jn_linked_entities(t: Tables) -> DataFrame:
 
 
 ROLE_SQL = """
-  wanted AS (SELECT DISTINCT s_suppkey % 20 AS query_id, s_name AS name FROM supplier WHERE s_suppkey < 40),
+  wanted AS (SELECT DISTINCT s_suppkey % 20 AS query_id, s_name AS name FROM supplier),
   firsts AS (SELECT group_id, proposer, seq, seq = 1 AS representative FROM agenda),
   hits AS (SELECT query_id, group_id, bool_or(representative) AS representative, bool_or(NOT representative) AS co FROM firsts JOIN wanted ON proposer = name GROUP BY 1, 2)"""
 
@@ -94,7 +94,7 @@ def jn_required_exact(t: Tables) -> DataFrame:
 
 MAPPING_SQL = """
   cand AS (SELECT doc_id % 400 AS identity, doc_id, CASE WHEN doc_id % 11 = 0 THEN 'moved' ELSE source END AS url, row_number() OVER (PARTITION BY doc_id % 400 ORDER BY doc_id) AS copy FROM documents),
-  work AS (SELECT doc_id % 450 AS identity, count(*) AS targets, min(source) AS url FROM documents WHERE doc_id % 3 != 0 AND doc_id < 900 GROUP BY 1)"""
+  work AS (SELECT doc_id % 450 AS identity, count(*) AS targets, min(source) AS url FROM documents WHERE doc_id % 3 != 0 GROUP BY 1)"""
 
 
 @query("jn_exact_mapping", f"WITH {MAPPING_SQL} SELECT doc_id, CASE WHEN copy > 1 THEN 'duplicate' WHEN targets IS NULL THEN 'unmapped' WHEN targets > 1 THEN 'ambiguous' WHEN c.url != w.url THEN 'url_mismatch' ELSE 'mapped' END AS outcome FROM cand c LEFT JOIN work w USING (identity)")
@@ -109,7 +109,7 @@ def jn_exact_mapping(t: Tables) -> DataFrame:
 
 @query(
     "jn_title_binding",
-    """WITH asked AS (SELECT l_orderkey AS group_id, l_linenumber AS k, p_name AS title, CASE WHEN l_partkey % 3 = 0 THEN lpad(CAST(l_partkey AS VARCHAR), 7, '0') END AS asked_number, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 = 0)
+    """WITH asked AS (SELECT l_orderkey AS group_id, l_linenumber AS k, p_name AS title, CASE WHEN l_partkey % 3 = 0 THEN lpad(CAST(l_partkey AS VARCHAR), 7, '0') END AS asked_number, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey)
     SELECT a.group_id, CAST(k AS BIGINT) AS k, a.title, l_suppkey, CASE WHEN count(*) FILTER (WHERE number = asked_number) = 1 THEN 'bound' WHEN count(*) FILTER (WHERE number = asked_number) > 1 THEN 'ambiguous' ELSE 'inferred_unresolved' END AS status, count(*) AS titles
     FROM asked a JOIN agenda g ON a.group_id = g.group_id AND a.title = g.title GROUP BY a.group_id, k, a.title, l_suppkey, asked_number""",
 )
@@ -140,7 +140,7 @@ def jn_status_overlay(t: Tables) -> DataFrame:
     return t.entities.select("number", "result").join(overlay, "number", "left").select("number", F.coalesce("value", "result").alias("result"), F.coalesce("conflict", F.lit(False)).alias("conflict"))
 
 
-@query("jn_agenda_gaps", "WITH a AS (SELECT group_id, seq, title FROM agenda WHERE CAST(number AS BIGINT) % 4 = 0), e AS (SELECT p_name AS title, count(DISTINCT p_partkey) AS n FROM part WHERE p_partkey % 50 = 0 GROUP BY 1) SELECT group_id, seq, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'inferred_unresolved' ELSE 'ambiguous' END AS gap FROM a LEFT JOIN e USING (title)")
+@query("jn_agenda_gaps", "WITH a AS (SELECT group_id, seq, title FROM agenda), e AS (SELECT p_name AS title, count(DISTINCT p_partkey) AS n FROM part GROUP BY 1) SELECT group_id, seq, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'inferred_unresolved' ELSE 'ambiguous' END AS gap FROM a LEFT JOIN e USING (title)")
 def jn_agenda_gaps(t: Tables) -> DataFrame:
     titles = t.raw("part").groupBy(F.col("p_name").alias("title")).agg(F.count_distinct("p_partkey").alias("n"))
     gap = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "inferred_unresolved").otherwise("ambiguous")
@@ -168,7 +168,7 @@ def jn_entity_links(t: Tables) -> DataFrame:
 
 @query(
     "jn_exact_enforce",
-    """WITH wanted AS (SELECT DISTINCT number FROM agenda WHERE CAST(number AS BIGINT) % 9 = 0), e AS (SELECT number FROM entities WHERE number IN (SELECT number FROM wanted)),
+    """WITH wanted AS (SELECT DISTINCT number FROM agenda), e AS (SELECT number FROM entities WHERE number IN (SELECT number FROM wanted)),
     l AS (SELECT * FROM links WHERE number IN (SELECT number FROM e)), h AS (SELECT DISTINCT group_id FROM l)
     SELECT t.group_id, count(*) AS turns, count(*) FILTER (WHERE t.turn_id IN (SELECT turn_id FROM l)) AS matched FROM turns t WHERE t.group_id IN (SELECT group_id FROM h) GROUP BY 1""",
 )

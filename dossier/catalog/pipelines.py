@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from dossier.catalog.evidence import RECORDS_SQL, evidence_records, gr_edges, gr_unresolved
 from dossier.catalog.evidence import EDGES_SQL
-from dossier.catalog.searching import BM25_SQL
+from dossier.catalog.searching import BM25_SQL, speech_sql
 from dossier.operators import linking
 from dossier.plans import research
 from dossier.registry import query
 from dossier.views import Tables
 
 
-@query("pl_search_speeches", f"WITH {BM25_SQL}, a AS (SELECT turn_id, group_id, lag(turn_id) OVER w AS previous, lead(turn_id) OVER w AS next FROM turns WINDOW w AS (PARTITION BY group_id ORDER BY seq)) SELECT query_id, r.turn_id, rank, score, previous, next, url FROM ranked r JOIN a ON a.turn_id = r.turn_id JOIN meetings m ON m.group_id = a.group_id WHERE rank <= 10")
+SHOWN_WHERE = "role = 'user' AND kind = 'committee' AND term BETWEEN 18 AND 99 AND held_on >= DATE '2020-01-05'"
+
+
+@query("pl_search_speeches", f"WITH {speech_sql(SHOWN_WHERE)} SELECT f.query_id, f.item, f.rank, f.score, lexical_rank, semantic_rank, matched_terms, previous, next, url FROM final f LEFT JOIN m USING (query_id, item) JOIN a USING (item) JOIN meetings USING (group_id) WHERE f.rank <= 10")
 def pl_search_speeches(t: Tables) -> DataFrame:
-    return research.search_speeches(t)
+    """Hybrid search within filters that hold before either list is cut."""
+    return research.search_speeches(t, 10, role="user", kind="committee", day_from="2020-01-05")
 
 
 @query("pl_speech_context", "SELECT h.turn_id AS hit, t.turn_id, t.role, m.url FROM turns h JOIN turns t ON t.group_id = h.group_id AND t.seq BETWEEN h.seq - 2 AND h.seq + 2 JOIN meetings m ON m.group_id = t.group_id WHERE h.group_id % 8 = 2 AND h.seq = 2")

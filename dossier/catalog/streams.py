@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.operators import index
 from dossier.registry import query
 from dossier.streaming import arrivals
 from dossier.views import Tables
@@ -44,8 +45,12 @@ def st_threads(t: Tables) -> DataFrame:
     return closed.select("user_id", F.date_format("first_at", "yyyy-MM-dd HH:mm:ss").alias("first_at"), "n")
 
 
-@query("st_incremental_index", "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM doc_terms GROUP BY 1")
+@query("st_incremental_index", "WITH a AS (SELECT doc_id % 400 AS id, max_by(text, doc_id) AS text FROM documents GROUP BY 1), p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM a) GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM p GROUP BY 1")
 def st_incremental_index(t: Tables) -> DataFrame:
-    """The index maintained as documents arrive equals one built at once."""
-    stream = arrivals.open_stream(t.spark, f"{t.sf_dir}/documents.parquet").select("doc_id", "text")
-    return arrivals.incremental_postings(stream, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+    """The index maintained as documents arrive, some of them again with another text, equals one built of the last texts."""
+    docs = t.raw("documents").select((F.col("doc_id") % 400).alias("id"), "doc_id", "text")
+    folder = index.shared_folder(t.spark, "arriving")
+    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{folder}/documents")  # four files, in order of arrival
+    stream = arrivals.open_stream(t.spark, f"{folder}/documents", files_per_trigger=2)
+    held = arrivals.incremental_index(stream.select("id", "text"), "id", ["text"], buckets=8)
+    return held.postings.groupBy("term").agg(F.max("df").alias("df"), F.sum("tf").alias("occurrences"))

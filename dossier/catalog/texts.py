@@ -75,7 +75,7 @@ def txt_replace_equivalents(t: Tables) -> DataFrame:
 
 @query(
     "txt_phrases",
-    r"""WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[1:12], lambda x: x NOT IN ('the', 'of', 'and') AND length(x) >= 2 AND NOT regexp_matches(x, '^[0-9]+$')) AS k FROM benchmark)
+    r"""WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: x NOT IN ('the', 'of', 'and') AND length(x) >= 2 AND NOT regexp_matches(x, '^[0-9]+$')) AS k FROM benchmark)
     SELECT item_id, CAST(len(list_distinct(list_concat(list_concat(CASE WHEN len(k) >= 3 THEN list_transform(generate_series(1, len(k) - 2), lambda i: k[i] || k[i + 1] || k[i + 2]) ELSE [] END, CASE WHEN len(k) >= 2 THEN list_transform(generate_series(1, len(k) - 1), lambda i: k[i] || k[i + 1]) ELSE [] END), k))) AS BIGINT) AS n,
     CASE WHEN len(k) >= 3 THEN k[1] || k[2] || k[3] WHEN len(k) = 2 THEN k[1] || k[2] ELSE k[1] END AS first FROM w""",
 )

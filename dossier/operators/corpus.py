@@ -5,20 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.operators.search import term_frequencies
-
-
-def update_index(postings: DataFrame, removed: DataFrame, changed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings after ``removed(id)`` left and ``changed(id, text)`` came or were rewritten; equals a rebuild."""
-    touched = removed.select(id_col).unionByName(changed.select(id_col)).distinct()
-    return postings.join(touched, id_col, "left_anti").unionByName(term_frequencies(changed, id_col, text_col))
-
-
-def write_index_buckets(postings: DataFrame, path: str, buckets: int = 256) -> None:
-    """Write postings partitioned by term bucket; only buckets present in ``postings`` are replaced."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    writer = postings.withColumn("term_bucket", bucket).repartition("term_bucket").sortWithinPartitions("term").write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy("term_bucket").parquet(path)
 
 
 def revision_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:

@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.operators import linking, search
+from dossier.operators import search
+from dossier.operators.filters import structured
 from dossier.views import Tables
 
 
-def search_speeches(t: Tables, k: int = 10, role: str | None = None) -> DataFrame:
-    """BM25 over the turns that pass the filter, with the turns around each hit and its citation.
+def search_speeches(t: Tables, k: int = 10, **filters) -> DataFrame:
+    """Hybrid search over the turns that meet the eight filters, with matched terms, neighbours and citation.
 
-    Texts join last, for the rows that remain.
+    The filters hold before either list is cut; texts join last, for the rows that remain.
     """
-    postings = t.turn_terms
-    if role:
-        postings = postings.join(t.turns.where(F.col("role") == role).select("turn_id"), "turn_id", "left_semi")
-    best = search.bm25(postings, t.query_terms, "turn_id", k)
-    around = linking.adjacent(t.turns.select("group_id", "seq", "turn_id", "text")).select("turn_id", "group_id", "previous", "next")
-    return best.join(around, "turn_id").join(t.meetings.select("group_id", "url"), "group_id").select("query_id", "turn_id", "rank", "score", "previous", "next", "url")
+    from dossier.catalog.searching import fused, shown
+
+    within = structured(t.turns, **filters).select("turn_id") if filters else None
+    return shown(t, fused(t, within=within).where(F.col("rank") <= k))
 
 
 def explore_issue(t: Tables, k: int = 30, gap: int = 3) -> DataFrame:
@@ -27,7 +26,7 @@ def explore_issue(t: Tables, k: int = 30, gap: int = 3) -> DataFrame:
 
     Search, link, gate by the link's confidence, thread, and score, each for all queries at once.
     """
-    hits = search.bm25(t.turn_terms, t.query_terms, "turn_id", k).select("query_id", "turn_id")
+    hits = search.bm25(t.indexed("turns"), t.query_words, k).select("query_id", "turn_id")
     placed = hits.join(t.turns.select("turn_id", "group_id", "seq", "held_on"), "turn_id")
     linked = hits.join(t.links.select("turn_id", "number", "confidence"), "turn_id").groupBy("query_id", "number").agg(F.max("confidence").alias("confidence"), F.count_distinct("turn_id").alias("turns"))
     known = linked.join(t.entities.select("number", "result", "proposed_at"), "number")

@@ -6,23 +6,10 @@ table that came of it.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.operators.search import term_frequencies
-
-
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; local sessions may lack it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from dossier.operators import index
 
 
 def open_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
@@ -37,7 +24,7 @@ def open_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> D
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Process everything available and return the rows written, with ``batch``, the number of their batch."""
     spark = stream.sparkSession
-    folder = work_folder(spark)
+    folder = index.shared_folder(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         # a batch done again replaces what it wrote before
@@ -76,14 +63,22 @@ def threads(events: DataFrame, key: str, time: str, gap: str) -> DataFrame:
     return sessions.select(key, F.col("w.start").alias("first_at"), "n")
 
 
-def incremental_postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Postings of the documents as they arrive, one batch at a time (a document is never in two batches)."""
+def incremental_index(docs: DataFrame, id_col: str, text_cols: list[str], buckets: int = index.BUCKETS) -> index.Index:
+    """A stored index kept up as documents arrive, one batch at a time.
+
+    Each batch rewrites the buckets that its documents touch; a document that comes again replaces its
+    older postings (the last of a batch counts), and a batch done again changes nothing.
+    """
     spark = docs.sparkSession
-    folder = work_folder(spark)
+    folder = index.shared_folder(spark, "stream")
+    held = index.build(spark.createDataFrame([], docs.schema), id_col, text_cols, f"{folder}/index", buckets)
+    newest = "arrived_order"
 
     def write(batch: DataFrame, number: int) -> None:
-        term_frequencies(batch, id_col, text_col).write.mode("overwrite").parquet(f"{folder}/postings/batch={number}")
+        rows = batch.withColumn(newest, F.monotonically_increasing_id())
+        last = rows.groupBy(id_col).agg(F.max_by(F.struct(*text_cols), newest).alias("last")).select(id_col, "last.*")
+        index.update(held, last.select(id_col).limit(0), last, text_cols)
 
     run = docs.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/postings").drop("batch")
+    return held

@@ -11,15 +11,17 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.functions.text import tokens
+from dossier.functions.text import LATIN_SUFFIXES, query_terms, tokens
+from dossier.operators import index
 
 PAGE_SIZE = 100
 
 VIEW_SQL = {
     "turns": """SELECT conv_id AS group_id, turn AS seq, CAST(conv_id AS VARCHAR) || ':speech-' || lpad(CAST(turn AS VARCHAR), 4, '0') AS turn_id,
         role, text, DATE '2020-01-01' + CAST(conv_id % 1500 AS INTEGER) AS held_on, 'committee ' || CAST(conv_id % 7 AS VARCHAR) AS committee,
-        conv_id % 4 + 18 AS term FROM conversations""",
-    "meetings": """SELECT DISTINCT group_id, held_on, committee, term, CASE group_id % 3 WHEN 0 THEN 'plenary' WHEN 1 THEN 'committee' ELSE 'subcommittee' END AS kind,
+        conv_id % 4 + 18 AS term, role || ' ' || CAST(conv_id % 5 AS VARCHAR) AS speaker, 'office ' || CAST(conv_id % 3 AS VARCHAR) AS organization,
+        CASE conv_id % 3 WHEN 0 THEN 'plenary' WHEN 1 THEN 'committee' ELSE 'subcommittee' END AS kind FROM conversations""",
+    "meetings": """SELECT DISTINCT group_id, held_on, committee, term, kind,
         'https://records.example.org/minutes?id=' || CAST(group_id AS VARCHAR) AS url FROM turns""",
     "entities": """SELECT lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS number, c_name || ' ' || lower(o_orderpriority) AS name, c_name AS proposer, c_mktsegment AS committee,
         CAST(o_orderdate AS DATE) AS proposed_at, CASE WHEN o_orderstatus = 'F' THEN 'processed' END AS result,
@@ -36,7 +38,12 @@ VIEW_SQL = {
         count(*) OVER (PARTITION BY o_orderpriority, year(o_orderdate)) AS total FROM orders""",
     "source_pages": """SELECT dataset, year, CASE WHEN year = 1999 AND page = 2 THEN 1 ELSE page END AS page, total + CASE WHEN year = 1998 AND page = 2 THEN 1 ELSE 0 END AS total,
         count(*) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS content FROM source_rows WHERE NOT (year = 1997 AND page = 2) GROUP BY ALL""",
-    "query_terms": """SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')[1:6]) AS term FROM benchmark""",
+    "query_terms": """SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark""",
+    "query_words": """SELECT query_id, term, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY query_id, term ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM
+        (SELECT query_id, unnest([{'term': raw, 'pos': 2 * i, 'is_raw': true}, {'term': base, 'pos': 2 * i + 1, 'is_raw': false}], recursive := true) FROM
+          (SELECT query_id, raw, i, CASE """ + " ".join(f"WHEN suffix(raw, '{s}') AND length(raw) >= {len(s) + 2} THEN raw[:-{len(s) + 1}]" for s in LATIN_SUFFIXES) + """ END AS base FROM (SELECT item_id AS query_id, list_extract(terms, i) AS raw, i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS terms FROM benchmark), unnest(generate_series(1, len(terms))) g(i))))
+        WHERE term IS NOT NULL) WHERE is_raw OR before = 0 GROUP BY ALL""",
+    "turn_words": """SELECT turn_id, term, count(*) AS tf FROM (SELECT turn_id, unnest(regexp_extract_all(lower(concat_ws(' ', text, speaker, organization, committee, kind)), '[\\p{L}\\p{N}_]+')) AS term FROM turns) GROUP BY ALL""",
     "turn_terms": """SELECT turn_id, term, count(*) AS tf FROM (SELECT turn_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM turns) GROUP BY ALL""",
     "doc_terms": """SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents) GROUP BY ALL""",
 }
@@ -59,13 +66,14 @@ class Tables:
             F.concat(F.col("conv_id").cast("string"), F.lit(":speech-"), F.lpad(F.col("turn").cast("string"), 4, "0")).alias("turn_id"),
             "role", "text", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("conv_id") % 1500).cast("int")).alias("held_on"),
             F.concat(F.lit("committee "), (F.col("conv_id") % 7).cast("string")).alias("committee"), (F.col("conv_id") % 4 + 18).alias("term"),
+            F.concat("role", F.lit(" "), (F.col("conv_id") % 5).cast("string")).alias("speaker"), F.concat(F.lit("office "), (F.col("conv_id") % 3).cast("string")).alias("organization"),
+            F.when(F.col("conv_id") % 3 == 0, "plenary").when(F.col("conv_id") % 3 == 1, "committee").otherwise("subcommittee").alias("kind"),
         )
 
     @cached_property
     def meetings(self) -> DataFrame:
-        kind = F.when(F.col("group_id") % 3 == 0, "plenary").when(F.col("group_id") % 3 == 1, "committee").otherwise("subcommittee")
         url = F.concat(F.lit("https://records.example.org/minutes?id="), F.col("group_id").cast("string"))
-        return self.turns.select("group_id", "held_on", "committee", "term").distinct().withColumns({"kind": kind, "url": url})
+        return self.turns.select("group_id", "held_on", "committee", "term", "kind").distinct().withColumn("url", url)
 
     @cached_property
     def entities(self) -> DataFrame:
@@ -124,13 +132,23 @@ class Tables:
         return self.raw("benchmark").select(F.col("item_id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).distinct()
 
     @cached_property
+    def query_words(self) -> DataFrame:
+        """Every word of a query as often as it stands there, and its stripped form once."""
+        words = self.raw("benchmark").select(F.col("item_id").alias("query_id"), F.explode(query_terms(F.col("text"))).alias("term"))
+        return words.groupBy("query_id", "term").agg(F.count("*").alias("n"))
+
+    def indexed(self, name: str) -> index.Index:
+        """The stored index of the turns (five columns), of their texts alone, or of the documents."""
+        sources = {
+            "turns": lambda: (self.turns, "turn_id", ["text", "speaker", "organization", "committee", "kind"]),
+            "turn_texts": lambda: (self.turns, "turn_id", ["text"]), "documents": lambda: (self.raw("documents"), "doc_id", ["text"]),
+        }
+        return index.stored(self.spark, f"{self.sf_dir}/{name}", sources[name])
+
+    @property
     def turn_terms(self) -> DataFrame:
-        from dossier.operators.search import term_frequencies
+        return self.indexed("turn_texts").postings.select("turn_id", "term", "tf")
 
-        return term_frequencies(self.turns, "turn_id", "text")
-
-    @cached_property
+    @property
     def doc_terms(self) -> DataFrame:
-        from dossier.operators.search import term_frequencies
-
-        return term_frequencies(self.raw("documents"), "doc_id", "text")
+        return self.indexed("documents").postings.select("doc_id", "term", "tf")

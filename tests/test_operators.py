@@ -103,8 +103,12 @@ def test_index_update_equals_rebuild(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 60")
     changed = docs.where("doc_id % 7 = 1").withColumn("text", F.lit("all new words"))
     after = docs.where("doc_id % 7 != 1 and doc_id % 5 != 0").unionByName(changed)
-    updated = corpus.update_index(search.term_frequencies(docs, "doc_id", "text"), docs.where("doc_id % 5 = 0").select("doc_id"), changed)
-    assert rows(updated) == rows(search.term_frequencies(after, "doc_id", "text"))
+    new = lambda d: index.build(d, "doc_id", ["text"], index.shared_folder(spark, "index"), 4)
+    updated = index.update(new(docs), docs.where("doc_id % 5 = 0").select("doc_id"), changed, ["text"])
+    again = new(after)
+    assert rows(updated.postings, "doc_id", "term", "tf", "dl", "df") == rows(again.postings, "doc_id", "term", "tf", "dl", "df") and rows(updated.lengths) == rows(again.lengths)
+    emptied = index.update(updated, after.select("doc_id"), docs.limit(0), ["text"])
+    assert emptied.postings.count() == 0 and emptied.totals() == (0, 0.0)
 
 
 def test_substring_links_equal_all_pairs(spark):
@@ -132,15 +136,6 @@ def test_terms_dates_names(spark):
     assert got[0] == ["국회에서", "국회", "법안을", "법안", "nation"] and str(got[1]) == "1997-02-03" and got[2] == ["Kim"] and got[3] == ["Lee", "x", "Han"] and got[4] == ["1234567", "7654321"]
 
 
-def test_index_buckets_are_overwritten_alone(spark, tmp_path):
-    postings = spark.createDataFrame([(d, f"t{k}", 1) for d in range(3) for k in range(20)], "doc_id long, term string, tf long")
-    corpus.write_index_buckets(postings, str(tmp_path / "index"), 8)
-    corpus.write_index_buckets(postings.where("term = 't1'").withColumn("tf", F.lit(5).cast("long")), str(tmp_path / "index"), 8)
-    back = spark.read.parquet(str(tmp_path / "index"))
-    hit = back.where("term = 't1'")
-    assert {r.tf for r in hit.collect()} == {5} and back.select("term_bucket").distinct().count() > 1
-
-
 def test_stream_redelivery_within_one_run(spark, sf):
     stream = arrivals.open_stream(spark, f"{sf}/events.parquet")
     rows_ = arrivals.drain(arrivals.absorb_redelivery(stream.unionByName(stream), "event_id", "ts").select("event_id"), "append")

@@ -1,46 +1,10 @@
-"""Queries over their whole tables, against their SQL without the cuts that it still makes."""
+"""Queries whose tables hold high ids, on hand-made tables."""
 
 from __future__ import annotations
 
-import pytest
-from oracle import connect, difference
-
-from dossier import registry
 from dossier.catalog import evidence, linking
 from dossier.views import Tables
 
-SQL = registry.oracle_sql()
-QUERIES = registry.queries()
-
-#: By query: what its registered SQL cuts, and the whole in its place.
-TERMS = [("[1:6]", "")]
-CUTS = {name: TERMS for name in ("rk_bm25", "rk_match_search", "rk_match_all", "rk_rrf", "rk_hybrid", "rk_speech_search", "pl_search_speeches", "pl_explore_issue", "flt_content_terms")}
-CUTS |= {"rk_corpus_recall": [*TERMS, (" WHERE matched >= 3)", ")")], "txt_phrases": [("[1:12]", "")]}
-GRAPH = [(" WHERE CAST(number AS BIGINT) < 1400", ""), (" FROM agenda WHERE group_id < 60", " FROM agenda"), (" FROM agenda WHERE group_id < 80", " FROM agenda"), (" FROM agenda WHERE group_id < 200", " FROM agenda")]
-CUTS |= {name: GRAPH for name in ("gr_nodes", "gr_node_conflicts", "gr_edges", "gr_unresolved", "gr_issue_links", "gr_counts_hash", "pl_research", "gr_evidence_records", "gr_fingerprint", "pl_overview", "pl_result_page")}
-GATE = [(" WHERE CAST(number AS BIGINT) % 7 = 0", "")]
-CUTS |= {name: GATE for name in ("rk_relevance_gate", "rk_gate_rank", "rk_gate_decisions", "rk_tier_select", "ag_rejections")}
-CUTS |= {
-    "jn_context": [(" WHERE h.group_id % 5 = 0 AND h.seq % 3 = 1", "")], "jn_hydrate": [(" WHERE seq < 3", "")], "jn_role_match": [(" WHERE s_suppkey < 40", "")],
-    "jn_exact_mapping": [(" AND doc_id < 900", "")], "jn_title_binding": [(" WHERE l_orderkey % 10 = 0", "")], "jn_agenda_gaps": [(" WHERE CAST(number AS BIGINT) % 4 = 0", ""), (" WHERE p_partkey % 50 = 0", "")],
-    "jn_exact_enforce": [(" WHERE CAST(number AS BIGINT) % 9 = 0", "")], "flt_collapse_months": [(" WHERE CAST(number AS BIGINT) % 8 < 2", "")], "ag_merge_inventory": [(" WHERE group_id % 3 = 0", "")],
-    "so_unique_last": [(" WHERE user_id % 7 != 0", "")],
-}
-
-
-@pytest.fixture(scope="module")
-def con(sf):
-    return connect(sf)
-
-
-@pytest.mark.parametrize("name", sorted(CUTS))
-def test_query_over_whole_tables(spark, sf, con, name):
-    sql = SQL[name]
-    for cut, whole in CUTS[name]:
-        sql = sql.replace(cut, whole)
-    assert difference(QUERIES[name](spark, sf), sql, con) == ""
-
-
 class Small(Tables):
     """Hand-made tables."""
 
