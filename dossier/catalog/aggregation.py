@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.catalog.evidence import RECORDS_SQL
 from dossier.catalog.ingestion import COHERENCE_SQL
 from dossier.operators import aggregation, corpus
 from dossier.registry import query
@@ -113,10 +114,37 @@ def ag_axis_ledger(t: Tables) -> DataFrame:
     return rows.select("axis", total.alias("candidate_total"), "checked", "matched", "failed", F.coalesce("reason", F.lit("")).alias("gaps"), (F.col("reason").isNull() & (F.col("failed") == 0)).alias("complete"))
 
 
-@query("ag_inventory", "SELECT number, count(*) AS records, count(*) FILTER (WHERE event_type = 'debate') AS debates, min(day) AS first_day, max(day) AS last_day FROM (SELECT number, proposed_at AS day, 'proposed' AS event_type FROM entities UNION ALL SELECT number, held_on, 'debate' FROM links) GROUP BY 1")
+#: Which bill each record of evidence speaks of: the number it has, or those its turn or its meeting's turns are linked to.
+BINDINGS_SQL = """bindings AS (SELECT DISTINCT coalesce(r.number, l.number) AS number, evidence_type, id, sort_key FROM records r LEFT JOIN links l ON r.number IS NULL AND l.turn_id = r.id AND evidence_type IN ('speeches', 'speech_context', 'government_responses') WHERE coalesce(r.number, l.number) IS NOT NULL)"""
+
+
+def bindings(t: Tables) -> DataFrame:
+    from dossier.catalog.evidence import evidence_records
+
+    records = evidence_records(t).select("number", "evidence_type", "id", "sort_key")
+    spoken = records.where("number is null and evidence_type in ('speeches', 'speech_context', 'government_responses')").drop("number").join(t.links.select(F.col("turn_id").alias("id"), "number"), "id")
+    return records.where("number is not null").unionByName(spoken).distinct()
+
+
+@query(
+    "ag_inventory",
+    f"""WITH {RECORDS_SQL}, {BINDINGS_SQL}, of AS (SELECT 'bill' AS entity_type, number AS entity_id, evidence_type, id, sort_key FROM bindings UNION ALL SELECT 'meeting', CAST(meeting AS VARCHAR), evidence_type, id, sort_key FROM records WHERE meeting IS NOT NULL
+      UNION ALL SELECT 'document', id, evidence_type, id, sort_key FROM records WHERE evidence_type IN ('bill_text', 'review_reports', 'subcommittee_minutes') UNION ALL SELECT 'speech', id, evidence_type, id, sort_key FROM records WHERE evidence_type IN ('speeches', 'speech_context', 'government_responses')),
+    rest AS (SELECT 'unassigned', '', evidence_type, id, sort_key FROM records WHERE (evidence_type, id) NOT IN (SELECT (evidence_type, id) FROM of)), every_row AS (SELECT * FROM of UNION ALL SELECT * FROM rest),
+    n AS (SELECT entity_type, entity_id, evidence_type, count(*) AS n FROM every_row GROUP BY 1, 2, 3), h AS (SELECT entity_type, entity_id, string_agg(evidence_type || ':' || CAST(n AS VARCHAR), ',' ORDER BY evidence_type) AS types FROM n GROUP BY 1, 2),
+    d AS (SELECT entity_type, entity_id, count(*) AS records, min(day) AS first_day, max(day) AS last_day, count(*) FILTER (WHERE day IS NULL) AS undated FROM (SELECT *, CASE WHEN regexp_matches(sort_key, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN CAST(sort_key AS DATE) END AS day FROM every_row) GROUP BY 1, 2)
+    SELECT entity_type, entity_id, records, types, first_day, last_day, undated FROM d JOIN h USING (entity_type, entity_id)""",
+)
 def ag_inventory(t: Tables) -> DataFrame:
-    records = t.entities.select("number", F.col("proposed_at").alias("day"), F.lit("proposed").alias("kind")).unionByName(t.links.select("number", F.col("held_on").alias("day"), F.lit("debate").alias("kind")))
-    return records.groupBy("number").agg(F.count("*").alias("records"), F.count(F.when(F.col("kind") == "debate", 1)).alias("debates"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    """Four types of entity and what is assigned to none: records by axis, first and last day, undated ones."""
+    from dossier.catalog.evidence import evidence_records
+
+    records = evidence_records(t).select("evidence_type", "id", "sort_key", "meeting")
+    has = lambda *kinds: F.col("evidence_type").isin(*kinds)
+    of = lambda df, kind, key: df.select(F.lit(kind).alias("entity_type"), key.cast("string").alias("entity_id"), "evidence_type", "id", "sort_key")
+    assigned = of(bindings(t), "bill", F.col("number")).unionByName(of(records.where("meeting is not null"), "meeting", F.col("meeting")))
+    assigned = assigned.unionByName(of(records.where(has("bill_text", "review_reports", "subcommittee_minutes")), "document", F.col("id"))).unionByName(of(records.where(has("speeches", "speech_context", "government_responses")), "speech", F.col("id")))
+    return aggregation.inventory(assigned, records.drop("meeting"))
 
 
 @query("ag_canonical_entities", "SELECT turn_id, bool_or(number IN (SELECT number FROM entities)) AS eligible, count(*) AS numbers FROM links GROUP BY 1")

@@ -2,38 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.catalog.linking import QA_SQL, relations
-from dossier.operators import corpus, evidence
+from dossier.operators import corpus, evidence, search
 from dossier.registry import query
 from dossier.views import Tables
 
 NODES_SQL = """
   claimed AS (SELECT 'bill:' || number AS id, 'bill' AS node_type, name AS label, number AS locator FROM entities
-    UNION ALL SELECT 'status:' || number, 'bill_status', result, number FROM entities WHERE result IS NOT NULL UNION ALL SELECT 'meeting:' || CAST(group_id AS VARCHAR), 'meeting', committee, url FROM meetings
-    UNION ALL SELECT 'minutes:' || CAST(group_id AS VARCHAR), 'minutes_document', kind, url FROM meetings WHERE group_id % 9 != 4 UNION ALL SELECT 'speech:' || turn_id, 'speech', role, CAST(seq AS VARCHAR) FROM turns
-    UNION ALL SELECT 'person:' || role, 'person', role, turn_id FROM turns UNION ALL SELECT 'agenda:' || number, 'agenda', title, CAST(group_id % 2 AS VARCHAR) FROM agenda
-    UNION ALL SELECT 'response:' || turn_id, 'government_response', CASE WHEN seq % 2 = 1 THEN 'qa_response' ELSE 'statement' END, CAST(seq AS VARCHAR) FROM turns WHERE role = 'assistant'),
+    UNION ALL SELECT 'status:' || number, 'bill_status', result, number FROM entities WHERE result IS NOT NULL UNION ALL SELECT 'text:' || CAST(doc_id AS VARCHAR), 'bill_text', source, digest FROM bill_texts WHERE doc_id % 3 != 2
+    UNION ALL SELECT 'meeting:' || CAST(group_id AS VARCHAR), 'meeting', committee, url FROM meetings UNION ALL SELECT 'minutes:' || CAST(group_id AS VARCHAR), 'minutes_document', kind, url FROM meetings WHERE group_id % 9 != 4
+    UNION ALL SELECT 'report:' || CAST(page_id AS VARCHAR), 'review_report', 'review', url FROM review_reports UNION ALL SELECT 'page:' || CAST(group_id AS VARCHAR) || '/' || CAST(seq // 3 AS VARCHAR), 'document_page', CAST(seq // 3 AS VARCHAR), CAST(group_id AS VARCHAR) FROM turns WHERE group_id % 5 != 2
+    UNION ALL SELECT 'speech:' || turn_id, 'speech', role, CAST(seq AS VARCHAR) FROM turns UNION ALL SELECT 'person:' || speaker, 'person', speaker, turn_id FROM turns UNION ALL SELECT 'agenda:' || number, 'agenda', title, CAST(group_id % 2 AS VARCHAR) FROM agenda
+    UNION ALL SELECT 'response:' || turn_id, 'government_response', CASE WHEN seq % 2 = 1 THEN 'qa_response' ELSE 'statement' END, CAST(seq AS VARCHAR) FROM turns WHERE role = 'assistant' UNION ALL SELECT 'issue:' || CAST(item_id AS VARCHAR), 'issue', left(text, 40), CAST(item_id AS VARCHAR) FROM benchmark),
   merged AS (SELECT id, count(DISTINCT node_type || chr(31) || label || CASE WHEN node_type = 'person' THEN '' ELSE chr(31) || locator END) AS versions, min((node_type, label, locator)) AS n, count(*) AS claims FROM claimed GROUP BY 1),
   nodes AS (SELECT id, n[1] AS node_type, n[2] AS label, n[3] AS locator, claims FROM merged WHERE versions = 1)"""
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ref(kind: str, key: Column) -> Column:
+    return F.concat(F.lit(kind + ":"), key.cast("string"))
+
+
+def _page(seq: Column) -> Column:
+    return F.floor(seq / 3).cast("string")
+
+
 def claimed_nodes(t: Tables) -> DataFrame:
-    node = lambda df, prefix, key, kind, label, locator: df.select(F.concat(F.lit(prefix + ":"), F.col(key).cast("string")).alias("id"), F.lit(kind).alias("node_type"), label.alias("label"), locator.alias("locator"))
+    """Claims on all twelve types of node."""
     c, seq = F.col, F.col("seq").cast("string")
-    parts = [
-        node(t.entities, "bill", "number", "bill", c("name"), c("number")), node(t.entities.where("result is not null"), "status", "number", "bill_status", c("result"), c("number")),
-        node(t.meetings, "meeting", "group_id", "meeting", c("committee"), c("url")), node(t.meetings.where("group_id % 9 != 4"), "minutes", "group_id", "minutes_document", c("kind"), c("url")),
-        node(t.turns, "speech", "turn_id", "speech", c("role"), seq), node(t.turns, "person", "role", "person", c("role"), c("turn_id")),
-        node(t.agenda, "agenda", "number", "agenda", c("title"), (c("group_id") % 2).cast("string")),
-        node(t.turns.where("role = 'assistant'"), "response", "turn_id", "government_response", F.when(c("seq") % 2 == 1, "qa_response").otherwise("statement"), seq),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    node = lambda df, prefix, key, kind, label, locator: df.select(_ref(prefix, key).alias("id"), F.lit(kind).alias("node_type"), label.alias("label"), locator.cast("string").alias("locator"))
+    page = _page(c("seq"))
+    return _union([
+        node(t.entities, "bill", c("number"), "bill", c("name"), c("number")), node(t.entities.where("result is not null"), "status", c("number"), "bill_status", c("result"), c("number")),
+        node(t.bill_texts.where("doc_id % 3 != 2"), "text", c("doc_id"), "bill_text", c("source"), c("digest")), node(t.meetings, "meeting", c("group_id"), "meeting", c("committee"), c("url")),
+        node(t.meetings.where("group_id % 9 != 4"), "minutes", c("group_id"), "minutes_document", c("kind"), c("url")), node(t.review_reports, "report", c("page_id"), "review_report", F.lit("review"), c("url")),
+        node(t.turns.where("group_id % 5 != 2"), "page", F.concat_ws("/", c("group_id").cast("string"), page), "document_page", page, c("group_id")), node(t.turns, "speech", c("turn_id"), "speech", c("role"), seq),
+        node(t.turns, "person", c("speaker"), "person", c("speaker"), c("turn_id")), node(t.agenda, "agenda", c("number"), "agenda", c("title"), c("group_id") % 2),
+        node(t.turns.where("role = 'assistant'"), "response", c("turn_id"), "government_response", F.when(c("seq") % 2 == 1, "qa_response").otherwise("statement"), seq),
+        node(t.raw("benchmark"), "issue", c("item_id"), "issue", F.left("text", F.lit(40)), c("item_id")),
+    ])
 
 
 @query("gr_nodes", f"WITH {NODES_SQL} SELECT * FROM nodes")
@@ -46,31 +61,70 @@ def gr_node_conflicts(t: Tables) -> DataFrame:
     return evidence.merge_nodes(claimed_nodes(t))[1]
 
 
-EDGES_SQL = f"""{NODES_SQL}, {QA_SQL},
-  claims AS (SELECT 'bill:' || number AS source, 'status:' || number AS target, 'has_status' AS edge_type, 'overlay' AS reason FROM entities WHERE CAST(number AS BIGINT) % 3 != 0
-    UNION SELECT 'meeting:' || CAST(group_id AS VARCHAR), 'minutes:' || CAST(group_id AS VARCHAR), 'has_minutes', 'url' FROM meetings UNION SELECT 'minutes:' || CAST(group_id AS VARCHAR), 'speech:' || turn_id, 'contains_speech', 'parsed' FROM turns
-    UNION SELECT 'person:' || role, 'speech:' || turn_id, 'made_speech', 'speaker' FROM turns UNION SELECT 'speech:' || turn_id, 'bill:' || number, 'discusses_bill', link_type FROM links UNION SELECT 'agenda:' || number, 'bill:' || number, 'agenda_for_bill', 'exact_number' FROM agenda
-    UNION SELECT 'speech:' || source, 'speech:' || target, lower(relation), 'adjacent' FROM qa UNION SELECT 'response:' || turn_id, 'speech:' || turn_id, 'derived_from_speech', 'role' FROM turns WHERE role != 'system'),
-  marked AS (SELECT source, target, edge_type, reason, CASE WHEN a.id IS NULL AND b.id IS NULL THEN 'missing_both' WHEN a.id IS NULL THEN 'missing_source' WHEN b.id IS NULL THEN 'missing_target' END AS gap FROM claims LEFT JOIN nodes a ON a.id = source LEFT JOIN nodes b ON b.id = target)"""
+#: What each issue refers to: the bill, agenda, document and turn that its number leads to; some do not exist.
+ISSUES_SQL = """refs AS (SELECT item_id, unnest([{'kind': 'bill', 'ref': 'bill:' || lpad(CAST(item_id * 40 AS VARCHAR), 7, '0')}, {'kind': 'agenda', 'ref': 'agenda:' || lpad(CAST(item_id * 3 AS VARCHAR), 7, '0')}, {'kind': 'document', 'ref': 'text:' || CAST(item_id AS VARCHAR)}, {'kind': 'meeting', 'ref': 'meeting:' || CAST(item_id AS VARCHAR)},
+    {'kind': 'turn', 'ref': 'speech:' || CAST(item_id AS VARCHAR) || ':speech-0001'}, {'kind': 'report', 'ref': 'report:' || CAST(item_id * 2 AS VARCHAR)}], recursive := true) FROM benchmark)"""
 
 
-def edge_claims(t: Tables) -> DataFrame:
-    edge = lambda df, p, a, q, b, kind, reason: df.select(F.concat(F.lit(p + ":"), F.col(a).cast("string")).alias("source"), F.concat(F.lit(q + ":"), F.col(b).cast("string")).alias("target"), kind.alias("edge_type"), reason.alias("reason"))
+def issue_references(t: Tables) -> DataFrame:
+    k = F.col("item_id")
+    ref = lambda kind, to: F.struct(F.lit(kind).alias("kind"), to.alias("ref"))
+    listed = F.array(
+        ref("bill", _ref("bill", F.lpad((k * 40).cast("string"), 7, "0"))), ref("agenda", _ref("agenda", F.lpad((k * 3).cast("string"), 7, "0"))), ref("document", _ref("text", k)), ref("meeting", _ref("meeting", k)),
+        ref("turn", F.concat(F.lit("speech:"), k.cast("string"), F.lit(":speech-0001"))), ref("report", _ref("report", k * 2)),
+    )
+    return t.raw("benchmark").select("item_id", F.explode(listed).alias("r")).select("item_id", "r.*")
+
+
+EDGES_SQL = f"""{NODES_SQL}, {QA_SQL}, {ISSUES_SQL},
+  follows AS (SELECT turn_id, seq, group_id, lead(turn_id) OVER (PARTITION BY group_id ORDER BY seq) AS next_id FROM turns),
+  titled AS (SELECT DISTINCT 'speech:' || turn_id AS source, p_name || CASE WHEN seq % 5 = 3 THEN ' (draft)' ELSE '' END AS title FROM links JOIN part ON CAST(number AS BIGINT) = p_partkey WHERE link_type = 'AGENDA_MATCH'),
+  labels AS (SELECT label, count(*) AS n, min(id) AS one FROM nodes WHERE node_type = 'agenda' GROUP BY 1),
+  bound AS (SELECT source, CASE WHEN n = 1 THEN one ELSE 'agenda-title:' || title END AS target, coalesce(n, 0) > 1 AS ambiguous FROM titled LEFT JOIN labels ON label = title),
+  claims AS (SELECT 'bill:' || number AS source, 'status:' || number AS target, 'has_status' AS edge_type, 'overlay' AS reason FROM entities WHERE CAST(number AS BIGINT) % 3 != 0
+    UNION SELECT 'bill:' || number, 'text:' || CAST(doc_id AS VARCHAR), 'has_bill_text', lang FROM bill_texts UNION SELECT 'meeting:' || CAST(group_id AS VARCHAR), 'agenda:' || number, 'has_agenda', 'listed' FROM agenda
+    UNION SELECT 'agenda:' || number, 'bill:' || number, 'agenda_for_bill', 'exact_number' FROM agenda UNION SELECT 'meeting:' || CAST(group_id AS VARCHAR), 'minutes:' || CAST(group_id AS VARCHAR), 'has_minutes', 'url' FROM meetings
+    UNION SELECT 'agenda:' || number, 'minutes:' || CAST(group_id AS VARCHAR), 'evidenced_by_minutes', 'meeting' FROM agenda UNION SELECT 'bill:' || number, 'report:' || CAST(page_id AS VARCHAR), 'has_review_report', 'url' FROM review_reports
+    UNION SELECT 'minutes:' || CAST(group_id AS VARCHAR), 'page:' || CAST(group_id AS VARCHAR) || '/' || CAST(seq // 3 AS VARCHAR), 'has_page', 'locator' FROM turns UNION SELECT 'minutes:' || CAST(group_id AS VARCHAR), 'speech:' || turn_id, 'contains_speech', 'parsed' FROM turns
+    UNION SELECT 'page:' || CAST(group_id AS VARCHAR) || '/' || CAST(seq // 3 AS VARCHAR), 'speech:' || turn_id, 'page_contains_speech', 'locator' FROM turns UNION SELECT source, target, 'addresses_agenda', 'title' FROM bound WHERE NOT ambiguous
+    UNION SELECT 'speech:' || turn_id, 'bill:' || number, 'discusses_bill', link_type FROM links UNION SELECT 'person:' || speaker, 'speech:' || turn_id, 'made_speech', 'speaker' FROM turns UNION SELECT 'response:' || turn_id, 'speech:' || turn_id, 'derived_from_speech', 'role' FROM turns WHERE role != 'system'
+    UNION SELECT 'speech:' || source, 'speech:' || target, lower(relation), 'adjacent' FROM qa UNION SELECT 'speech:' || turn_id, 'speech:' || next_id, 'continues', 'page_break' FROM follows WHERE seq % 3 = 2 AND next_id IS NOT NULL
+    UNION SELECT ref, 'issue:' || CAST(item_id AS VARCHAR), CASE WHEN kind IN ('bill', 'agenda', 'meeting') THEN 'has_issue' WHEN kind IN ('document', 'report') THEN 'identifies_issue' ELSE 'discusses_issue' END, kind FROM refs),
+  marked0 AS (SELECT source, target, edge_type, reason, CASE WHEN a.id IS NULL AND b.id IS NULL THEN 'missing_both' WHEN a.id IS NULL THEN 'missing_source' WHEN b.id IS NULL THEN 'missing_target' END AS gap FROM claims LEFT JOIN nodes a ON a.id = source LEFT JOIN nodes b ON b.id = target),
+  marked AS (SELECT * FROM marked0 UNION ALL SELECT DISTINCT source, target, 'addresses_agenda', 'title', 'ambiguous_target' FROM bound WHERE ambiguous)"""
+
+
+def edge_claims(t: Tables, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims on all twenty-one types of edge, and those that stay ambiguous."""
     lit, c = F.lit, F.col
-    parts = [
-        edge(t.entities.where(c("number").cast("long") % 3 != 0), "bill", "number", "status", "number", lit("has_status"), lit("overlay")), edge(t.meetings, "meeting", "group_id", "minutes", "group_id", lit("has_minutes"), lit("url")),
-        edge(t.turns, "minutes", "group_id", "speech", "turn_id", lit("contains_speech"), lit("parsed")), edge(t.turns, "person", "role", "speech", "turn_id", lit("made_speech"), lit("speaker")),
-        edge(t.links, "speech", "turn_id", "bill", "number", lit("discusses_bill"), c("link_type")), edge(t.agenda, "agenda", "number", "bill", "number", lit("agenda_for_bill"), lit("exact_number")),
-        edge(relations(t), "speech", "source", "speech", "target", F.lower("relation"), lit("adjacent")), edge(t.turns.where("role != 'system'"), "response", "turn_id", "speech", "turn_id", lit("derived_from_speech"), lit("role")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    edge = lambda df, source, target, kind, reason: df.select(source.alias("source"), target.alias("target"), kind.alias("edge_type"), reason.alias("reason"))
+    bill, agenda, speech, meeting, minutes = _ref("bill", c("number")), _ref("agenda", c("number")), _ref("speech", c("turn_id")), _ref("meeting", c("group_id")), _ref("minutes", c("group_id"))
+    page = _ref("page", F.concat_ws("/", c("group_id").cast("string"), _page(c("seq"))))
+    from dossier.operators.linking import adjacent
+
+    follows = adjacent(t.turns.select("group_id", "seq", "turn_id", "text")).where((c("seq") % 3 == 2) & c("next").isNotNull())
+    titled = t.links.where("link_type = 'AGENDA_MATCH'").join(t.raw("part"), c("number").cast("long") == c("p_partkey")).select(
+        speech.alias("source"), F.concat("p_name", F.when(c("seq") % 5 == 3, " (draft)").otherwise("")).alias("title"), lit("addresses_agenda").alias("edge_type"), lit("title").alias("reason")
+    )
+    bound, ambiguous = evidence.by_title(titled, nodes, "agenda")
+    issue_kind = F.when(c("kind").isin("bill", "agenda", "meeting"), "has_issue").when(c("kind").isin("document", "report"), "identifies_issue").otherwise("discusses_issue")
+    claims = _union([
+        edge(t.entities.where(c("number").cast("long") % 3 != 0), bill, _ref("status", c("number")), lit("has_status"), lit("overlay")), edge(t.bill_texts, bill, _ref("text", c("doc_id")), lit("has_bill_text"), c("lang")),
+        edge(t.agenda, meeting, agenda, lit("has_agenda"), lit("listed")), edge(t.agenda, agenda, bill, lit("agenda_for_bill"), lit("exact_number")), edge(t.meetings, meeting, minutes, lit("has_minutes"), lit("url")),
+        edge(t.agenda, agenda, minutes, lit("evidenced_by_minutes"), lit("meeting")), edge(t.review_reports, bill, _ref("report", c("page_id")), lit("has_review_report"), lit("url")), edge(t.turns, minutes, page, lit("has_page"), lit("locator")),
+        edge(t.turns, minutes, speech, lit("contains_speech"), lit("parsed")), edge(t.turns, page, speech, lit("page_contains_speech"), lit("locator")), bound, edge(t.links, speech, bill, lit("discusses_bill"), c("link_type")),
+        edge(t.turns, _ref("person", c("speaker")), speech, lit("made_speech"), lit("speaker")), edge(t.turns.where("role != 'system'"), _ref("response", c("turn_id")), speech, lit("derived_from_speech"), lit("role")),
+        edge(relations(t), _ref("speech", c("source")), _ref("speech", c("target")), F.lower("relation"), lit("adjacent")), edge(follows, speech, _ref("speech", c("next")), lit("continues"), lit("page_break")),
+        edge(issue_references(t), c("ref"), _ref("issue", c("item_id")), issue_kind, c("kind")),
+    ])
+    return claims, ambiguous
 
 
 def resolved(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return evidence.resolve_edges(edge_claims(t), gr_nodes(t))
+    nodes = gr_nodes(t)
+    claims, ambiguous = edge_claims(t, nodes)
+    edges, rest = evidence.resolve_edges(claims, nodes)
+    return edges, rest.unionByName(ambiguous)
 
 
 @query("gr_edges", f"WITH {EDGES_SQL} SELECT source, target, edge_type, reason FROM marked WHERE gap IS NULL")
@@ -80,6 +134,7 @@ def gr_edges(t: Tables) -> DataFrame:
 
 @query("gr_unresolved", f"WITH {EDGES_SQL} SELECT * FROM marked WHERE gap IS NOT NULL")
 def gr_unresolved(t: Tables) -> DataFrame:
+    """Claims with a missing or an ambiguous end, each with its gap."""
     return resolved(t)[1]
 
 
@@ -101,45 +156,76 @@ def gr_page_links(t: Tables) -> DataFrame:
     return parts.join(known, ["group_id", "page"], "left").select("turn_id", "page", status.alias("status"))
 
 
-@query("gr_issue_links", f"WITH {NODES_SQL}, i AS (SELECT item_id, unnest(['bill:' || lpad(CAST(item_id * 40 AS VARCHAR), 7, '0'), 'meeting:' || CAST(item_id AS VARCHAR), 'speech:' || CAST(item_id AS VARCHAR) || ':speech-0001']) AS ref FROM benchmark) SELECT item_id, ref, id IS NOT NULL AS linked FROM i LEFT JOIN nodes ON id = ref")
+@query("gr_issue_links", f"WITH {NODES_SQL}, {ISSUES_SQL} SELECT item_id, kind, ref, node_type, id IS NOT NULL AS linked FROM refs LEFT JOIN nodes ON id = ref")
 def gr_issue_links(t: Tables) -> DataFrame:
-    k = F.col("item_id")
-    refs = F.array(F.concat(F.lit("bill:"), F.lpad((k * 40).cast("string"), 7, "0")), F.concat(F.lit("meeting:"), k.cast("string")), F.concat(F.lit("speech:"), k.cast("string"), F.lit(":speech-0001")))
-    asked = t.raw("benchmark").select("item_id", F.explode(refs).alias("ref"))
-    known = gr_nodes(t).select(F.col("id").alias("ref"), F.lit(True).alias("known"))
-    return asked.join(known, "ref", "left").select("item_id", "ref", F.col("known").isNotNull().alias("linked"))
+    """Every reference of every issue, linked to the node it names or not."""
+    known = gr_nodes(t).select(F.col("id").alias("ref"), "node_type")
+    return issue_references(t).join(known, "ref", "left").select("item_id", "kind", "ref", "node_type", F.col("node_type").isNotNull().alias("linked"))
+
+
+COUNTS_SQL = f"""{EDGES_SQL}, parts AS (SELECT 'node' AS part, node_type AS type, id || chr(31) || node_type || chr(31) || label AS content FROM nodes UNION ALL SELECT 'edge', edge_type, source || chr(31) || target || chr(31) || edge_type FROM marked WHERE gap IS NULL
+    UNION ALL SELECT 'unresolved', edge_type, source || chr(31) || target || chr(31) || edge_type FROM marked WHERE gap IS NOT NULL UNION ALL SELECT 'gap', gap, source || chr(31) || target || chr(31) || gap FROM marked WHERE gap IS NOT NULL)"""
 
 
-@query("gr_counts_hash", f"WITH {EDGES_SQL}, d AS (SELECT edge_type, CAST('0x' || sha256(source || chr(31) || target || chr(31) || edge_type)[1:15] AS BIGINT) AS d FROM marked WHERE gap IS NULL) SELECT edge_type, count(*) AS n, bit_xor(d) AS xored FROM d GROUP BY 1")
+@query("gr_counts_hash", f"WITH {COUNTS_SQL} SELECT part, type, count(*) AS n, bit_xor(CAST('0x' || sha256(content)[1:15] AS BIGINT)) AS xored FROM parts GROUP BY 1, 2")
 def gr_counts_hash(t: Tables) -> DataFrame:
-    digest = F.conv(F.substring(F.sha2(F.concat_ws("\u001f", "source", "target", "edge_type"), 256), 1, 15), 16, 10).cast("long")
-    return gr_edges(t).groupBy("edge_type").agg(F.count("*").alias("n"), F.bit_xor(digest).alias("xored"))
+    """Nodes, edges, unresolved claims and gaps by type, each with a fingerprint that no order changes."""
+    nodes, (edges, rest) = gr_nodes(t), resolved(t)
+    part = lambda df, name, kind, *cols: df.select(F.lit(name).alias("part"), F.col(kind).alias("type"), F.concat_ws("\u001f", *cols).alias("content"))
+    ends = ("source", "target")
+    parts = _union([part(nodes, "node", "node_type", "id", "node_type", "label"), part(edges, "edge", "edge_type", *ends, "edge_type"), part(rest, "unresolved", "edge_type", *ends, "edge_type"), part(rest, "gap", "gap", *ends, "gap")])
+    digest = F.conv(F.substring(F.sha2("content", 256), 1, 15), 16, 10).cast("long")
+    return parts.groupBy("part", "type").agg(F.count("*").alias("n"), F.bit_xor(digest).alias("xored"))
 
 
+#: The nine axes of evidence as one table.
 RECORDS_SQL = """
-  records AS (SELECT 'bills' AS evidence_type, number AS id, CAST(proposed_at AS VARCHAR) AS sort_key, name AS title FROM entities UNION ALL SELECT 'bill_status', number, CAST(processed_at AS VARCHAR), result FROM entities WHERE result IS NOT NULL
-    UNION ALL SELECT 'agendas', CAST(group_id AS VARCHAR) || '/' || CAST(seq AS VARCHAR), CAST(listed_on AS VARCHAR), title FROM agenda UNION ALL SELECT 'speeches', turn_id, CAST(held_on AS VARCHAR), role FROM turns
-    UNION ALL SELECT 'government_responses', turn_id, CAST(held_on AS VARCHAR), role FROM turns WHERE role = 'assistant' UNION ALL SELECT 'subcommittee_minutes', CAST(group_id AS VARCHAR), CAST(held_on AS VARCHAR), committee FROM meetings WHERE kind = 'subcommittee')"""
+  cited AS (SELECT t.*, m.url || '#' || CAST(seq AS VARCHAR) AS citation FROM turns t JOIN meetings m USING (group_id)), linked AS (SELECT DISTINCT turn_id FROM links),
+  near AS (SELECT DISTINCT c.turn_id FROM cited c JOIN turns h ON h.group_id = c.group_id AND abs(h.seq - c.seq) = 1 JOIN linked l ON l.turn_id = h.turn_id WHERE c.turn_id NOT IN (SELECT turn_id FROM linked)),
+  records AS (SELECT 'bills' AS evidence_type, number AS id, CAST(proposed_at AS VARCHAR) AS sort_key, name AS title, number, CAST(NULL AS BIGINT) AS meeting, 'https://bills.example.org/' || number AS citation, 'committee=' || committee AS metadata FROM entities
+    UNION ALL SELECT 'bill_text', CAST(doc_id AS VARCHAR), source || '/' || lpad(CAST(doc_id AS VARCHAR), 12, '0'), lang, number, NULL, 'sha256:' || digest[1:16], 'source=' || source FROM bill_texts
+    UNION ALL SELECT 'bill_status', number, CAST(processed_at AS VARCHAR), result, number, NULL, 'https://bills.example.org/' || number || '/status', 'term=' || CAST(term AS VARCHAR) FROM entities WHERE result IS NOT NULL
+    UNION ALL SELECT 'agendas', CAST(group_id AS VARCHAR) || '/' || CAST(seq AS VARCHAR), CAST(listed_on AS VARCHAR), title, number, group_id, 'https://records.example.org/agenda?id=' || CAST(group_id AS VARCHAR), 'proposer=' || proposer FROM agenda
+    UNION ALL SELECT 'subcommittee_minutes', CAST(group_id AS VARCHAR), CAST(held_on AS VARCHAR), committee, NULL, group_id, url, 'term=' || CAST(term AS VARCHAR) FROM meetings WHERE kind = 'subcommittee' UNION ALL SELECT 'review_reports', CAST(page_id AS VARCHAR), url, 'review', number, NULL, url, 'page=' || CAST(page_id AS VARCHAR) FROM review_reports
+    UNION ALL SELECT 'speeches', turn_id, CAST(held_on AS VARCHAR), role, NULL, group_id, citation, 'speaker=' || speaker FROM cited WHERE turn_id IN (SELECT turn_id FROM linked) UNION ALL SELECT 'speech_context', turn_id, CAST(held_on AS VARCHAR), role, NULL, group_id, citation, 'speaker=' || speaker FROM cited WHERE turn_id IN (SELECT turn_id FROM near)
+    UNION ALL SELECT 'government_responses', turn_id, CAST(held_on AS VARCHAR), role, NULL, group_id, citation, 'organization=' || organization FROM cited WHERE role = 'assistant')"""
 
 
 def evidence_records(t: Tables) -> DataFrame:
-    rec = lambda df, kind, key, day, title: df.select(F.lit(kind).alias("evidence_type"), key.cast("string").alias("id"), F.col(day).cast("string").alias("sort_key"), F.col(title).alias("title"))
-    c = F.col
-    parts = [
-        rec(t.entities, "bills", c("number"), "proposed_at", "name"), rec(t.entities.where("result is not null"), "bill_status", c("number"), "processed_at", "result"),
-        rec(t.agenda, "agendas", F.concat_ws("/", c("group_id").cast("string"), c("seq").cast("string")), "listed_on", "title"), rec(t.turns, "speeches", c("turn_id"), "held_on", "role"),
-        rec(t.turns.where("role = 'assistant'"), "government_responses", c("turn_id"), "held_on", "role"), rec(t.meetings.where("kind = 'subcommittee'"), "subcommittee_minutes", c("group_id"), "held_on", "committee"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Every piece of evidence: axis, id, sort key, title, the bill and meeting it names, citation and metadata."""
+    c, lit = F.col, F.lit
+
+    def rec(df: DataFrame, kind: str, key: Column, sort_key: Column, title: Column, number: Column | None, meeting: Column | None, citation: Column, told: str) -> DataFrame:
+        number, meeting = lit(None) if number is None else number, lit(None) if meeting is None else meeting
+        return df.select(
+            lit(kind).alias("evidence_type"), key.cast("string").alias("id"), sort_key.cast("string").alias("sort_key"), title.alias("title"), number.cast("string").alias("number"), meeting.cast("long").alias("meeting"), citation.alias("citation"),
+            F.concat(lit((told if told != "page_id" else "page") + "="), c(told).cast("string")).alias("metadata"),
+        )
+
+    cited = t.turns.join(t.meetings.select("group_id", "url"), "group_id").withColumn("citation", F.concat("url", lit("#"), c("seq").cast("string")))
+    linked = t.links.select("turn_id", "group_id", "seq").distinct()
+    beside = linked.select("group_id", F.explode(F.array(c("seq") - 1, c("seq") + 1)).alias("seq")).distinct()
+    near = cited.join(beside, ["group_id", "seq"], "left_semi").join(linked, "turn_id", "left_anti")
+    group, bills = c("group_id"), lit("https://bills.example.org/")
+    return _union([
+        rec(t.entities, "bills", c("number"), c("proposed_at"), c("name"), c("number"), None, F.concat(bills, "number"), "committee"),
+        rec(t.bill_texts, "bill_text", c("doc_id"), F.concat("source", lit("/"), F.lpad(c("doc_id").cast("string"), 12, "0")), c("lang"), c("number"), None, F.concat(lit("sha256:"), F.left("digest", lit(16))), "source"),
+        rec(t.entities.where("result is not null"), "bill_status", c("number"), c("processed_at"), c("result"), c("number"), None, F.concat(bills, "number", lit("/status")), "term"),
+        rec(t.agenda, "agendas", F.concat_ws("/", group.cast("string"), c("seq").cast("string")), c("listed_on"), c("title"), c("number"), group, F.concat(lit("https://records.example.org/agenda?id="), group.cast("string")), "proposer"),
+        rec(t.meetings.where("kind = 'subcommittee'"), "subcommittee_minutes", group, c("held_on"), c("committee"), None, group, c("url"), "term"), rec(t.review_reports, "review_reports", c("page_id"), c("url"), lit("review"), c("number"), None, c("url"), "page_id"),
+        rec(cited.join(linked, "turn_id", "left_semi"), "speeches", c("turn_id"), c("held_on"), c("role"), None, group, c("citation"), "speaker"), rec(near, "speech_context", c("turn_id"), c("held_on"), c("role"), None, group, c("citation"), "speaker"),
+        rec(cited.where("role = 'assistant'"), "government_responses", c("turn_id"), c("held_on"), c("role"), None, group, c("citation"), "organization"),
+    ])
+
+
+def placed_records(t: Tables) -> DataFrame:
+    """Records with their place on their axis; rows of one sort key are ordered in one task, not those of one axis."""
+    return search.ranked_within(evidence_records(t), "evidence_type", [F.asc("sort_key"), F.asc("id")], ["sort_key"], ascending=True).withColumnRenamed("rank", "place")
 
 
 @query("gr_evidence_records", f"WITH {RECORDS_SQL} SELECT *, row_number() OVER (PARTITION BY evidence_type ORDER BY sort_key, id) AS place FROM records")
 def gr_evidence_records(t: Tables) -> DataFrame:
-    order = Window.partitionBy("evidence_type").orderBy("sort_key", "id")
-    return evidence_records(t).withColumn("place", F.row_number().over(order).cast("long"))
+    return placed_records(t)
 
 
 @query("gr_fingerprint", f"WITH {RECORDS_SQL}, d AS (SELECT CAST('0x' || sha256(evidence_type || chr(31) || id || chr(31) || sort_key)[1:15] AS BIGINT) AS d FROM records) SELECT count(*) AS n_rows, bit_xor(d) AS xored, CAST(sum(d % 1000003) AS BIGINT) AS summed FROM d")

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.catalog.evidence import RECORDS_SQL, evidence_records, gr_edges, gr_unresolved
-from dossier.catalog.evidence import EDGES_SQL
+from dossier.catalog.aggregation import BINDINGS_SQL, bindings
+from dossier.catalog.evidence import EDGES_SQL, RECORDS_SQL, evidence_records, resolved
+from dossier.catalog.ingestion import COHERENCE_SQL
 from dossier.catalog.searching import BM25_SQL, speech_sql
 from dossier.operators import linking
 from dossier.plans import research
 from dossier.registry import query
-from dossier.views import Tables
+from dossier.sources import pages
+from dossier.views import PAGE_SIZE, Tables
+
+CORE_ORDER = ["bills", "bill_status", "bill_text", "agendas", "speeches", "government_responses", "subcommittee_minutes", "review_reports", "speech_context"]
 
 
 SHOWN_WHERE = "role = 'user' AND kind = 'committee' AND term BETWEEN 18 AND 99 AND held_on >= DATE '2020-01-05'"
@@ -49,27 +53,37 @@ def pl_explore_issue(t: Tables) -> DataFrame:
     return research.explore_issue(t)
 
 
-@query("pl_overview", f"WITH {RECORDS_SQL} SELECT evidence_type, count(*) AS records, min(sort_key) AS first_key, max(sort_key) AS last_key, min_by(id, (sort_key, id)) AS representative FROM records GROUP BY 1")
+OVERVIEW_SQL = f"""{RECORDS_SQL}, {BINDINGS_SQL},
+  per AS (SELECT number, count(*) AS records, string_agg(evidence_type || ':' || CAST(n AS VARCHAR), ',' ORDER BY evidence_type) AS types FROM (SELECT number, evidence_type, count(*) AS n FROM bindings WHERE number IN (SELECT number FROM entities) GROUP BY 1, 2) GROUP BY 1),
+  sized AS (SELECT number, count(*) AS records FROM bindings GROUP BY 1),
+  pick AS (SELECT number, evidence_type, id, sort_key, CASE evidence_type {" ".join(f"WHEN '{x}' THEN {k}" for k, x in enumerate(CORE_ORDER))} END AS priority, CASE WHEN evidence_type = 'bill_status' THEN row_number() OVER (PARTITION BY number, evidence_type ORDER BY sort_key DESC, id) ELSE row_number() OVER (PARTITION BY number, evidence_type ORDER BY sort_key, id) END AS k FROM bindings),
+  core AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY CASE WHEN k = 1 THEN 0 ELSE 1 END, priority, sort_key, id) AS place FROM pick),
+  chosen AS (SELECT number, string_agg(evidence_type || '/' || id, ' ' ORDER BY place) AS core, max(CASE WHEN place = 1 THEN evidence_type || '/' || id END) AS representative FROM core WHERE place <= 8 GROUP BY 1)"""
+
+
+@query("pl_overview", f"WITH {OVERVIEW_SQL} SELECT p.number, s.records, types, core, representative FROM per p JOIN sized s USING (number) JOIN chosen USING (number)")
 def pl_overview(t: Tables) -> DataFrame:
-    return evidence_records(t).groupBy("evidence_type").agg(F.count("*").alias("records"), F.min("sort_key").alias("first_key"), F.max("sort_key").alias("last_key"), F.min_by("id", F.struct("sort_key", "id")).alias("representative"))
+    """For each proven entity: its evidence by axis, the core of eight with a representative of every axis first, and who stands for it."""
+    return research.overview(evidence_records(t), bindings(t), t.entities.select("number"), CORE_ORDER, 8)
 
 
-@query("pl_research", f"WITH {EDGES_SQL} SELECT edge_type, count(*) FILTER (WHERE gap IS NULL) AS resolved, count(gap) AS unresolved, count(*) AS claims FROM marked GROUP BY 1")
+@query("pl_research", f"""WITH {EDGES_SQL}, {RECORDS_SQL.strip()}, ledger AS (SELECT evidence_type AS axis, count(*) AS checked, count(number) + count(CASE WHEN number IS NULL THEN meeting END) AS bound FROM records GROUP BY 1),
+  kept AS (SELECT evidence_type AS axis, count(*) AS matched FROM records WHERE (number IS NULL OR number IN (SELECT number FROM entities)) AND (meeting IS NULL OR meeting IN (SELECT group_id FROM meetings)) GROUP BY 1),
+  sound AS (SELECT bool_and(reasons = '') AS complete FROM verdicts), nets AS (SELECT count(*) FILTER (WHERE gap IS NULL) AS edges, count(gap) AS unresolved, count(DISTINCT gap) AS kinds FROM marked), fp AS (SELECT bit_xor(CAST('0x' || sha256(evidence_type || chr(31) || id || chr(31) || sort_key)[1:15] AS BIGINT)) AS xored FROM records)
+  SELECT axis, checked, coalesce(matched, 0) AS matched, checked - coalesce(matched, 0) AS rejected, checked = coalesce(matched, 0) AND complete AND unresolved = 0 AS complete, edges, unresolved, kinds AS gap_kinds, xored AS snapshot FROM ledger LEFT JOIN kept USING (axis), sound, nets, fp""".replace("WITH ", f"WITH {COHERENCE_SQL.strip()}, ", 1))
 def pl_research(t: Tables) -> DataFrame:
-    """The graph's accounting: resolved and unresolved claims are all claims."""
-    good = gr_edges(t).groupBy("edge_type").agg(F.count("*").alias("resolved"))
-    bad = gr_unresolved(t).groupBy("edge_type").agg(F.count("*").alias("unresolved"))
-    both = good.join(bad, "edge_type", "full_outer").fillna(0, ["resolved", "unresolved"])
-    return both.withColumn("claims", F.col("resolved") + F.col("unresolved"))
+    """Collection coverage, strict filter, graph, records and ledger of one run: a row an axis, bound to the snapshot's fingerprint."""
+    verdicts = pages.page_coherence(t.source_pages, ["dataset", "year"], PAGE_SIZE)
+    return research.run(evidence_records(t), verdicts, resolved(t), t.entities, t.meetings)
 
 
-@query("pl_result_page", f"WITH {RECORDS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY evidence_type ORDER BY sort_key, id) AS place, count(*) OVER (PARTITION BY evidence_type) AS total FROM records) SELECT evidence_type, id, place, total FROM r WHERE place BETWEEN 21 AND 40")
+@query("pl_result_page", f"WITH {RECORDS_SQL}, r AS (SELECT evidence_type, id, sort_key, row_number() OVER (PARTITION BY evidence_type ORDER BY sort_key, id) AS place, count(*) OVER (PARTITION BY evidence_type) AS total FROM records), p AS (SELECT * FROM r WHERE place BETWEEN 21 AND 40) SELECT evidence_type, id, sort_key, place, total, count(*) OVER (PARTITION BY evidence_type) AS returned, greatest(total - 40, 0) AS remaining, last_value(sort_key || '|' || id) OVER (PARTITION BY evidence_type ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS next_position FROM p")
 def pl_result_page(t: Tables) -> DataFrame:
-    order = Window.partitionBy("evidence_type").orderBy("sort_key", "id")
+    """The second page of twenty: what follows the first page's last key, by a predicate on the keys."""
     records = evidence_records(t)
-    sizes = records.groupBy("evidence_type").agg(F.count("*").alias("total"))
-    page = records.withColumn("place", F.row_number().over(order).cast("long")).where("place <= 40").where("place >= 21")
-    return page.join(F.broadcast(sizes), "evidence_type").select("evidence_type", "id", "place", "total")  # a row for each of nine types
+    first = research.result_page(records, None, 20)
+    ends = first.groupBy("evidence_type").agg(F.max("next_position").alias("after"), F.count("*").alias("seen"))
+    return research.result_page(records, ends, 20)
 
 
 @query("pl_evidence_text", "SELECT turn_id, text, sha256(text) AS digest FROM turns JOIN meetings USING (group_id) WHERE kind = 'plenary'")

@@ -29,3 +29,17 @@ def fill_first(df: DataFrame, keys: list[str], order: Column, columns: list[str]
     """One row a key: each column's first non-blank value by ``order``, and the number of rows."""
     first = lambda c: F.min_by(F.col(c), F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "", order))
     return df.groupBy(*keys).agg(*(first(c).alias(c) for c in columns), F.count("*").alias("copies"))
+
+
+def inventory(assigned: DataFrame, records: DataFrame) -> DataFrame:
+    """``assigned(entity_type, entity_id, evidence_type, id, sort_key)`` counted for each entity, and with it the
+    ``records(evidence_type, id, sort_key)`` that no entity has, under the type ``unassigned``.
+
+    A sort key that is a date dates its record.
+    """
+    rest = records.join(assigned.select("evidence_type", "id").distinct(), ["evidence_type", "id"], "left_anti").select(F.lit("unassigned").alias("entity_type"), F.lit("").alias("entity_id"), "evidence_type", "id", "sort_key")
+    day = F.when(F.col("sort_key").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.col("sort_key").cast("date"))
+    entity = ["entity_type", "entity_id"]
+    per = assigned.unionByName(rest).withColumn("day", day).groupBy(*entity, "evidence_type").agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"), F.count(F.when(F.col("day").isNull(), 1)).alias("none"))
+    types = F.array_join(F.array_sort(F.collect_list(F.concat("evidence_type", F.lit(":"), F.col("n").cast("string")))), ",")  # an axis each
+    return per.groupBy(*entity).agg(F.sum("n").alias("records"), types.alias("types"), F.min("first").alias("first_day"), F.max("last").alias("last_day"), F.sum("none").alias("undated"))

@@ -26,6 +26,19 @@ def merge_nodes(claimed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, merged.where("versions > 1").select("id", "versions", "claims")
 
 
+def by_title(claims: DataFrame, nodes: DataFrame, node_type: str) -> tuple[DataFrame, DataFrame]:
+    """``claims(source, title, edge_type, reason)`` that name their target by its title alone.
+
+    A title that one node of the type has gives a claim on that node, no node leaves the title as a
+    target that does not exist, and several nodes an unresolved claim with the gap ``ambiguous_target``.
+    """
+    own = nodes.where(F.col("node_type") == node_type).groupBy(F.col("label").alias("title")).agg(F.count("*").alias("n"), F.min("id").alias("one"))
+    joined = claims.distinct().join(own, "title", "left")
+    target = F.when(F.col("n") == 1, F.col("one")).otherwise(F.concat(F.lit(f"{node_type}-title:"), "title"))
+    found = joined.select("source", target.alias("target"), "edge_type", "reason", F.coalesce(F.col("n") > 1, F.lit(False)).alias("ambiguous"))
+    return found.where("not ambiguous").drop("ambiguous"), found.where("ambiguous").drop("ambiguous").withColumn("gap", F.lit("ambiguous_target"))
+
+
 def resolve_edges(claims: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``claims(source, target, edge_type, reason)`` to edges and unresolved claims.
 

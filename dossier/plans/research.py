@@ -48,3 +48,67 @@ def bill_status(t: Tables) -> DataFrame:
     """Every entity with its status and what is said about it."""
     about = t.links.groupBy("number").agg(F.count_distinct("turn_id").alias("turns"), F.max("held_on").alias("last_debate"), F.max_by("turn_id", F.struct("confidence", "held_on", "turn_id")).alias("best_turn"))
     return t.entities.join(about, "number", "left").select("number", F.coalesce("result", F.lit("pending")).alias("status"), F.coalesce("turns", F.lit(0)).alias("turns"), "last_debate", "best_turn")
+
+
+def overview(records: DataFrame, bound: DataFrame, known: DataFrame, axes: list[str], k: int) -> DataFrame:
+    """Per entity of ``known(number)``: records, histogram of axes, core of ``k`` and representative.
+
+    ``bound(number, evidence_type, id, sort_key)``.  The core takes one record of every axis in the order
+    of ``axes`` (the latest status, else the earliest), then fills by axis, sort key and id.
+    """
+    own = bound.join(known.distinct(), "number", "left_semi")
+    counts = own.groupBy("number", "evidence_type").agg(F.count("*").alias("n"))
+    types = F.array_join(F.array_sort(F.collect_list(F.concat("evidence_type", F.lit(":"), F.col("n").cast("string")))), ",")  # an axis each
+    per = counts.groupBy("number").agg(F.sum("n").alias("records"), types.alias("types"))
+    priority = F.array_position(F.lit(axes), F.col("evidence_type"))
+    axis = Window.partitionBy("number", "evidence_type")
+    first = F.when(F.col("evidence_type") == "bill_status", F.row_number().over(axis.orderBy(F.desc("sort_key"), "id"))).otherwise(F.row_number().over(axis.orderBy("sort_key", "id"))) == 1
+    place = F.row_number().over(Window.partitionBy("number").orderBy(~F.col("first"), "priority", "sort_key", "id"))
+    core = own.withColumns({"first": first, "priority": priority}).withColumn("place", place).where(F.col("place") <= k)
+    named = F.concat("evidence_type", F.lit("/"), "id")
+    listed = F.array_sort(F.collect_list(F.struct("place", named.alias("name"))))  # ``k`` at most
+    chosen = core.groupBy("number").agg(F.array_join(F.transform(listed, lambda x: x["name"]), " ").alias("core"), F.max(F.when(F.col("place") == 1, named)).alias("representative"))
+    return per.join(chosen, "number").select("number", "records", "types", "core", "representative")
+
+
+def run(records: DataFrame, verdicts: DataFrame, graph: tuple[DataFrame, DataFrame], entities: DataFrame, meetings: DataFrame) -> DataFrame:
+    """The ledger of one research run, a row an axis.
+
+    A record is matched if the entity and the meeting that it names are known; an axis is complete only if
+    all its records are, the sources were collected whole, and the graph has no unresolved claim.
+    """
+    known = entities.select("number").distinct().withColumn("has_bill", F.lit(True))
+    held = meetings.select(F.col("group_id").alias("meeting")).distinct().withColumn("has_meeting", F.lit(True))
+    joined = records.join(known, "number", "left").join(held, "meeting", "left")
+    sound = (F.col("number").isNull() | F.col("has_bill").isNotNull()) & (F.col("meeting").isNull() | F.col("has_meeting").isNotNull())
+    digest = F.conv(F.substring(F.sha2(F.concat_ws("\u001f", "evidence_type", "id", "sort_key"), 256), 1, 15), 16, 10).cast("long")
+    axes = joined.groupBy("evidence_type").agg(F.count("*").alias("checked"), F.count(F.when(sound, 1)).alias("matched"), F.bit_xor(digest).alias("xored"))
+    edges, rest = graph
+    whole = verdicts.agg(F.bool_and("coherent").alias("whole"))
+    nets = edges.agg(F.count("*").alias("edges")).join(rest.agg(F.count("*").alias("unresolved"), F.count_distinct("gap").alias("gap_kinds"))).join(whole)  # single rows
+    snapshot = axes.agg(F.bit_xor("xored").alias("snapshot"))
+    complete = (F.col("checked") == F.col("matched")) & F.col("whole") & (F.col("unresolved") == 0)
+    return axes.join(F.broadcast(nets.join(snapshot))).select(  # one row
+        F.col("evidence_type").alias("axis"), "checked", "matched", (F.col("checked") - F.col("matched")).alias("rejected"), complete.alias("complete"), "edges", "unresolved", "gap_kinds", "snapshot"
+    )
+
+
+def result_page(records: DataFrame, after: DataFrame | None, size: int) -> DataFrame:
+    """A page of each axis in the order of (sort key, id): the ``size`` rows beyond ``after(evidence_type, after, seen)``.
+
+    Rows beyond the last key are found by a predicate; positions are ``sort_key|id``, whose order is the
+    key's as long as sort keys hold no ``|``.  With total, returned, remaining and the next position.
+    """
+    axis = Window.partitionBy("evidence_type")
+    sizes = records.groupBy("evidence_type").agg(F.count("*").alias("total"))
+    rows = records.select("evidence_type", "id", "sort_key")
+    if after is None:
+        rows = rows.withColumn("seen", F.lit(0))
+    else:
+        key = F.struct(F.substring_index("after", "|", 1).alias("sort_key"), F.expr("substring(after, locate('|', after) + 1)").alias("id"))
+        rows = rows.join(F.broadcast(after), "evidence_type").where(F.struct("sort_key", "id") > key).drop("after")  # a row an axis
+    place = F.row_number().over(axis.orderBy("sort_key", "id"))
+    page = rows.withColumn("k", place).where(F.col("k") <= size).withColumn("place", (F.col("k") + F.col("seen")).cast("long"))
+    last = F.max_by(F.concat("sort_key", F.lit("|"), "id"), "k").over(axis)
+    told = page.select("evidence_type", "id", "sort_key", "place", F.count("*").over(axis).alias("returned"), last.alias("next_position"), F.max("place").over(axis).alias("upto"))
+    return told.join(sizes, "evidence_type").select("evidence_type", "id", "sort_key", "place", "total", "returned", F.greatest(F.col("total") - F.col("upto"), F.lit(0)).cast("long").alias("remaining"), "next_position")

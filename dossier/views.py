@@ -38,6 +38,8 @@ VIEW_SQL = {
         count(*) OVER (PARTITION BY o_orderpriority, year(o_orderdate)) AS total FROM orders""",
     "source_pages": """SELECT dataset, year, CASE WHEN year = 1999 AND page = 2 THEN 1 ELSE page END AS page, total + CASE WHEN year = 1998 AND page = 2 THEN 1 ELSE 0 END AS total,
         count(*) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS content FROM source_rows WHERE NOT (year = 1997 AND page = 2) GROUP BY ALL""",
+    "bill_texts": """SELECT doc_id, lpad(CAST(doc_id * 7 % 20000 AS VARCHAR), 7, '0') AS number, source, lang, sha256(text) AS digest FROM documents""",
+    "review_reports": """SELECT page_id, lpad(CAST(page_id * 11 AS VARCHAR), 7, '0') AS number, url FROM pages""",
     "query_terms": """SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark""",
     "query_words": """SELECT query_id, term, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY query_id, term ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM
         (SELECT query_id, unnest([{'term': raw, 'pos': 2 * i, 'is_raw': true}, {'term': base, 'pos': 2 * i + 1, 'is_raw': false}], recursive := true) FROM
@@ -107,6 +109,15 @@ class Tables:
             F.when(s == 0, 1.0).when(s == 1, 0.8).otherwise(0.5).alias("confidence"),
         )
 
+    @cached_property
+    def bill_texts(self) -> DataFrame:
+        number = F.lpad((F.col("doc_id") * 7 % 20000).cast("string"), 7, "0")
+        return self.raw("documents").select("doc_id", number.alias("number"), "source", "lang", F.sha2("text", 256).alias("digest"))
+
+    @cached_property
+    def review_reports(self) -> DataFrame:
+        return self.raw("pages").select("page_id", F.lpad((F.col("page_id") * 11).cast("string"), 7, "0").alias("number"), "url")
+
     @cached_property
     def source_rows(self) -> DataFrame:
         """Orders as rows of paged sources, a partition for each (dataset, year)."""
