@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.operators import corpus
+from dossier.operators import corpus, linking
+from dossier.operators.gate import recall
+from dossier.operators.index import shared_folder
 from dossier.registry import query
 from dossier.views import Tables
 
@@ -34,49 +36,60 @@ def so_scope_prune(t: Tables) -> DataFrame:
     return old.where("not doc_id % 2 = 1").select("doc_id").unionByName(listed)
 
 
-@query("co_revision", f"WITH {REVISIONS_SQL} SELECT doc_id, coalesce(n.digest, o.digest) AS digest, n.digest IS NOT NULL AND o.digest IS DISTINCT FROM n.digest AS rewritten FROM (SELECT * FROM old WHERE doc_id % 10 != 3) o FULL JOIN new n USING (doc_id)")
+REVISION_SQL = f"""{REVISIONS_SQL}, r AS (SELECT doc_id, coalesce(n.digest, o.digest) AS digest, n.digest IS NOT NULL AND o.digest IS DISTINCT FROM n.digest AS rewritten FROM (SELECT * FROM old WHERE doc_id % 10 != 3) o FULL JOIN new n USING (doc_id)),
+  ids AS (SELECT (SELECT sha256('|' || CAST(count(*) AS VARCHAR) || '|' || CAST(bit_xor(d) AS VARCHAR) || '|' || CAST(CAST(sum(d % 1000003) AS BIGINT) AS VARCHAR))[1:16] FROM (SELECT CAST('0x' || sha256(CAST(doc_id AS VARCHAR) || chr(31) || digest)[1:15] AS BIGINT) AS d FROM old)) AS parent),
+  named AS (SELECT parent, (SELECT sha256(parent || '|' || CAST(count(*) AS VARCHAR) || '|' || CAST(bit_xor(d) AS VARCHAR) || '|' || CAST(CAST(sum(d % 1000003) AS BIGINT) AS VARCHAR))[1:16] FROM (SELECT CAST('0x' || sha256(CAST(doc_id AS VARCHAR) || chr(31) || digest)[1:15] AS BIGINT) AS d FROM r)) AS revision FROM ids)"""
+
+
+@query("co_revision", f"WITH {REVISION_SQL} SELECT doc_id, digest, rewritten, revision, parent FROM r, named")
 def co_revision(t: Tables) -> DataFrame:
-    """Parent without removals, overlaid with what came in."""
+    """Two revisions are published, the second from the first without removals and with what came in, and read back by their names."""
     old, new = revisions(t)
-    diff = corpus.revision_diff(old, new, "doc_id", "digest")
-    upserts = new.join(diff.where("change in ('added', 'changed')"), "doc_id", "left_semi").withColumn("rewritten", F.lit(True))
-    kept = old.join(diff.where("change = 'same'"), "doc_id", "left_semi").withColumn("rewritten", F.lit(False))
-    return kept.unionByName(upserts)
+    root = shared_folder(t.spark, "revisions")
+    whole = t.spark.range(1).select(F.lit(True).alias("complete"))
+    first = corpus.publish(root, old, "doc_id", "digest", whole)
+    second = corpus.publish(root, new, "doc_id", "digest", whole, first, old.join(new, "doc_id", "left_anti").where("doc_id % 10 = 3"))
+    line = corpus.manifests(t.spark, root).where(F.col("revision") == second)
+    return corpus.read_revision(t.spark, root, second).join(F.broadcast(line.select("revision", "parent"))).select("doc_id", "digest", "rewritten", "revision", "parent")  # one row
 
 
 @query("co_verify", f"WITH {REVISIONS_SQL} SELECT doc_id, CASE WHEN n.digest IS NULL THEN 'missing' WHEN n.digest != o.digest THEN 'tampered' END AS fault FROM old o LEFT JOIN new n USING (doc_id) WHERE n.digest IS NULL OR n.digest != o.digest")
 def co_verify(t: Tables) -> DataFrame:
     """Stored rows hashed again and held against the manifest."""
-    manifest, stored = revisions(t)
-    joined = manifest.join(stored.withColumnRenamed("digest", "found"), "doc_id", "left")
-    fault = F.when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("digest"), "tampered")
-    return joined.select("doc_id", fault.alias("fault")).where("fault is not null")
+    manifest, _ = revisions(t)
+    stored = t.raw("documents").where("doc_id % 10 != 3").select("doc_id", F.when(F.col("doc_id") % 10 == 4, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    return corpus.verify(stored, manifest, "doc_id", "text", "digest")
 
 
 INVENTORY_SQL = """
-  per AS (SELECT number, count(*) AS originals FROM (SELECT number FROM entities UNION ALL SELECT number FROM entities WHERE CAST(number AS BIGINT) % 40 = 5) WHERE CAST(number AS BIGINT) % 25 != 2 GROUP BY 1),
-  work AS (SELECT number, term, CASE WHEN originals IS NULL THEN 'missing_original' WHEN originals > 1 THEN 'several_originals' WHEN proposed_at < DATE '1995-02-01' THEN 'missing_date' END AS gap FROM entities LEFT JOIN per USING (number))"""
+  per AS (SELECT number, count(*) AS n FROM (SELECT number FROM entities UNION ALL SELECT number FROM entities WHERE CAST(number AS BIGINT) % 40 = 5) WHERE CAST(number AS BIGINT) % 25 != 2 GROUP BY 1),
+  reviews AS (SELECT DISTINCT number, CASE WHEN page_id % 20 = 7 THEN 'https://shared.example.org/review' ELSE url END AS url FROM review_reports),
+  dated AS (SELECT url, term, CASE WHEN group_id % 12 != 5 THEN held_on END AS held_on FROM meetings),
+  work AS (SELECT term, 'original' AS kind, number AS item, CASE WHEN n IS NULL THEN 'missing_original' WHEN n > 1 THEN 'several_originals' END AS gap FROM entities LEFT JOIN per USING (number)
+    UNION ALL SELECT term, 'review', url, CASE WHEN term IS NULL THEN 'unknown_bill' WHEN count(*) OVER (PARTITION BY url) > 1 THEN 'shared_url' END FROM reviews LEFT JOIN (SELECT number, term FROM entities) USING (number)
+    UNION ALL SELECT term, 'minutes', url, CASE WHEN held_on IS NULL THEN 'missing_date' END FROM dated WHERE held_on IS NULL OR held_on BETWEEN DATE '2020-01-10' AND DATE '2023-06-30')"""
 
 
-def work_items(t: Tables) -> DataFrame:
-    """Every entity as a work item, or as a gap with its reason."""
+def inventories(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Bills, some without an original or with two; reviews, some at one address; meetings, some without a date."""
     k = F.col("number").cast("long")
-    listed = t.entities.select("number").unionByName(t.entities.where(k % 40 == 5).select("number")).where(k % 25 != 2)
-    per = listed.groupBy("number").agg(F.count("*").alias("originals"))
-    gap = F.when(F.col("originals").isNull(), "missing_original").when(F.col("originals") > 1, "several_originals").when(F.col("proposed_at") < F.lit("1995-02-01").cast("date"), "missing_date")
-    return t.entities.join(per, "number", "left").select("number", "term", gap.alias("gap"))
+    originals = t.entities.select("number").unionByName(t.entities.where(k % 40 == 5).select("number")).where(k % 25 != 2)
+    reviews = t.review_reports.select("number", F.when(F.col("page_id") % 20 == 7, "https://shared.example.org/review").otherwise(F.col("url")).alias("url"))
+    meetings = t.meetings.select("url", "term", F.when(F.col("group_id") % 12 != 5, F.col("held_on")).alias("held_on"))
+    return corpus.work_inventory(t.entities.select("number", "term"), originals, reviews, meetings, "2020-01-10", "2023-06-30")
 
 
-@query("co_inventory", f"WITH {INVENTORY_SQL} SELECT term, count(*) FILTER (WHERE gap IS NULL) AS items, count(gap) AS gaps, CASE WHEN term = 16 THEN NULL ELSE count(*) FILTER (WHERE gap IS NULL) END AS expected FROM work GROUP BY 1")
+@query("co_inventory", f"WITH {INVENTORY_SQL} SELECT term, kind, count(*) FILTER (WHERE gap IS NULL) AS items, count(gap) AS gaps, CASE WHEN term IS NOT NULL AND term != 16 THEN count(*) FILTER (WHERE gap IS NULL) END AS expected FROM work GROUP BY 1, 2")
 def co_inventory(t: Tables) -> DataFrame:
-    """Counts of each term; where its metadata is incomplete the expectation is unknown."""
-    counted = work_items(t).groupBy("term").agg(F.count(F.when(F.col("gap").isNull(), 1)).alias("items"), F.count("gap").alias("gaps"))
-    return counted.withColumn("expected", F.when(F.col("term") != 16, F.col("items")))
+    """Work of each term and kind; where the term's metadata is incomplete (16) the expectation is unknown."""
+    items, gaps = inventories(t)
+    whole = t.entities.select("term").unionByName(t.meetings.select("term")).distinct().withColumn("complete", F.col("term") != 16)
+    return corpus.expected_work(items, gaps, whole)
 
 
-@query("co_inventory_gaps", f"WITH {INVENTORY_SQL} SELECT number, gap FROM work WHERE gap IS NOT NULL")
+@query("co_inventory_gaps", f"WITH {INVENTORY_SQL} SELECT term, kind, item, gap FROM work WHERE gap IS NOT NULL")
 def co_inventory_gaps(t: Tables) -> DataFrame:
-    return work_items(t).where("gap is not null").select("number", "gap")
+    return inventories(t)[1].select("term", "kind", "item", "gap")
 
 
 ATTEMPTS_SQL = """
@@ -96,20 +109,35 @@ def co_outcome_ledger(t: Tables) -> DataFrame:
     return ledger(t).withColumn("next_batch", (F.col("outcome") == "retryable") & (F.col("attempts") < 80))
 
 
-@query("co_merge_checkpoint", f"WITH {REVISIONS_SQL} SELECT o.doc_id FROM old o JOIN new n ON o.doc_id = n.doc_id AND o.digest IS NOT DISTINCT FROM n.digest")
+@query("co_merge_checkpoint", f"WITH {REVISIONS_SQL} SELECT o.doc_id, o.doc_id % 3 = 0 AS done FROM old o JOIN new n ON o.doc_id = n.doc_id AND o.digest IS NOT DISTINCT FROM n.digest WHERE o.doc_id % 7 != 2 AND o.doc_id % 8 != 1")
 def co_merge_checkpoint(t: Tables) -> DataFrame:
-    """Prior outcomes are kept only for byte-identical work items."""
+    """Prior outcomes are kept for work that is byte-identical, of one inventory, parser and parent (null for none)."""
     old, new = revisions(t)
-    same = (old["doc_id"] == new["doc_id"]) & old["digest"].eqNullSafe(new["digest"])
-    return old.join(new, same, "left_semi").select("doc_id")
+    k = F.col("doc_id")
+    at = lambda df, parser, parent: df.select("doc_id", F.col("digest").alias("item_hash"), F.lit("inventory-1").alias("inventory"), parser.alias("parser"), parent.alias("parent"))
+    prior = at(old, F.when(k % 7 == 2, "parser-1").otherwise("parser-2"), F.when(k % 2 == 0, "r0")).withColumn("done", k % 3 == 0)
+    current = at(new, F.lit("parser-2"), F.when((k % 2 == 0) | (k % 8 == 1), "r0"))
+    return corpus.merge_checkpoint(prior, current, "doc_id", ["item_hash", "inventory", "parser", "parent"]).select("doc_id", "done")
+
+
+RECALL_SQL = """
+  hits AS (SELECT query_id, doc_id, count(*) AS matched FROM query_terms JOIN doc_terms USING (term) GROUP BY 1, 2), sized AS (SELECT query_id, count(*) AS wanted FROM query_terms GROUP BY 1),
+  gated AS (SELECT h.*, matched * 2 >= wanted AS relevant FROM hits h JOIN sized USING (query_id)), d AS (SELECT doc_id, doc_id % 400 AS identity, source AS url, CASE WHEN doc_id % 10 != 3 THEN DATE '2020-01-01' + CAST(doc_id % 2000 AS INTEGER) END AS day, CASE WHEN doc_id % 13 != 6 THEN lang END AS committee, doc_id % 2 = 0 AS minutes FROM documents),
+  work AS (SELECT doc_id % 450 AS identity, count(*) AS targets, min(source) AS url FROM documents WHERE doc_id % 3 != 0 GROUP BY 1), copies AS (SELECT doc_id, row_number() OVER (PARTITION BY identity ORDER BY doc_id) AS copy FROM d),
+  scoped AS (SELECT query_id, doc_id, CASE WHEN NOT relevant THEN 'irrelevant' WHEN minutes AND day IS NULL THEN 'missing_date' WHEN committee IS NULL THEN 'missing_committee' WHEN minutes AND day > DATE '2023-12-31' THEN 'after_as_of' WHEN committee NOT IN ('en', 'fr') THEN 'outside_committee' WHEN minutes AND day < DATE '2020-02-01' THEN 'outside_date'
+      WHEN copy > 1 THEN 'duplicate' WHEN targets IS NULL THEN 'unmapped' WHEN targets > 1 THEN 'ambiguous' WHEN d.url != w.url THEN 'url_mismatch' ELSE 'promoted' END AS outcome FROM gated JOIN d USING (doc_id) JOIN copies USING (doc_id) LEFT JOIN work w USING (identity))"""
 
 
-@query("rk_corpus_recall", """WITH hits AS (SELECT query_id, doc_id, count(*) AS matched FROM query_terms JOIN doc_terms USING (term) GROUP BY 1, 2), scoped AS (SELECT h.*, CASE WHEN doc_id % 10 = 3 THEN 'gap_missing_date' WHEN lang != 'en' THEN 'excluded_language' ELSE 'verified' END AS scope FROM hits h JOIN documents USING (doc_id))
-    SELECT query_id, count(*) FILTER (WHERE scope = 'verified') AS verified, count(*) FILTER (WHERE scope = 'gap_missing_date') AS gaps, count(*) FILTER (WHERE scope = 'excluded_language') AS excluded, CASE WHEN bool_or(scope = 'gap_missing_date') THEN 'incomplete' ELSE 'verified' END AS status FROM scoped GROUP BY 1""")
+@query("rk_corpus_recall", f"WITH {RECALL_SQL}, n AS (SELECT query_id, outcome, count(*) AS n FROM scoped WHERE outcome != 'irrelevant' GROUP BY 1, 2) SELECT query_id, coalesce(CAST(sum(n) FILTER (WHERE outcome = 'promoted') AS BIGINT), 0) AS promoted, coalesce(string_agg(outcome || ':' || CAST(n AS VARCHAR), ',' ORDER BY outcome) FILTER (WHERE outcome != 'promoted'), '') AS reasons, CASE WHEN bool_or(outcome IN ('missing_date', 'missing_committee', 'duplicate', 'unmapped', 'ambiguous', 'url_mismatch')) THEN 'incomplete' ELSE 'verified' END AS status FROM n GROUP BY 1")
 def rk_corpus_recall(t: Tables) -> DataFrame:
-    """Any-term recall over the whole corpus, scoped afterwards; a gap makes a query's answer incomplete."""
+    """Any-term recall, the gate on the whole text (half of the query's words), scope, exact mapping; dates bind minutes alone."""
+    k = F.col("doc_id")
     hits = t.indexed("documents").of_terms(t.query_terms).groupBy("query_id", "doc_id").agg(F.count("*").alias("matched"))
-    scope = F.when(F.col("doc_id") % 10 == 3, "gap").when(F.col("lang") != "en", "excluded").otherwise("verified")
-    scoped = hits.join(t.raw("documents").select("doc_id", "lang"), "doc_id").withColumn("scope", scope)
-    n = lambda s: F.count(F.when(F.col("scope") == s, 1))
-    return scoped.groupBy("query_id").agg(n("verified").alias("verified"), n("gap").alias("gaps"), n("excluded").alias("excluded"), F.when(n("gap") > 0, "incomplete").otherwise("verified").alias("status"))
+    wanted = t.query_terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
+    facts = t.raw("documents").select(
+        "doc_id", (k % 400).alias("identity"), F.col("source").alias("url"), F.when(k % 10 != 3, F.date_add(F.lit("2020-01-01").cast("date"), (k % 2000).cast("int"))).alias("day"), F.when(k % 13 != 6, F.col("lang")).alias("committee"), (k % 2 == 0).alias("minutes")
+    )
+    work = t.raw("documents").where("doc_id % 3 != 0").select((k % 450).alias("identity"), F.col("source").alias("url"))
+    mapped = linking.exact_mapping(facts, work, [F.asc("doc_id")])
+    relevant = hits.join(wanted, "query_id").where(F.col("matched") * 2 >= F.col("wanted"))
+    return recall(relevant.select("query_id", "doc_id"), mapped, "doc_id", ["en", "fr"], "2020-02-01", "2023-12-31")

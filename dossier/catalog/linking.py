@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.operators import linking
+from dossier.operators import gate, linking
 from dossier.registry import query
 from dossier.views import Tables
 
@@ -42,9 +42,12 @@ def jn_qa_relations(t: Tables) -> DataFrame:
     return relations(t)
 
 
-@query("jn_explicit_mentions", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+@query("jn_explicit_mentions", "WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 17 = 3 THEN ' (no. ' || lpad(CAST(doc_id % 50 AS VARCHAR), 7, '0') || '1)' ELSE '' END AS text FROM documents), b AS (SELECT item_id, lpad(CAST(item_id AS VARCHAR), 7, '0') AS number, text AS name FROM benchmark) SELECT doc_id, item_id, CASE WHEN contains(d.text, number) THEN number ELSE name END AS evidence, 1.0::DOUBLE AS confidence FROM d JOIN b ON contains(d.text, number) OR (length(name) >= 4 AND contains(d.text, name))")
 def jn_explicit_mentions(t: Tables) -> DataFrame:
-    return linking.substring_links(t.raw("documents").select("doc_id", "text"), t.raw("benchmark").select("item_id", F.col("text").alias("pattern")), "doc_id", "item_id")
+    """Documents that hold an item's number, even within longer digits, or its whole text."""
+    cited = F.when(F.col("doc_id") % 17 == 3, F.concat(F.lit(" (no. "), F.lpad((F.col("doc_id") % 50).cast("string"), 7, "0"), F.lit("1)"))).otherwise("")
+    items = t.raw("benchmark").select("item_id", F.lpad(F.col("item_id").cast("string"), 7, "0").alias("number"), F.col("text").alias("name"))
+    return linking.explicit_mentions(t.raw("documents").select("doc_id", F.concat("text", cited).alias("text")), items, "doc_id", "item_id")
 
 
 @query("jn_hydrate", "SELECT turn_id, role, m.kind, m.url || '#' || CAST(seq AS VARCHAR) AS citation, m.held_on FROM turns JOIN meetings m USING (group_id)")
@@ -67,24 +70,24 @@ def jn_linked_entities(t: Tables) -> DataFrame:
 
 
 ROLE_SQL = """
-  wanted AS (SELECT DISTINCT s_suppkey % 20 AS query_id, s_name AS name FROM supplier),
-  firsts AS (SELECT group_id, proposer, seq, seq = 1 AS representative FROM agenda),
-  hits AS (SELECT query_id, group_id, bool_or(representative) AS representative, bool_or(NOT representative) AS co FROM firsts JOIN wanted ON proposer = name GROUP BY 1, 2)"""
+  wanted AS (SELECT DISTINCT s_suppkey % 20 AS query_id, ['representative', 'co', 'any'][s_suppkey % 3 + 1] AS role, s_name AS name FROM supplier),
+  own AS (SELECT group_id AS candidate, proposer AS name, bool_or(seq = 1) AS leads, bool_or(seq != 1) AS joins FROM agenda GROUP BY 1, 2),
+  hits AS (SELECT query_id, candidate, role, w.name, leads, CASE role WHEN 'representative' THEN leads WHEN 'co' THEN joins ELSE true END AS fits FROM own o JOIN wanted w ON o.name = w.name),
+  met AS (SELECT query_id, candidate, list(DISTINCT role) FILTER (WHERE fits) AS met, count(*) FILTER (WHERE fits) AS names, string_agg(DISTINCT 'proposer:' || CASE WHEN role != 'any' THEN role WHEN leads THEN 'representative' ELSE 'co' END || ':' || name, ',' ORDER BY 'proposer:' || CASE WHEN role != 'any' THEN role WHEN leads THEN 'representative' ELSE 'co' END || ':' || name) FILTER (WHERE fits) AS reasons FROM hits GROUP BY 1, 2),
+  roles AS (SELECT query_id, list(DISTINCT role) AS roles FROM wanted GROUP BY 1)"""
 
 
-@query("jn_role_match", f"WITH {ROLE_SQL} SELECT query_id, group_id, representative, co, CASE WHEN representative THEN 'proposer:representative' ELSE 'proposer:co' END AS reason FROM hits")
+@query("jn_role_match", f"WITH {ROLE_SQL}, m AS (SELECT *, list_filter(['representative', 'co', 'any'], lambda r: list_contains(roles, r) AND NOT list_contains(coalesce(met, []), r))[1] AS missing FROM met JOIN roles USING (query_id)) SELECT query_id, candidate, missing IS NULL AS all_met, names, missing, coalesce(reasons, '') AS reasons FROM m")
 def jn_role_match(t: Tables) -> DataFrame:
-    """The first proposer of an agenda represents it, the others support it; names match whole."""
-    wanted = t.raw("supplier").select((F.col("s_suppkey") % 20).alias("query_id"), F.col("s_name").alias("proposer")).distinct()
-    hits = t.agenda.select("group_id", "proposer", (F.col("seq") == 1).alias("first")).join(wanted, "proposer").groupBy("query_id", "group_id").agg(F.bool_or("first").alias("representative"), F.bool_or(~F.col("first")).alias("co"))
-    return hits.withColumn("reason", F.when(F.col("representative"), "proposer:representative").otherwise("proposer:co"))
+    """The first proposer of an agenda represents it, the others support it; queries ask for names by role, every role to be met."""
+    wanted = t.raw("supplier").select((F.col("s_suppkey") % 20).alias("query_id"), F.get(F.lit(gate.ROLES), (F.col("s_suppkey") % 3).cast("int")).alias("role"), F.col("s_name").alias("name"))
+    offered = t.agenda.select(F.col("group_id").alias("candidate"), F.when(F.col("seq") == 1, "representative").otherwise("co").alias("role"), F.col("proposer").alias("name"))
+    return gate.match_proposers(offered, wanted)
 
 
 @query("jn_semi_by_number", "SELECT group_id, bool_or(number IN (SELECT number FROM entities WHERE result IS NOT NULL)) AS admitted, CASE WHEN NOT bool_or(number IN (SELECT number FROM entities WHERE result IS NOT NULL)) THEN 'no_selected_proposer_bill' END AS reason FROM agenda GROUP BY 1")
 def jn_semi_by_number(t: Tables) -> DataFrame:
-    accepted = t.entities.where("result is not null").select("number").distinct().withColumn("ok", F.lit(True))
-    marked = t.agenda.select("group_id", "number").join(accepted, "number", "left").groupBy("group_id").agg(F.bool_or(F.coalesce("ok", F.lit(False))).alias("admitted"))
-    return marked.withColumn("reason", F.when(~F.col("admitted"), "no_selected_proposer_bill"))
+    return linking.admit_by_number(t.agenda.select("group_id", "number"), t.entities.where("result is not null"), "group_id")
 
 
 @query("jn_required_exact", "SELECT DISTINCT number FROM agenda WHERE number NOT IN (SELECT number FROM entities WHERE committee = 'BUILDING')")
@@ -100,11 +103,9 @@ MAPPING_SQL = """
 @query("jn_exact_mapping", f"WITH {MAPPING_SQL} SELECT doc_id, CASE WHEN copy > 1 THEN 'duplicate' WHEN targets IS NULL THEN 'unmapped' WHEN targets > 1 THEN 'ambiguous' WHEN c.url != w.url THEN 'url_mismatch' ELSE 'mapped' END AS outcome FROM cand c LEFT JOIN work w USING (identity)")
 def jn_exact_mapping(t: Tables) -> DataFrame:
     docs = t.raw("documents")
-    copy = F.row_number().over(Window.partitionBy("identity").orderBy("doc_id"))
-    cand = docs.select((F.col("doc_id") % 400).alias("identity"), "doc_id", F.when(F.col("doc_id") % 11 == 0, "moved").otherwise(F.col("source")).alias("url")).withColumn("copy", copy)
-    work = docs.where("doc_id % 3 != 0").groupBy((F.col("doc_id") % 450).alias("identity")).agg(F.count("*").alias("targets"), F.min("source").alias("work_url"))
-    outcome = F.when(F.col("copy") > 1, "duplicate").when(F.col("targets").isNull(), "unmapped").when(F.col("targets") > 1, "ambiguous").when(F.col("url") != F.col("work_url"), "url_mismatch").otherwise("mapped")
-    return cand.join(work, "identity", "left").select("doc_id", outcome.alias("outcome"))
+    candidates = docs.select((F.col("doc_id") % 400).alias("identity"), "doc_id", F.when(F.col("doc_id") % 11 == 0, "moved").otherwise(F.col("source")).alias("url"))
+    work = docs.where("doc_id % 3 != 0").select((F.col("doc_id") % 450).alias("identity"), F.col("source").alias("url"))
+    return linking.exact_mapping(candidates, work, [F.asc("doc_id")]).select("doc_id", "outcome")
 
 
 @query(
@@ -117,48 +118,49 @@ def jn_title_binding(t: Tables) -> DataFrame:
     """A turn is bound to an agenda item only if the title is equal and the exact number agrees on one."""
     number = F.when(F.col("l_partkey") % 3 == 0, F.lpad(F.col("l_partkey").cast("string"), 7, "0"))
     asked = t.raw("lineitem").join(t.raw("part"), F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").cast("long").alias("k"), F.col("p_name").alias("title"), number.alias("asked_number"), "l_suppkey"
+        F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").cast("long").alias("k"), F.col("p_name").alias("title"), number.alias("number"), "l_suppkey"
     )
-    joined = asked.join(t.agenda.select("group_id", "title", "number"), ["group_id", "title"])
-    agreed = F.count(F.when(F.col("number") == F.col("asked_number"), 1))
-    counted = joined.groupBy("group_id", "k", "title", "l_suppkey", "asked_number").agg(agreed.alias("agreed"), F.count("*").alias("titles"))
-    status = F.when(F.col("agreed") == 1, "bound").when(F.col("agreed") > 1, "ambiguous").otherwise("inferred_unresolved")
-    return counted.select("group_id", "k", "title", "l_suppkey", status.alias("status"), "titles")
+    return linking.bind_titles(asked, t.agenda, ["group_id", "k", "l_suppkey"]).select("group_id", "k", "title", "l_suppkey", "status", "titles")
 
 
 @query(
     "jn_status_overlay",
-    """WITH s AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 7, '0') AS number, CASE WHEN l_linestatus = 'F' THEN 'processed' WHEN l_returnflag = 'A' THEN 'withdrawn' END AS value, (l_shipdate, l_linenumber, l_partkey, l_suppkey) AS ord FROM lineitem),
-    o AS (SELECT number, max_by(value, ord) FILTER (WHERE value IS NOT NULL) AS value, count(DISTINCT value) > 1 AS conflict FROM s GROUP BY 1)
-    SELECT number, coalesce(o.value, result) AS result, coalesce(conflict, false) AS conflict FROM entities LEFT JOIN o USING (number)""",
+    """WITH s AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 7, '0') AS number, CASE WHEN l_linestatus = 'F' THEN 'processed' WHEN l_returnflag = 'A' THEN 'withdrawn' ELSE ' ' END AS result, CASE WHEN l_linenumber % 2 = 0 THEN 'desk ' || CAST(l_suppkey % 3 AS VARCHAR) END AS committee, l_returnflag AS stage, (l_shipdate, l_linenumber, l_partkey, l_suppkey) AS ord FROM lineitem),
+    o AS (SELECT number, max_by(result, ord) FILTER (WHERE trim(result) != '') AS result, max_by(stage, ord) AS stage, min_by(committee, ord) FILTER (WHERE committee IS NOT NULL) AS committee, concat_ws(',', CASE WHEN count(DISTINCT nullif(trim(result), '')) > 1 THEN 'result' END, CASE WHEN count(DISTINCT stage) > 1 THEN 'stage' END) AS conflicts FROM s GROUP BY 1)
+    SELECT number, coalesce(CASE WHEN e.committee != 'BUILDING' THEN e.committee END, o.committee) AS committee, coalesce(o.result, e.result) AS result, o.stage, coalesce(conflicts, '') AS conflicts FROM entities e LEFT JOIN o USING (number)""",
 )
 def jn_status_overlay(t: Tables) -> DataFrame:
-    """The last non-blank status overwrites; differing values are also a conflict."""
-    value = F.when(F.col("l_linestatus") == "F", "processed").when(F.col("l_returnflag") == "A", "withdrawn")
-    rows = t.raw("lineitem").select(F.lpad(F.col("l_orderkey").cast("string"), 7, "0").alias("number"), value.alias("value"), F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey").alias("ord"))
-    overlay = rows.where("value is not null").groupBy("number").agg(F.max_by("value", "ord").alias("value"), (F.count_distinct("value") > 1).alias("conflict"))
-    return t.entities.select("number", "result").join(overlay, "number", "left").select("number", F.coalesce("value", "result").alias("result"), F.coalesce("conflict", F.lit(False)).alias("conflict"))
+    """Status rows fill a blank committee and overwrite result and stage; where they differ is a conflict."""
+    result = F.when(F.col("l_linestatus") == "F", "processed").when(F.col("l_returnflag") == "A", "withdrawn").otherwise(" ")
+    rows = t.raw("lineitem").select(
+        F.lpad(F.col("l_orderkey").cast("string"), 7, "0").alias("number"), result.alias("result"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("desk "), (F.col("l_suppkey") % 3).cast("string"))).alias("committee"), F.col("l_returnflag").alias("stage"),
+        F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey").alias("ord"),
+    )
+    own = t.entities.select("number", F.when(F.col("committee") != "BUILDING", F.col("committee")).otherwise(" ").alias("committee"), "result", F.lit(None).cast("string").alias("stage"))
+    return linking.overlay_status(own, rows, F.col("ord"), ["committee"], ["result", "stage"])
 
 
-@query("jn_agenda_gaps", "WITH a AS (SELECT group_id, seq, title FROM agenda), e AS (SELECT p_name AS title, count(DISTINCT p_partkey) AS n FROM part GROUP BY 1) SELECT group_id, seq, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'inferred_unresolved' ELSE 'ambiguous' END AS gap FROM a LEFT JOIN e USING (title)")
+@query("jn_agenda_gaps", "WITH a AS (SELECT group_id, seq, title || CASE WHEN seq % 7 = 6 THEN ' (new)' ELSE '' END AS title FROM agenda WHERE seq % 2 = 0), e AS (SELECT p_name AS title, count(DISTINCT p_partkey) AS n FROM part WHERE p_size > 45 GROUP BY 1) SELECT group_id, seq, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'inferred_unresolved' ELSE 'ambiguous' END AS gap FROM a LEFT JOIN e USING (title)")
 def jn_agenda_gaps(t: Tables) -> DataFrame:
-    titles = t.raw("part").groupBy(F.col("p_name").alias("title")).agg(F.count_distinct("p_partkey").alias("n"))
-    gap = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "inferred_unresolved").otherwise("ambiguous")
-    return t.agenda.select("group_id", "seq", "title").join(titles, "title", "left").select("group_id", "seq", gap.alias("gap"))
+    """Every second item of an agenda has no number; its title is looked up among the accepted parts, those of a large size."""
+    items = t.agenda.where("seq % 2 = 0").select("group_id", "seq", F.concat("title", F.when(F.col("seq") % 7 == 6, " (new)").otherwise("")).alias("title"))
+    accepted = t.raw("part").where("p_size > 45").select(F.col("p_name").alias("title"), F.col("p_partkey").alias("number"))
+    return linking.title_gaps(items, accepted).select("group_id", "seq", "gap")
 
 
 @query(
     "jn_document_binding",
-    """WITH d AS (SELECT doc_id, 'https://records.example.org/minutes?id=' || CAST(doc_id % 300 AS VARCHAR) AS url FROM documents), m AS (SELECT url, count(*) AS n, min(group_id) AS group_id FROM meetings GROUP BY 1),
-    g AS (SELECT group_id, string_agg(number, ',' ORDER BY number) AS numbers FROM (SELECT DISTINCT group_id, number FROM agenda) GROUP BY 1)
-    SELECT doc_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'bound' END AS status, CASE WHEN n = 1 THEN coalesce(numbers, '') END AS numbers FROM d LEFT JOIN m USING (url) LEFT JOIN g USING (group_id)""",
+    """WITH d AS (SELECT doc_id, 'https://records.example.org/minutes?id=' || CAST(doc_id % 300 AS VARCHAR) AS url, CASE WHEN doc_id % 4 = 1 THEN [lpad(CAST(doc_id AS VARCHAR), 7, '0')] ELSE [] END AS own FROM documents), m0 AS (SELECT group_id, CASE WHEN group_id % 10 = 7 THEN regexp_replace(url, '[0-9]$', '6') ELSE url END AS url FROM meetings), m AS (SELECT url, count(DISTINCT group_id) AS n, min(group_id) AS group_id FROM m0 GROUP BY 1),
+    g AS (SELECT group_id, list(DISTINCT number) AS numbers FROM agenda GROUP BY 1)
+    SELECT doc_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'bound' END AS status, CASE WHEN n = 1 THEN array_to_string(list_sort(list_distinct(list_concat(own, coalesce(numbers, [])))), ',') END AS numbers FROM d LEFT JOIN m USING (url) LEFT JOIN g USING (group_id)""",
 )
 def jn_document_binding(t: Tables) -> DataFrame:
-    docs = t.raw("documents").select("doc_id", F.concat(F.lit("https://records.example.org/minutes?id="), (F.col("doc_id") % 300).cast("string")).alias("url"))
-    meetings = t.meetings.groupBy("url").agg(F.count("*").alias("n"), F.min("group_id").alias("group_id"))
-    numbers = t.agenda.groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set("number")), ",").alias("numbers"))
-    status = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("bound")
-    return docs.join(meetings, "url", "left").join(numbers, "group_id", "left").select("doc_id", status.alias("status"), F.when(F.col("n") == 1, F.coalesce("numbers", F.lit(""))).alias("numbers"))
+    """Some meetings share an address, some documents have a number of their own."""
+    k = F.col("doc_id")
+    own = F.when(k % 4 == 1, F.array(F.lpad(k.cast("string"), 7, "0")))
+    docs = t.raw("documents").select("doc_id", F.concat(F.lit("https://records.example.org/minutes?id="), (k % 300).cast("string")).alias("url"), own.alias("numbers"))
+    meetings = t.meetings.select("group_id", F.when(F.col("group_id") % 10 == 7, F.regexp_replace("url", "[0-9]$", "6")).otherwise(F.col("url")).alias("url"))
+    return linking.bind_documents(docs, meetings, t.agenda.select("group_id", "number")).select("doc_id", "status", F.array_join("numbers", ",").alias("numbers"))
 
 
 @query("jn_entity_links", "SELECT number, turn_id, link_type, confidence FROM links WHERE number IN (SELECT number FROM entities WHERE result IS NOT NULL)")
@@ -166,20 +168,36 @@ def jn_entity_links(t: Tables) -> DataFrame:
     return t.links.join(t.entities.where("result is not null"), "number", "left_semi").select("number", "turn_id", "link_type", "confidence")
 
 
-@query(
-    "jn_exact_enforce",
-    """WITH wanted AS (SELECT DISTINCT number FROM agenda), e AS (SELECT number FROM entities WHERE number IN (SELECT number FROM wanted)),
-    l AS (SELECT * FROM links WHERE number IN (SELECT number FROM e)), h AS (SELECT DISTINCT group_id FROM l)
-    SELECT t.group_id, count(*) AS turns, count(*) FILTER (WHERE t.turn_id IN (SELECT turn_id FROM l)) AS matched FROM turns t WHERE t.group_id IN (SELECT group_id FROM h) GROUP BY 1""",
-)
+#: Conversations dealt to 25 queries; every second query asks for the numbers that its first turns are linked to.
+ENFORCE_SQL = """
+  t0 AS (SELECT group_id % 25 AS query_id, turn_id, group_id, seq, held_on FROM turns), l0 AS (SELECT DISTINCT group_id % 25 AS query_id, number, turn_id FROM links), e0 AS (SELECT DISTINCT query_id, number FROM l0 JOIN entities USING (number)),
+  i0 AS (SELECT query_id, number, event FROM e0 JOIN (SELECT number, 'proposed' AS event FROM entities UNION ALL SELECT number, 'processed' FROM entities WHERE result IS NOT NULL) USING (number)), n0 AS (SELECT query_id, number, count(*) AS items FROM e0 JOIN agenda USING (number) GROUP BY 1, 2),
+  wanted AS (SELECT DISTINCT group_id % 25 AS query_id, number FROM links WHERE seq = 1 AND group_id % 2 = 0 AND group_id % 25 % 2 = 0), asked AS (SELECT DISTINCT query_id FROM wanted),
+  e AS (SELECT * FROM e0 WHERE query_id NOT IN (SELECT query_id FROM asked) OR (query_id, number) IN (SELECT (query_id, number) FROM wanted)), l AS (SELECT * FROM l0 WHERE query_id NOT IN (SELECT query_id FROM asked) OR (query_id, number) IN (SELECT (query_id, number) FROM e)),
+  t AS (SELECT * FROM t0 WHERE query_id NOT IN (SELECT query_id FROM asked) OR (query_id, turn_id) IN (SELECT (query_id, turn_id) FROM l)), i AS (SELECT * FROM i0 WHERE query_id NOT IN (SELECT query_id FROM asked) OR (query_id, number) IN (SELECT (query_id, number) FROM e)),
+  n AS (SELECT * FROM n0 WHERE query_id NOT IN (SELECT query_id FROM asked) OR (query_id, number) IN (SELECT (query_id, number) FROM e)),
+  th AS (SELECT query_id, group_id, coalesce(CAST(seq - lag(seq) OVER (PARTITION BY query_id, group_id ORDER BY seq) > 1 AS INT), 1) AS starts FROM t)"""
+
+
+@query("jn_exact_enforce", f"WITH {ENFORCE_SQL} SELECT query_id, part, n FROM (SELECT query_id, 'entities' AS part, count(*) AS n FROM e GROUP BY 1 UNION ALL SELECT query_id, 'links', count(*) FROM l GROUP BY 1 UNION ALL SELECT query_id, 'turns', count(*) FROM t GROUP BY 1 UNION ALL SELECT query_id, 'timeline', count(*) FROM i GROUP BY 1 UNION ALL SELECT query_id, 'inventory', CAST(sum(items) AS BIGINT) FROM n GROUP BY 1 UNION ALL SELECT query_id, 'threads', CAST(sum(starts) AS BIGINT) FROM th GROUP BY 1)")
 def jn_exact_enforce(t: Tables) -> DataFrame:
-    """Entities, then links, then turns are each cut down to what the exact numbers reach."""
-    wanted = t.agenda.select("number").distinct()
-    entities = t.entities.join(wanted, "number", "left_semi").select("number")
-    links = t.links.join(entities, "number", "left_semi").select("turn_id", "group_id").distinct()
-    turns = t.turns.select("group_id", "turn_id").join(links.select("group_id").distinct(), "group_id", "left_semi")
-    marked = turns.join(links.select("turn_id", F.lit(1).alias("m")), "turn_id", "left")
-    return marked.groupBy("group_id").agg(F.count("*").alias("turns"), F.count("m").alias("matched"))
+    """Entities, links, turns, threads, timeline and inventories of each query, cut down to what its exact numbers reach."""
+    k = (F.col("group_id") % 25).alias("query_id")
+    turns = t.turns.select(k, "turn_id", "group_id", "seq")
+    links = t.links.select(k, "number", "turn_id").distinct()
+    entities = links.select("query_id", "number").distinct().join(t.entities.select("number"), "number", "left_semi")
+    events = t.entities.select("number", F.lit("proposed").alias("event")).unionByName(t.entities.where("result is not null").select("number", F.lit("processed").alias("event")))
+    inventory = entities.join(t.agenda.select("number"), "number").groupBy("query_id", "number").agg(F.count("*").alias("items"))
+    wanted = t.links.where("seq = 1 and group_id % 2 = 0 and group_id % 25 % 2 = 0").select(k, "number").distinct()
+    kept = linking.enforce_exact(wanted, entities, links, turns, entities.join(events, "number"), inventory)
+    starts = F.coalesce((F.col("seq") - F.lag("seq").over(Window.partitionBy("query_id", "group_id").orderBy("seq")) > 1).cast("int"), F.lit(1))
+    count = lambda name: kept[name].groupBy("query_id").agg(F.count("*").alias("n")).select("query_id", F.lit(name).alias("part"), "n")
+    total = lambda df, name, of: df.groupBy("query_id").agg(F.sum(of).alias("n")).select("query_id", F.lit(name).alias("part"), "n")
+    parts = [*map(count, ("entities", "links", "turns", "timeline")), total(kept["inventory"], "inventory", "items"), total(kept["turns"].withColumn("starts", starts), "threads", "starts")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query(

@@ -9,6 +9,7 @@ from dossier.catalog.aggregation import BINDINGS_SQL, bindings
 from dossier.catalog.evidence import EDGES_SQL, RECORDS_SQL, evidence_records, resolved
 from dossier.catalog.ingestion import COHERENCE_SQL
 from dossier.catalog.searching import BM25_SQL, speech_sql
+from dossier.catalog.texts import QUALITY_SQL, ag_parse_quality
 from dossier.operators import linking
 from dossier.plans import research
 from dossier.registry import query
@@ -127,8 +128,10 @@ def pl_corpus_build(t: Tables) -> DataFrame:
     return cells.select("source", "expected", F.col("succeeded").alias("built"), "failed", F.col("complete").alias("published"), F.when(F.col("complete"), F.col("succeeded")).otherwise(0).alias("documents"))
 
 
-@query("pl_parser_review", "SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS expected, CAST(sum(n) AS BIGINT) AS correct FROM (SELECT group_id, count(*) AS n FROM turns WHERE trim(text) != '' GROUP BY 1)")
+@query("pl_parser_review", f"WITH {QUALITY_SQL} SELECT count(*) AS documents, CAST(sum(expected) AS BIGINT) AS expected, CAST(sum(parsed) AS BIGINT) AS parsed, CAST(sum(correct) AS BIGINT) AS correct, count(*) FILTER (WHERE correct < expected OR parsed > expected) AS faulty, round(2 * sum(correct) / (sum(expected) + sum(parsed)), 6) AS f1 FROM q")
 def pl_parser_review(t: Tables) -> DataFrame:
-    from dossier.catalog.texts import ag_parse_quality
-
-    return ag_parse_quality(t).agg(F.count("*").alias("documents"), F.sum("expected").alias("expected"), F.sum("correct").alias("correct"))
+    """The parser over all transcripts, damaged ones among them, in one row."""
+    each = ag_parse_quality(t)
+    total = lambda c: F.sum(c).alias(c)
+    f1 = F.round(2 * F.sum("correct") / (F.sum("expected") + F.sum("parsed")), 6)
+    return each.agg(F.count("*").alias("documents"), total("expected"), total("parsed"), total("correct"), F.count(F.when((F.col("correct") < F.col("expected")) | (F.col("parsed") > F.col("expected")), 1)).alias("faulty"), f1.alias("f1"))

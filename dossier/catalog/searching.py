@@ -167,10 +167,11 @@ BACKEND_SQL = f"""{BM25_SQL}, phrases AS (SELECT DISTINCT item_id, doc_id FROM b
 @query("ud_candidate_backend", f"WITH {BACKEND_SQL}, l AS (SELECT query_id, 1 AS list_no, turn_id AS item, rank, 1.0::DOUBLE AS weight FROM ranked WHERE rank <= 5 UNION ALL SELECT query_id, 2, item, rank, 2.0::DOUBLE FROM own), f AS (SELECT query_id, item, round(sum(weight / (60 + rank)), 9) AS score, min((list_no, rank)) AS first, max(rank) FILTER (WHERE list_no = 2) AS backend_rank FROM l GROUP BY 1, 2) SELECT query_id, item, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, item) AS rank, backend_rank FROM f")
 def ud_candidate_backend(t: Tables) -> DataFrame:
     """A backend of the user's own, here the documents that hold the whole query, joins the keyword list in the fusion."""
-    from dossier.catalog.linking import jn_explicit_mentions
+    from dossier.operators.linking import substring_links
 
+    hits = substring_links(t.raw("documents").select("doc_id", "text"), t.raw("benchmark").select("item_id", F.col("text").alias("pattern")), "doc_id", "item_id")
     place = F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))
-    own = jn_explicit_mentions(t).select(F.col("item_id").alias("query_id"), F.lit(2).alias("list_no"), F.col("doc_id").cast("string").alias("item"), place.cast("long").alias("rank"), F.lit(2.0).alias("weight"))
+    own = hits.select(F.col("item_id").alias("query_id"), F.lit(2).alias("list_no"), F.col("doc_id").cast("string").alias("item"), place.cast("long").alias("rank"), F.lit(2.0).alias("weight"))
     words = search.bm25(t.indexed("turns"), t.query_words, 5).select("query_id", F.lit(1).alias("list_no"), F.col("turn_id").alias("item"), "rank", F.lit(1.0).alias("weight"))
     return search.reciprocal_rank_fusion(words.unionByName(own), names={2: "backend_rank"})
 
@@ -289,8 +290,8 @@ def rk_importance(t: Tables) -> DataFrame:
     linked = t.links.groupBy("number").agg(F.countDistinct("turn_id").alias("turns"))
     base = F.when(F.col("result").isNotNull(), 12).when(F.col("committee") != "BUILDING", 2).otherwise(0)
     scored = t.entities.join(linked, "number", "left").withColumn("turns", F.coalesce("turns", F.lit(0))).withColumn("score", (base + F.least(F.lit(20), 5 * F.col("turns"))).cast("long"))
-    order = Window.partitionBy("term").orderBy(F.desc("score"), F.desc("turns"), F.desc("proposed_at"), "number")
-    return scored.select("number", "score", F.row_number().over(order).cast("long").alias("rank"), "term")
+    order = [F.desc("score"), F.desc("turns"), F.desc("proposed_at"), F.asc("number")]
+    return search.ranked_within(scored.select("number", "score", "turns", "proposed_at", "term"), "term", order, ["score", "turns", "proposed_at"]).select("number", "score", "rank", "term")
 
 
 @query(

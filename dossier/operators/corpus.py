@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -44,3 +47,105 @@ def scope_coverage(expected: DataFrame, outcomes: DataFrame, keys: list[str]) ->
     left = F.col("expected") - F.col("succeeded") - F.col("failed")
     complete = F.coalesce((left == 0) & (F.col("failed") == 0), F.lit(False))
     return joined.withColumns({"unaccounted": left, "complete": complete, "over_accounted": F.coalesce(left < 0, F.lit(False))})
+
+
+def fingerprint_id(df: DataFrame, columns: list[str], *parents: str) -> str:
+    """A name for content: the table's fingerprint and the names of its parents, hashed."""
+    r = table_fingerprint(df, columns).first()
+    told = "|".join([*parents, str(r.n_rows), str(r.xored or 0), str(r.summed or 0)])
+    return hashlib.sha256(told.encode()).hexdigest()[:16]
+
+
+class IncompleteError(ValueError):
+    """A revision of a scope that is not complete is not written."""
+
+
+def publish(root: str, docs: DataFrame, key: str, digest: str, cells: DataFrame, parent: str | None = None, removed: DataFrame | None = None) -> str:
+    """Write the revision that ``docs(key, digest, ...)`` make of the ``parent`` under ``root``, and return its identifier.
+
+    ``docs`` are upserts: rows of the parent with their keys are replaced, those of ``removed(key)`` leave.
+    The identifier is a hash of content and parent, so equal content of equal parents is one revision and
+    is not written again.  ``cells(complete)`` is the coverage; unless all of it is complete, and the parent
+    is there, nothing is written and ``IncompleteError`` is raised.  The manifest is written last: a
+    revision without one does not exist.
+    """
+    spark = docs.sparkSession
+    short = cells.where("not complete").count()
+    if short or not cells.take(1):
+        raise IncompleteError(f"{short} scopes are not complete" if short else "no scope is covered")
+    rows = docs.withColumn("rewritten", F.lit(True))
+    if parent is not None:
+        if parent not in {r.revision for r in manifests(spark, root).collect()}:
+            raise IncompleteError(f"there is no revision {parent}")
+        old = read_revision(spark, root, parent).withColumn("rewritten", F.lit(False))
+        gone = docs.select(key) if removed is None else docs.select(key).unionByName(removed.select(key))
+        same = old.join(docs.select(key, F.col(digest).alias("_new")), key, "left").where(F.col("_new").eqNullSafe(F.col(digest))).drop("_new")
+        rows = rows.join(same, key, "left_anti").unionByName(same).unionByName(old.join(gone.distinct(), key, "left_anti"))
+        if removed is not None:
+            rows = rows.join(removed.select(key).distinct(), key, "left_anti")
+    name = fingerprint_id(rows, [key, digest], parent or "")
+    if parent is None or name not in {r.revision for r in manifests(spark, root).collect()}:
+        rows.write.mode("overwrite").parquet(f"{root}/documents/revision={name}")
+        n = spark.read.parquet(f"{root}/documents/revision={name}").count()
+        line = spark.range(1).select(F.lit(name).alias("revision"), F.lit(parent).cast("string").alias("parent"), F.lit(n).cast("long").alias("documents"))
+        line.write.mode("overwrite").parquet(f"{root}/manifests/{name}")
+    return name
+
+
+def manifests(spark: SparkSession, root: str) -> DataFrame:
+    """``(revision, parent, documents)`` of all published revisions; a row each."""
+    try:
+        return spark.read.schema("revision string, parent string, documents long").option("recursiveFileLookup", "true").parquet(f"{root}/manifests")
+    except AnalysisException:  # nothing published yet
+        return spark.createDataFrame([], "revision string, parent string, documents long")
+
+
+def read_revision(spark: SparkSession, root: str, revision: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/documents/revision={revision}").drop("revision")
+
+
+def verify(stored: DataFrame, manifest: DataFrame, key: str, text: str, digest: str) -> DataFrame:
+    """Keys of the ``manifest(key, digest)`` whose stored text is missing or has another hash."""
+    joined = manifest.select(key, digest).join(stored.select(key, F.sha2(text, 256).alias("found")), key, "left")
+    fault = F.when(F.col("found").isNull(), "missing").when(~F.col("found").eqNullSafe(F.col(digest)), "tampered")
+    return joined.select(key, fault.alias("fault")).where("fault is not null")
+
+
+def merge_checkpoint(prior: DataFrame, current: DataFrame, key: str, same: list[str]) -> DataFrame:
+    """Prior outcomes of work items that are the same now: equal in the key and, nulls alike, in all columns ``same``.
+
+    ``same`` are the item's hash, inventory, parser and parent: with another of these the work has to be done again.
+    """
+    now = current.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in same)).distinct()
+    on = F.col(key) == F.col("_key")
+    for c in same:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return prior.join(now, on, "left_semi")
+
+
+def work_inventory(bills: DataFrame, originals: DataFrame, reviews: DataFrame, meetings: DataFrame, day_from: str, day_to: str) -> tuple[DataFrame, DataFrame]:
+    """Expected work ``(term, kind, item)`` and gaps ``(term, kind, item, gap)``.
+
+    One original for each of ``bills(number, term)`` among ``originals(number)`` (none and several are gaps);
+    each address of ``reviews(number, url)`` whose bill is known, once; each meeting of ``meetings(url, term,
+    held_on)`` with a date within the range, those without a date are gaps, others no work.
+    """
+    per = originals.groupBy("number").agg(F.count("*").alias("n"))
+    gap = F.when(F.col("n").isNull(), "missing_original").when(F.col("n") > 1, "several_originals")
+    own = bills.join(per, "number", "left").select("term", F.lit("original").alias("kind"), F.col("number").alias("item"), gap.alias("gap"))
+    of = reviews.select("number", "url").distinct().join(bills.select("number", "term"), "number", "left")
+    twice = F.count("*").over(Window.partitionBy("url"))
+    listed = of.withColumn("n", twice).select("term", F.lit("review").alias("kind"), F.col("url").alias("item"), F.when(F.col("term").isNull(), "unknown_bill").when(F.col("n") > 1, "shared_url").alias("gap"))
+    day = F.col("held_on")
+    dated = meetings.where(day.isNull() | day.between(F.lit(day_from).cast("date"), F.lit(day_to).cast("date")))
+    minutes = dated.select("term", F.lit("minutes").alias("kind"), F.col("url").alias("item"), F.when(day.isNull(), "missing_date").alias("gap"))
+    every = own.unionByName(listed).unionByName(minutes)
+    return every.where("gap is null").drop("gap"), every.where("gap is not null")
+
+
+def expected_work(items: DataFrame, gaps: DataFrame, whole: DataFrame) -> DataFrame:
+    """Per (term, kind) the items and gaps, and what is expected: null where ``whole(term, complete)`` does not say that its metadata is complete."""
+    by = lambda df, name: df.groupBy("term", "kind").agg(F.count("*").alias(name))
+    both = by(items, "items").join(by(gaps, "gaps"), ["term", "kind"], "full_outer").fillna(0, ["items", "gaps"])
+    known = whole.where("complete").select("term", F.lit(True).alias("known"))
+    return both.join(known, "term", "left").select("term", "kind", "items", "gaps", F.when(F.col("known"), F.col("items")).alias("expected"))

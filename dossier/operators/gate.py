@@ -160,3 +160,22 @@ def infer_committee(text: Column, names: list[str], hints: list[tuple[str, list[
     for name in reversed(names):
         out = F.when(F.contains(low, F.lit(name.lower())), name).otherwise(out)
     return out
+
+
+def recall(hits: DataFrame, docs: DataFrame, id_col: str, committees: list[str], day_from: str, as_of: str) -> DataFrame:
+    """Per query what became of its relevant ``hits(query_id, id)``: promoted ids, counts of reasons, and whether the answer is verified.
+
+    ``docs(id, day, committee, minutes, outcome)`` with the outcome of the exact mapping.  A missing date of minutes, a
+    missing committee and any fault of the mapping are gaps, which make the answer incomplete; days and
+    committees outside the scope exclude.
+    """
+    c, day = F.col, F.col("day")
+    fate = (
+        F.when(c("minutes") & day.isNull(), "missing_date").when(c("committee").isNull(), "missing_committee").when(c("minutes") & (day > F.lit(as_of).cast("date")), "after_as_of")
+        .when(~c("committee").isin(committees), "outside_committee").when(c("minutes") & (day < F.lit(day_from).cast("date")), "outside_date").when(c("outcome") != "mapped", c("outcome")).otherwise("promoted")
+    )
+    counts = hits.join(docs, id_col).groupBy("query_id", fate.alias("fate")).agg(F.count("*").alias("n"))
+    excluded = ["after_as_of", "outside_committee", "outside_date", "promoted"]
+    told = F.array_join(F.array_sort(F.collect_list(F.when(c("fate") != "promoted", F.concat("fate", F.lit(":"), c("n").cast("string"))))), ",")  # a reason each
+    gap = F.bool_or(~c("fate").isin(excluded))
+    return counts.groupBy("query_id").agg(F.sum(F.when(c("fate") == "promoted", c("n")).otherwise(0)).alias("promoted"), told.alias("reasons"), F.when(gap, "incomplete").otherwise("verified").alias("status"))

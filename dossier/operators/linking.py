@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def context(turns: DataFrame, hits: DataFrame, before: int, after: int) -> DataFrame:
@@ -36,34 +35,161 @@ def question_answer_relations(turns: DataFrame, is_question: Column, answer_role
     return edge(answered, "turn_id", "next_id", "QUESTION_TO", 0.9).unionByName(edge(answered, "next_id", "turn_id", "ANSWER_TO", 0.9)).unionByName(edge(follow, "third_id", "turn_id", "FOLLOW_UP_TO", 0.8))
 
 
-def substring_links(texts: DataFrame, patterns: DataFrame, id_col: str, pattern_id: str, lengths: tuple[int, ...] = (32, 16, 7, 4)) -> DataFrame:
-    """Pairs where a text contains a pattern verbatim, without comparing all pairs.
+#: Bytes of patterns that are broadcast at a time.
+PATTERN_BYTES = 4 << 20
 
-    ``texts(id, text)`` and ``patterns(pattern_id, pattern)``.  Patterns are classed by length; a text's
-    distinct k-character shingles are joined on the pattern's first k characters, and the containment
-    is verified.  Longer patterns block on more characters.  Patterns shorter than the least
-    length are left out.
+
+def substring_links(texts: DataFrame, patterns: DataFrame, id_col: str, pattern_id: str, block_bytes: int = PATTERN_BYTES) -> DataFrame:
+    """Distinct pairs where a text contains a pattern verbatim; patterns of any length, in time linear in the text.
+
+    ``texts(id, text)`` and ``patterns(pattern_id, pattern)``.  Patterns are broadcast in blocks of a checked
+    size and each text runs once through a block's automaton, so no text and no candidate pair is
+    moved.  An empty pattern is in every text; null texts and patterns match nothing.
     """
-    size = F.char_length("pattern")
-    present = {r.k for r in patterns.select(F.coalesce(*(F.when(size >= k, k) for k in lengths)).alias("k")).distinct().collect()}
+    import pyarrow as pa
+
+    spark = texts.sparkSession
+    frame = texts.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    own = patterns.select(F.col(pattern_id).alias("pattern_id"), F.col("pattern").cast("string").alias("pattern")).where("pattern is not null")
+    size = own.agg(F.coalesce(F.sum(F.octet_length("pattern") + 64), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_bytes))
+    kinds = [frame.schema["id"].dataType.simpleString(), own.schema["pattern_id"].dataType.simpleString()]
     found = None
-    for i, k in enumerate(lengths):
-        if k not in present:
-            continue
-        own = patterns.where(size >= k)
-        if i:
-            own = own.where(size < lengths[i - 1])
-        own = own.withColumn("block", F.xxhash64(F.left("pattern", F.lit(k))))
-        # an empty match before each character captures the k characters from there: all shingles in one pass
-        shingles = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
-        hashes = F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s)))
-        exploded = texts.where(F.char_length("text") >= k).select(id_col, F.explode(hashes).alias("block"))
-        candidates = exploded.join(own.select("block", pattern_id), "block").select(id_col, pattern_id)
-        verified = candidates.join(texts, id_col).join(own.select(pattern_id, "pattern"), pattern_id).where(F.contains("text", "pattern")).select(id_col, pattern_id)
-        found = verified if found is None else found.unionByName(verified)
-    if found is None:
-        return texts.sparkSession.createDataFrame([], T.StructType([texts.schema[id_col], patterns.schema[pattern_id]]))
-    return found.distinct()
+    for k in range(blocks):
+        rows = own.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).collect()  # about ``block_bytes``
+        ids: dict[str, list] = {}
+        for r in rows:
+            ids.setdefault(r.pattern, []).append(r.pattern_id)
+        held = spark.sparkContext.broadcast(ids)
+
+        def search(batches, held=held):
+            import ahocorasick
+
+            automaton, everywhere = ahocorasick.Automaton(), held.value.get("", [])
+            for pattern in held.value:
+                if pattern:
+                    automaton.add_word(pattern, pattern)
+            if len(automaton):
+                automaton.make_automaton()
+            for batch in batches:
+                for part in (batch.slice(at, 512) for at in range(0, len(batch), 512)):
+                    at, hit = [], []
+                    for i, text in enumerate(part.column(1)):
+                        seen = {p for _, p in automaton.iter(text.as_py())} if len(automaton) else ()
+                        own = {x for p in seen for x in held.value[p]} | set(everywhere)
+                        at += [i] * len(own)
+                        hit += own
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(hit, pattern_type)], names=["id", "pattern_id"])
+
+        pattern_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
+        part = frame.mapInArrow(search, f"id {kinds[0]}, pattern_id {kinds[1]}")
+        found = part if found is None else found.unionByName(part)
+    return found.distinct().select(F.col("id").alias(id_col), F.col("pattern_id").alias(pattern_id))
+
+
+def explicit_mentions(texts: DataFrame, entities: DataFrame, id_col: str, entity_col: str, least: int = 4) -> DataFrame:
+    """Links from ``texts(id, text)`` to ``entities(entity, number, name)`` that hold the number, or the name of ``least`` characters or more.
+
+    ``(id, entity, evidence, confidence)``; the number is the evidence where it occurs, else the name.
+    """
+    kind = entities.schema[entity_col].dataType.simpleString()
+    numbers = entities.where("number is not null").select(F.concat(F.lit("n:"), F.col(entity_col).cast("string")).alias("key"), F.col("number").alias("pattern"))
+    names = entities.where(F.char_length("name") >= least).select(F.concat(F.lit("t:"), F.col(entity_col).cast("string")).alias("key"), F.col("name").alias("pattern"))
+    hits = substring_links(texts, numbers.unionByName(names), id_col, "key")
+    told = hits.groupBy(id_col, F.expr("substring(key, 3)").cast(kind).alias(entity_col)).agg(F.bool_or(F.col("key").startswith("n:")).alias("by_number"))
+    return told.join(entities, entity_col).select(id_col, entity_col, F.when(F.col("by_number"), F.col("number")).otherwise(F.col("name")).alias("evidence"), F.lit(1.0).alias("confidence"))
+
+
+def admit_by_number(groups: DataFrame, accepted: DataFrame, group_col: str) -> DataFrame:
+    """Each group of ``groups(group, number)`` with whether one of its numbers is in ``accepted(number)``, and why not."""
+    known = accepted.select("number").distinct().withColumn("ok", F.lit(True))
+    marked = groups.join(known, "number", "left").groupBy(group_col).agg(F.bool_or(F.coalesce("ok", F.lit(False))).alias("admitted"))
+    return marked.withColumn("reason", F.when(~F.col("admitted"), "no_selected_proposer_bill"))
+
+
+def exact_mapping(candidates: DataFrame, work: DataFrame, order: list[Column]) -> DataFrame:
+    """``candidates(identity, url, ...)`` with ``outcome`` against ``work(identity, url)``.
+
+    In this order: a later copy (by ``order``) of an identity is a duplicate, an identity without work unmapped, one with
+    several ambiguous, another address a mismatch; else it is mapped.
+    """
+    copy = F.row_number().over(Window.partitionBy("identity").orderBy(*order))
+    targets = work.groupBy("identity").agg(F.count("*").alias("targets"), F.min("url").alias("work_url"))
+    outcome = F.when(F.col("copy") > 1, "duplicate").when(F.col("targets").isNull(), "unmapped").when(F.col("targets") > 1, "ambiguous").when(~F.col("url").eqNullSafe(F.col("work_url")), "url_mismatch").otherwise("mapped")
+    return candidates.withColumn("copy", copy).join(targets, "identity", "left").withColumn("outcome", outcome).drop("copy", "targets", "work_url")
+
+
+def title_key(title: Column) -> Column:
+    """Lower case, runs of white space one space: titles are compared by it."""
+    return F.lower(F.trim(F.regexp_replace(title, r"\s+", " ")))
+
+
+def bind_titles(turns: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """``turns(<keys>, group_id, title, number)`` against ``items(group_id, title, number)``: one row for each turn whose title one item has.
+
+    Bound only where the exact number agrees on one item, ambiguous where on several, else inferred and unresolved.
+    """
+    asked = turns.select(*dict.fromkeys([*keys, "group_id", "title"]), title_key(F.col("title")).alias("key"), F.col("number").alias("asked_number"))
+    known = items.select("group_id", title_key(F.col("title")).alias("key"), "number")
+    agreed = F.count(F.when(F.col("number") == F.col("asked_number"), 1))
+    counted = asked.join(known, ["group_id", "key"]).groupBy(*dict.fromkeys([*keys, "group_id", "title", "asked_number"])).agg(agreed.alias("agreed"), F.count("*").alias("titles"))
+    status = F.when(F.col("agreed") == 1, "bound").when(F.col("agreed") > 1, "ambiguous").otherwise("inferred_unresolved")
+    return counted.withColumn("status", status).drop("agreed", "asked_number")
+
+
+def overlay_status(entities: DataFrame, rows: DataFrame, order: Column, fill: list[str], overwrite: list[str]) -> DataFrame:
+    """``entities(number, ...)`` overlaid by status ``rows(number, ...)``, field by field.
+
+    Of the columns ``fill`` blanks take the first non-blank value by ``order``; those of ``overwrite`` take the last
+    one.  ``conflicts`` names the overwritten columns that rows differ in, comma-joined.
+    """
+    has = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    taken = [F.min_by(F.col(c), F.when(has(c).isNotNull(), order)).alias(f"{c}_first") for c in fill] + [F.max_by(F.col(c), F.when(has(c).isNotNull(), order)).alias(f"{c}_last") for c in overwrite]
+    differ = [F.when(F.count_distinct(has(c)) > 1, c) for c in overwrite]
+    told = rows.groupBy("number").agg(*taken, F.concat_ws(",", *differ).alias("conflicts"))
+    joined = entities.join(told, "number", "left")
+    new = {c: F.coalesce(has(c), F.col(f"{c}_first")) for c in fill} | {c: F.coalesce(F.col(f"{c}_last"), has(c)) for c in overwrite}
+    return joined.select(*(new.get(c, F.col(c)).alias(c) for c in entities.columns), F.coalesce("conflicts", F.lit("")).alias("conflicts"))
+
+
+def title_gaps(items: DataFrame, accepted: DataFrame) -> DataFrame:
+    """``items(..., title)`` without a number: a gap each, by how many ``accepted(title, number)`` have the title; never a link."""
+    titles = accepted.groupBy(title_key(F.col("title")).alias("key")).agg(F.count_distinct("number").alias("n"))
+    gap = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "inferred_unresolved").otherwise("ambiguous")
+    return items.withColumn("key", title_key(F.col("title"))).join(titles, "key", "left").withColumn("gap", gap).drop("key", "n")
+
+
+def bind_documents(docs: DataFrame, meetings: DataFrame, agenda: DataFrame) -> DataFrame:
+    """``docs(..., url, numbers)`` bound to the one meeting of their address, with the numbers of both.
+
+    ``meetings(group_id, url)``, ``agenda(group_id, number)``; ``numbers`` of a document is an array, perhaps null.
+    No meeting is a missing, several an ambiguous one, and neither has numbers.
+    """
+    known = meetings.groupBy("url").agg(F.count_distinct("group_id").alias("n"), F.min("group_id").alias("group_id"))
+    listed = agenda.groupBy("group_id").agg(F.collect_set("number").alias("listed"))  # one meeting's agenda
+    status = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("bound")
+    none = F.array().cast("array<string>")
+    both = F.array_sort(F.array_union(F.coalesce("numbers", none), F.coalesce("listed", none)))
+    return docs.join(known, "url", "left").join(listed, "group_id", "left").withColumns({"status": status, "numbers": F.when(F.col("n") == 1, both)}).drop("n", "listed")
+
+
+def enforce_exact(wanted: DataFrame, entities: DataFrame, links: DataFrame, turns: DataFrame, timeline: DataFrame, inventory: DataFrame) -> dict[str, DataFrame]:
+    """What the exact numbers that queries ask for reach, each table cut down to it; queries that ask for none keep all.
+
+    ``wanted(query_id, number)``, ``entities(query_id, number)``, ``links(query_id, number, turn_id)``,
+    ``turns(query_id, turn_id, ...)``, ``timeline`` and ``inventory(query_id, number, ...)``.  Entities, then
+    links, turns, timeline and inventory; threads are made of the turns that are left.
+    """
+    asked = wanted.select("query_id").distinct()
+
+    def keep(rows: DataFrame, reached: DataFrame, key: str) -> DataFrame:
+        free = rows.join(asked, "query_id", "left_anti")
+        return free.unionByName(rows.join(asked, "query_id", "left_semi").join(reached, ["query_id", key], "left_semi"))
+
+    kept = {"entities": keep(entities, wanted, "number")}
+    kept["links"] = keep(links, kept["entities"], "number")
+    kept["turns"] = keep(turns, kept["links"], "turn_id")
+    return kept | {"timeline": keep(timeline, kept["entities"], "number"), "inventory": keep(inventory, kept["entities"], "number")}
 
 
 def threads(hits: DataFrame, turns: DataFrame, gap: int = 8, pad: int = 2) -> DataFrame:
@@ -86,3 +212,10 @@ def interval_scope(dates: DataFrame, intervals: DataFrame, day: str) -> DataFram
     """Each row with the interval (``scope, day_from, day_to``) its day lies in; null in gaps."""
     inside = F.col(day).between(F.col("day_from"), F.col("day_to"))
     return dates.join(F.broadcast(intervals), inside, "left")  # a handful of terms of office
+
+
+def intersecting_scopes(ranges: DataFrame, intervals: DataFrame, low: str, high: str) -> DataFrame:
+    """Each row with ``scopes``, the sorted scopes of all intervals that its range from ``low`` to ``high`` meets; null bounds are open."""
+    listed = [(r.scope, r.day_from, r.day_to) for r in intervals.collect()]  # a handful of terms of office
+    meets = [F.when((F.col(low).isNull() | (F.col(low) <= F.lit(b))) & (F.col(high).isNull() | (F.col(high) >= F.lit(a))), F.lit(scope)) for scope, a, b in listed]
+    return ranges.withColumn("scopes", F.array_sort(F.array_compact(F.array(*meets))))

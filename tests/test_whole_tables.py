@@ -24,7 +24,7 @@ def test_ends_of_agenda_edges_with_high_ids(spark):
         "customer": made("c_custkey long, c_name string, c_mktsegment string", (1, "c", "BUILDING")),
         "orders": made("o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate string", (1, 1, "O", "LOW", "1997-01-01"), (5000, 1, "O", "LOW", "1997-01-01"), (9000, 1, "O", "LOW", "1997-01-01")),
         "part": made("p_partkey long, p_name string", (5000, "both"), (8000, "no bill"), (9000, "two"), (7000, "neither")),
-        "supplier": made("s_suppkey long, s_name string", (1, "s")),
+        "supplier": made("s_suppkey long, s_name string", (1, "s")), "documents": made("doc_id long, text string, lang string, source string"), "pages": made("page_id long, url string"), "benchmark": made("item_id long, text string"),
         "lineitem": made("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_extendedprice double, l_shipdate string", line(5000, 1, 5000), line(5000, 2, 8000), line(5000, 3, 9000), line(5001, 1, 9000), line(5000, 4, 7000), line(5001, 2, 7000)),
     })
     good, bad = evidence.resolved(t)
@@ -41,5 +41,5 @@ def test_proposers_and_work_items_with_high_ids(spark):
         "lineitem": made("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_extendedprice double, l_shipdate string", (9, 1, 57, 1, 1.0, "1997-01-02"), (9, 1, 5, 2, 1.0, "1997-01-02")),
         "documents": made("doc_id long, source string", (50, "web"), (950, "web")),
     })
-    assert sorted((r.query_id, r.group_id, r.reason) for r in linking.jn_role_match(t).collect()) == [(5, 9, "proposer:co"), (17, 9, "proposer:representative")]
+    assert sorted((r.query_id, r.candidate, r.all_met) for r in linking.jn_role_match(t).collect()) == [(5, 9, True), (17, 9, True)]
     assert {r.doc_id: r.outcome for r in linking.jn_exact_mapping(t).where("doc_id = 50").collect()} == {50: "ambiguous"}
