@@ -80,17 +80,21 @@ def _signature() -> Column:
     return F.when(F.coalesce(*(F.col(f"slot_0_{h}") for h in (0, 1))).isNull(), "").otherwise(F.concat(*digits))
 
 
-def order_min_hash(rows: DataFrame, text: str, into: str) -> DataFrame:
+def order_min_hash(rows: DataFrame, text: str, into: str, known_by: list[str] | None = None) -> DataFrame:
     """``rows`` with the column ``text`` replaced by its signature ``into``; all other columns are kept.
 
     The signature is 32 times 8 hex digits, equal for equal texts; texts of white space alone, empty
-    and null texts give ''.
+    and null texts give ''.  Columns ``known_by`` that tell rows apart save numbering them, and where rows
+    already lie together by one of these, nothing is shuffled.
     """
     if into.lower() in {c.lower() for c in rows.columns if c != text}:
         raise ValueError(f"there is a column {into} already")
-    kept, number = [c for c in rows.columns if c != text], fresh(rows, "row_number")
-    found = rows.withColumn(number, F.monotonically_increasing_id()).select(*kept, number, F.explode_outer(kmers(F.col(text))).alias(text))
-    least = found.groupBy(number, *kept).agg(*_slots(F.col(f"{text}.hash"), F.col(f"{text}.at")))
+    kept = [c for c in rows.columns if c != text]
+    keys = kept
+    if known_by is None:
+        rows, keys = rows.withColumn(number := fresh(rows, "row_number"), F.monotonically_increasing_id()), [number, *kept]
+    found = rows.select(*keys, F.explode_outer(kmers(F.col(text))).alias(text))
+    least = found.groupBy(*keys).agg(*_slots(F.col(f"{text}.hash"), F.col(f"{text}.at")))
     return least.select(*kept, _signature().alias(into))
 
 
@@ -122,20 +126,20 @@ def _rank_in(values: list[int], x: Column) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
 
 
-def with_next(rows: DataFrame, carry: list[str], id_col: str = "doc_id", tie_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """``rows`` with ``next_<c>`` of the following row by ``id_col`` (an integer) for each c of ``carry``; after the last the first.
+def deal(rows: DataFrame, id_col: str = "doc_id", tie_col: str = "text", buckets: int | None = None, names: tuple[str, str, str] = ("bucket", "guard", "place")) -> DataFrame:
+    """``rows`` dealt to buckets by ranges of ``id_col`` (an integer), with three more columns of these ``names``.
 
-    Rows are dealt to buckets by ranges of the id, whose bounds are percentiles; the first row of a
-    bucket is also sent to the bucket before it.  What is broadcast are two numbers a bucket.  Null
-    ids come first; equal ids are ordered by the hash of ``tie_col``.  All columns of ``rows`` stay as
-    they are, whatever their names; ``next_<c>`` must be new.  An empty table gives no rows.
+    ``place`` numbers a bucket's rows in ascending id, null ids first, equal ids by the hash of ``tie_col``.
+    The first row of a bucket is also sent to the bucket before it (the very first one to the last), as
+    a ``guard`` after all others, so that whatever follows a row is in its bucket; who needs a row once
+    leaves the guards out in the end.  Bounds are percentiles of the id, and what is broadcast are
+    two numbers a bucket.  An empty table gives no rows.
     """
-    if clash := {f"next_{c}".lower() for c in carry} & {c.lower() for c in rows.columns}:
-        raise ValueError(f"there are columns {sorted(clash)} already")
     spark = rows.sparkSession
     if buckets is None:
         buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tie, at_bucket, deal = (fresh(rows, f"{name}_of_row") for name in ("tie", "bucket", "deal"))
+    to, guard, place = names
+    tie, at_bucket, where = (fresh(rows, f"{name}_of_row") for name in ("tie", "bucket", "deal"))
     keyed = rows.withColumn(tie, F.xxhash64(tie_col))
     shares = [k / buckets for k in range(1, buckets)] or [0.5]
     bounds = keyed.agg(F.percentile_approx(id_col, F.lit(shares), F.lit(max(1000, 10 * buckets)))).first()[0] or []
@@ -143,8 +147,6 @@ def with_next(rows: DataFrame, carry: list[str], id_col: str = "doc_id", tie_col
     bucket = _rank_in(bounds, F.col(id_col)).cast("int")
     found = keyed.select(bucket.alias("bucket"), F.struct(F.col(id_col).alias("id"), F.col(tie).alias("tie")).alias("row")).groupBy("bucket").agg(F.min("row").alias("first")).collect()
     firsts = {r.bucket: r.first for r in found}
-    if not firsts:
-        return rows.select("*", *(F.col(c).alias(f"next_{c}") for c in carry))
     order = sorted(firsts)
     ids, ties, before = [None] * (len(bounds) + 1), [None] * (len(bounds) + 1), [0] * (len(bounds) + 1)
     for k, b in enumerate(order):
@@ -152,11 +154,29 @@ def with_next(rows: DataFrame, carry: list[str], id_col: str = "doc_id", tie_col
     at = lambda values, kind: F.get(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), F.col(at_bucket))
     is_first = F.col(id_col).eqNullSafe(at(ids, "long")) & (F.col(tie) == at(ties, "long"))
     own = F.struct(F.col(at_bucket).alias("to"), F.lit(False).alias("guard"))
-    guard = F.struct(at(before, "int").alias("to"), F.lit(True).alias("guard"))
-    dealt = keyed.withColumn(at_bucket, bucket).withColumn(deal, F.explode(F.when(is_first, F.array(own, guard)).otherwise(F.array(own))))
-    window = Window.partitionBy(f"{deal}.to").orderBy(f"{deal}.guard", F.col(id_col).asc_nulls_first(), tie)
-    followed = dealt.select("*", *(F.lead(c).over(window).alias(f"next_{c}") for c in carry))
-    return followed.where(~F.col(f"{deal}.guard")).drop(deal, at_bucket, tie)
+    extra = F.struct(at(before, "int").alias("to"), F.lit(True).alias("guard"))
+    dealt = keyed.withColumn(at_bucket, bucket).withColumn(where, F.explode(F.when(is_first, F.array(own, extra)).otherwise(F.array(own))))
+    dealt = dealt.select(*rows.columns, tie, F.col(f"{where}.to").alias(to), F.col(f"{where}.guard").alias(guard))
+    number = F.row_number().over(Window.partitionBy(to).orderBy(guard, F.col(id_col).asc_nulls_first(), tie))
+    return dealt.withColumn(place, number).drop(tie)
+
+
+def following(dealt: DataFrame, carry: list[str], names: tuple[str, str, str] = ("bucket", "guard", "place")) -> DataFrame:
+    """``dealt`` rows with ``next_<c>`` of the following row for each c of ``carry``; guards have none."""
+    window = Window.partitionBy(names[0]).orderBy(names[2])
+    return dealt.select("*", *(F.lead(c).over(window).alias(f"next_{c}") for c in carry))
+
+
+def with_next(rows: DataFrame, carry: list[str], id_col: str = "doc_id", tie_col: str = "text", buckets: int | None = None) -> DataFrame:
+    """``rows`` with ``next_<c>`` of the row that follows by ``id_col`` for each c of ``carry``; after the last the first.
+
+    The order is that of ``deal``.  All columns of ``rows`` stay as they are, whatever their names;
+    ``next_<c>`` must be new.  An empty table gives no rows.
+    """
+    if clash := {f"next_{c}".lower() for c in carry} & {c.lower() for c in rows.columns}:
+        raise ValueError(f"there are columns {sorted(clash)} already")
+    names = tuple(fresh(rows, f"{n}_dealt") for n in ("bucket", "guard", "place"))
+    return following(deal(rows, id_col, tie_col, buckets, names), carry, names).where(~F.col(names[1])).drop(*names)
 
 
 def edited_text() -> Column:

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm import decontamination, fingerprints, licenses, near_dedup, packing, pii, quality, secrets, token_files, tokens, toxicity
-from dossier.llm.shared import written
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,20 +21,17 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts move once, to the buckets in which each lies before the next; all else happens there."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    followed = fingerprints.with_next(docs, ["text"])
-    edited = followed.select("doc_id", "text", F.xxhash64("text").alias("tie"), fingerprints.edited_text().alias("edited"))
-    versions = edited.select(
-        "doc_id", "tie", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("text")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text")))).alias("version"),
-    ).select("doc_id", "tie", "n_chars", "edited_sha256", "version.*")
-    printed = fingerprints.order_min_hash(versions, "text", "fingerprint")
-    # one row a document again; equal rows of the table are told apart by their number
-    number = F.row_number().over(Window.partitionBy("doc_id", "tie", "is_edited").orderBy("edited_sha256"))
+    edited = fingerprints.following(fingerprints.deal(docs), ["text"]).withColumn("next_text", F.coalesce("next_text", F.lit("")))
+    edited = edited.select("doc_id", "bucket", "guard", "place", "text", fingerprints.edited_text().alias("edited"))
+    version = F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("text")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text")))
+    facts = ["doc_id", "bucket", "guard", "place", "n_chars", "edited_sha256"]
+    versions = edited.select("doc_id", "bucket", "guard", "place", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.explode(version).alias("version")).select(*facts, "version.*")
+    printed = fingerprints.order_min_hash(versions, "text", "fingerprint", known_by=["bucket", "place", "is_edited"])
     of = lambda flag: F.max(F.when(F.col("is_edited") == flag, F.col("fingerprint")))
-    both = printed.withColumn("number", number).groupBy("doc_id", "tie", "number", "n_chars", "edited_sha256").agg(of(False).alias("fingerprint"), of(True).alias("edited_fingerprint"))
-    small = fingerprints.with_next(written(both, "order-min-hash"), ["fingerprint"], tie_col="tie")
-    return small.select(
+    both = printed.groupBy(*facts).agg(of(False).alias("fingerprint"), of(True).alias("edited_fingerprint"))
+    return fingerprints.following(both, ["fingerprint"]).where(~F.col("guard")).select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
