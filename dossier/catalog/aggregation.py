@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from dossier.catalog.evidence import RECORDS_SQL
 from dossier.catalog.ingestion import COHERENCE_SQL
+from dossier.functions.labels import suspect_name
 from dossier.operators import aggregation, corpus
+from dossier.operators.index import shared_folder
 from dossier.registry import query
 from dossier.sources import pages
 from dossier.views import PAGE_SIZE, Tables
@@ -24,11 +26,20 @@ def ag_group_sizes(t: Tables) -> DataFrame:
     return t.meetings.select("group_id").join(sizes, "group_id", "left").select("group_id", F.coalesce("turns", F.lit(0)).alias("turns"), F.col("turns").isNotNull().alias("loaded"))
 
 
-@query("ag_distinct_fill", "SELECT proposer AS key, min_by(title, group_id * 1000 + seq) FILTER (WHERE seq % 2 = 0) AS title, min_by(number, group_id * 1000 + seq) AS number, count(*) AS copies FROM agenda GROUP BY 1")
+FILL_SQL = """keyed AS (SELECT CASE WHEN group_id % 29 != 4 THEN proposer END AS key, CASE WHEN seq % 2 = 0 THEN title END AS title, number, group_id * 1000 + seq AS ord FROM agenda),
+  filled AS (SELECT key, min_by(title, ord) FILTER (WHERE title IS NOT NULL) AS title, min_by(number, ord) AS number, count(*) AS copies FROM keyed WHERE key IS NOT NULL GROUP BY 1), accounts AS (SELECT count(DISTINCT key) AS uniq, count(key) - count(DISTINCT key) AS duplicates, count(*) - count(key) AS rejected FROM keyed)"""
+
+
+def filled(t: Tables) -> tuple[DataFrame, DataFrame]:
+    rows = t.agenda.select(F.when(F.col("group_id") % 29 != 4, F.col("proposer")).otherwise(" ").alias("key"), F.when(F.col("seq") % 2 == 0, F.col("title")).otherwise(" ").alias("title"), "number", (F.col("group_id") * 1000 + F.col("seq")).alias("ord"))
+    return aggregation.distinct_fill(rows, "key", F.col("ord"), ["title", "number"])
+
+
+@query("ag_distinct_fill", f"WITH {FILL_SQL} SELECT f.*, duplicates, rejected FROM filled f, accounts")
 def ag_distinct_fill(t: Tables) -> DataFrame:
-    """The first row wins; later rows fill only what it leaves blank."""
-    blanked = t.agenda.withColumn("title", F.when(F.col("seq") % 2 == 0, F.col("title")).otherwise(" "))
-    return aggregation.fill_first(blanked.withColumn("key", F.col("proposer")), ["key"], F.col("group_id") * 1000 + F.col("seq"), ["title", "number"])
+    """The first row wins; later rows fill only what it leaves blank; duplicates and rows without a key are counted."""
+    rows, accounts = filled(t)
+    return rows.join(F.broadcast(accounts.select("duplicates", "rejected")))  # one row
 
 
 @query("ag_merge_agendas", "WITH f AS (SELECT group_id, number, lower(title) AS k, min(seq) AS seq, min_by(title, seq) AS title FROM agenda GROUP BY 1, 2, 3) SELECT group_id, count(*) AS items, string_agg(number || ' ' || title, '; ' ORDER BY seq) AS summary FROM f GROUP BY 1")
@@ -39,23 +50,24 @@ def ag_merge_agendas(t: Tables) -> DataFrame:
     return first.groupBy("group_id").agg(F.count("*").alias("items"), F.array_join(F.transform(items, lambda x: x["item"]), "; ").alias("summary"))
 
 
-@query("ag_merge_inventory", "WITH g AS (SELECT number AS identity, count(DISTINCT group_id % 2) AS kinds, string_agg(DISTINCT proposer, ',' ORDER BY proposer) AS proposers, min(listed_on) AS first_day FROM agenda GROUP BY 1) SELECT identity, CASE WHEN kinds = 1 THEN proposers END AS proposers, CASE WHEN kinds = 1 THEN first_day END AS first_day, CASE WHEN kinds > 1 THEN 'conflicting_kind' END AS gap FROM g")
+@query("ag_merge_inventory", "WITH i AS (SELECT number AS identity, CASE WHEN group_id % 50 = 3 THEN 'review' ELSE 'original' END AS kind, 'https://bills.example.org/' || number || CASE WHEN group_id % 70 = 9 THEN '/old' ELSE '' END AS url, title, listed_on AS day, proposer FROM agenda), g AS (SELECT identity, count(DISTINCT kind) AS kinds, count(DISTINCT url) AS urls, min(kind) AS kind, min(url) AS url, min_by(title, (day, title)) AS title, min(day) AS day, string_agg(DISTINCT proposer, ',' ORDER BY proposer) AS numbers FROM i GROUP BY 1), o AS (SELECT *, CASE WHEN kinds > 1 THEN 'conflicting_kind' WHEN urls > 1 THEN 'conflicting_url' END AS gap FROM g) SELECT identity, CASE WHEN gap IS NULL THEN kind END AS kind, CASE WHEN gap IS NULL THEN url END AS url, CASE WHEN gap IS NULL THEN title END AS title, CASE WHEN gap IS NULL THEN day END AS day, CASE WHEN gap IS NULL THEN numbers END AS numbers, gap FROM o")
 def ag_merge_inventory(t: Tables) -> DataFrame:
-    """Rows of one identity merge; conflicting kinds make a gap and drop what they say."""
-    merged = t.agenda.groupBy(F.col("number").alias("identity")).agg(
-        F.count_distinct(F.col("group_id") % 2).alias("kinds"), F.array_join(F.array_sort(F.collect_set("proposer")), ",").alias("proposers"), F.min("listed_on").alias("first_day")
-    )
-    sound = F.col("kinds") == 1
-    return merged.select("identity", F.when(sound, F.col("proposers")).alias("proposers"), F.when(sound, F.col("first_day")).alias("first_day"), F.when(~sound, "conflicting_kind").alias("gap"))
+    """Rows of one identity merge; conflicting kinds or addresses remove it and leave a gap."""
+    k = F.col("group_id")
+    url = F.concat(F.lit("https://bills.example.org/"), "number", F.when(k % 70 == 9, "/old").otherwise(""))
+    items = t.agenda.select(F.col("number").alias("identity"), F.when(k % 50 == 3, "review").otherwise("original").alias("kind"), url.alias("url"), "title", F.col("listed_on").alias("day"), F.array("proposer").alias("numbers"))
+    return aggregation.merge_inventory(items).withColumn("numbers", F.array_join("numbers", ","))
 
 
-@query("ag_collection_coverage", f"WITH {COHERENCE_SQL} SELECT count(*) AS partitions_expected, count(*) FILTER (WHERE reasons = '') AS partitions_complete, CAST(sum(total) AS BIGINT) AS rows_expected, CAST(sum(rows) AS BIGINT) AS rows_fetched, CAST(sum(greatest(total - rows, 0)) AS BIGINT) AS rows_missing, bool_and(reasons = '') AS complete FROM verdicts")
+COVERAGE_SQL = f"""{COHERENCE_SQL}, {FILL_SQL}, merged AS (SELECT count(*) AS n, count(DISTINCT committee || CAST(held_on AS VARCHAR)) AS u FROM meetings)"""
+
+
+@query("ag_collection_coverage", f"WITH {COVERAGE_SQL}, src AS (SELECT count(*) AS partitions_expected, count(*) FILTER (WHERE reasons = '') AS partitions_complete, CAST(sum(total) AS BIGINT) AS rows_expected, CAST(sum(rows) AS BIGINT) AS rows_fetched, CAST(sum(greatest(total - rows, 0)) AS BIGINT) AS rows_missing, bool_and(reasons = '') AS source_complete FROM verdicts) SELECT src.*, uniq AS bill_unique, duplicates AS bill_duplicates, rejected AS bill_rejected, u AS meeting_unique, n - u AS meeting_duplicates, CAST(0 AS BIGINT) AS meeting_rejected, n - u AS meeting_merged, source_complete AND rows_missing = 0 AND rejected = 0 AS complete FROM src, accounts, merged")
 def ag_collection_coverage(t: Tables) -> DataFrame:
+    """What a collection of pages, bills and meetings expected and got."""
     verdicts = pages.page_coherence(t.source_pages, ["dataset", "year"], PAGE_SIZE)
-    return verdicts.agg(
-        F.count("*").alias("partitions_expected"), F.count(F.when(F.col("coherent"), 1)).alias("partitions_complete"), F.sum("total").alias("rows_expected"), F.sum("rows").alias("rows_fetched"),
-        F.sum(F.greatest(F.col("total") - F.col("rows"), F.lit(0))).alias("rows_missing"), F.bool_and("coherent").alias("complete"),
-    )
+    _, meetings = aggregation.distinct_fill(t.meetings.select(F.concat("committee", F.col("held_on").cast("string")).alias("key"), "url"), "key", F.col("url"), ["url"])
+    return aggregation.collection_coverage(verdicts, filled(t)[1], meetings.withColumn("merged", F.col("duplicates")))
 
 
 @query("ag_source_availability", f"WITH {COHERENCE_SQL}, grid AS (SELECT dataset, year FROM (SELECT DISTINCT dataset FROM source_rows), (SELECT unnest(generate_series(1994, 2001)) AS year)) SELECT g.dataset, g.year, CASE WHEN v.rows IS NULL THEN 'no_records' WHEN reasons != '' THEN 'incomplete' ELSE 'records_found' END AS state, coalesce(v.rows, 0) AS rows FROM grid g LEFT JOIN verdicts v USING (dataset, year)")
@@ -92,26 +104,40 @@ def ag_build_summary(t: Tables) -> DataFrame:
     return scope_cells(t).agg(F.when(unknown, None).otherwise(F.sum("expected")).alias("expected"), F.sum("succeeded").alias("succeeded"), F.sum("failed").alias("failed"), F.sum("unaccounted").alias("known_unattempted"))
 
 
-@query("co_publish_gate", f"WITH {SCOPE_SQL} SELECT source, bool_and(coalesce(unaccounted = 0 AND failed = 0, false)) AS publishable FROM cells GROUP BY 1")
+@query("co_publish_gate", f"WITH {SCOPE_SQL}, g AS (SELECT source, bool_and(coalesce(unaccounted = 0 AND failed = 0, false)) AS publishable FROM cells GROUP BY 1) SELECT source, publishable, bool_and(publishable) OVER () AS published FROM g")
 def co_publish_gate(t: Tables) -> DataFrame:
-    return scope_cells(t).groupBy("source").agg(F.bool_and("complete").alias("publishable"))
+    """Which scopes are complete, and whether the writer took the corpus: it refuses unless all are."""
+    cells = scope_cells(t)
+    try:
+        corpus.publish(shared_folder(t.spark, "gated"), t.raw("documents").select("doc_id", F.sha2("text", 256).alias("digest")), "doc_id", "digest", cells)
+        published = True
+    except corpus.IncompleteError:
+        published = False
+    return cells.groupBy("source").agg(F.bool_and("complete").alias("publishable")).withColumn("published", F.lit(published))
 
 
-LEDGER_SQL = """
-  axis AS (SELECT 'bill' AS axis, count(*) AS checked, count(*) FILTER (WHERE result IS NOT NULL) AS matched, 0 AS failed, CAST(NULL AS VARCHAR) AS reason FROM entities
-    UNION ALL SELECT 'meeting', count(*), count(*) FILTER (WHERE kind = 'plenary'), 0, NULL FROM meetings UNION ALL SELECT 'document', count(*), count(*) FILTER (WHERE lang = 'en'), count(*) FILTER (WHERE doc_id % 50 = 7), 'download_failed' FROM documents
-    UNION ALL SELECT 'speech', count(*), count(*) FILTER (WHERE role = 'assistant'), 0, 'unknown_universe' FROM turns)"""
+AXES = ["bills", "bill_status", "bill_text", "agendas", "subcommittee_minutes", "review_reports", "speeches", "speech_context", "government_responses", "issues"]
+LEDGER_SQL = f"""{RECORDS_SQL}, o AS (SELECT evidence_type AS axis, CASE WHEN evidence_type = 'bill_text' AND TRY_CAST(id AS BIGINT) % 50 = 7 THEN 'failed' WHEN evidence_type = 'review_reports' AND TRY_CAST(id AS BIGINT) % 30 = 11 THEN 'pending' ELSE 'checked' END AS state, number IN (SELECT number FROM entities) OR meeting IN (SELECT group_id FROM meetings) AS matched,
+    CASE WHEN evidence_type = 'bill_text' AND TRY_CAST(id AS BIGINT) % 50 = 7 THEN 'download_failed' WHEN evidence_type = 'agendas' AND meeting % 40 = 1 THEN 'missing_title' END AS reason FROM records),
+  u AS (SELECT evidence_type AS axis, count(*) AS total FROM records WHERE evidence_type != 'speech_context' GROUP BY 1), c AS (SELECT axis, count(*) FILTER (WHERE state = 'checked') AS checked, count(*) FILTER (WHERE state = 'checked' AND matched) AS matched, count(*) FILTER (WHERE state = 'failed') AS failed, count(*) FILTER (WHERE state = 'pending') AS pending, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM o GROUP BY 1),
+  l AS (SELECT a.axis, total AS candidate_total, coalesce(checked, 0) AS checked, coalesce(matched, 0) AS matched, coalesce(failed, 0) AS failed, coalesce(pending, 0) AS pending, concat_ws(',', reasons, CASE WHEN total IS NULL THEN 'unknown_universe' END) AS gaps FROM (SELECT unnest({AXES}) AS axis) a LEFT JOIN u USING (axis) LEFT JOIN c USING (axis))"""
 
 
-@query("ag_axis_ledger", f"WITH {LEDGER_SQL} SELECT axis, CASE WHEN reason = 'unknown_universe' THEN NULL ELSE checked END AS candidate_total, checked, matched, CAST(failed AS BIGINT) AS failed, coalesce(reason, '') AS gaps, reason IS NULL AND failed = 0 AS complete FROM axis")
+@query("ag_axis_ledger", f"WITH {LEDGER_SQL} SELECT *, coalesce(candidate_total = checked AND failed = 0 AND pending = 0 AND gaps = '', false) AS complete FROM l")
 def ag_axis_ledger(t: Tables) -> DataFrame:
-    """A row for each axis of evidence; complete only with a known total, no failure and no gap."""
-    axis = lambda df, name, matched, failed, reason: df.agg(F.count("*").alias("checked"), F.count(F.when(matched, 1)).alias("matched"), F.count(F.when(failed, 1)).alias("failed")).select(F.lit(name).alias("axis"), "checked", "matched", "failed", F.lit(reason).cast("string").alias("reason"))
-    none = F.lit(False)
-    rows = axis(t.entities, "bill", F.col("result").isNotNull(), none, None).unionByName(axis(t.meetings, "meeting", F.col("kind") == "plenary", none, None))
-    rows = rows.unionByName(axis(t.raw("documents"), "document", F.col("lang") == "en", F.col("doc_id") % 50 == 7, "download_failed")).unionByName(axis(t.turns, "speech", F.col("role") == "assistant", none, "unknown_universe"))
-    total = F.when(F.coalesce(F.col("reason") != "unknown_universe", F.lit(True)), F.col("checked"))
-    return rows.select("axis", total.alias("candidate_total"), "checked", "matched", "failed", F.coalesce("reason", F.lit("")).alias("gaps"), (F.col("reason").isNull() & (F.col("failed") == 0)).alias("complete"))
+    """Ten axes, one without any record and one whose universe is unknown; some texts failed, some reports are pending."""
+    from dossier.catalog.evidence import evidence_records
+
+    records = evidence_records(t)
+    kind, key = F.col("evidence_type"), F.expr("try_cast(id AS bigint)")
+    known = t.entities.select("number").distinct().withColumn("bill", F.lit(True))
+    held = t.meetings.select(F.col("group_id").alias("meeting")).distinct().withColumn("met", F.lit(True))
+    lost, late = (kind == "bill_text") & (key % 50 == 7), (kind == "review_reports") & (key % 30 == 11)
+    state = F.when(lost, "failed").when(late, "pending").otherwise("checked")
+    reason = F.when(lost, "download_failed").when((kind == "agendas") & (F.col("meeting") % 40 == 1), "missing_title")
+    outcomes = records.join(known, "number", "left").join(held, "meeting", "left").select(kind.alias("axis"), state.alias("state"), (F.col("bill").isNotNull() | F.col("met").isNotNull()).alias("matched"), reason.alias("reason"))
+    universe = records.where(kind != "speech_context").groupBy(kind.alias("axis")).agg(F.count("*").alias("total"))
+    return aggregation.axis_ledger(outcomes, universe, AXES)
 
 
 #: Which bill each record of evidence speaks of: the number it has, or those its turn or its meeting's turns are linked to.
@@ -160,23 +186,32 @@ def ag_concat_text(t: Tables) -> DataFrame:
     return t.turns.groupBy("group_id").agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["text"]), "\n\n"), 256).alias("digest"), F.count("*").alias("parts"))
 
 
-@query("ag_provisional", "SELECT term, count(*) AS total, count(*) FILTER (WHERE committee = 'MACHINERY') AS accepted, count(*) FILTER (WHERE committee != 'MACHINERY') AS rejected FROM entities GROUP BY 1")
+@query("ag_provisional", f"WITH {COHERENCE_SQL}, f AS (SELECT 'bill' AS family, term, committee = 'MACHINERY' AS ok FROM entities UNION ALL SELECT 'meeting', term, kind = 'plenary' FROM meetings UNION ALL SELECT 'document', NULL, lang = 'en' FROM documents), src AS (SELECT count(*) AS partitions, count(*) FILTER (WHERE reasons = '') AS collected FROM verdicts) SELECT family, term, count(*) AS total, count(*) FILTER (WHERE ok) AS accepted, count(*) FILTER (WHERE NOT ok) AS rejected, partitions, collected, partitions = collected AS final FROM f, src GROUP BY family, term, partitions, collected")
 def ag_provisional(t: Tables) -> DataFrame:
-    kept = F.col("committee") == "MACHINERY"
-    return t.entities.groupBy("term").agg(F.count("*").alias("total"), F.count(F.when(kept, 1)).alias("accepted"), F.count(F.when(~kept, 1)).alias("rejected"))
+    """Accepted and rejected of each family and term with the state of the sources, before the deep work ends."""
+    family = lambda df, name, term, ok: df.select(F.lit(name).alias("family"), term.cast("long").alias("term"), ok.alias("ok"))
+    rows = family(t.entities, "bill", F.col("term"), F.col("committee") == "MACHINERY").unionByName(family(t.meetings, "meeting", F.col("term"), F.col("kind") == "plenary")).unionByName(family(t.raw("documents"), "document", F.lit(None), F.col("lang") == "en"))
+    counts = rows.groupBy("family", "term").agg(F.count("*").alias("total"), F.count(F.when(F.col("ok"), 1)).alias("accepted"), F.count(F.when(~F.col("ok"), 1)).alias("rejected"))
+    source = pages.page_coherence(t.source_pages, ["dataset", "year"], PAGE_SIZE).agg(F.count("*").alias("partitions"), F.count(F.when(F.col("coherent"), 1)).alias("collected"))
+    return counts.join(F.broadcast(source)).withColumn("final", F.col("partitions") == F.col("collected"))  # one row
 
 
 @query(
     "ag_quality",
-    """WITH s AS (SELECT group_id, count(*) AS speeches, avg(CAST(length(text) > 60 AS INT)) AS provenance, count(DISTINCT CASE WHEN role = 'system' THEN role END) AS suspects FROM turns GROUP BY 1), b AS (SELECT group_id, count(DISTINCT number) AS bills FROM links WHERE number IN (SELECT number FROM entities) GROUP BY 1)
-    SELECT group_id, CAST(greatest(0, 100 - CASE WHEN coalesce(bills, 0) = 0 THEN 25 ELSE 0 END - CASE WHEN speeches < 3 THEN 20 ELSE 0 END - round_even((1 - provenance) * 30, 0) - least(15, suspects * 3)) AS BIGINT) AS score, speeches >= 3 AND provenance = 1 AS sufficient FROM s LEFT JOIN b USING (group_id)""",
+    """WITH th AS (SELECT group_id, CAST(sum(new) AS BIGINT) AS threads FROM (SELECT group_id, coalesce(CAST(seq - lag(seq) OVER (PARTITION BY group_id ORDER BY seq) > 2 AS INT), 1) AS new FROM links) GROUP BY 1), s AS (SELECT group_id, count(*) AS speeches, avg(CAST(group_id % 6 != 1 OR seq % 2 = 0 AS INT)) AS provenance, count(DISTINCT CASE WHEN contains(speaker, 'system') OR length(speaker) > 11 THEN speaker END) AS suspects FROM turns GROUP BY 1),
+    b AS (SELECT group_id, count(DISTINCT number) AS bills FROM links WHERE number IN (SELECT number FROM entities) GROUP BY 1), c AS (SELECT s.*, coalesce(bills, 0) AS bills, coalesce(threads, 0) AS threads FROM s LEFT JOIN b USING (group_id) LEFT JOIN th USING (group_id))
+    SELECT group_id, CAST(greatest(0, 100 - CASE WHEN bills = 0 THEN 25 ELSE 0 END - CASE WHEN speeches < 3 THEN 20 ELSE 0 END - CASE WHEN threads = 0 THEN 25 ELSE 0 END - round_even((1 - provenance) * 30, 0) - least(15, suspects * 3)) AS BIGINT) AS score, speeches >= 3 AND threads > 0 AND provenance = 1 AS sufficient FROM c""",
 )
 def ag_quality(t: Tables) -> DataFrame:
-    """Points off for missing bills, few speeches, missing provenance (rounded half-even) and suspect speakers."""
-    s = t.turns.groupBy("group_id").agg(F.count("*").alias("speeches"), F.avg((F.char_length("text") > 60).cast("int")).alias("provenance"), F.count_distinct(F.when(F.col("role") == "system", F.col("role"))).alias("suspects"))
+    """Every conversation's evidence: linked bills, turns, threads of linked turns, turns with a source and locator, suspect speakers."""
+    by_group = Window.partitionBy("group_id").orderBy("seq")
+    starts = F.coalesce((F.col("seq") - F.lag("seq").over(by_group) > 2).cast("int"), F.lit(1))
+    threads = t.links.select("group_id", starts.alias("new")).groupBy("group_id").agg(F.sum("new").alias("threads"))
+    located = (F.col("group_id") % 6 != 1) | (F.col("seq") % 2 == 0)
+    suspect = suspect_name(F.col("speaker"), ".*", 11, ["system"])
+    s = t.turns.groupBy("group_id").agg(F.count("*").alias("speeches"), F.avg(located.cast("int")).alias("provenance"), F.count_distinct(F.when(suspect, F.col("speaker"))).alias("suspects"))
     b = t.links.join(t.entities.select("number"), "number", "left_semi").groupBy("group_id").agg(F.count_distinct("number").alias("bills"))
-    off = F.when(F.coalesce("bills", F.lit(0)) == 0, 25).otherwise(0) + F.when(F.col("speeches") < 3, 20).otherwise(0) + F.bround((1 - F.col("provenance")) * 30, 0) + F.least(F.lit(15), F.col("suspects") * 3)
-    return s.join(b, "group_id", "left").select("group_id", F.greatest(F.lit(0.0), 100 - off).cast("long").alias("score"), ((F.col("speeches") >= 3) & (F.col("provenance") == 1)).alias("sufficient"))
+    return aggregation.quality(s.join(b, "group_id", "left").join(threads, "group_id", "left").fillna(0, ["bills", "threads"]), "group_id")
 
 
 @query("ag_top_speakers", "WITH c AS (SELECT committee, role, count(*) AS n FROM turns GROUP BY 1, 2) SELECT committee, role, n, row_number() OVER (PARTITION BY committee ORDER BY n DESC, role) AS rank FROM c QUALIFY rank <= 10")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-from dossier.operators.filters import matching, structured
-from dossier.operators.linking import interval_scope
+from dossier.operators.filters import collapse_months, content_terms, derived_months, matching, proposal_scope, strict_family, structured
+from dossier.operators.linking import interval_scope, intersecting_scopes
 from dossier.registry import query
 from dossier.views import Tables
 
@@ -47,9 +47,11 @@ def office_terms(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(TERMS, "scope long, f string, u string").select("scope", F.col("f").cast("date").alias("day_from"), F.col("u").cast("date").alias("day_to"))
 
 
-@query("flt_interval_scope", f"WITH {TERMS_SQL} SELECT number, proposed_at, scope FROM entities LEFT JOIN terms ON proposed_at BETWEEN day_from AND day_to")
+@query("flt_interval_scope", f"WITH {TERMS_SQL} SELECT number, proposed_at, t.scope, (SELECT coalesce(string_agg(CAST(scope AS VARCHAR), ',' ORDER BY scope), '') FROM terms m WHERE m.day_from <= coalesce(processed_at, DATE '9999-12-31') AND m.day_to >= proposed_at) AS scopes FROM entities LEFT JOIN terms t ON proposed_at BETWEEN t.day_from AND t.day_to")
 def flt_interval_scope(t: Tables) -> DataFrame:
-    return interval_scope(t.entities.select("number", "proposed_at"), office_terms(t), "proposed_at").select("number", "proposed_at", "scope")
+    """The term of each proposal, null in the gaps, and all terms that the time up to its processing meets."""
+    own = interval_scope(t.entities.select("number", "proposed_at", "processed_at"), office_terms(t), "proposed_at")
+    return intersecting_scopes(own, office_terms(t), "proposed_at", "processed_at").select("number", "proposed_at", "scope", F.array_join(F.transform("scopes", lambda s: s.cast("string")), ",").alias("scopes"))
 
 
 MONTH_SQL = """spans AS (SELECT number, proposed_at AS f, processed_at AS u FROM entities WHERE processed_at IS NOT NULL),
@@ -77,30 +79,25 @@ def flt_month_tiling(t: Tables) -> DataFrame:
 
 @query(
     "flt_collapse_months",
-    "WITH m AS (SELECT DISTINCT committee, year(proposed_at) AS y, month(proposed_at) AS mo FROM entities), c AS (SELECT committee, y, count(*) AS n FROM m GROUP BY 1, 2) SELECT committee, CAST(y AS BIGINT) AS y, CASE WHEN n = 12 THEN CAST(y AS VARCHAR) ELSE CAST(y AS VARCHAR) || '-' || lpad(CAST(mo AS VARCHAR), 2, '0') END AS key FROM c JOIN m USING (committee, y) GROUP BY ALL",
+    "WITH m AS (SELECT DISTINCT committee, year(proposed_at) AS y, month(proposed_at) AS mo FROM entities WHERE proposed_at <= DATE '2000-09-14' AND NOT (committee = 'BUILDING' AND month(proposed_at) = 4)), c AS (SELECT committee, y, count(*) AS n FROM m GROUP BY 1, 2) SELECT committee, CAST(y AS BIGINT) AS y, CASE WHEN n = CASE WHEN y = 2000 THEN 9 ELSE 12 END THEN CAST(y AS VARCHAR) ELSE CAST(y AS VARCHAR) || '-' || lpad(CAST(mo AS VARCHAR), 2, '0') END AS key FROM c JOIN m USING (committee, y) GROUP BY ALL",
 )
 def flt_collapse_months(t: Tables) -> DataFrame:
-    """A year with all its months becomes one key."""
-    m = t.entities.select("committee", F.year("proposed_at").cast("long").alias("y"), F.month("proposed_at").alias("mo"))
-    years = m.groupBy("committee", "y").agg(F.array_sort(F.collect_set("mo")).alias("months"))
-    keys = F.when(F.size("months") == 12, F.array(F.col("y").cast("string"))).otherwise(F.transform("months", lambda k: F.concat(F.col("y").cast("string"), F.lit("-"), F.lpad(k.cast("string"), 2, "0"))))
-    return years.select("committee", "y", F.explode(keys).alias("key"))
+    """A year with all its months becomes one key, and so does the current one with all that have passed."""
+    own = t.entities.where("proposed_at <= date'2000-09-14' and not (committee = 'BUILDING' and month(proposed_at) = 4)")
+    return collapse_months(own.select("committee", F.year("proposed_at").cast("long").alias("y"), F.month("proposed_at").alias("mo")), ["committee"], "2000-09-14")
 
 
-DROP_SQL = "causes AS (SELECT number, CASE WHEN term = 17 AND committee = 'BUILDING' THEN 'missing_date' WHEN proposed_at < DATE '1996-01-01' OR proposed_at > DATE '1999-12-31' THEN 'outside_range' WHEN committee = 'HOUSEHOLD' THEN 'missing_committee' WHEN committee != 'MACHINERY' THEN 'committee_mismatch' END AS cause FROM entities)"
+DROP_SQL = """causes AS (SELECT 'event' AS family, number, CASE WHEN term = 17 AND committee = 'BUILDING' THEN 'missing_date' WHEN proposed_at < DATE '1996-01-01' OR proposed_at > DATE '1999-12-31' THEN 'outside_range' WHEN committee = 'HOUSEHOLD' THEN 'missing_committee' WHEN committee != 'MACHINERY' THEN 'committee_mismatch' END AS cause FROM entities
+  UNION ALL SELECT 'bill', number, CASE WHEN committee = 'HOUSEHOLD' THEN 'missing_committee' WHEN committee != 'MACHINERY' THEN 'committee_mismatch' END FROM entities)"""
 
 
-def drop_causes(t: Tables) -> DataFrame:
-    """The first failing cause of each entity, null for kept ones."""
+@query("flt_strict_family", f"WITH {DROP_SQL} SELECT family, coalesce(cause, 'kept') AS cause, count(*) AS n FROM causes GROUP BY 1, 2")
+def flt_strict_family(t: Tables) -> DataFrame:
+    """Causes of both families: events have dates, for bills they do not count."""
     day = F.when(~((F.col("term") == 17) & (F.col("committee") == "BUILDING")), F.col("proposed_at"))
     committee = F.when(F.col("committee") != "HOUSEHOLD", F.col("committee"))
-    cause = F.when(day.isNull(), "missing_date").when(~day.between(F.lit("1996-01-01").cast("date"), F.lit("1999-12-31").cast("date")), "outside_range").when(committee.isNull(), "missing_committee").when(committee != "MACHINERY", "committee_mismatch")
-    return t.entities.select("number", cause.alias("cause"))
-
-
-@query("flt_strict_family", f"WITH {DROP_SQL} SELECT coalesce(cause, 'kept') AS cause, count(*) AS n FROM causes GROUP BY 1")
-def flt_strict_family(t: Tables) -> DataFrame:
-    return drop_causes(t).groupBy(F.coalesce("cause", F.lit("kept")).alias("cause")).agg(F.count("*").alias("n"))
+    family = lambda name, d: strict_family(t.entities, d, committee, "1996-01-01", "1999-12-31", "machinery").select(F.lit(name).alias("family"), "cause")
+    return family("event", day).unionByName(family("bill", None)).groupBy("family", F.coalesce("cause", F.lit("kept")).alias("cause")).agg(F.count("*").alias("n"))
 
 
 @query("flt_status", "SELECT number, coalesce(result, 'pending') AS status, result IS NULL AS is_pending FROM entities")
@@ -109,10 +106,14 @@ def flt_status(t: Tables) -> DataFrame:
     return t.entities.select("number", F.when(blank, "pending").otherwise(F.col("result")).alias("status"), blank.alias("is_pending"))
 
 
-@query("flt_proposal_scope", "SELECT link_type, count(*) AS n, count(DISTINCT number) AS numbers FROM links WHERE number IN (SELECT number FROM entities WHERE proposed_at BETWEEN DATE '1996-01-01' AND DATE '1998-12-31') GROUP BY 1")
+@query("flt_proposal_scope", "WITH e AS (SELECT number FROM entities WHERE term != 17 AND proposed_at BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'), l AS (SELECT * FROM links WHERE number IN (SELECT number FROM e)) SELECT 'entities' AS part, count(*) AS n FROM e UNION ALL SELECT 'inventory', count(*) FROM agenda WHERE number IN (SELECT number FROM e) UNION ALL SELECT 'links', count(*) FROM l UNION ALL SELECT 'threads', count(DISTINCT group_id) FROM turns WHERE turn_id IN (SELECT turn_id FROM l)")
 def flt_proposal_scope(t: Tables) -> DataFrame:
-    kept = t.entities.where("proposed_at between date'1996-01-01' and date'1998-12-31'").select("number")
-    return t.links.join(kept, "number", "left_semi").groupBy("link_type").agg(F.count("*").alias("n"), F.count_distinct("number").alias("numbers"))
+    """Entities proposed in three years, undated ones (term 17) left out, and what of inventories, links and threads they reach."""
+    dated = t.entities.withColumn("proposed_at", F.when(F.col("term") != 17, F.col("proposed_at")))
+    kept = proposal_scope(dated, t.agenda.select("number"), t.links, t.turns.select("turn_id", F.col("group_id").alias("thread")), "1996-01-01", "1998-12-31")
+    kept["threads"] = kept["threads"].select("thread").distinct()
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in kept.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query(
@@ -120,21 +121,21 @@ def flt_proposal_scope(t: Tables) -> DataFrame:
     "WITH n AS (SELECT query_id, count(*) AS wanted FROM query_terms GROUP BY 1), h AS (SELECT query_id, turn_id, count(*) AS matched FROM query_terms JOIN turn_terms USING (term) GROUP BY 1, 2), f AS (SELECT h.*, matched >= least(2, wanted) AS good FROM h JOIN n USING (query_id)), g AS (SELECT *, bool_or(good) OVER (PARTITION BY query_id) AS any_good FROM f) SELECT query_id, turn_id, matched FROM g WHERE good OR NOT any_good",
 )
 def flt_content_terms(t: Tables) -> DataFrame:
-    """Results with enough content terms; where none has, all stay."""
-    wanted = t.query_terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    hits = t.query_terms.join(t.turn_terms, "term").groupBy("query_id", "turn_id").agg(F.count("*").alias("matched")).join(wanted, "query_id")
-    marked = hits.withColumn("good", F.col("matched") >= F.least(F.lit(2), F.col("wanted")))
-    some = marked.groupBy("query_id").agg(F.bool_or("good").alias("some"))
-    return marked.join(some, "query_id").where("good or not some").select("query_id", "turn_id", "matched")
+    """Results with two of the query's terms; where none has, all stay."""
+    hits = t.indexed("turn_texts").of_terms(t.query_terms).groupBy("query_id", "turn_id").agg(F.count("*").alias("matched"))
+    return content_terms(hits, t.query_terms.groupBy("query_id").agg(F.count("*").alias("wanted")))
 
 
-@query("flt_derived_window", "WITH d AS (SELECT committee, unnest([proposed_at, processed_at]) AS day FROM entities WHERE term = 16), m AS (SELECT DISTINCT committee, CAST(date_trunc('month', day) AS DATE) AS month FROM d WHERE day IS NOT NULL UNION SELECT committee, CAST(unnest([date_trunc('month', DATE '2001-07-31'), date_trunc('month', DATE '2001-07-31' - INTERVAL 1 MONTH)]) AS DATE) FROM (SELECT DISTINCT committee FROM entities WHERE term = 16)) SELECT committee, month FROM m")
+@query("flt_derived_window", f"""WITH {TERMS_SQL}, q AS (SELECT n_nationkey AS query_id, [15, 16, 17, 99][n_nationkey % 4 + 1] AS scope, n_nationkey % 3 = 0 AS history FROM nation), u AS (SELECT query_id, history, least(DATE '2000-10-20', coalesce(day_to, DATE '2000-10-20')) AS upto FROM q LEFT JOIN terms USING (scope)),
+  m AS (SELECT CAST(number AS BIGINT) % 25 AS query_id, proposed_at, processed_at FROM entities), d AS (SELECT query_id, upto, unnest([proposed_at, processed_at]) AS day FROM m JOIN u USING (query_id)), f AS (SELECT query_id, min(proposed_at) AS first FROM m GROUP BY 1)
+  SELECT CAST(query_id AS BIGINT) AS query_id, CAST(date_trunc('month', day) AS DATE) AS month FROM d WHERE day <= upto UNION SELECT query_id, CAST(unnest([date_trunc('month', upto), date_trunc('month', upto - INTERVAL 1 MONTH)]) AS DATE) FROM u
+  UNION SELECT query_id, CAST(unnest(generate_series(CAST(date_trunc('month', first) AS TIMESTAMP), CAST(date_trunc('month', upto) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) FROM f JOIN u USING (query_id) WHERE history AND first <= upto""")
 def flt_derived_window(t: Tables) -> DataFrame:
-    """Months of the matched entities' dates and the two last months up to a day."""
-    own = t.entities.where("term = 16")
-    today = F.lit("2001-07-31").cast("date")
-    days = own.select("committee", F.explode(F.array("proposed_at", "processed_at", F.lit(today), F.add_months(today, -1))).alias("day"))
-    return days.where("day is not null").select("committee", F.trunc("day", "MM").alias("month")).distinct()
+    """Months of each query's matched entities and its last two; a third of the queries ask for the whole history."""
+    k = F.col("n_nationkey")
+    queries = t.raw("nation").select(k.cast("long").alias("query_id"), F.get(F.lit([15, 16, 17, 99]), (k % 4).cast("int")).cast("long").alias("scope"), (k % 3 == 0).alias("history"))
+    matched = t.entities.select((F.col("number").cast("long") % 25).alias("query_id"), "proposed_at", "processed_at")
+    return derived_months(matched, queries, "2000-10-20", office_terms(t).select("scope", "day_to"))
 
 
 @query("flt_meeting_window", "SELECT event_id, CAST(ts AS DATE) AS day FROM events WHERE event_id % 13 != 5 AND CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.text import parse_any_date, stable_id
+from dossier.functions.text import stable_id
 from dossier.operators import corpus
+from dossier.operators.index import shared_folder
 from dossier.registry import query
 from dossier.sources import pages
 from dossier.views import PAGE_SIZE, Tables
@@ -42,39 +43,41 @@ def src_expand_pages(t: Tables) -> DataFrame:
     return pages.expand_pages(t.source_rows.select("dataset", "year", "total").distinct(), PAGE_SIZE)
 
 
-@query("src_norm_meeting", "SELECT 'meeting-' || CAST(conv_id AS VARCHAR) AS meeting_id, DATE '2020-01-01' + CAST(conv_id % 1500 AS INTEGER) AS held_on, conv_id % 4 + 18 AS term, CASE WHEN conv_id % 2 = 0 THEN 'committee ' || CAST(conv_id % 7 AS VARCHAR) ELSE 'subcommittee' END AS committee FROM (SELECT DISTINCT conv_id FROM conversations)")
+@query("src_norm_meeting", """WITH k AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1) SELECT 'meeting-' || CASE WHEN conv_id % 11 != 6 THEN CAST(conv_id AS VARCHAR) ELSE 'h' || sha256('https://records.example.org/' || CAST(conv_id AS VARCHAR) || chr(31) || CAST(DATE '2020-01-01' + CAST(conv_id % 1500 AS INTEGER) AS VARCHAR) || chr(31) || 'session of ' || CAST(turns AS VARCHAR))[1:16] END AS meeting_id,
+  DATE '2020-01-01' + CAST(conv_id % 1500 AS INTEGER) AS held_on, conv_id % 4 + 18 AS term, CASE WHEN conv_id % 2 = 0 THEN 'committee ' || CAST(conv_id % 7 AS VARCHAR) ELSE 'subcommittee' END AS committee, CASE WHEN conv_id % 2 = 1 THEN 'subcommittee' ELSE 'committee' END AS kind FROM k""")
 def src_norm_meeting(t: Tables) -> DataFrame:
-    """Raw string rows with aliases, several date forms and a term inside text."""
+    """Rows as three sources name their fields, written as JSON and read again as strings; some have no identifier."""
     k = F.col("group_id")
     form = F.when(k % 3 == 0, F.date_format("held_on", "yyyy-MM-dd")).when(k % 3 == 1, F.date_format("held_on", "yyyy.MM.dd")).otherwise(F.date_format("held_on", "yyyyMMdd"))
-    raw = t.meetings.select(
-        F.when(k % 2 == 0, F.concat(F.lit(" "), "committee", F.lit(" "))).otherwise("").alias("COMM_NAME"), F.when(k % 2 == 1, F.lit("subcommittee")).alias("CMIT_NM"), F.concat(F.lit("term no. "), F.col("term").cast("string")).alias("ERACO"),
-        F.when(k % 5 == 0, form).otherwise(" ").alias("CONF_DATE"), F.when(k % 5 != 0, form).alias("CONF_DT"), k.cast("string").alias("CONF_ID"),
-    )
-    return raw.select(
-        F.concat(F.lit("meeting-"), pages.first_nonblank("CONF_ID")).alias("meeting_id"), parse_any_date(F.col("CONF_DATE"), F.col("CONF_DT")).alias("held_on"),
-        F.regexp_extract("ERACO", "([0-9]+)", 1).cast("long").alias("term"), pages.first_nonblank("COMM_NAME", "CMIT_NM").alias("committee"),
+    sizes = t.turns.groupBy("group_id", "held_on", "committee", "term").agg(F.count("*").alias("turns"))
+    raw = sizes.select(
+        F.when(k % 2 == 0, F.concat(F.lit(" "), "committee", F.lit(" "))).otherwise("").alias("COMM_NAME"), F.when(k % 2 == 1, F.lit("subcommittee")).alias("SB_CMIT_NM"), F.concat(F.lit("term no. "), F.col("term").cast("string")).alias("ERACO"),
+        F.when(k % 5 == 0, form).otherwise(" ").alias("CONF_DATE"), F.when(k % 5 != 0, form).alias("CONF_DT"), F.when(k % 11 != 6, k.cast("string")).otherwise(" ").alias("CONF_ID"),
+        F.concat(F.lit("session of "), F.col("turns").cast("string")).alias("TITLE"), F.concat(F.lit("https://records.example.org/"), k.cast("string")).alias("DOWN_URL"),
     )
+    read = raw.select(F.from_json(F.to_json(F.struct("*")), raw.schema).alias("r")).select("r.*")
+    return pages.normalize_meetings(read).select("meeting_id", "held_on", "term", "committee", "kind")
 
 
-NORM_BILL_SQL = "n AS (SELECT CASE WHEN CAST(number AS BIGINT) % 10 != 3 THEN number END AS number, CASE WHEN CAST(number AS BIGINT) % 12 != 5 THEN name END AS name, term FROM entities)"
+NORM_BILL_SQL = "n AS (SELECT CASE WHEN CAST(number AS BIGINT) % 10 != 3 THEN number END AS number, CASE WHEN CAST(number AS BIGINT) % 12 != 5 THEN name END AS name, CASE WHEN CAST(number AS BIGINT) % 14 != 9 THEN term END AS term, proposer, proposed_at FROM entities)"
 
 
-def _normal_bills(t: Tables) -> DataFrame:
+def _raw_bills(t: Tables) -> DataFrame:
     k = F.col("number").cast("long")
-    raw = t.entities.select(F.when(k % 10 != 3, F.col("number")).otherwise(" ").alias("BILL_NO"), F.when(k % 12 != 5, F.concat(F.lit(" "), "name")).alias("BILL_NAME"), "term")
-    return raw.select(pages.first_nonblank("BILL_NO").alias("number"), pages.first_nonblank("BILL_NAME").alias("name"), "term")
+    return t.entities.select(
+        F.when(k % 10 != 3, F.col("number")).otherwise(" ").alias("BILL_NO"), F.when((k % 12 != 5) & (k % 2 == 0), F.concat(F.lit(" "), "name")).alias("BILL_NAME"), F.when((k % 12 != 5) & (k % 2 == 1), F.col("name")).alias("BILL_NM"),
+        F.when(k % 14 != 9, F.concat(F.lit("no. "), F.col("term").cast("string"))).otherwise("none").alias("ERACO"), F.col("proposer").alias("RST_PROPOSER"), F.date_format("proposed_at", "yyyy/MM/dd").alias("PPSL_DT"),
+    )
 
 
-@query("src_norm_bill", f"WITH {NORM_BILL_SQL} SELECT number, name, term FROM n WHERE number IS NOT NULL AND name IS NOT NULL")
+@query("src_norm_bill", f"WITH {NORM_BILL_SQL} SELECT number, name, term, proposer, proposed_at FROM n WHERE number IS NOT NULL AND name IS NOT NULL AND term IS NOT NULL")
 def src_norm_bill(t: Tables) -> DataFrame:
-    return _normal_bills(t).where("number is not null and name is not null and term is not null")
+    return pages.normalize_bills(_raw_bills(t))[0].select("number", "name", "term", "proposer", "proposed_at")
 
 
-@query("src_norm_bill_rejects", f"WITH {NORM_BILL_SQL} SELECT CASE WHEN number IS NULL THEN 'missing_number' ELSE 'missing_name' END AS reason, count(*) AS n FROM n WHERE number IS NULL OR name IS NULL GROUP BY 1")
+@query("src_norm_bill_rejects", f"WITH {NORM_BILL_SQL} SELECT CASE WHEN number IS NULL THEN 'missing_number' WHEN name IS NULL THEN 'missing_name' ELSE 'missing_term' END AS reason, count(*) AS n FROM n WHERE number IS NULL OR name IS NULL OR term IS NULL GROUP BY 1")
 def src_norm_bill_rejects(t: Tables) -> DataFrame:
-    reason = F.when(F.col("number").isNull(), "missing_number").when(F.col("name").isNull(), "missing_name").when(F.col("term").isNull(), "missing_term")
-    return _normal_bills(t).select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+    return pages.normalize_bills(_raw_bills(t))[1].groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("src_classify", "SELECT group_id, kind FROM meetings")
@@ -92,23 +95,19 @@ def src_stable_ids(t: Tables) -> DataFrame:
 
 @query(
     "src_constraints",
-    """SELECT 'blank_text' AS rule, count(*) FILTER (WHERE trim(text) = '') AS violations FROM turns UNION ALL SELECT 'seven_digits', count(*) FILTER (WHERE NOT regexp_matches(number, '^[0-9]{7}$')) FROM entities
-    UNION ALL SELECT 'confidence_range', count(*) FILTER (WHERE confidence NOT BETWEEN 0 AND 0.9) FROM links UNION ALL SELECT 'unique_group_line', (SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1))
+    """SELECT 'blank_text' AS rule, count(*) FILTER (WHERE trim(text) = '') AS violations FROM turns UNION ALL SELECT 'seven_digits', count(*) FILTER (WHERE NOT regexp_matches(number, '^[0-9]{7}$')) FROM entities UNION ALL SELECT 'positive_term', count(*) FILTER (WHERE NOT term - 15 > 0) FROM entities
+    UNION ALL SELECT 'confidence_range', count(*) FILTER (WHERE confidence NOT BETWEEN 0 AND 0.9) FROM links UNION ALL SELECT 'link_type_domain', count(*) FILTER (WHERE link_type NOT IN ('EXPLICIT_MENTION', 'AGENDA_MATCH')) FROM links UNION ALL SELECT 'meeting_kind_domain', count(*) FILTER (WHERE kind NOT IN ('plenary', 'committee', 'subcommittee')) FROM meetings
+    UNION ALL SELECT 'unique_group_line', (SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)) UNION ALL SELECT 'unique_group_turn', (SELECT count(*) FROM (SELECT group_id, seq FROM turns GROUP BY 1, 2 HAVING count(*) > 1))
     UNION ALL SELECT 'entity_exists', count(*) FROM links WHERE number NOT IN (SELECT number FROM entities WHERE result IS NOT NULL) UNION ALL SELECT 'role_domain', count(*) FILTER (WHERE role NOT IN ('user', 'assistant')) FROM turns""",
 )
 def src_constraints(t: Tables) -> DataFrame:
-    """One data-quality report: a row for each rule with the number of rows that break it."""
-    broken = lambda df, rule, bad: df.agg(F.count(F.when(bad, 1)).alias("violations")).select(F.lit(rule).alias("rule"), "violations")
-    repeated = t.raw("lineitem").groupBy("l_orderkey", "l_linenumber").count()
-    orphans = t.links.join(t.entities.where("result is not null"), "number", "left_anti")
-    report = [
-        broken(t.turns, "blank_text", F.trim("text") == ""), broken(t.entities, "seven_digits", ~F.col("number").rlike("^[0-9]{7}$")), broken(t.links, "confidence_range", ~F.col("confidence").between(0, 0.9)),
-        broken(repeated, "unique_group_line", F.col("count") > 1), broken(orphans, "entity_exists", F.lit(True)), broken(t.turns, "role_domain", ~F.col("role").isin("user", "assistant")),
-    ]
-    out = report[0]
-    for part in report[1:]:
-        out = out.unionByName(part)
-    return out
+    """One data-quality report; some rules are narrower than the tables so that they find something."""
+    c = F.col
+    return pages.violations({
+        "blank_text": (t.turns, F.trim("text") == ""), "seven_digits": (t.entities, ~c("number").rlike("^[0-9]{7}$")), "positive_term": (t.entities, ~(c("term") - 15 > 0)), "confidence_range": (t.links, ~c("confidence").between(0, 0.9)),
+        "link_type_domain": (t.links, ~c("link_type").isin("EXPLICIT_MENTION", "AGENDA_MATCH")), "meeting_kind_domain": (t.meetings, ~c("kind").isin("plenary", "committee", "subcommittee")), "unique_group_line": pages.repeated(t.raw("lineitem"), "l_orderkey", "l_linenumber"),
+        "unique_group_turn": pages.repeated(t.turns, "group_id", "seq"), "entity_exists": pages.orphans(t.links, t.entities.where("result is not null"), "number"), "role_domain": (t.turns, ~c("role").isin("user", "assistant")),
+    })
 
 
 URL_SQL = r"CASE WHEN NOT starts_with(url, 'https://') THEN 'not_https' WHEN NOT regexp_matches(regexp_extract(url, '^https?://([^/?#]+)', 1), '(^|\.)example\.(com|org)$') THEN 'host' WHEN contains(url, '#') THEN 'fragment' WHEN regexp_matches(url, '[?&](key|apikey|api_key|servicekey|token|secret)=') THEN 'secret_parameter' END"
@@ -130,9 +129,11 @@ def src_url_identity(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", pages.url_identity(F.col("url"), "page").alias("identity"))
 
 
-@query("src_html_links", """WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\s+href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href FROM pages) SELECT page_id, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href END AS target, count(*) AS n FROM a GROUP BY 1, 2""")
+@query("src_html_links", """WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\s+href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href FROM pages), x AS (SELECT * FROM a WHERE trim(href) != ''), r AS (SELECT page_id, href, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^(https?:)', 1) || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href WHEN starts_with(href, '?') THEN regexp_extract(url, '^(https?://[^?#]+)', 1) || href WHEN starts_with(href, '#') THEN regexp_extract(url, '^([^#]*)', 1) || href
+    ELSE regexp_extract(url, '^(https?://[^/?#]+)', 1) || coalesce(nullif(regexp_extract(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '^(.*/)', 1), ''), '/') || href END AS target FROM x)
+    SELECT page_id, target, CASE WHEN NOT regexp_matches(target, '^https?://') THEN 'not_http' WHEN NOT regexp_matches(lower(regexp_extract(target, '^https?://([^/?#:]+)', 1)), '(^|\\.)example\\.com$') THEN 'host' END AS verdict, count(*) AS n FROM r GROUP BY 1, 2, 3""")
 def src_html_links(t: Tables) -> DataFrame:
-    return pages.html_links(t.raw("pages"), "page_id", "url", "html").groupBy("page_id", "target").agg(F.count("*").alias("n"))
+    return pages.html_links(t.raw("pages"), "page_id", "url", "html", ["example.com"]).groupBy("page_id", "target", "verdict").agg(F.count("*").alias("n"))
 
 
 UPSERT_SQL = "b AS (SELECT c_custkey, c_name, c_acctbal, 1 AS version FROM customer), i AS (SELECT c_custkey + 50 AS c_custkey, c_name || ' new' AS c_name, c_acctbal + 1 AS c_acctbal, 2 AS version FROM customer WHERE c_custkey % 3 = 0)"
@@ -160,11 +161,9 @@ def src_table_fingerprint(t: Tables) -> DataFrame:
     return corpus.table_fingerprint(t.raw("documents"), ["doc_id", "lang", "text"])
 
 
-@query("snk_snapshot", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, CASE WHEN length(text) <= 4000 THEN sha256(text) END AS inline_digest, length(text) > 4000 AS in_side_table, sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS bytes, (row_number() OVER (ORDER BY doc_id) - 1) // 50 AS page_bucket FROM documents")
+@query("snk_snapshot", "WITH p AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents) SELECT doc_id, position, CASE WHEN length(text) <= 4000 THEN sha256(text) END AS inline_digest, length(text) > 4000 AS in_side_table, sha256(text) AS digest, CASE WHEN length(text) > 4000 THEN CAST(length(text) AS BIGINT) END AS side_chars, CAST(strlen(text) AS BIGINT) AS bytes, position // 50 AS page_bucket FROM p")
 def snk_snapshot(t: Tables) -> DataFrame:
-    """Positions come from sorted ranges: counts by range, their running sum, and a local number."""
-    from dossier.operators.aggregation import global_positions
-
-    docs = t.raw("documents").select("doc_id", F.char_length("text").alias("c"), F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("bytes"))
-    placed = global_positions(docs, "doc_id")
-    return placed.select("doc_id", "position", F.when(F.col("c") <= 4000, F.col("digest")).alias("inline_digest"), (F.col("c") > 4000).alias("in_side_table"), "digest", "bytes", F.floor(F.col("position") / 50).alias("page_bucket"))
+    """A snapshot written and read back: short texts in the rows, long ones found in the side table by their hash."""
+    rows, texts = pages.write_snapshot(t.raw("documents"), shared_folder(t.spark, "snapshot"), "doc_id", "text")
+    joined = rows.join(texts.select("digest", F.char_length("text").cast("long").alias("side_chars")), "digest", "left")
+    return joined.select("doc_id", "position", F.sha2("inline_text", 256).alias("inline_digest"), "in_side_table", "digest", "side_chars", "bytes", F.col("page_bucket").cast("long").alias("page_bucket"))

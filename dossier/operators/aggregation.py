@@ -31,6 +31,71 @@ def fill_first(df: DataFrame, keys: list[str], order: Column, columns: list[str]
     return df.groupBy(*keys).agg(*(first(c).alias(c) for c in columns), F.count("*").alias("copies"))
 
 
+def distinct_fill(df: DataFrame, key: str, order: Column, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``fill_first`` of the rows with a key, and one row that accounts for all: ``unique, duplicates, rejected`` (blank keys)."""
+    good = F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) != ""
+    counts = df.agg(F.count_distinct(F.when(good, F.col(key))).alias("unique"), F.count(F.when(good, 1)).alias("good"), F.count(F.when(~good, 1)).alias("rejected"))
+    return fill_first(df.where(good), [key], order, columns), counts.select("unique", (F.col("good") - F.col("unique")).alias("duplicates"), "rejected")
+
+
+def merge_inventory(items: DataFrame) -> DataFrame:
+    """``items(identity, kind, url, title, day, numbers)`` merged by identity: union of numbers, first title, earliest day.
+
+    An identity whose rows differ in kind or in address is removed: its row has only the gap.
+    """
+    listed = F.array_sort(F.array_distinct(F.flatten(F.collect_list("numbers"))))  # the numbers of one identity
+    merged = items.groupBy("identity").agg(
+        F.count_distinct("kind").alias("kinds"), F.count_distinct("url").alias("urls"), F.min("kind").alias("kind"), F.min("url").alias("url"), F.min_by("title", F.struct("day", "title")).alias("title"), F.min("day").alias("day"), listed.alias("numbers")
+    )
+    gap = F.when(F.col("kinds") > 1, "conflicting_kind").when(F.col("urls") > 1, "conflicting_url")
+    kept = [F.when(gap.isNull(), F.col(c)).alias(c) for c in ("kind", "url", "title", "day", "numbers")]
+    return merged.select("identity", *kept, gap.alias("gap"))
+
+
+def collection_coverage(verdicts: DataFrame, bills: DataFrame, meetings: DataFrame) -> DataFrame:
+    """Twelve counters of one collection and whether it is complete, in one row.
+
+    ``verdicts(rows, total, coherent)`` of the source's partitions; ``bills`` and ``meetings(unique, duplicates,
+    rejected)``, the meetings with ``merged`` rows too, all rows of their own.
+    """
+    c = F.col
+    source = verdicts.agg(
+        F.count("*").alias("partitions_expected"), F.count(F.when(c("coherent"), 1)).alias("partitions_complete"), F.sum("total").alias("rows_expected"), F.sum("rows").alias("rows_fetched"), F.sum(F.greatest(c("total") - c("rows"), F.lit(0))).alias("rows_missing"), F.bool_and("coherent").alias("source_complete")
+    )
+    named = lambda df, name: df.select(*(c(x).alias(f"{name}_{x}") for x in df.columns))
+    told = source.join(named(bills, "bill")).join(named(meetings, "meeting"))  # three single rows
+    return told.withColumn("complete", c("source_complete") & (c("rows_missing") == 0) & (c("bill_rejected") == 0) & (c("meeting_rejected") == 0))
+
+
+def axis_ledger(outcomes: DataFrame, universe: DataFrame, axes: list[str]) -> DataFrame:
+    """A row for each of ``axes``: candidate total, checked, matched, failed, pending, gap reasons, complete.
+
+    ``outcomes(axis, state, matched, reason)`` with the states checked, failed and pending; ``universe(axis, total)``
+    with a null total where it is unknown.  An axis is complete only with a known total that is all checked, nothing failed
+    or pending, and no gap.
+    """
+    state = lambda s: F.count(F.when(F.col("state") == s, 1)).alias(s)
+    gaps = F.array_join(F.array_sort(F.collect_set("reason")), ",")  # a handful of reasons
+    counts = outcomes.groupBy("axis").agg(state("checked"), F.count(F.when((F.col("state") == "checked") & F.col("matched"), 1)).alias("matched"), state("failed"), state("pending"), gaps.alias("gaps"))
+    grid = outcomes.sparkSession.createDataFrame([(a,) for a in axes], "axis string")
+    joined = grid.join(universe, "axis", "left").join(counts, "axis", "left").fillna(0, ["checked", "matched", "failed", "pending"]).fillna("", ["gaps"])
+    unknown = F.when(F.col("total").isNull(), "unknown_universe")
+    told = F.concat_ws(",", F.nullif("gaps", F.lit("")), unknown)
+    complete = F.coalesce((F.col("total") == F.col("checked")) & (F.col("failed") == 0) & (F.col("pending") == 0) & (told == ""), F.lit(False))
+    return joined.select("axis", F.col("total").alias("candidate_total"), "checked", "matched", "failed", "pending", told.alias("gaps"), complete.alias("complete"))
+
+
+def quality(cases: DataFrame, id_col: str) -> DataFrame:
+    """``cases(id, bills, speeches, threads, provenance, suspects)`` to a 0-100 score and whether the evidence suffices.
+
+    Off are 25 without bills, 20 with fewer than 3 speeches, 25 without threads, up to 30 for missing
+    provenance (rounded half-even) and 3 for each suspect speaker, 15 at most.
+    """
+    c = F.col
+    off = F.when(c("bills") == 0, 25).otherwise(0) + F.when(c("speeches") < 3, 20).otherwise(0) + F.when(c("threads") == 0, 25).otherwise(0) + F.bround((1 - c("provenance")) * 30, 0).cast("long") + F.least(F.lit(15), c("suspects") * 3)
+    return cases.select(id_col, F.greatest(F.lit(0), 100 - off).cast("long").alias("score"), ((c("speeches") >= 3) & (c("threads") > 0) & (c("provenance") == 1)).alias("sufficient"))
+
+
 def inventory(assigned: DataFrame, records: DataFrame) -> DataFrame:
     """``assigned(entity_type, entity_id, evidence_type, id, sort_key)`` counted for each entity, and with it the
     ``records(evidence_type, id, sort_key)`` that no entity has, under the type ``unassigned``.

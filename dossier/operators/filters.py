@@ -59,3 +59,53 @@ def matching(turns: DataFrame, queries: DataFrame, id_col: str = "turn_id", bloc
         part = turns.select(F.explode(F.array_compact(F.array(*hits) if hits else F.array().cast(f"array<{kind.simpleString()}>"))).alias("query_id"), id_col)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def collapse_months(months: DataFrame, group: list[str], as_of: str) -> DataFrame:
+    """``months(<group>, y, mo)`` to keys: a year with all its months, or the year of ``as_of`` with all that have passed, is one key."""
+    years = months.groupBy(*group, "y").agg(F.array_sort(F.collect_set("mo")).alias("months"))  # twelve at most
+    today = F.lit(as_of).cast("date")
+    passed = F.when(F.col("y") == F.year(today), F.month(today)).otherwise(12)
+    whole = F.size(F.filter("months", lambda m: m <= passed)) == passed
+    month = lambda m: F.concat(F.col("y").cast("string"), F.lit("-"), F.lpad(m.cast("string"), 2, "0"))
+    keys = F.when(whole, F.array(F.col("y").cast("string"))).otherwise(F.transform("months", month))
+    return years.select(*group, "y", F.explode(keys).alias("key"))
+
+
+def strict_family(rows: DataFrame, day: Column | None, committee: Column, day_from: str, day_to: str, wanted: str) -> DataFrame:
+    """``rows`` with ``cause``, the first hard filter that drops them, null for kept ones; without a ``day`` dates do not count."""
+    low, high = (F.lit(d).cast("date") for d in (day_from, day_to))
+    dated = F.lit(None).cast("string") if day is None else F.when(day.isNull(), "missing_date").when(~day.between(low, high), "outside_range")
+    held = F.when(F.coalesce(F.trim(committee), F.lit("")) == "", "missing_committee").when(~F.contains(F.lower(committee), F.lit(wanted.lower())), "committee_mismatch")
+    return rows.withColumn("cause", F.coalesce(dated, held))
+
+
+def proposal_scope(entities: DataFrame, inventory: DataFrame, links: DataFrame, threads: DataFrame, day_from: str, day_to: str) -> dict[str, DataFrame]:
+    """Entities proposed within the range (undated ones are not), and what of ``inventory(number)``, ``links(number, turn_id, ...)``
+    and ``threads(thread, turn_id)`` they reach."""
+    kept = entities.where(F.col("proposed_at").between(F.lit(day_from).cast("date"), F.lit(day_to).cast("date")))
+    own = links.join(kept.select("number"), "number", "left_semi")
+    return {"entities": kept, "inventory": inventory.join(kept.select("number"), "number", "left_semi"), "links": own, "threads": threads.join(own.select("turn_id").distinct(), "turn_id", "left_semi")}
+
+
+def derived_months(matched: DataFrame, queries: DataFrame, today: str, ends: DataFrame) -> DataFrame:
+    """Months to look into for each query without a period of its own: ``(query_id, month)``.
+
+    ``matched(query_id, proposed_at, processed_at)``; ``queries(query_id, scope, history)``; ``ends(scope, day_to)``.
+    The months of the dates of what matched and the last two up to today or the end of the query's term;
+    where the whole history is asked for, every month from the earliest proposal on.
+    """
+    now = F.lit(today).cast("date")
+    last = queries.join(F.broadcast(ends), "scope", "left").select("query_id", "history", F.least(now, F.coalesce("day_to", now)).alias("upto"))  # a handful of terms of office
+    days = matched.join(last, "query_id").select("query_id", "upto", F.explode(F.array("proposed_at", "processed_at")).alias("day")).where(F.col("day") <= F.col("upto")).select("query_id", F.trunc("day", "MM").alias("month"))
+    recent = last.select("query_id", F.explode(F.array(F.trunc("upto", "MM"), F.trunc(F.add_months("upto", -1), "MM"))).alias("month"))
+    first = matched.groupBy("query_id").agg(F.min("proposed_at").alias("first")).join(last.where("history"), "query_id").where(F.col("first") <= F.col("upto"))
+    filled = first.select("query_id", F.explode(F.sequence(F.trunc("first", "MM"), F.trunc("upto", "MM"), F.expr("interval 1 month"))).alias("month"))
+    return days.unionByName(recent).unionByName(filled).distinct()
+
+
+def content_terms(hits: DataFrame, wanted: DataFrame, least: int = 2) -> DataFrame:
+    """``hits(query_id, ..., matched)`` with ``least`` of their query's ``wanted(query_id, wanted)`` terms, or all of a shorter query's; where none has, all stay."""
+    marked = hits.join(wanted, "query_id").withColumn("good", F.col("matched") >= F.least(F.lit(least), F.col("wanted")))
+    some = marked.groupBy("query_id").agg(F.bool_or("good").alias("some"))
+    return marked.join(some, "query_id").where("good or not some").select(*hits.columns)

@@ -94,14 +94,133 @@ def url_identity(url: Column, parameter: str = "id") -> Column:
     return F.when((F.size(found) == 1) & value.rlike("^[A-Za-z0-9_-]{1,64}$"), F.concat(F.lit("id:"), value)).otherwise(F.concat(F.lit("url:"), F.left(F.sha2(url, 256), F.lit(16))))
 
 
-def html_links(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """Anchors of every page with absolute addresses: ``(id, position, href, target, label)``."""
-    anchors = F.regexp_extract_all(F.col(html_col), F.lit(r'<a\s+href="([^"]*)"[^>]*>([^<]*)</a>'), F.lit(0))
+def html_links(pages: DataFrame, id_col: str, url_col: str, html_col: str, hosts: list[str] | None = None, titles: list[str] | None = None, paths: list[str] | None = None) -> DataFrame:
+    """Anchors of every page with absolute addresses: ``(id, position, href, target, label, verdict)``.
+
+    Attributes come in any order and in double, single or no quotes; labels may hold other tags.  Relative
+    addresses are resolved against the page's.  ``verdict`` is null for links that qualify: on one of ``hosts``
+    or below, with one of ``titles`` in the label or title, with one of ``paths`` in the address (each in
+    any case, null for no test); addresses of other schemes are ``not_http``.
+    """
+    anchors = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<a\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</a\s*>"), F.lit(0))
     rows = pages.select(id_col, url_col, F.posexplode(anchors).alias("position", "anchor"))
-    href, label = F.regexp_extract("anchor", 'href="([^"]*)"', 1), F.regexp_extract("anchor", ">([^<]*)</a>", 1)
-    origin = F.regexp_extract(url_col, r"^(https?://[^/?#]+)", 1)
-    target = F.when(href.rlike("^https?://"), href).when(href.startswith("/"), F.concat(origin, href))
-    return rows.select(id_col, F.col("position").cast("long").alias("position"), href.alias("href"), target.alias("target"), label.alias("label"))
+    opening = F.regexp_extract("anchor", r"(?is)^(<a\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)", 1)
+
+    def attribute(name: str) -> Column:
+        quoted = F.regexp_extract(opening, rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 1)
+        return F.concat(quoted, *(F.regexp_extract(opening, rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", k) for k in (2, 3)))
+
+    label = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("anchor", r"(?is)^<a\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(.*)</a\s*>$", 1), "<[^>]*>", ""), r"\s+", " "))
+    found = rows.select(id_col, url_col, F.col("position").cast("long").alias("position"), F.trim(attribute("href")).alias("href"), label.alias("label"), attribute("title").alias("title")).where(F.col("href") != "")
+    target = resolve_url(F.col(url_col), F.col("href"))
+    named = lambda text, words: F.exists(F.lit([w.lower() for w in words]), lambda w: F.contains(F.lower(text), w))
+    host = F.lower(F.try_parse_url(target, F.lit("HOST")))
+    on_host = F.lit(False)
+    for h in hosts or []:
+        on_host = on_host | (host == h) | host.endswith("." + h)
+    verdict = F.when(~F.coalesce(target.rlike("(?i)^https?://"), F.lit(False)), "not_http")
+    if hosts:
+        verdict = verdict.when(~F.coalesce(on_host, F.lit(False)), "host")
+    if titles:
+        verdict = verdict.when(~named(F.concat_ws(" ", "label", "title"), titles), "title")
+    if paths:
+        verdict = verdict.when(~named(target, paths), "path")
+    return found.select(id_col, "position", "href", target.alias("target"), "label", verdict.alias("verdict"))
+
+
+def resolve_url(base: Column, href: Column) -> Column:
+    """``href`` as an absolute address: as it is with a scheme, else from the base's scheme, host, folder or itself; dot segments are taken out."""
+    origin = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
+    path = F.regexp_extract(base, r"^https?://[^/?#]+([^?#]*)", 1)
+    folder = F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, r"^(.*/)", 1)).otherwise("/")
+    joined = (
+        F.when(href.rlike("(?i)^[a-z][a-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, "^(https?:)", 1), href)).when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("?"), F.concat(origin, path, href)).when(href.startswith("#"), F.concat(F.regexp_extract(base, "^([^#]*)", 1), href)).otherwise(F.concat(origin, folder, href))
+    )
+    short = F.regexp_replace(joined, r"/(?:\./)+", "/")
+    for _ in range(4):  # each takes one folder and the two dots after it
+        short = F.regexp_replace(short, r"(?<=[^/:])/(?!\.\./)[^/?#]+/\.\./", "/")
+    return short
+
+
+def aliased(raw: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
+    """One column for each of ``fields``, the first of its aliases that ``raw`` has and that is not blank."""
+    have = set(raw.columns)
+    pick = lambda names: first_nonblank(*own) if (own := [n for n in names if n in have]) else F.lit(None).cast("string")
+    return raw.select(*(pick(names).alias(name) for name, names in fields.items()))
+
+
+#: The names that sources give to the fields of meetings and bills, in order of preference.
+MEETING_FIELDS = {
+    "id": ["CONF_ID", "CONFER_NUM"], "title": ["TITLE", "CONF_KND", "CLASS_NAME"], "term": ["DAE_NUM", "ERACO"], "committee": ["COMM_NAME", "CMIT_NM"], "subcommittee": ["SB_CMIT_NM"],
+    "day_a": ["CONF_DATE"], "day_b": ["CONF_DT"], "url": ["CONF_LINK_URL", "PDF_LINK_URL", "DOWN_URL"],
+}
+BILL_FIELDS = {"number": ["BILL_NO"], "name": ["BILL_NAME", "BILL_NM"], "term": ["AGE", "ERACO"], "proposer": ["PROPOSER", "RST_PROPOSER"], "committee": ["COMMITTEE", "CURR_COMMITTEE"], "proposed": ["PROPOSE_DT", "PPSL_DT"], "result": ["PROC_RESULT", "PROC_RESULT_CD"]}
+
+
+def normalize_meetings(raw: DataFrame) -> DataFrame:
+    """Raw string rows to typed meetings: ``meeting_id, title, term, committee, kind, held_on, url``.
+
+    Fields come under several names, days in several forms, the term inside other text; a row without an
+    identifier gets one from its address, day and title.
+    """
+    from dossier.functions.text import parse_any_date, stable_id
+
+    rows = aliased(raw, MEETING_FIELDS)
+    day = parse_any_date(F.col("day_a"), F.col("day_b"))
+    own = F.coalesce("id", F.concat(F.lit("h"), stable_id(F.coalesce("url", F.lit("")), F.coalesce(day.cast("string"), F.lit("")), F.coalesce("title", F.lit("")))))
+    kind = classify_meeting(F.coalesce("subcommittee", F.lit("")), F.coalesce("committee", F.lit("")), F.coalesce("title", F.lit("")))
+    return rows.select(F.concat(F.lit("meeting-"), own).alias("meeting_id"), "title", F.nullif(F.regexp_extract("term", "([0-9]+)", 1), F.lit("")).cast("long").alias("term"), F.coalesce("subcommittee", "committee").alias("committee"), kind.alias("kind"), day.alias("held_on"), "url")
+
+
+def normalize_bills(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Raw string rows to typed bills and rejects: a bill has a number, a name and a term; a reject says what it lacks."""
+    from dossier.functions.text import parse_any_date
+
+    rows = aliased(raw, BILL_FIELDS).withColumns({"term": F.nullif(F.regexp_extract("term", "([0-9]+)", 1), F.lit("")).cast("long"), "proposed_at": parse_any_date(F.col("proposed"))}).drop("proposed")
+    reason = F.when(F.col("number").isNull(), "missing_number").when(F.col("name").isNull(), "missing_name").when(F.col("term").isNull(), "missing_term")
+    return rows.where(reason.isNull()), rows.withColumn("reason", reason).where("reason is not null")
+
+
+def violations(rules: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
+    """A data-quality report: for each rule the number of its table's rows that break it; a test that is null counts as broken."""
+    out = None
+    for name, (df, broken) in rules.items():
+        row = df.agg(F.count(F.when(F.coalesce(broken, F.lit(True)), 1)).alias("violations")).select(F.lit(name).alias("rule"), "violations")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def repeated(df: DataFrame, *keys: str) -> tuple[DataFrame, Column]:
+    """The rule that keys are unique; a repeated key counts once."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")), F.col("n") > 1
+
+
+def orphans(df: DataFrame, known: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """The rule that every key of ``df`` is one of ``known``."""
+    return df.join(known.select(key).distinct(), key, "left_anti"), F.lit(True)
+
+
+#: Characters of a text that a snapshot holds itself; fixed value.  Longer ones go to the side table.
+INLINE = 4000
+
+
+def write_snapshot(rows: DataFrame, path: str, key: str, text: str, page_size: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Write an immutable snapshot and read it back: rows by page bucket with position, sizes and hash, and the texts too long for it.
+
+    ``(key, position, inline_text, in_side_table, digest, chars, bytes, page_bucket)`` and ``(digest, text)``; a path that
+    holds a snapshot is an error.
+    """
+    from dossier.operators.aggregation import global_positions
+
+    told = rows.select(key, F.col(text).alias("text"), F.char_length(text).cast("long").alias("chars"), F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("digest"))
+    placed = global_positions(told.drop("text").withColumn("in_side_table", F.col("chars") > INLINE), key)
+    short = told.where(F.col("chars") <= INLINE).select(key, F.col("text").alias("inline_text"))
+    whole = placed.join(short, key, "left").withColumn("page_bucket", F.floor(F.col("position") / page_size))
+    whole.write.mode("error").partitionBy("page_bucket").parquet(f"{path}/rows")
+    told.where(F.col("chars") > INLINE).groupBy("digest").agg(F.min("text").alias("text")).write.mode("error").parquet(f"{path}/texts")
+    spark = rows.sparkSession
+    return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/texts")
 
 
 def first_nonblank(*columns: str) -> Column:
