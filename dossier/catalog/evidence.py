@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dossier.catalog.linking import QA_SQL, relations
 from dossier.operators import corpus, evidence, search
+from dossier.operators.index import written
 from dossier.registry import query
 from dossier.views import Tables
 
@@ -121,7 +122,7 @@ def edge_claims(t: Tables, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def resolved(t: Tables) -> tuple[DataFrame, DataFrame]:
-    nodes = gr_nodes(t)
+    nodes = written(gr_nodes(t), "nodes")
     claims, ambiguous = edge_claims(t, nodes)
     edges, rest = evidence.resolve_edges(claims, nodes)
     return edges, rest.unionByName(ambiguous)
@@ -170,7 +171,8 @@ COUNTS_SQL = f"""{EDGES_SQL}, parts AS (SELECT 'node' AS part, node_type AS type
 @query("gr_counts_hash", f"WITH {COUNTS_SQL} SELECT part, type, count(*) AS n, bit_xor(CAST('0x' || sha256(content)[1:15] AS BIGINT)) AS xored FROM parts GROUP BY 1, 2")
 def gr_counts_hash(t: Tables) -> DataFrame:
     """Nodes, edges, unresolved claims and gaps by type, each with a fingerprint that no order changes."""
-    nodes, (edges, rest) = gr_nodes(t), resolved(t)
+    nodes = gr_nodes(t)
+    edges, rest = (written(df, "claims") for df in resolved(t))
     part = lambda df, name, kind, *cols: df.select(F.lit(name).alias("part"), F.col(kind).alias("type"), F.concat_ws("\u001f", *cols).alias("content"))
     ends = ("source", "target")
     parts = _union([part(nodes, "node", "node_type", "id", "node_type", "label"), part(edges, "edge", "edge_type", *ends, "edge_type"), part(rest, "unresolved", "edge_type", *ends, "edge_type"), part(rest, "gap", "gap", *ends, "gap")])

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from dossier.catalog.aggregation import BINDINGS_SQL, bindings
 from dossier.catalog.evidence import EDGES_SQL, RECORDS_SQL, evidence_records, resolved
 from dossier.catalog.ingestion import COHERENCE_SQL
-from dossier.catalog.searching import BM25_SQL, speech_sql
+from dossier.catalog.lifecycle import INVENTORY_SQL, inventories
+from dossier.catalog.searching import fused_sql, speech_sql
 from dossier.catalog.texts import QUALITY_SQL, ag_parse_quality
 from dossier.operators import linking
+from dossier.operators.index import shared_folder, written
 from dossier.plans import research
 from dossier.registry import query
 from dossier.sources import pages
@@ -39,19 +41,26 @@ def pl_bill_status(t: Tables) -> DataFrame:
     return research.bill_status(t)
 
 
-@query(
-    "pl_explore_issue",
-    f"""WITH {BM25_SQL}, hits AS (SELECT query_id, turn_id FROM ranked WHERE rank <= 30),
-    linked AS (SELECT query_id, number, max(confidence) AS confidence, count(DISTINCT turn_id) AS n FROM hits JOIN links USING (turn_id) GROUP BY 1, 2), known AS (SELECT l.*, result, proposed_at FROM linked l JOIN entities USING (number)),
-    core AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, proposed_at DESC, number) AS k FROM (SELECT *, max(confidence) OVER (PARTITION BY query_id) AS best FROM known) WHERE confidence = best),
-    bills AS (SELECT query_id, count(*) AS bills, max(CASE WHEN k = 1 THEN number END) AS top_bill, count(result) AS processed FROM core GROUP BY 1),
-    placed AS (SELECT query_id, group_id, held_on, coalesce(CAST(seq - lag(seq) OVER (PARTITION BY query_id, group_id ORDER BY seq) > 3 AS INT), 1) AS starts FROM hits JOIN turns USING (turn_id)),
-    th AS (SELECT query_id, count(*) AS speeches, CAST(sum(starts) AS BIGINT) AS threads, count(DISTINCT group_id) AS meetings, min(held_on) AS first_day, max(held_on) AS last_day FROM placed GROUP BY 1)
-    SELECT query_id, speeches, threads, meetings, first_day, last_day, coalesce(bills, 0) AS bills, coalesce(processed, 0) AS processed, top_bill,
-      CAST(100 - CASE WHEN coalesce(bills, 0) = 0 THEN 25 ELSE 0 END - CASE WHEN speeches < 3 THEN 20 ELSE 0 END - CASE WHEN threads = 0 THEN 25 ELSE 0 END AS BIGINT) AS quality FROM th LEFT JOIN bills USING (query_id)""",
-)
+ISSUE_SQL = f"""{fused_sql(k=30)},
+  hits0 AS (SELECT query_id, item AS turn_id FROM final WHERE rank <= 30), linked0 AS (SELECT query_id, turn_id, number, confidence FROM hits0 JOIN links USING (turn_id) JOIN (SELECT DISTINCT number FROM entities) USING (number)),
+  wanted AS (SELECT query_id, min(number) AS number FROM linked0 WHERE query_id % 4 = 2 GROUP BY 1), asked AS (SELECT query_id FROM wanted),
+  linked AS (SELECT * FROM linked0 WHERE query_id NOT IN (SELECT query_id FROM asked) OR (query_id, number) IN (SELECT (query_id, number) FROM wanted)), hits AS (SELECT * FROM hits0 WHERE query_id NOT IN (SELECT query_id FROM asked) OR (query_id, turn_id) IN (SELECT (query_id, turn_id) FROM linked)),
+  per AS (SELECT query_id, number, max(confidence) AS confidence, count(DISTINCT turn_id) AS n FROM linked GROUP BY 1, 2), known AS (SELECT p.*, result, proposed_at, processed_at FROM per p JOIN entities USING (number)),
+  core AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, proposed_at DESC, number) AS k FROM (SELECT *, max(confidence) OVER (PARTITION BY query_id) AS best FROM known) WHERE confidence = best),
+  bills AS (SELECT query_id, count(*) AS bills, max(CASE WHEN k = 1 THEN number END) AS top_bill, count(result) AS processed FROM core GROUP BY 1),
+  events0 AS (SELECT query_id, proposed_at AS day FROM core UNION ALL SELECT query_id, processed_at FROM core WHERE processed_at IS NOT NULL UNION ALL SELECT c.query_id, t.held_on FROM core c JOIN linked l ON l.query_id = c.query_id AND l.number = c.number JOIN turns t ON t.turn_id = l.turn_id),
+  tl AS (SELECT query_id, count(*) AS events, min(day) AS first_event, max(day) AS last_event FROM events0 GROUP BY 1),
+  placed AS (SELECT query_id, group_id, held_on, seq, coalesce(CAST(seq - lag(seq) OVER (PARTITION BY query_id, group_id ORDER BY seq) > 3 AS INT), 1) AS starts, url IS NOT NULL AS cited, speaker FROM hits JOIN turns USING (turn_id) LEFT JOIN (SELECT group_id, url FROM meetings WHERE group_id % 50 != 3) USING (group_id)),
+  th AS (SELECT query_id, count(*) AS speeches, CAST(sum(starts) AS BIGINT) AS threads, count(DISTINCT group_id) AS meetings, min(held_on) AS first_day, max(held_on) AS last_day, avg(cited::INT) AS provenance, count(DISTINCT CASE WHEN contains(speaker, 'system') THEN speaker END) AS suspects FROM placed GROUP BY 1)"""
+
+
+@query("pl_explore_issue", f"WITH {ISSUE_SQL} SELECT query_id, speeches, threads, meetings, first_day, last_day, coalesce(bills, 0) AS bills, coalesce(processed, 0) AS processed, top_bill, coalesce(events, 0) AS events, first_event, last_event, query_id IN (SELECT query_id FROM asked) AS exact, CAST(greatest(0, 100 - CASE WHEN coalesce(bills, 0) = 0 THEN 25 ELSE 0 END - CASE WHEN speeches < 3 THEN 20 ELSE 0 END - CASE WHEN threads = 0 THEN 25 ELSE 0 END - round_even((1 - provenance) * 30, 0) - least(15, suspects * 3)) AS BIGINT) AS quality FROM th LEFT JOIN bills USING (query_id) LEFT JOIN tl USING (query_id)")
 def pl_explore_issue(t: Tables) -> DataFrame:
-    return research.explore_issue(t)
+    """Every fourth query asks for one exact number, the least that its turns are linked to."""
+    hits = written(research.issue_hits(t, 30), "issue-hits")
+    linked = written(research.linked_entities(t, hits), "issue-links")
+    wanted = linked.where("query_id % 4 = 2").groupBy("query_id").agg(F.min("number").alias("number"))
+    return research.explore_issue(t, hits, linked, wanted, t.meetings.where("group_id % 50 != 3"))
 
 
 OVERVIEW_SQL = f"""{RECORDS_SQL}, {BINDINGS_SQL},
@@ -87,15 +96,15 @@ def pl_result_page(t: Tables) -> DataFrame:
     return research.result_page(records, ends, 20)
 
 
-@query("pl_evidence_text", "SELECT turn_id, text, sha256(text) AS digest FROM turns JOIN meetings USING (group_id) WHERE kind = 'plenary'")
+@query("pl_evidence_text", "SELECT turn_id, text, sha256(text) AS digest FROM turns JOIN meetings m USING (group_id) WHERE m.kind = 'plenary'")
 def pl_evidence_text(t: Tables) -> DataFrame:
     wanted = t.meetings.where("kind = 'plenary'").select("group_id")
     return t.turns.join(wanted, "group_id", "left_semi").select("turn_id", "text", F.sha2("text", 256).alias("digest"))
 
 
-@query("pl_get_speech", "SELECT turn_id, role, text, committee, t.held_on, url || '#' || CAST(seq AS VARCHAR) AS citation FROM turns t JOIN meetings m USING (group_id, committee) WHERE seq = 1")
+@query("pl_get_speech", "SELECT turn_id, role, text, committee, t.held_on, url || '#' || CAST(seq AS VARCHAR) AS citation FROM turns t JOIN meetings m USING (group_id, committee)")
 def pl_get_speech(t: Tables) -> DataFrame:
-    joined = t.turns.where("seq = 1").join(t.meetings.select("group_id", "url"), "group_id")
+    joined = t.turns.join(t.meetings.select("group_id", "url"), "group_id")
     return joined.select("turn_id", "role", "text", "committee", "held_on", F.concat("url", F.lit("#"), F.col("seq").cast("string")).alias("citation"))
 
 
@@ -110,22 +119,26 @@ def pl_list_meetings(t: Tables) -> DataFrame:
     return t.meetings.where("term = 19").select("kind", "group_id", "held_on", F.row_number().over(order).cast("long").alias("place")).where("place <= 20")
 
 
-@query("pl_search_bills", "WITH s AS (SELECT CASE WHEN contains(name, 'urgent') THEN 1 ELSE 2 END AS query_id, number, name, coalesce(result, 'pending') AS status, proposed_at FROM entities WHERE contains(name, 'urgent') OR contains(name, 'low')), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY proposed_at DESC, number) AS rank FROM s WHERE status = 'pending') SELECT CAST(query_id AS BIGINT) AS query_id, number, name, status, rank FROM r WHERE rank <= 25")
+@query("pl_search_bills", """WITH w AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, ['urgent', 'low', 'customer#00000001', 'medium', 'machinery'][n_nationkey % 5 + 1] AS q, CASE WHEN n_nationkey % 2 = 0 THEN 'pending' END AS status FROM nation),
+  f AS (SELECT query_id, number, proposed_at, coalesce(result, 'pending') AS status FROM w JOIN entities ON (contains(lower(name), q) OR contains(lower(proposer), q) OR contains(lower(committee), q)) AND (w.status IS NULL OR coalesce(result, 'pending') = w.status)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY proposed_at DESC, number) AS rank FROM f),
+  o AS (SELECT number, count(DISTINCT turn_id) AS turns FROM links GROUP BY 1) SELECT query_id, number, rank, status, coalesce(turns, 0) AS turns FROM r LEFT JOIN o USING (number) WHERE rank <= 25""")
 def pl_search_bills(t: Tables) -> DataFrame:
-    wanted = t.spark.createDataFrame([(1, "urgent"), (2, "low")], "query_id long, word string")
-    found = t.entities.join(F.broadcast(wanted), F.contains("name", "word")).withColumn("status", F.coalesce("result", F.lit("pending"))).where("status = 'pending'")  # two query words
-    order = Window.partitionBy("query_id").orderBy(F.desc("proposed_at"), "number")
-    return found.select("query_id", "number", "name", "status", F.row_number().over(order).cast("long").alias("rank")).where("rank <= 25")
+    """Entities found by their words, with status and how many turns speak of them."""
+    k = F.col("n_nationkey")
+    word = F.get(F.lit(["urgent", "low", "customer#00000001", "medium", "machinery"]), (k % 5).cast("int"))
+    none = F.lit(None)
+    wanted = t.raw("nation").select(k.cast("long").alias("query_id"), word.alias("q"), F.when(k % 2 == 0, "pending").alias("status"), none.cast("long").alias("term"), none.cast("string").alias("committee"))
+    return research.search_bills(t.entities, t.links, wanted, 25)
 
 
-@query("pl_corpus_build", "WITH o AS (SELECT source, doc_id % 50 != 7 AS ok FROM documents), g AS (SELECT source, count(*) AS expected, count(*) FILTER (WHERE ok) AS built, count(*) FILTER (WHERE NOT ok) AS failed FROM o GROUP BY 1) SELECT *, failed = 0 AS published, CASE WHEN failed = 0 THEN built ELSE 0 END AS documents FROM g")
+@query("pl_corpus_build", f"""WITH {INVENTORY_SQL}, items AS (SELECT term, kind, item FROM work WHERE gap IS NULL), o AS (SELECT *, CASE CAST('0x' || sha256(item)[1:8] AS BIGINT) % 20 WHEN 3 THEN CASE WHEN kind = 'review' THEN 'permanent' ELSE 'success' END WHEN 7 THEN CASE WHEN kind = 'minutes' AND term = 19 THEN 'retryable' ELSE 'success' END ELSE 'success' END AS outcome FROM items),
+  c AS (SELECT term, kind, count(*) AS expected, count(*) FILTER (WHERE outcome = 'success') AS built, count(*) FILTER (WHERE outcome = 'permanent') AS failed, count(*) FILTER (WHERE outcome = 'retryable') AS pending FROM o GROUP BY 1, 2) SELECT *, failed = 0 AND pending = 0 AS complete, CASE WHEN failed = 0 AND pending = 0 THEN built ELSE 0 END AS published FROM c""")
 def pl_corpus_build(t: Tables) -> DataFrame:
-    """Inventory, outcomes, coverage and the publication gate; only complete scopes are published."""
-    from dossier.operators.corpus import scope_coverage
-
-    docs = t.raw("documents").select("source", (F.col("doc_id") % 50 != 7).alias("ok"))
-    cells = scope_coverage(docs.groupBy("source").agg(F.count("*").alias("expected")), docs, ["source"])
-    return cells.select("source", "expected", F.col("succeeded").alias("built"), "failed", F.col("complete").alias("published"), F.when(F.col("complete"), F.col("succeeded")).otherwise(0).alias("documents"))
+    """Inventory, outcomes, next batch, coverage and publication: a revision is written for each complete scope and refused for the others."""
+    items, _ = inventories(t)
+    draw = F.conv(F.substring(F.sha2("item", 256), 1, 8), 16, 10).cast("long") % 20
+    outcome = F.when((draw == 3) & (F.col("kind") == "review"), "permanent").when((draw == 7) & (F.col("kind") == "minutes") & (F.col("term") == 19), "retryable").otherwise("success")
+    return research.build_corpus(items, items.withColumn("outcome", outcome), shared_folder(t.spark, "corpus"))
 
 
 @query("pl_parser_review", f"WITH {QUALITY_SQL} SELECT count(*) AS documents, CAST(sum(expected) AS BIGINT) AS expected, CAST(sum(parsed) AS BIGINT) AS parsed, CAST(sum(correct) AS BIGINT) AS correct, count(*) FILTER (WHERE correct < expected OR parsed > expected) AS faulty, round(2 * sum(correct) / (sum(expected) + sum(parsed)), 6) AS f1 FROM q")

@@ -15,22 +15,30 @@ def events(t: Tables) -> DataFrame:
     return arrivals.open_stream(t.spark, f"{t.sf_dir}/events.parquet")
 
 
-@query("st_idempotent_ingest", "SELECT event_type, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
+OUTCOMES_SQL = """o AS (SELECT event_id % 700 AS work_id, event_id, CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' ELSE 'retryable' END AS status, CAST(floor(value) AS BIGINT) AS content FROM events),
+  f AS (SELECT work_id, min_by((event_id, status, content), event_id) FILTER (WHERE status != 'retryable') AS t, max_by((event_id, status, content), event_id) AS l FROM o GROUP BY 1), k AS (SELECT work_id, coalesce(t, l) AS kept, t IS NOT NULL AS stays FROM f)"""
+
+
+@query("st_idempotent_ingest", f"WITH {OUTCOMES_SQL} SELECT o.work_id, any_value(kept[1]) AS event_id, any_value(kept[2]) AS status, any_value(kept[3]) AS content, count(*) FILTER (WHERE stays AND event_id > kept[1] AND NOT (status = kept[2] AND content = kept[3])) AS conflicts FROM o JOIN k ON k.work_id = o.work_id GROUP BY 1")
 def st_idempotent_ingest(t: Tables) -> DataFrame:
-    """Every event is delivered twice and counted once."""
+    """Every outcome is delivered twice and counted once; retryable ones may be replaced, terminal ones may not."""
     twice = events(t).unionByName(events(t))
-    rows = arrivals.drain(arrivals.absorb_redelivery(twice, "event_id", "ts").select("event_id", "event_type"), "append")
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    once = arrivals.absorb_redelivery(twice, "event_id", "ts")
+    status = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "failed").otherwise("retryable")
+    outcomes = once.select((F.col("event_id") % 700).alias("work_id"), "event_id", status.alias("status"), F.floor("value").cast("long").alias("content"))
+    return arrivals.absorb_outcomes(outcomes, "work_id", "event_id", "status", "content", ["success", "failed"])
 
 
-@query("st_readiness", "SELECT user_id, count(DISTINCT event_type) AS seen, count(DISTINCT event_type) >= 5 AS ready FROM events GROUP BY 1")
+@query("st_readiness", "SELECT user_id, expected FROM (SELECT user_id, count(DISTINCT event_type || CAST(event_id % 3 AS VARCHAR)) AS seen, 8 + user_id % 9 AS expected FROM events GROUP BY 1) WHERE seen >= expected")
 def st_readiness(t: Tables) -> DataFrame:
-    return arrivals.latest_state(arrivals.drain(arrivals.readiness(events(t), "user_id", "event_type", 5), "update"), ["user_id"])
+    """Keys whose pieces have all come, each once, in the batch in which it became ready."""
+    pieces = events(t).withColumns({"piece": F.concat("event_type", (F.col("event_id") % 3).cast("string")), "total": F.col("user_id") % 9 + 8})
+    return arrivals.drain(arrivals.readiness(pieces, "user_id", "piece", "total"), "append").drop("batch")
 
 
-@query("st_progress", "SELECT user_id, count(*) AS arrived, count(*) FILTER (WHERE event_type = 'purchase') AS accepted, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events GROUP BY 1")
+@query("st_progress", "WITH c AS (SELECT user_id, count(*) AS arrived, count(*) FILTER (WHERE event_type = 'purchase') AS accepted, count(*) FILTER (WHERE event_type = 'error') AS failed, 5 + user_id % 40 AS expected FROM events GROUP BY 1) SELECT *, greatest(expected - accepted - failed, 0) AS pending, accepted + failed >= expected AS complete FROM c")
 def st_progress(t: Tables) -> DataFrame:
-    counted = arrivals.progress(events(t), "user_id", F.col("event_type") == "purchase", F.col("event_type") == "error")
+    counted = arrivals.progress(events(t).withColumn("total", F.col("user_id") % 40 + 5), "user_id", F.col("event_type") == "purchase", F.col("event_type") == "error", "total")
     return arrivals.latest_state(arrivals.drain(counted, "update"), ["user_id"])
 
 
@@ -45,12 +53,13 @@ def st_threads(t: Tables) -> DataFrame:
     return closed.select("user_id", F.date_format("first_at", "yyyy-MM-dd HH:mm:ss").alias("first_at"), "n")
 
 
-@query("st_incremental_index", "WITH a AS (SELECT doc_id % 400 AS id, max_by(text, doc_id) AS text FROM documents GROUP BY 1), p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM a) GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM p GROUP BY 1")
+@query("st_incremental_index", "WITH a AS (SELECT doc_id % 400 AS id, max_by(text, (doc_id % 800 >= 400, doc_id)) AS text FROM documents GROUP BY 1), p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM a) GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM p GROUP BY 1")
 def st_incremental_index(t: Tables) -> DataFrame:
-    """The index maintained as documents arrive, some of them again with another text, equals one built of the last texts."""
+    """The index maintained as documents arrive in two waves, many of them again with another text, equals one built of the last texts."""
     docs = t.raw("documents").select((F.col("doc_id") % 400).alias("id"), "doc_id", "text")
-    folder = index.shared_folder(t.spark, "arriving")
-    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{folder}/documents")  # four files, in order of arrival
-    stream = arrivals.open_stream(t.spark, f"{folder}/documents", files_per_trigger=2)
-    held = arrivals.incremental_index(stream.select("id", "text"), "id", ["text"], buckets=8)
+    folder, files = index.shared_folder(t.spark, "arriving"), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    for wave in ("doc_id % 800 < 400", "doc_id % 800 >= 400"):
+        docs.where(wave).repartition(files, "doc_id").write.mode("append").parquet(f"{folder}/documents")
+    stream = arrivals.open_stream(t.spark, f"{folder}/documents", files_per_trigger=files)
+    held = arrivals.incremental_index(stream, "id", ["text"], "doc_id", buckets=8)
     return held.postings.groupBy("term").agg(F.max("df").alias("df"), F.sum("tf").alias("occurrences"))

@@ -21,27 +21,90 @@ def search_speeches(t: Tables, k: int = 10, **filters) -> DataFrame:
     return shown(t, fused(t, within=within).where(F.col("rank") <= k))
 
 
-def explore_issue(t: Tables, k: int = 30, gap: int = 3) -> DataFrame:
-    """One row a query: matched turns, linked entities of the best tier, threads, span and quality.
+def issue_hits(t: Tables, k: int = 30) -> DataFrame:
+    """``(query_id, turn_id)``: the ``k`` best turns of each query by hybrid search."""
+    from dossier.catalog.searching import fused
 
-    Search, link, gate by the link's confidence, thread, and score, each for all queries at once.
+    return fused(t, k).where(F.col("rank") <= k).select("query_id", F.col("item").alias("turn_id"))
+
+
+def linked_entities(t: Tables, hits: DataFrame) -> DataFrame:
+    """``(query_id, turn_id, number, confidence)``: what the turns found are linked to, known entities alone."""
+    return hits.join(t.links.select("turn_id", "number", "confidence"), "turn_id").join(t.entities.select("number").distinct(), "number", "left_semi")
+
+
+def explore_issue(t: Tables, hits: DataFrame, linked: DataFrame, wanted: DataFrame, sources: DataFrame, gap: int = 3) -> DataFrame:
+    """One row a query: turns found, entities of the best tier, threads, timeline, span and quality.
+
+    Queries that ask for exact numbers, ``wanted(query_id, number)``, keep only what those reach: entities,
+    links, turns, and the threads, timeline and quality made of them.  ``sources(group_id, url)`` are the
+    meetings whose record can be cited.
     """
-    hits = search.bm25(t.indexed("turns"), t.query_words, k).select("query_id", "turn_id")
-    placed = hits.join(t.turns.select("turn_id", "group_id", "seq", "held_on"), "turn_id")
-    linked = hits.join(t.links.select("turn_id", "number", "confidence"), "turn_id").groupBy("query_id", "number").agg(F.max("confidence").alias("confidence"), F.count_distinct("turn_id").alias("turns"))
-    known = linked.join(t.entities.select("number", "result", "proposed_at"), "number")
-    tier = F.max("confidence").over(Window.partitionBy("query_id"))
-    core = known.withColumn("best", tier).where("confidence = best")
+    from dossier.functions.labels import suspect_name
+    from dossier.operators.aggregation import quality
+    from dossier.operators.linking import enforce_exact
+
+    pairs = linked.select("query_id", "number").distinct()
+    empty = pairs.limit(0)
+    kept = enforce_exact(wanted, pairs, linked, hits, empty, empty)
+    links, turns = kept["links"], kept["turns"]
+    per = links.groupBy("query_id", "number").agg(F.max("confidence").alias("confidence"), F.count_distinct("turn_id").alias("turns"))
+    known = per.join(t.entities.select("number", "result", "proposed_at", "processed_at"), "number")
+    best = per.groupBy("query_id").agg(F.max("confidence").alias("confidence"))
+    core = known.join(best, ["query_id", "confidence"])
     order = Window.partitionBy("query_id").orderBy(F.desc("turns"), F.desc("proposed_at"), "number")
     bills = core.withColumn("k", F.row_number().over(order)).groupBy("query_id").agg(F.count("*").alias("bills"), F.max(F.when(F.col("k") == 1, F.col("number"))).alias("top_bill"), F.count("result").alias("processed"))
-    by_group = Window.partitionBy("query_id", "group_id").orderBy("seq")
-    starts = F.coalesce((F.col("seq") - F.lag("seq").over(by_group) > gap).cast("int"), F.lit(1))
-    threads = placed.withColumn("starts", starts).groupBy("query_id").agg(
-        F.count("*").alias("speeches"), F.sum("starts").alias("threads"), F.count_distinct("group_id").alias("meetings"), F.min("held_on").alias("first_day"), F.max("held_on").alias("last_day")
+    dates = core.select("query_id", F.explode(F.array_compact(F.array("proposed_at", "processed_at"))).alias("day"))
+    debates = links.join(core.select("query_id", "number"), ["query_id", "number"]).join(t.turns.select("turn_id", "held_on"), "turn_id").select("query_id", F.col("held_on").alias("day"))
+    timeline = dates.unionByName(debates).groupBy("query_id").agg(F.count("*").alias("events"), F.min("day").alias("first_event"), F.max("day").alias("last_event"))
+    placed = turns.join(t.turns.select("turn_id", "group_id", "seq", "held_on", "speaker"), "turn_id").join(sources.select("group_id", "url"), "group_id", "left")
+    starts = F.coalesce((F.col("seq") - F.lag("seq").over(Window.partitionBy("query_id", "group_id").orderBy("seq")) > gap).cast("int"), F.lit(1))
+    suspect = suspect_name(F.col("speaker"), ".*", 1000, ["system"])
+    told = placed.withColumn("starts", starts).groupBy("query_id").agg(
+        F.count("*").alias("speeches"), F.sum("starts").alias("threads"), F.count_distinct("group_id").alias("meetings"), F.min("held_on").alias("first_day"), F.max("held_on").alias("last_day"),
+        F.avg(F.col("url").isNotNull().cast("int")).alias("provenance"), F.count_distinct(F.when(suspect, F.col("speaker"))).alias("suspects"),
     )
-    joined = threads.join(bills, "query_id", "left").fillna(0, ["bills", "processed"])
-    off = F.when(F.col("bills") == 0, 25).otherwise(0) + F.when(F.col("speeches") < 3, 20).otherwise(0) + F.when(F.col("threads") == 0, 25).otherwise(0)
-    return joined.select("query_id", "speeches", "threads", "meetings", "first_day", "last_day", "bills", "processed", "top_bill", (100 - off).cast("long").alias("quality"))
+    joined = told.join(bills, "query_id", "left").join(timeline, "query_id", "left").fillna(0, ["bills", "processed", "events"])
+    scores = quality(joined, "query_id").select("query_id", F.col("score").alias("quality"))
+    exact = wanted.select("query_id").distinct().withColumn("exact", F.lit(True))
+    out = joined.drop("provenance", "suspects").join(scores, "query_id").join(exact, "query_id", "left")
+    return out.withColumn("exact", F.coalesce("exact", F.lit(False)))
+
+
+def search_bills(entities: DataFrame, links: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``entity_search`` by words alone, with each entity's status and the number of turns that are linked to it."""
+    none = links.select("number", F.lit("").alias("text")).limit(0)
+    found = search.entity_search(entities, none, wanted, k)
+    about = links.groupBy("number").agg(F.count_distinct("turn_id").alias("turns"))
+    status = entities.select("number", F.coalesce("result", F.lit("pending")).alias("status"))
+    return found.join(status, "number").join(about, "number", "left").select("query_id", "number", "rank", "status", F.coalesce("turns", F.lit(0)).alias("turns"))
+
+
+def build_corpus(items: DataFrame, outcomes: DataFrame, root: str) -> DataFrame:
+    """Coverage of each scope ``(term, kind)``, and a revision written for each that is complete.
+
+    ``items(term, kind, item)`` is the work, ``outcomes(term, kind, item, outcome)`` with success, permanent or
+    retryable what came of it.  The writer is asked for every scope and refuses those that are not complete.
+    """
+    from dossier.operators import corpus
+
+    state = lambda s: F.count(F.when(F.col("outcome") == s, 1))
+    done = outcomes.groupBy("term", "kind").agg(state("success").alias("built"), state("permanent").alias("failed"), state("retryable").alias("pending"))
+    cells = items.groupBy("term", "kind").agg(F.count("*").alias("expected")).join(done, ["term", "kind"], "left").fillna(0, ["built", "failed", "pending"])
+    cells = cells.withColumn("complete", (F.col("failed") == 0) & (F.col("pending") == 0) & (F.col("expected") == F.col("built")))
+    listed = cells.collect()  # a row for each scope
+    written = []
+    for c in listed:
+        mine = (F.col("term") == c.term) & (F.col("kind") == c.kind)
+        docs = outcomes.where(mine & (F.col("outcome") == "success")).select("item", F.sha2("item", 256).alias("digest"))
+        folder = f"{root}/{c.kind}-{c.term}"
+        try:
+            name = corpus.publish(folder, docs, "item", "digest", items.sparkSession.createDataFrame([(c.complete,)], "complete boolean"))
+            n = corpus.manifests(items.sparkSession, folder).where(F.col("revision") == name).first().documents
+        except corpus.IncompleteError:
+            n = 0
+        written.append((c.term, c.kind, c.expected, c.built, c.failed, c.pending, c.complete, n))
+    return items.sparkSession.createDataFrame(written, "term long, kind string, expected long, built long, failed long, pending long, complete boolean, published long")
 
 
 def bill_status(t: Tables) -> DataFrame:

@@ -46,15 +46,74 @@ def absorb_redelivery(events: DataFrame, key: str, time: str, within: str = "30
     return events.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
 
 
-def readiness(arrivals: DataFrame, key: str, piece: str, expected: int) -> DataFrame:
-    """Per key the pieces seen so far and whether all have come; update mode."""
-    seen = F.array_sort(F.collect_set(piece))
-    return arrivals.groupBy(key).agg(seen.alias("pieces")).select(key, F.size("pieces").cast("long").alias("seen"), (F.size("pieces") >= expected).alias("ready"))
+def absorb_outcomes(outcomes: DataFrame, key: str, order: str, status: str, content: str, terminal: list[str]) -> DataFrame:
+    """The accepted outcome of each key of a stream, and how many later ones it refused: ``(key, order, status, content, conflicts)``.
+
+    A retryable outcome gives way to whatever comes after it; a terminal one stays, and what comes after it
+    with another status or content is a conflict.  Within a batch ``order`` tells what came first.
+    Every batch is merged with the state that the one before left, which is read back from the shared folder.
+    """
+    spark = outcomes.sparkSession
+    folder = index.shared_folder(spark, "outcomes")
+    kinds = {c: outcomes.schema[c].dataType.simpleString() for c in (key, order, status, content)}
+    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", conflicts long"
+    columns = list(kinds)
+
+    def write(batch: DataFrame, number: int) -> None:
+        prior = spark.read.schema(schema).parquet(f"{folder}/state/{number - 1}") if number else spark.createDataFrame([], schema)
+        final = F.col(status).isin(terminal)
+        rows = batch.select(*columns, F.lit(0).cast("long").alias("conflicts")).distinct().withColumn("age", F.lit(1)).unionByName(prior.withColumn("age", F.lit(0)))
+        place = F.struct("age", order)
+        one = F.struct(*columns, "age")
+        best = rows.groupBy(key).agg(F.coalesce(F.min_by(one, F.when(final, place)), F.max_by(one, place)).alias("kept"), F.sum("conflicts").alias("before"))
+        joined = rows.join(best, key)
+        kept, stays = F.col("kept"), F.col(f"kept.{status}").isin(terminal)
+        later = stays & (place > F.struct(kept["age"].alias("age"), kept[order].alias(order))) & ~(F.col(status).eqNullSafe(kept[status]) & F.col(content).eqNullSafe(kept[content]))
+        state = joined.groupBy(key, "kept", "before").agg(F.count(F.when(later, 1)).alias("new"))
+        state.select(key, *(F.col(f"kept.{c}").alias(c) for c in columns if c != key), (F.col("before") + F.col("new")).alias("conflicts")).write.mode("overwrite").parquet(f"{folder}/state/{number}")
+
+    run = outcomes.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = run.lastProgress["batchId"] if run.lastProgress else 0
+    # a last trigger without rows writes no state
+    return spark.read.schema(schema).parquet(f"{folder}/state/{_newest(spark, f'{folder}/state', last)}")
+
+
+def _newest(spark: SparkSession, folder: str, last: int) -> int:
+    """The number of the last batch up to ``last`` that wrote its state."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    while last > 0 and not store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{last}/_SUCCESS")):
+        last -= 1
+    return last
+
+
+def readiness(arrivals: DataFrame, key: str, piece: str, total: str) -> DataFrame:
+    """``(key, expected)`` of each key, once: when as many different pieces as its largest ``total`` says have come."""
+    kind = arrivals.schema[key].dataType.simpleString()
+
+    def step(keys, batches, state):
+        import pandas as pd
+
+        seen, most, done = state.get if state.exists else ("", 0, False)
+        pieces = set(seen.split("\x1f")) - {""}
+        for rows in batches:
+            pieces |= set(rows["piece"].astype(str))
+            most = max(most, int(rows["total"].max()))
+        ready = not done and most > 0 and len(pieces) >= most
+        state.update(("\x1f".join(sorted(pieces)), most, done or ready))
+        yield pd.DataFrame({"key": [keys[0]], "expected": [most]} if ready else {"key": [], "expected": []})
+
+    rows = arrivals.select(F.col(key).alias("key"), F.col(piece).cast("string").alias("piece"), F.col(total).cast("long").alias("total"))
+    found = rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, expected long", "pieces string, most long, done boolean", "append", "NoTimeout")
+    return found.withColumnRenamed("key", key)
 
 
-def progress(arrivals: DataFrame, key: str, accepted, failed) -> DataFrame:
-    """Running counts per key; update mode."""
-    return arrivals.groupBy(key).agg(F.count("*").alias("arrived"), F.count(F.when(accepted, 1)).alias("accepted"), F.count(F.when(failed, 1)).alias("failed"))
+def progress(arrivals: DataFrame, key: str, accepted, failed, total: str) -> DataFrame:
+    """Running counts per key against the largest ``total``, and whether nothing is pending any more; update mode."""
+    counts = arrivals.groupBy(key).agg(F.count("*").alias("arrived"), F.count(F.when(accepted, 1)).alias("accepted"), F.count(F.when(failed, 1)).alias("failed"), F.max(total).cast("long").alias("expected"))
+    pending = F.greatest(F.col("expected") - F.col("accepted") - F.col("failed"), F.lit(0))
+    return counts.withColumns({"pending": pending.cast("long"), "complete": F.col("accepted") + F.col("failed") >= F.col("expected")})
 
 
 def threads(events: DataFrame, key: str, time: str, gap: str) -> DataFrame:
@@ -63,20 +122,18 @@ def threads(events: DataFrame, key: str, time: str, gap: str) -> DataFrame:
     return sessions.select(key, F.col("w.start").alias("first_at"), "n")
 
 
-def incremental_index(docs: DataFrame, id_col: str, text_cols: list[str], buckets: int = index.BUCKETS) -> index.Index:
+def incremental_index(docs: DataFrame, id_col: str, text_cols: list[str], order: str, buckets: int = index.BUCKETS) -> index.Index:
     """A stored index kept up as documents arrive, one batch at a time.
 
     Each batch rewrites the buckets that its documents touch; a document that comes again replaces its
-    older postings (the last of a batch counts), and a batch done again changes nothing.
+    older postings (of one batch the one with the largest ``order`` counts), and a batch done again changes nothing.
     """
     spark = docs.sparkSession
     folder = index.shared_folder(spark, "stream")
     held = index.build(spark.createDataFrame([], docs.schema), id_col, text_cols, f"{folder}/index", buckets)
-    newest = "arrived_order"
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn(newest, F.monotonically_increasing_id())
-        last = rows.groupBy(id_col).agg(F.max_by(F.struct(*text_cols), newest).alias("last")).select(id_col, "last.*")
+        last = batch.groupBy(id_col).agg(F.max_by(F.struct(*text_cols), order).alias("last")).select(id_col, "last.*")
         index.update(held, last.select(id_col).limit(0), last, text_cols)
 
     run = docs.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()

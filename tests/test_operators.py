@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import text
-from dossier.operators import aggregation, corpus, evidence, linking, search, segmentation
+from dossier.functions import labels, terminology
+from dossier.operators import aggregation, corpus, evidence, filters, gate, index, linking, search, segmentation
 from dossier.sources import pages
 from dossier.streaming import arrivals
 
@@ -72,11 +73,11 @@ def test_fusion_counts_a_list_once_and_breaks_ties(spark):
 
 def test_gates_fail_one_at_a_time(spark):
     cand = [(q, c, n, com, d, "alphawidget", "", "beta") for q in range(1, 6) for c, n, com, d in [("a", "1", "law", "2020-01-05"), ("b", "2", "tax", None)]]
-    candidates = spark.createDataFrame(cand, "query_id long, candidate string, number string, committee string, d string, title string, agenda string, body string").withColumn("day", F.col("d").cast("date"))
+    candidates = spark.createDataFrame(cand, "query_id long, candidate string, number string, committee string, d string, title string, agenda string, body string").withColumn("day", F.col("d").cast("date")).withColumns({"kind": F.lit("event"), "proposed_on": F.lit(None).cast("date")})
     terms = spark.createDataFrame([(1, "issue", "widget"), (2, "related_issue", "beta"), (4, "issue", "widget")], "query_id long, kind string, term string")
     scopes = spark.createDataFrame([(1, None, "law", None, None), (2, None, None, None, None), (3, "2", None, None, None), (4, None, None, "2020-01-01", "2020-12-31"), (5, None, None, None, None)], "query_id long, number string, committee string, f string, u string")
-    scopes = scopes.select("query_id", "number", "committee", F.col("f").cast("date").alias("day_from"), F.col("u").cast("date").alias("day_to"))
-    got = {(r.query_id, r.candidate): (r.score, r.rejection) for r in search.relevance_gate(candidates, terms, scopes).collect()}
+    scopes = scopes.select("query_id", F.when(F.col("number").isNotNull(), F.array("number")).alias("numbers"), "committee", F.lit(False).alias("proposal_dated"), F.col("f").cast("date").alias("day_from"), F.col("u").cast("date").alias("day_to"))
+    got = {(r.query_id, r.candidate): (r.score, r.rejection) for r in gate.relevance_gate(candidates, terms, scopes).collect()}
     assert got == {
         (1, "a"): (30, None), (1, "b"): (0, "committee_mismatch"), (2, "a"): (5, "below_minimum_score"), (2, "b"): (5, "below_minimum_score"), (3, "a"): (0, "exact_number_mismatch"), (3, "b"): (100, None),
         (4, "a"): (30, None), (4, "b"): (0, "missing_date"), (5, "a"): (0, "no_meaningful_terms"), (5, "b"): (0, "no_meaningful_terms"),
@@ -161,6 +162,118 @@ def test_entry_survives_without_the_training_operators(monkeypatch):
     assert len(entry.queries()) > 120 and not any(n.startswith("op") for n in entry.queries())
 
 
-def test_substring_links_without_long_patterns(spark):
+def test_substring_links_of_short_patterns(spark):
     texts = spark.createDataFrame([(1, "abc")], "id long, text string")
-    assert linking.substring_links(texts, spark.createDataFrame([(1, "ab")], "p long, pattern string"), "id", "p").count() == 0
+    assert rows(linking.substring_links(texts, spark.createDataFrame([(1, "ab")], "p long, pattern string"), "id", "p")) == [(1, 1)]
+
+
+def test_patterns_of_any_length_are_found(spark):
+    texts = spark.createDataFrame([(1, "abc de"), (2, "x"), (3, ""), (4, None), (5, "aXb")], "id long, text string")
+    patterns = spark.createDataFrame([(10, "b"), (11, "abc"), (12, ""), (13, None), (14, "abc"), (15, "zz")], "p long, pattern string")
+    want = [(1, 10), (1, 11), (1, 12), (1, 14), (2, 12), (3, 12), (5, 10), (5, 12)]
+    assert rows(linking.substring_links(texts, patterns, "id", "p")) == want
+    assert rows(linking.substring_links(texts, patterns, "id", "p", block_bytes=70)) == want
+    entities = spark.createDataFrame([(1, "0000007", "abc de"), (2, "0000008", "ab")], "e long, number string, name string")
+    links = linking.explicit_mentions(spark.createDataFrame([(1, "see 10000007 abc de"), (2, "abc de ab")], "id long, text string"), entities, "id", "e")
+    assert rows(links, "id", "e", "evidence") == [(1, 1, "0000007"), (2, 1, "abc de")]
+
+
+def test_terminology(spark):
+    c = terminology.Concept
+    glossary = [c("a", "tool", "ring", ["large hoop"], ["b"]), c("b", "tool", "hoop"), c("k", "committee", "과학위원회", ["과방위"]), c("d", "tool", "hoop of gold chain", [], ["a"])]
+    one = spark.createDataFrame([("A LARGE-hoop, a hoop",), ("rings and hooped",), ("과방위의 Ring",), ("large hoop of gold/chain",)], "t string")
+    found = one.select(F.transform(terminology.detect(F.col("t"), glossary), lambda m: m["value"]).alias("v"), terminology.replace_equivalents(F.col("t"), glossary).alias("r")).collect()
+    assert [r.v for r in found] == [["LARGE-hoop", "hoop"], [], ["과방위", "Ring"], ["hoop of gold/chain"]]
+    assert [r.r for r in found] == ["a ring, a hoop", "rings and hooped", "과학위원회의 ring", "large hoop of gold chain"]
+    terms = one.select(terminology.expand(F.col("t"), glossary).alias("e")).collect()
+    assert [[(x.term, x.relation) for x in r.e] for r in terms] == [[("ring", "equivalent"), ("hoop", "equivalent")], [], [("ring", "equivalent"), ("과학위원회", "equivalent"), ("hoop", "related")], [("hoop of gold chain", "equivalent"), ("ring", "related")]]
+    names = spark.createDataFrame([("Large  Hoop",), ("과방위",), ("other",)], "v string")
+    assert [tuple(r) for r in names.select(terminology.canonicalize(F.col("v"), glossary), terminology.canonicalize(F.col("v"), glossary, "committee")).collect()] == [("ring", "Large  Hoop"), ("과학위원회", "과학위원회"), ("other", "other")]
+    with pytest.raises(Exception, match="more than 1 terms"):
+        one.select(terminology.expand(F.col("t"), glossary, 1)).collect()
+
+
+def test_labels(spark):
+    cases = {
+        "위원장 홍길동": ("홍길동", "위원장", None), "홍길동 위원": ("홍길동", "위원", None), "과학기술정보통신부 장관 이종호": ("이종호", "장관", "과학기술정보통신부"), "위원장김정호맙": ("김정호", "위원장", None),
+        "위원장홍길동": ("홍길동", "위원장", None), "홍길동의원": ("홍길동", "의원", None), "환경부장관 한화진": ("한화진", "장관", "환경부"), "홍길동": ("홍길동", None, None), "(국무총리 한덕수)": ("한덕수", "국무총리", None),
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "l string").select("l", labels.split_label(F.col("l")).alias("p")).collect()
+    assert {r.l: (r.p["name"], r.p["role"], r.p["organization"]) for r in got} == cases
+    flags = spark.createDataFrame([("홍길동",), ("홍길동위원",), ("x",), (None,)], "n string").select(labels.valid_name(F.col("n")), labels.suspect_name(F.col("n"))).collect()
+    assert [tuple(r) for r in flags] == [(True, False), (True, True), (False, True), (False, True)]
+
+
+def test_long_prefixes_and_joint_agendas(spark):
+    pages_ = [(1, 1, "x" * 100 + "\n○user 1 hello\nmore"), (2, 1, "x" * 100 + "\n1. item\n○user 1 hello"), (3, 1, "short\n○user 1 a\n4. one\n5. two\n○chair 2 b\n○user 3 c")]
+    turns, failures = segmentation.segment(spark.createDataFrame(pages_, "doc long, page long, text string"))
+    assert rows(failures) == [(1, 0, "long_prefix")]
+    assert {(r.doc, r.turn): (r.body, r.agenda) for r in turns.collect()} == {
+        (1, 1): ("hello\nmore", None), (2, 1): ("hello", "1. item"), (3, 1): ("a", None), (3, 2): ("b", "items 4..5 jointly"), (3, 3): ("c", "items 4..5 jointly")
+    }
+
+
+def test_links_of_any_markup(spark):
+    html = """<A class=x href='/a?b=1'>One <b>more</b></A><a href="c/../d.html" title="Review report">x</a><a title='no'>y</a><a href=#top>t</a><a href="mailto:x@y">m</a><a data-x=">" href="//z.example.org/q">q</a>"""
+    got = pages.html_links(spark.createDataFrame([(1, "https://h.example.org/p/i.html?k=2", html)], "id long, url string, html string"), "id", "url", "html", ["example.org"], ["review", "more"])
+    assert rows(got, "position", "target", "label", "verdict") == [(0, "https://h.example.org/a?b=1", "One more", None)] + rows(got.where("position > 0"), "position", "target", "label", "verdict")
+    assert rows(got.where("position > 0"), "position", "target") == [(1, "https://h.example.org/p/d.html"), (3, "https://h.example.org/p/i.html?k=2#top"), (4, "mailto:x@y"), (5, "https://z.example.org/q")]
+    assert {r.position: r.verdict for r in got.collect()} == {0: None, 1: None, 3: "title", 4: "not_http", 5: "title"}
+
+
+def test_revisions_are_written_once_and_refused_when_incomplete(spark, tmp_path):
+    root = str(tmp_path)
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, digest string")
+    whole, short = (spark.createDataFrame([(c,)], "complete boolean") for c in (True, False))
+    with pytest.raises(corpus.IncompleteError):
+        corpus.publish(root, docs, "k", "digest", short)
+    assert corpus.manifests(spark, root).count() == 0
+    first = corpus.publish(root, docs, "k", "digest", whole)
+    assert corpus.publish(root, docs, "k", "digest", whole) == first
+    new = spark.createDataFrame([(2, "B"), (3, "c"), (4, "d")], "k long, digest string")
+    second = corpus.publish(root, new, "k", "digest", whole, first, docs.where("k = 1"))
+    assert rows(corpus.read_revision(spark, root, second), "k", "digest", "rewritten") == [(2, "B", True), (3, "c", False), (4, "d", True)]
+    assert rows(corpus.manifests(spark, root).select("revision", "documents")) == sorted([(first, 3), (second, 3)])
+    with pytest.raises(corpus.IncompleteError):
+        corpus.publish(root, new, "k", "digest", whole, "unknown")
+
+
+def test_gate_of_proposers_and_bases(spark):
+    day = "date"
+    cand = spark.createDataFrame([(q, c, k, n, "Budget", None, None, "taxlaw", "", "") for q in (1, 2, 3) for c, k, n in (("e1", "entity", "1"), ("e2", "entity", "2"), ("v1", "event", "9"))], f"query_id long, candidate string, kind string, number string, committee string, day {day}, proposed_on {day}, title string, agenda string, body string")
+    terms = spark.createDataFrame([(2, "issue", "tax"), (3, "issue", "nothing")], "query_id long, kind string, term string")
+    scopes = spark.createDataFrame([(1, None, None, None, None, None), (2, None, "bud-get", None, None, None), (3, None, None, None, None, True)], f"query_id long, numbers array<string>, committee string, day_from {day}, day_to {day}, proposal_dated boolean")
+    offered = spark.createDataFrame([("e1", "representative", "kim"), ("e1", "co", "lee"), ("e2", "co", "kim")], "candidate string, role string, name string")
+    wanted = spark.createDataFrame([(1, "representative", "kim"), (1, "co", "lee"), (3, "any", "kim")], "query_id long, role string, name string")
+    got = {(r.query_id, r.candidate): (r.accepted, r.score, r.rejection) for r in gate.relevance_gate(cand, terms, scopes, offered, wanted).collect()}
+    assert got[1, "e1"] == (True, 200, None) and got[1, "e2"][2] == "representative_proposer_mismatch" and got[1, "v1"][2] == "no_meaningful_terms"
+    assert got[2, "e1"] == (True, 30, None) and got[3, "e2"] == (False, 100, "below_minimum_score") and got[3, "v1"] == (False, 0, "below_minimum_score")
+
+
+def test_no_window_orders_a_table_in_one_task(spark, sf):
+    """Windows without a partition key stand only over a row for each range, part or scope."""
+    from dossier import registry
+
+    for name in ("rk_match_search", "rk_gate_rank", "gr_evidence_records", "rk_importance", "wn_list_meetings", "rk_bm25"):
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "CartesianProduct" not in plan and not [line for line in plan.splitlines() if "Window [" in line and "], [" not in line and "windowspecdefinition(" in line and "windowspecdefinition(specified" in line]
+
+
+def test_results_do_not_depend_on_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    built = [index.build(docs.repartition(n), "doc_id", ["text"], index.shared_folder(spark, "index"), 3) for n in (1, 7)]
+    words = spark.createDataFrame([(1, "the", 1), (1, "and", 2), (2, "une", 1)], "query_id long, term string, n long")
+    one, two = (rows(search.bm25(b, words, 20)) for b in built)
+    assert one == two and rows(search.match_search(built[0], words.drop("n"))) == rows(search.match_search(built[1], words.drop("n")))
+
+
+def test_filters_of_queries(spark):
+    turns = spark.createDataFrame([("t1", 19, "user", "o", "plenary", "Budget", "Kim", "2020-01-02"), ("t2", 20, None, "o", "plenary", "Budget", None, None)], "turn_id string, term long, role string, organization string, kind string, committee string, speaker string, d string").withColumn("held_on", F.col("d").cast("date"))
+    empty = {"term": None, "role": None, "organization": None, "kind": None, "committee": None, "speaker": None, "day_from": None, "day_to": None}
+    make = lambda *wishes: spark.createDataFrame([(k, *({**empty, **w}.values())) for k, w in enumerate(wishes)], "query_id long, term long, role string, organization string, kind string, committee string, speaker string, day_from string, day_to string")
+    got = rows(filters.matching(turns, make({}, {"role": "user"}, {"committee": "BUD", "day_to": "2020-01-02"}, {"term": 21})))
+    assert got == [(0, "t1"), (0, "t2"), (1, "t1"), (2, "t1")]
+    with pytest.raises(ValueError):
+        filters.matching(turns, make({"day_from": "2021-01-01", "day_to": "2020-01-01"}))
+    with pytest.raises(ValueError):
+        filters.structured(turns, colour="red")
