@@ -150,7 +150,7 @@ def sentence_ids(text: Column) -> Column:
 
 def _rule(ids: list[str], mark: str) -> tuple[str, str]:
     """A rule as a pattern over ``;id;;id;`` and what is left of it when its identifiers are used up."""
-    between = "((?:;[^;]*;)*?)"
+    between = "(.*?)"
     return between.join(f";{i};" for i in ids), "".join(f"{mark}{k}" for k in range(1, len(ids)))
 
 

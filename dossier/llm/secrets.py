@@ -30,7 +30,7 @@ UNNAMED = rf"(?:/|(?<!=)={{1,4}}+(?!=)|(?<![A-Za-z0-9+_-])(?![A-Za-z0-9+_-]*?(?i
 #: UUIDs, with separators between them.  A candidate wholly of such parts is no secret.
 WORDS = r"(?:[A-Z]{2,12}(?![a-z])|[A-Z]?[a-z]{2,18}(?![a-z]))"
 PART = rf"(?:{WORDS}{{1,8}}(?:[A-Z]?[0-9]{{1,4}})?|[A-Za-z][0-9]{{1,3}}[a-z]?|[0-9]{{1,8}}[a-z]{{0,3}}|[A-Za-z])"
-NAMES = rf"^(?:[/=_+-]*(?:{PART}[/=_+-]+)*{PART}?|[0-9a-f]{{8}}(?:-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}})$"
+NAMES = rf"^(?:(?:[/=_+-]++|{PART}(?=[/=_+-]|$))++|[0-9a-f]{{8}}(?:-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}})$"
 
 
 def highest_entropy(value: Column, window: int = WINDOW) -> Column:
