@@ -38,9 +38,10 @@ CUES = r"(?i)(phone|tel|call|fax|mobile|card|visa|credit|account|iban|ssn|social
 CONTEXT = 24
 ROUNDS = 12
 RATE = 0.3
-#: A generator's threshold is the least at which, of the kept-out twins and proposals above it, this share are twins;
-#: recall comes first in redaction and some proposals are personal too, so two in five are enough.
+#: A generator's threshold is the least score down to which, at every level of scores, this share of the kept-out twins
+#: and proposals are twins; recall comes first in redaction and some proposals are personal too, so two in five are enough.
 PRECISION = 0.4
+LEVEL = 20  # kept-out candidates of a level, at least
 
 
 def _luhn(digits: Column) -> Column:
@@ -85,7 +86,7 @@ def _in_context(text: Column, spans: Column) -> Column:
 def candidates(text: Column) -> Column:
     """Named spans that both generators propose."""
     address = F.when(F.contains(text, F.lit("@")) | text.rlike(r"[(\[]at[)\]]"), matches(text, LOOSE_ADDRESS)).otherwise(none())
-    number = F.when(text.rlike("[0-9]{2}"), matches(text, LOOSE_NUMBER)).otherwise(none())
+    number = F.when(text.rlike("[0-9]"), matches(text, LOOSE_NUMBER)).otherwise(none())
     return F.concat(named(address, "address", 4), named(number, "number", 5))
 
 
@@ -232,8 +233,11 @@ def fit(found: DataFrame) -> Model:
         thresholds[generator] = 2.0  # nothing passes
         for k, (p, m, y) in enumerate(own):
             n, yes = n + m, yes + y
-            if yes >= PRECISION * n and (k + 1 == len(own) or own[k + 1][0] < p):
-                thresholds[generator] = p
+            if k + 1 < len(own) and (n < LEVEL or own[k + 1][0] == p):
+                continue  # scores are pooled from the highest on until a level holds enough
+            if yes < PRECISION * n:
+                break
+            thresholds[generator], n, yes = p, 0, 0
     return Model(prior, trees, thresholds)
 
 
