@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from dossier.functions.places import bind
+
+__all__ = ["bind", "clear", "fresh", "scratch", "shared_dir", "written"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,19 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The part of the shared folder that holds what this application has written between its steps."""
+    return f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written between its steps; DataFrames made of it cannot be read after."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written once as Parquet to the shared folder and read from there."""
+    """The rows of ``df``, written once as Parquet to the shared folder and read from there, until ``clear``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` applied to ``value``, which is evaluated once however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, for a helper column."""
     taken = {c.lower() for c in df.columns}

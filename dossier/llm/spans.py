@@ -1,4 +1,4 @@
-"""Regular-expression matches with their code point positions, from DataFrame functions only.
+"""Spans of code points: naming, cutting, covering and redaction, from DataFrame functions only.
 
 Everything is about linear in the text and its matches: running sums and running maxima are taken
 by doubling (log2 n passes of one ``transform``), never by appending to an array, and stretches of a
@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dossier.llm.shared import bind
+from dossier.functions.places import bind, matches, running
+
+__all__ = ["apart", "covered", "digest", "matches", "named", "none", "outside", "redact", "stretch"]
 
 SPAN = "struct<start:int,end:int,value:string>"
 #: Characters of the blocks that stretches of a text are cut from.
@@ -23,27 +25,6 @@ def none(kind: str = SPAN) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
-    """``values`` (ints) with each replaced by the join (an associative operation) of all up to it."""
-    steps = F.filter(F.lit([1 << k for k in range(31)]), lambda p: p < F.size(values))
-    return F.aggregate(steps, values, lambda acc, p: F.transform(acc, lambda x, i: F.when(i >= p, join(x, F.get(acc, i - p))).otherwise(x)))
-
-
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches of ``pattern`` as array of (start, end, value); end is exclusive.
-
-    What lies between the matches comes from splitting at them; running lengths give the places.
-    """
-
-    def place(hits: Column, gaps: Column) -> Column:
-        lengths = F.transform(hits, lambda h, i: F.char_length(h) + F.char_length(F.get(gaps, i)))
-        span = lambda end, h: F.struct((end - F.char_length(h)).alias("start"), end.alias("end"), h.alias("value"))
-        return F.zip_with(running(lengths, lambda a, b: a + b), hits, span)
-
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return bind(found, lambda hits: F.when(F.size(hits) == 0, none()).otherwise(bind(F.split(text, pattern, -1), lambda gaps: place(hits, gaps))))
-
-
 def named(spans: Column, kind: str, rank: int) -> Column:
     """Spans as (start, rank, end, kind, value), which sort by start and then by the kinds' order."""
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.shared import shared_dir, written
+from dossier.llm.shared import scratch, written
 from dossier.llm.tokens import encoder
 
 MAGIC = b"EFTOKEN1"
@@ -225,5 +225,5 @@ def read_token_files(spark: SparkSession, path: str, manifest: DataFrame, with_i
 
 
 def token_folder(spark: SparkSession) -> str:
-    """A new folder under the shared one."""
-    return f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    """A new folder of this application under the shared one."""
+    return f"{scratch(spark)}/token-files-{uuid.uuid4().hex}"
