@@ -24,12 +24,20 @@ def bm25_sql(where: str = "TRUE") -> str:
 BM25_SQL = bm25_sql()
 
 
-@query("rk_index_build", "WITH l AS (SELECT doc_id, sum(tf) AS dl FROM doc_terms GROUP BY 1) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences, CAST(max(tf) AS BIGINT) AS most, CAST(sum(dl) AS BIGINT) AS lengths, (SELECT count(*) FROM l) AS documents, count(*) AS postings FROM doc_terms JOIN l USING (doc_id) GROUP BY term")
+@query(
+    "rk_index_build",
+    """WITH every_posting AS (SELECT 'documents' AS corpus, CAST(doc_id AS VARCHAR) AS id, term, tf FROM doc_terms UNION ALL SELECT 'turns', turn_id, term, tf FROM turn_words), l AS (SELECT corpus, id, sum(tf) AS dl FROM every_posting GROUP BY 1, 2), n AS (SELECT corpus, count(*) AS documents FROM l GROUP BY 1)
+    SELECT corpus, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences, CAST(max(tf) AS BIGINT) AS most, CAST(sum(dl) AS BIGINT) AS lengths, any_value(documents) AS documents, count(*) AS postings FROM every_posting JOIN l USING (corpus, id) JOIN n USING (corpus) GROUP BY 1, 2""",
+)
 def rk_index_build(t: Tables) -> DataFrame:
-    """An index written to the shared folder and read back: what is stored of every term."""
-    built = index.build(t.raw("documents"), "doc_id", ["text"], index.shared_folder(t.spark, "index"))
-    n_docs, _ = built.totals()
-    return built.postings.groupBy("term").agg(F.max("df").alias("df"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most"), F.sum("dl").alias("lengths"), F.lit(n_docs).alias("documents"), F.count("*").alias("postings"))
+    """The stored indexes of documents and of turns, written at their first use: what is read back of every term."""
+    parts = []
+    for corpus in ("documents", "turns"):
+        built = t.indexed(corpus)
+        n_docs, _ = built.totals()
+        per = built.postings.groupBy("term").agg(F.max("df").alias("df"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most"), F.sum("dl").alias("lengths"), F.count("*").alias("postings"))
+        parts.append(per.withColumns({"corpus": F.lit(corpus), "documents": F.lit(n_docs)}))
+    return parts[0].unionByName(parts[1])
 
 
 _STRIPPED = "CASE " + " ".join(f"WHEN suffix(term, '{s}') AND length(term) >= {len(s) + 2} THEN term[:-{len(s) + 1}]" for s in LATIN_SUFFIXES) + " END"

@@ -63,7 +63,7 @@ class Index:
 
     def totals(self) -> tuple[int, float]:
         """Number of documents that have words, and their mean length; read from the lengths' two columns."""
-        n, mean = self.lengths.where("dl > 0").agg(F.count("*"), F.avg("dl")).first()
+        n, mean = self.lengths.agg(F.count("*"), F.avg("dl")).first()
         return n, mean or 0.0
 
     def of_terms(self, terms: DataFrame) -> DataFrame:
@@ -86,14 +86,14 @@ def _write_postings(rows: DataFrame, id_col: str, path: str, buckets: int) -> No
     writer.option("partitionOverwriteMode", "dynamic").partitionBy("term_bucket").parquet(f"{path}/postings")
 
 
-def _lengths(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
-    return docs.select(id_col, F.size(tokens(F.concat_ws(" ", *text_cols))).cast("long").alias("dl"))
-
-
 def build(docs: DataFrame, id_col: str, text_cols: list[str], path: str, buckets: int = BUCKETS) -> Index:
-    """Write the index of ``docs``; ids are taken to be unique, null texts are empty."""
-    _write_postings(frequencies(docs, id_col, text_cols), id_col, path, buckets)
-    _lengths(docs, id_col, text_cols).write.mode("overwrite").parquet(f"{path}/lengths")
+    """Write the index of ``docs``; ids are taken to be unique, null texts are empty, documents without words are not in it.
+
+    Texts are tokenised once: the frequencies are written and what follows is made of them.
+    """
+    rows = written(frequencies(docs, id_col, text_cols), "frequencies")
+    _write_postings(rows, id_col, path, buckets)
+    rows.select(id_col, "dl").distinct().write.mode("overwrite").parquet(f"{path}/lengths")
     return Index(docs.sparkSession, path, id_col, docs.schema[id_col].dataType.simpleString(), buckets)
 
 
@@ -112,7 +112,7 @@ def update(index: Index, removed: DataFrame, changed: DataFrame, text_cols: list
     buckets = new.select("term_bucket").unionByName(old.join(touched, key, "left_semi").select("term_bucket")).distinct()
     kept = old.join(F.broadcast(buckets), "term_bucket", "left_semi").join(touched, key, "left_anti").select(key, "term", "tf", "dl")  # a row a bucket
     kept.unionByName(new.select(key, "term", "tf", "dl")).write.parquet(f"{staged}/rows")
-    lengths = index.lengths.join(touched, key, "left_anti").unionByName(_lengths(changed, key, text_cols))
+    lengths = index.lengths.join(touched, key, "left_anti").unionByName(new.select(key, "dl").distinct())
     lengths.write.parquet(f"{staged}/lengths")
     emptied = [r.term_bucket for r in buckets.join(spark.read.parquet(f"{staged}/rows").select(bucket_of(F.col("term"), index.buckets).alias("term_bucket")).distinct(), "term_bucket", "left_anti").collect()]
     _write_postings(spark.read.parquet(f"{staged}/rows"), key, index.path, index.buckets)
