@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import decontamination, fingerprints, licenses, near_dedup, packing, pii, quality, secrets, token_files, tokens, toxicity
+from dossier.llm import decontamination, embedding_dedup, fingerprints, licenses, near_dedup, oracles, packing, pii, prefix_trie, quality, repair, secrets, token_files, tokens, toxicity
+from dossier.llm.shared import written
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -92,10 +93,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of which the damage leaves nothing come back with zeros."""
+    conversations = _table(spark, sf_dir, "conversations")
+    found = repair.audits(repair.damaged(conversations))
+    none = conversations.select("conv_id", *[F.lit(0).cast("long").alias(c) for c in repair.COUNTS], F.lit("").alias("audit"), F.lit(None).cast("string").alias("repaired_sha256")).distinct()
+    every = found.unionByName(none).groupBy("conv_id").agg(*[F.max(c).alias(c) for c in (*repair.COUNTS, "audit", "repaired_sha256")])
+    return every.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    laid = written(prefix_trie.lay_out(_table(spark, sf_dir, "conversations")), "turns-in-place")
+    conv = F.col("conv")
+    rebuilt = prefix_trie.spliced(laid, conv - conv % 5, F.crc32(conv.cast("string")) % 9)
+    return prefix_trie.trie(rebuilt, laid.select("conv"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_licence_scan, op2_order_min_hash, op3_secret_scan, op4_personal_data, op5_packing, op6_token_files, op7_toxicity, op8_importance_resampling, op9_simhash_dedup, op10_decontamination]
+    own = [op1_licence_scan, op2_order_min_hash, op3_secret_scan, op4_personal_data, op5_packing, op6_token_files, op7_toxicity, op8_importance_resampling, op9_simhash_dedup, op10_decontamination, op11_embedding_dedup, op12_conversation_repair, op13_prefix_trie]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licence_scan": licenses.oracle()}
+    return {"op1_licence_scan": licenses.oracle(), "op11_embedding_dedup": oracles.NEAR_VECTORS, "op12_conversation_repair": oracles.repaired(), "op13_prefix_trie": oracles.PREFIX_TRIE}
