@@ -3,8 +3,11 @@
 A text is brought into normal form (lower-case words, all else a space), so wrapped lines, comment
 marks and list numbers vanish.  Known licence sentences are recognised at word boundaries wherever
 they stand and mapped to identifiers; the sequence of identifiers is matched against rules in their
-order, each of which uses up the identifiers it matches.  Only DataFrame functions; each row by
-itself, so nothing is shuffled.
+order, each of which uses up the identifiers it matches.  Every operand of a short-form expression is a
+sentence of its own.  Only DataFrame functions; each row by itself, so nothing is shuffled.
+
+For the rules each identifier is one character.  A match begins where the last one ended and goes to the next
+place of each wanted character; if it fails, no later one can succeed, so a rule reads the sequence once.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ _GPL = "you can redistribute it and or modify it under the terms of the gnu {} a
 #: Licence sentences in normal form, as their licences word them.
 SENTENCES = {
     "apache2-name": "under the apache license version 2 0",
+    "apache2-short": "apache license 2 0",
     "apache2-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
     "apache2-copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
     "apache2-asis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
@@ -27,11 +31,26 @@ SENTENCES = {
     "apache2-terms": "terms and conditions for use reproduction and distribution",
     "mit-name": "under the mit license",
     "mit-title": "the mit license",
+    "mit-short": "mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-asis": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "gpl3-name": "under the gnu general public license version 3",
     "gpl2-name": "under the gnu general public license version 2",
+    "gpl2-only": "under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl2-only-of": "under the terms of version 2 of the gnu general public license as published by the free software foundation",
+    "gpl3-only": "under the terms of the gnu general public license version 3 as published by the free software foundation",
+    "gpl3-only-of": "under the terms of version 3 of the gnu general public license as published by the free software foundation",
+    "lgpl21-only": "under the terms of the gnu lesser general public license version 2 1 as published by the free software foundation",
+    "lgpl21-only-of": "under the terms of version 2 1 of the gnu lesser general public license as published by the free software foundation",
+    "epl1-name": "eclipse public license v 1 0",
+    "epl1-v": "eclipse public license v1 0",
+    "epl2-v": "eclipse public license v2 0",
+    "epl1-title": "eclipse public license version 1 0",
+    "epl1-short": "eclipse public license 1 0",
+    "epl2-name": "eclipse public license v 2 0",
+    "epl2-title": "eclipse public license version 2 0",
+    "epl2-short": "eclipse public license 2 0",
     "gpl3-title": "gnu general public license version 3 29 june 2007",
     "gpl2-title": "gnu general public license version 2 june 1991",
     "gpl3-grant": _GPL.format("general public license", "3"),
@@ -71,10 +90,19 @@ SENTENCES = {
 }
 #: Licences by the identifiers of the public short-form list.
 SHORT_NAMES = [
-    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0-only",
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-1.0", "EPL-2.0", "GPL-2.0-only",
     "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
 ]
-SENTENCES |= {f"spdx-{n}": "spdx license identifier " + n.lower().replace("-", " ").replace(".", " ") for n in SHORT_NAMES}
+#: Names of the list that newer ones have replaced.
+OLD_NAMES = {"AGPL-3.0": "AGPL-3.0-only", "GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3.0": "LGPL-3.0-only"}
+SPDX = "spdx license identifier "
+
+
+def _plain(name: str) -> str:
+    return name.lower().replace("-", " ").replace(".", " ")
+
+
+SENTENCES |= {f"spdx-{n}": SPDX + _plain(n) for n in [*SHORT_NAMES, *OLD_NAMES]}
 #: Rules in order.  A licence needs these identifiers in this order, others between them allowed, and
 #: uses them up, so the clauses of a three-clause licence are not counted for the two-clause one again.
 RULES = [
@@ -82,12 +110,16 @@ RULES = [
     ("Apache-2.0", ["apache2-header", "apache2-asis", "apache2-see"]),
     ("Apache-2.0", ["apache2-header"]),
     ("Apache-2.0", ["apache2-name"]),
+    ("Apache-2.0", ["apache2-short"]),
+    ("Apache-2.0", ["apache2-copy"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("BSD-3-Clause", ["bsd3-name"]),
     ("BSD-2-Clause", ["bsd2-name"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-asis"]),
     ("MIT", ["mit-name"]),
+    ("MIT", ["mit-title"]),
+    ("MIT", ["mit-short"]),
     ("AGPL-3.0-only", ["agpl3-title", "gpl-verbatim"]),
     ("LGPL-3.0-only", ["lgpl3-title", "gpl-verbatim"]),
     ("LGPL-2.1-only", ["lgpl21-title", "gpl-verbatim"]),
@@ -105,6 +137,13 @@ RULES = [
     ("GPL-2.0-or-later", ["gpl2-grant"]),
     ("GPL-3.0-only", ["gpl3-name"]),
     ("GPL-2.0-only", ["gpl2-name"]),
+    ("GPL-2.0-only", ["gpl2-only"]),
+    ("GPL-2.0-only", ["gpl2-only-of"]),
+    ("GPL-3.0-only", ["gpl3-only"]),
+    ("GPL-3.0-only", ["gpl3-only-of"]),
+    ("LGPL-2.1-only", ["lgpl21-only"]),
+    ("LGPL-2.1-only", ["lgpl21-only-of"]),
+    *((name, [f"epl{n}-{kind}"]) for name, n in (("EPL-1.0", 1), ("EPL-2.0", 2)) for kind in ("name", "v", "title", "short")),
     ("MPL-2.0", ["mpl2-subject", "mpl2-obtain"]),
     ("MPL-2.0", ["mpl2-title"]),
     ("ISC", ["isc-grant", "isc-asis"]),
@@ -121,7 +160,14 @@ RULES = [
     ("BSL-1.0", ["boost-grant"]),
     ("Zlib", ["zlib-grant"]),
     *((n, [f"spdx-{n}"]) for n in SHORT_NAMES),
+    *((n, [f"spdx-{old}"]) for old, n in OLD_NAMES.items()),
 ]
+_NAMES = "|".join(sorted(map(_plain, [*SHORT_NAMES, *OLD_NAMES]), key=lambda n: (-len(n), n)))
+_EXCEPTION = "(?:with (?:[a-z0-9]+ ){1,5}?(?:exception|note) (?:[0-9] )*)?"
+#: A name of a short-form expression, after its mark or after another operand.
+OPERAND = rf"({_NAMES}) {_EXCEPTION}"
+#: Before words are taken: the plus of an old short-form name.
+PLUS = (r"(gpl-[0-9][.][0-9])[+]", "{}1-or-later")
 #: Words in which copies of one sentence differ, and what stands for them: secure links and the name of a holder.
 VARIANTS = [(r"\bhttps ", "http "), (r"neither the name (?:of )?(?:[^ ]+ ){1,12}?nor the names of (?:its|their) contributors", "neither the name of the holder nor the names of its contributors")]
 #: Every known sentence holds one of these stems; other texts need no normal form.
@@ -131,11 +177,12 @@ KNOWN = "|".join(sorted(SENTENCES.values(), key=lambda s: (-len(s), s)))
 
 
 def normal_form(text: Column) -> Column:
-    """Lower-case words with a space before and after each word."""
-    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
+    """Lower-case words with a space before and after each word; each operand of a short-form expression gets the expression's mark."""
+    words = F.regexp_replace(F.lower(text), PLUS[0], PLUS[1].format("$"))
+    words = F.concat(F.lit(" "), F.regexp_replace(words, "[^a-z0-9]+", " "), F.lit(" "))
     for pattern, standard in VARIANTS:
         words = F.regexp_replace(words, pattern, standard)
-    return words
+    return F.regexp_replace(words, rf"(?:{SPDX}|\G(?<!^)(?:or|and) ){OPERAND}", f"{SPDX}$1 ")
 
 
 def sentence_ids(text: Column) -> Column:
@@ -148,10 +195,16 @@ def sentence_ids(text: Column) -> Column:
     return F.when(F.lower(text).rlike(STEMS), F.transform(found, lambda s: F.try_element_at(identifier, s))).otherwise(F.array().cast("array<string>"))
 
 
-def _rule(ids: list[str], mark: str) -> tuple[str, str]:
-    """A rule as a pattern over ``;id;;id;`` and what is left of it when its identifiers are used up."""
-    between = "(.*?)"
-    return between.join(f";{i};" for i in ids), "".join(f"{mark}{k}" for k in range(1, len(ids)))
+#: One character for each identifier, from the private range.
+MARKS = {name: chr(0xE000 + k) for k, name in enumerate(SENTENCES)}
+
+
+def _rule(ids: list[str], begin: str, keep: str, mark: str) -> tuple[str, str]:
+    """A rule as a pattern over marks, and what is left when its identifiers are used up."""
+    marks = [MARKS[i] for i in ids]
+    gaps = [f"([^{m}]*{keep})" for m in (marks if begin else marks[1:])]
+    pattern = "".join(g + m for g, m in zip(gaps, marks)) if begin else marks[0] + "".join(g + m for g, m in zip(gaps, marks[1:]))
+    return begin + pattern, "".join(f"{mark}{k + 1}" for k in range(len(gaps)))
 
 
 def licences(ids: Column) -> Column:
@@ -159,16 +212,16 @@ def licences(ids: Column) -> Column:
 
     Rules are tried in their order; what a rule matches is used up, whatever stands between stays.
     """
-    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(p).alias("pattern"), F.lit(rest).alias("rest")) for name, (p, rest) in ((n, _rule(r, "$")) for n, r in RULES)))
+    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(p).alias("pattern"), F.lit(rest).alias("rest")) for name, (p, rest) in ((n, _rule(r, r"\G", "+", "$")) for n, r in RULES)))
     # the wanted identifiers are few, so only rules whose first identifier is there are tried
     firsts = F.array(*(F.lit(r[0]) for _, r in RULES))
     usable = F.filter(rules, lambda _, k: F.array_contains(ids, F.get(firsts, k)))
-    whole = F.concat(F.lit(";"), F.array_join(ids, ";;"), F.lit(";"))
+    mark = F.create_map(*(F.lit(x) for pair in MARKS.items() for x in pair))
+    whole = F.array_join(F.transform(ids, lambda i: F.try_element_at(mark, i)), "")
 
     def step(acc: Column, rule: Column) -> Column:
-        met = F.regexp_count(acc["left"], rule["pattern"]) > 0
-        names = F.when(met, F.concat(acc["names"], F.array(rule["name"]))).otherwise(acc["names"])
-        return F.struct(F.regexp_replace(acc["left"], rule["pattern"], rule["rest"]).alias("left"), names.alias("names"))
+        left = F.regexp_replace(acc["left"], rule["pattern"], rule["rest"])
+        return bind(left, lambda now: F.struct(now.alias("left"), F.when(F.length(now) < F.length(acc["left"]), F.concat(acc["names"], F.array(rule["name"]))).otherwise(acc["names"]).alias("names")))
 
     none = F.array().cast("array<string>")
     found = F.aggregate(usable, F.struct(whole.alias("left"), none.alias("names")), step, lambda acc: acc["names"])
@@ -191,19 +244,22 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def oracle() -> str:
     """DuckDB SQL for the registered query: sentences by one alternation, rules one after the other."""
     quoted = lambda s: "'" + s + "'"
-    known = "map {" + ", ".join(f"{quoted(s)}: {quoted(n)}" for n, s in SENTENCES.items()) + "}"
-    words = "' ' || regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g') || ' '"
+    mapped = lambda pairs: "map {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in pairs) + "}"
+    words = f"regexp_replace(lower(coalesce(text, '')), {quoted(PLUS[0])}, {quoted(PLUS[1].format(chr(92)))}, 'g')"
+    words = f"' ' || regexp_replace({words}, '[^a-z0-9]+', ' ', 'g') || ' '"
     for pattern, standard in VARIANTS:
         words = f"regexp_replace({words}, {quoted(pattern)}, {quoted(standard)}, 'g')"
+    for _ in range(4):  # as many operands after the first
+        words = f"regexp_replace({words}, {quoted(f'({SPDX}(?:{_NAMES})) {_EXCEPTION}(?:or|and) ({_NAMES}) ')}, {quoted(chr(92) + f'1 {SPDX}' + chr(92) + '2 ')}, 'g')"
     left, met, steps = "s0", [], []
     for k, (name, ids) in enumerate(RULES):
-        pattern, rest = _rule(ids, "\\")
+        pattern, rest = _rule(ids, "", "", "\\")
         steps.append(f"r{k} AS (SELECT *, regexp_replace({left}, {quoted(pattern)}, {quoted(rest)}, 'g') AS s{k + 1} FROM {f'r{k - 1}' if k else 'whole'})")
         met.append(f"CASE WHEN s{k} != s{k + 1} THEN {quoted(name)} END")
         left = f"s{k + 1}"
     return f"""
-WITH named AS (SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '{STEMS}') THEN list_transform(regexp_extract_all({words}, '\\b({KNOWN})\\b', 1), lambda x: {known}[x]) ELSE [] END AS ids FROM documents),
-whole AS (SELECT doc_id, ids, ';' || array_to_string(ids, ';;') || ';' AS s0 FROM named),
+WITH named AS (SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '{STEMS}') THEN list_transform(regexp_extract_all({words}, '\\b({KNOWN})\\b', 1), lambda x: {mapped((t, n) for n, t in SENTENCES.items())}[x]) ELSE [] END AS ids FROM documents),
+whole AS (SELECT doc_id, ids, array_to_string(list_transform(ids, lambda x: {mapped(MARKS.items())}[x]), '') AS s0 FROM named),
 {", ".join(steps)}
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
        array_to_string(list_sort(list_distinct([{', '.join(met)}])), ',') AS licences

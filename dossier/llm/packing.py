@@ -3,8 +3,9 @@
 Each partition packs its own documents in reading order and keeps a level array: ``count[h]``
 is its number of open windows filled up to ``h``.  A document's last piece goes to the level
 (an open window or a new one) for which the sum of the squared counts afterwards is least;
-whole windows of a long document are cut off first.  What is still open in the end is joined
-and cut into full windows and windows whose lengths are powers of two, so nothing is padded.
+whole windows of a long document are cut off first.  In the end the pieces of the least filled window go
+through the levels again, over and over, and one is cut only where no open window has room for it, to complete
+the fullest.  The last open window alone is cut into windows whose lengths are powers of two, so nothing is padded.
 
 No row is shuffled: packing depends on nothing outside a partition, and a task that is repeated
 gives the same sequence ids as long as it reads the same rows in the same order, as it does from files.
@@ -41,14 +42,31 @@ class LevelPacker:
         self.count = np.zeros(capacity + 1, np.int64)
         self.windows: dict[int, list[list[Piece]]] = {}  # by level
 
-    def level_for(self, size: int) -> int:
-        """The level, 0 for a new window, where the squared counts grow least; the fullest of equals."""
-        levels = np.append(np.flatnonzero(self.count[: self.capacity - size + 1]), 0)
+    def level_for(self, size: int, new: bool = True) -> int:
+        """The level, 0 for a new window, where the squared counts grow least; the fullest of equals.  Without ``new``, 0 if none has room."""
+        levels = np.flatnonzero(self.count[: self.capacity - size + 1])
+        if new:
+            levels = np.append(levels, 0)
+        if not len(levels):
+            return 0
         after = levels + size
         growth = np.where(after < self.capacity, 2 * self.count[after] + 1, 0) - np.where(levels > 0, 2 * self.count[levels] - 1, 0)
         best = np.flatnonzero(growth == growth.min())
         return int(levels[best].max())
 
+    def take(self, level: int) -> list[Piece]:
+        """An open window of this level, which is no longer open."""
+        self.count[level] -= 1
+        return self.windows[level].pop()
+
+    def put(self, window: list[Piece], level: int) -> list[list[Piece]]:
+        """Open the window at its level, or return it if it is full."""
+        if level == self.capacity:
+            return [window]
+        self.count[level] += 1
+        self.windows.setdefault(level, []).append(window)
+        return []
+
     def add(self, doc: object, ids: bytes) -> list[list[Piece]]:
         total, full = len(ids) // 4, []
         whole = total - total % self.capacity
@@ -56,29 +74,35 @@ class LevelPacker:
             full.append([(doc, start, total, ids[4 * start : 4 * (start + self.capacity)])])
         if size := total - whole:
             level = self.level_for(size)
-            window = []
-            if level:
-                window = self.windows[level].pop()
-                self.count[level] -= 1
+            window = self.take(level) if level else []
             window.append((doc, whole, total, ids[4 * whole :]))
-            if level + size == self.capacity:
-                full.append(window)
-            else:
-                self.count[level + size] += 1
-                self.windows.setdefault(level + size, []).append(window)
+            full += self.put(window, level + size)
         return full
 
     def close(self) -> list[list[Piece]]:
-        """Join what is open and cut it into full windows, then into powers of two."""
-        pieces = [p for level in sorted(self.windows, reverse=True) for w in self.windows[level] for p in w]
-        rest = sum(len(p[3]) // 4 for p in pieces)
-        self.windows.clear()
-        self.count[:] = 0
+        """Spread the least filled window over the others until one is left; cut that one into powers of two."""
+        full: list[list[Piece]] = []
+        while self.count.sum() > 1:
+            for doc, start, total, ids in self.take(int(self.count.nonzero()[0][0])):
+                while ids:
+                    size = len(ids) // 4
+                    level = self.level_for(size, new=False)
+                    if not level and self.count.any():  # no window has room: complete the fullest
+                        level = int(self.count.nonzero()[0][-1])
+                        size = self.capacity - level
+                    window = self.take(level) if level else []
+                    window.append((doc, start, total, ids[: 4 * size]))
+                    full += self.put(window, level + size)
+                    start, ids = start + size, ids[4 * size :]
+        return full + [part for level in self.count.nonzero()[0].tolist() for part in self.cut(self.take(level), level)]
+
+    def cut(self, pieces: list[Piece], rest: int) -> list[list[Piece]]:
+        """The ``rest`` ids of ``pieces`` as windows whose lengths are powers of two."""
         out, window, room = [], [], 0
         for doc, start, total, ids in pieces:
             while ids:
                 if not room:
-                    room = self.capacity if rest >= self.capacity else 1 << (rest.bit_length() - 1)
+                    room = 1 << (rest.bit_length() - 1)
                     rest -= room
                     out.append(window := [])
                 part, ids = ids[: 4 * room], ids[4 * room :]

@@ -82,6 +82,21 @@ def test_level_choice_minimises_squares():
         assert (packer.count**2).sum() == best
 
 
+def test_close_cuts_one_window_and_splits_only_to_complete():
+    rng = np.random.default_rng(4)
+    for capacity in (32, 1024):
+        packer, full, sizes = packing.LevelPacker(capacity), [], [int(x) for x in rng.integers(1, capacity, 500)]
+        for i, size in enumerate(sizes):
+            full += packer.add(i, bytes(4 * size))
+        opened = int(packer.count.sum())
+        closed = packer.close()
+        short = [w for w in closed if sum(len(p[3]) // 4 for p in w) < capacity]
+        assert sum(len(p[3]) // 4 for w in short for p in w) < capacity and not packer.count.any()
+        assert sum(len(p[3]) // 4 for w in full + closed for p in w) == sum(sizes)
+        pieces = sum(len(w) for w in full + closed) - len(sizes)
+        assert pieces <= opened + len(short)  # a cut completes a window
+
+
 def test_elias_fano_round_trip():
     rng = np.random.default_rng(2)
     for n, top in ((0, 1), (1, 0), (5, 3), (1000, 10), (3000, 10**9), (700, 700)):

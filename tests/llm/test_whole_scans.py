@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import textwrap
 
+from pyspark.sql import functions as F
+
 from dossier.llm import licenses, pii, secrets
 
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
@@ -141,3 +143,40 @@ def test_allowed_words_spare_only_their_part(spark):
     got = {r.doc_id: [s.value for s in r.entropy] for r in secrets.find_secrets(data).collect()}
     assert got == {0: ["=" + key], 1: ["/" + long], 2: [], 3: [key], 4: [key + "=", "=" + key], 5: []}
     assert [r.text for r in secrets.redact_secrets(data).where("doc_id < 3").orderBy("doc_id").collect()] == ["SAMPLE_KEY[SECRET]", "/example[SECRET]", texts[2]]
+
+
+def test_short_form_expressions_and_headers(spark):
+    gpl2 = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation."
+    cases = [
+        ("# SPDX-License-Identifier: (MIT OR Apache-2.0)\n", ["Apache-2.0", "MIT"]),
+        ("// SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note OR BSD-3-Clause AND ISC\nint main", ["BSD-3-Clause", "GPL-2.0-only", "ISC"]),
+        ("/* SPDX-License-Identifier: GPL-2.0+ */", ["GPL-2.0-or-later"]),
+        ("SPDX-License-Identifier: LGPL-2.1", ["LGPL-2.1-only"]),
+        ("SPDX-License-Identifier: EPL-2.0 OR GPL-2.0-only WITH Classpath-exception-2.0 OR MIT", ["EPL-2.0", "GPL-2.0-only", "MIT"]),
+        (gpl2, ["GPL-2.0-only"]),
+        ("it under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation", ["GPL-2.0-only"]),
+        ("Distributed under Apache License 2.0", ["Apache-2.0"]),
+        ("MIT License\n\nCopyright", ["MIT"]),
+        ("This program is made available under the terms of the Eclipse Public License v1.0", ["EPL-1.0"]),
+        ("You may choose apples or mit of stone", []),
+    ]
+    got = {r.doc_id: r.licences for r in licenses.scan_licences(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_many_repeated_partial_notices_take_linear_time(spark):
+    import time
+
+    header = " ".join(APACHE.split("You may obtain")[0].split()) + " " + APACHE[APACHE.index("Unless") : APACHE.index("See the")] + "\n"
+    grant = MIT[MIT.index("Permission") : MIT.index("THE SOFTWARE")]
+    df = spark.createDataFrame([(1, header * 5000), (2, grant * 5000), (3, header * 5000 + APACHE)], "doc_id long, text string").coalesce(1)
+    licenses.scan_licences(df.limit(1)).collect()
+    pairs = [["apache2-header", "apache2-asis"], ["mit-grant", "mit-notice"], ["bsd-grant", "bsd-source"]]
+    ids = spark.createDataFrame([(p,) for p in pairs], "pair array<string>").coalesce(1).select(F.flatten(F.array_repeat("pair", 5000)).alias("ids"))
+    took = []
+    for _ in range(3):  # the first compiles
+        began = time.time()
+        assert [r[0] for r in ids.select(licenses.licences(ids.ids)).collect()] == [["Apache-2.0"], [], []]
+        took.append(time.time() - began)
+    assert min(took) < 2
+    assert {r.doc_id: r.licences for r in licenses.scan_licences(df).collect()} == {1: ["Apache-2.0"], 2: [], 3: ["Apache-2.0"]}
