@@ -9,7 +9,7 @@ from dossier.catalog.evidence import RECORDS_SQL
 from dossier.catalog.ingestion import COHERENCE_SQL
 from dossier.functions.labels import suspect_name
 from dossier.operators import aggregation, corpus
-from dossier.operators.index import shared_folder
+from dossier.scratch import shared_folder
 from dossier.registry import query
 from dossier.sources import pages
 from dossier.views import PAGE_SIZE, Tables

@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from dossier.catalog.linking import QA_SQL, relations
 from dossier.operators import corpus, evidence, search
-from dossier.operators.index import written
+from dossier.scratch import written
 from dossier.registry import query
 from dossier.views import Tables
 
 NODES_SQL = """
   claimed AS (SELECT 'bill:' || number AS id, 'bill' AS node_type, name AS label, number AS locator FROM entities
-    UNION ALL SELECT 'status:' || number, 'bill_status', result, number FROM entities WHERE result IS NOT NULL UNION ALL SELECT 'text:' || CAST(doc_id AS VARCHAR), 'bill_text', source, digest FROM bill_texts WHERE doc_id % 3 != 2
-    UNION ALL SELECT 'meeting:' || CAST(group_id AS VARCHAR), 'meeting', committee, url FROM meetings UNION ALL SELECT 'minutes:' || CAST(group_id AS VARCHAR), 'minutes_document', kind, url FROM meetings WHERE group_id % 9 != 4
-    UNION ALL SELECT 'report:' || CAST(page_id AS VARCHAR), 'review_report', 'review', url FROM review_reports UNION ALL SELECT 'page:' || CAST(group_id AS VARCHAR) || '/' || CAST(seq // 3 AS VARCHAR), 'document_page', CAST(seq // 3 AS VARCHAR), CAST(group_id AS VARCHAR) FROM turns WHERE group_id % 5 != 2
+    UNION ALL SELECT 'status:' || number, 'bill_status', result, number FROM entities WHERE result IS NOT NULL UNION ALL SELECT 'text:' || CAST(doc_id AS VARCHAR), 'bill_text', source, digest FROM bill_texts
+    UNION ALL SELECT 'meeting:' || CAST(group_id AS VARCHAR), 'meeting', committee, url FROM meetings UNION ALL SELECT 'minutes:' || CAST(group_id AS VARCHAR), 'minutes_document', kind, url FROM meetings
+    UNION ALL SELECT 'report:' || CAST(page_id AS VARCHAR), 'review_report', 'review', url FROM review_reports UNION ALL SELECT 'page:' || CAST(group_id AS VARCHAR) || '/' || CAST(seq // 3 AS VARCHAR), 'document_page', CAST(seq // 3 AS VARCHAR), CAST(group_id AS VARCHAR) FROM turns
     UNION ALL SELECT 'speech:' || turn_id, 'speech', role, CAST(seq AS VARCHAR) FROM turns UNION ALL SELECT 'person:' || speaker, 'person', speaker, turn_id FROM turns UNION ALL SELECT 'agenda:' || number, 'agenda', title, CAST(group_id % 2 AS VARCHAR) FROM agenda
     UNION ALL SELECT 'response:' || turn_id, 'government_response', CASE WHEN seq % 2 = 1 THEN 'qa_response' ELSE 'statement' END, CAST(seq AS VARCHAR) FROM turns WHERE role = 'assistant' UNION ALL SELECT 'issue:' || CAST(item_id AS VARCHAR), 'issue', left(text, 40), CAST(item_id AS VARCHAR) FROM benchmark),
   merged AS (SELECT id, count(DISTINCT node_type || chr(31) || label || CASE WHEN node_type = 'person' THEN '' ELSE chr(31) || locator END) AS versions, min((node_type, label, locator)) AS n, count(*) AS claims FROM claimed GROUP BY 1),
@@ -43,9 +43,9 @@ def claimed_nodes(t: Tables) -> DataFrame:
     page = _page(c("seq"))
     return _union([
         node(t.entities, "bill", c("number"), "bill", c("name"), c("number")), node(t.entities.where("result is not null"), "status", c("number"), "bill_status", c("result"), c("number")),
-        node(t.bill_texts.where("doc_id % 3 != 2"), "text", c("doc_id"), "bill_text", c("source"), c("digest")), node(t.meetings, "meeting", c("group_id"), "meeting", c("committee"), c("url")),
-        node(t.meetings.where("group_id % 9 != 4"), "minutes", c("group_id"), "minutes_document", c("kind"), c("url")), node(t.review_reports, "report", c("page_id"), "review_report", F.lit("review"), c("url")),
-        node(t.turns.where("group_id % 5 != 2"), "page", F.concat_ws("/", c("group_id").cast("string"), page), "document_page", page, c("group_id")), node(t.turns, "speech", c("turn_id"), "speech", c("role"), seq),
+        node(t.bill_texts, "text", c("doc_id"), "bill_text", c("source"), c("digest")), node(t.meetings, "meeting", c("group_id"), "meeting", c("committee"), c("url")),
+        node(t.meetings, "minutes", c("group_id"), "minutes_document", c("kind"), c("url")), node(t.review_reports, "report", c("page_id"), "review_report", F.lit("review"), c("url")),
+        node(t.turns, "page", F.concat_ws("/", c("group_id").cast("string"), page), "document_page", page, c("group_id")), node(t.turns, "speech", c("turn_id"), "speech", c("role"), seq),
         node(t.turns, "person", c("speaker"), "person", c("speaker"), c("turn_id")), node(t.agenda, "agenda", c("number"), "agenda", c("title"), c("group_id") % 2),
         node(t.turns.where("role = 'assistant'"), "response", c("turn_id"), "government_response", F.when(c("seq") % 2 == 1, "qa_response").otherwise("statement"), seq),
         node(t.raw("benchmark"), "issue", c("item_id"), "issue", F.left("text", F.lit(40)), c("item_id")),
@@ -82,12 +82,12 @@ EDGES_SQL = f"""{NODES_SQL}, {QA_SQL}, {ISSUES_SQL},
   titled AS (SELECT DISTINCT 'speech:' || turn_id AS source, p_name || CASE WHEN seq % 5 = 3 THEN ' (draft)' ELSE '' END AS title FROM links JOIN part ON CAST(number AS BIGINT) = p_partkey WHERE link_type = 'AGENDA_MATCH'),
   labels AS (SELECT label, count(*) AS n, min(id) AS one FROM nodes WHERE node_type = 'agenda' GROUP BY 1),
   bound AS (SELECT source, CASE WHEN n = 1 THEN one ELSE 'agenda-title:' || title END AS target, coalesce(n, 0) > 1 AS ambiguous FROM titled LEFT JOIN labels ON label = title),
-  claims AS (SELECT 'bill:' || number AS source, 'status:' || number AS target, 'has_status' AS edge_type, 'overlay' AS reason FROM entities WHERE CAST(number AS BIGINT) % 3 != 0
-    UNION SELECT 'bill:' || number, 'text:' || CAST(doc_id AS VARCHAR), 'has_bill_text', lang FROM bill_texts UNION SELECT 'meeting:' || CAST(group_id AS VARCHAR), 'agenda:' || number, 'has_agenda', 'listed' FROM agenda
-    UNION SELECT 'agenda:' || number, 'bill:' || number, 'agenda_for_bill', 'exact_number' FROM agenda UNION SELECT 'meeting:' || CAST(group_id AS VARCHAR), 'minutes:' || CAST(group_id AS VARCHAR), 'has_minutes', 'url' FROM meetings
+  claims AS (SELECT 'bill:' || number AS source, 'status:' || number AS target, 'has_status' AS edge_type, 'overlay' AS reason FROM entities
+    UNION SELECT 'bill:' || number, 'text:' || CASE WHEN doc_id % 3 = 2 THEN 'lost-' ELSE '' END || CAST(doc_id AS VARCHAR), 'has_bill_text', lang FROM bill_texts UNION SELECT 'meeting:' || CAST(group_id AS VARCHAR), 'agenda:' || number, 'has_agenda', 'listed' FROM agenda
+    UNION SELECT 'agenda:' || number, 'bill:' || number, 'agenda_for_bill', 'exact_number' FROM agenda UNION SELECT 'meeting:' || CAST(group_id AS VARCHAR), 'minutes:' || CASE WHEN group_id % 9 = 4 THEN 'lost-' ELSE '' END || CAST(group_id AS VARCHAR), 'has_minutes', 'url' FROM meetings
     UNION SELECT 'agenda:' || number, 'minutes:' || CAST(group_id AS VARCHAR), 'evidenced_by_minutes', 'meeting' FROM agenda UNION SELECT 'bill:' || number, 'report:' || CAST(page_id AS VARCHAR), 'has_review_report', 'url' FROM review_reports
     UNION SELECT 'minutes:' || CAST(group_id AS VARCHAR), 'page:' || CAST(group_id AS VARCHAR) || '/' || CAST(seq // 3 AS VARCHAR), 'has_page', 'locator' FROM turns UNION SELECT 'minutes:' || CAST(group_id AS VARCHAR), 'speech:' || turn_id, 'contains_speech', 'parsed' FROM turns
-    UNION SELECT 'page:' || CAST(group_id AS VARCHAR) || '/' || CAST(seq // 3 AS VARCHAR), 'speech:' || turn_id, 'page_contains_speech', 'locator' FROM turns UNION SELECT source, target, 'addresses_agenda', 'title' FROM bound WHERE NOT ambiguous
+    UNION SELECT 'page:' || CASE WHEN group_id % 5 = 2 THEN 'lost-' ELSE '' END || CAST(group_id AS VARCHAR) || '/' || CAST(seq // 3 AS VARCHAR), 'speech:' || turn_id, 'page_contains_speech', 'locator' FROM turns UNION SELECT source, target, 'addresses_agenda', 'title' FROM bound WHERE NOT ambiguous
     UNION SELECT 'speech:' || turn_id, 'bill:' || number, 'discusses_bill', link_type FROM links UNION SELECT 'person:' || speaker, 'speech:' || turn_id, 'made_speech', 'speaker' FROM turns UNION SELECT 'response:' || turn_id, 'speech:' || turn_id, 'derived_from_speech', 'role' FROM turns WHERE role != 'system'
     UNION SELECT 'speech:' || source, 'speech:' || target, lower(relation), 'adjacent' FROM qa UNION SELECT 'speech:' || turn_id, 'speech:' || next_id, 'continues', 'page_break' FROM follows WHERE seq % 3 = 2 AND next_id IS NOT NULL
     UNION SELECT ref, 'issue:' || CAST(item_id AS VARCHAR), CASE WHEN kind IN ('bill', 'agenda', 'meeting') THEN 'has_issue' WHEN kind IN ('document', 'report') THEN 'identifies_issue' ELSE 'discusses_issue' END, kind FROM refs),
@@ -96,7 +96,8 @@ EDGES_SQL = f"""{NODES_SQL}, {QA_SQL}, {ISSUES_SQL},
 
 
 def edge_claims(t: Tables, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Claims on all twenty-one types of edge, and those that stay ambiguous."""
+    """Claims on all twenty-one types of edge, and those that stay ambiguous; some name what does not exist."""
+    lost = lambda wrong: F.when(wrong, "lost-").otherwise("")
     lit, c = F.lit, F.col
     edge = lambda df, source, target, kind, reason: df.select(source.alias("source"), target.alias("target"), kind.alias("edge_type"), reason.alias("reason"))
     bill, agenda, speech, meeting, minutes = _ref("bill", c("number")), _ref("agenda", c("number")), _ref("speech", c("turn_id")), _ref("meeting", c("group_id")), _ref("minutes", c("group_id"))
@@ -110,10 +111,10 @@ def edge_claims(t: Tables, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     bound, ambiguous = evidence.by_title(titled, nodes, "agenda")
     issue_kind = F.when(c("kind").isin("bill", "agenda", "meeting"), "has_issue").when(c("kind").isin("document", "report"), "identifies_issue").otherwise("discusses_issue")
     claims = _union([
-        edge(t.entities.where(c("number").cast("long") % 3 != 0), bill, _ref("status", c("number")), lit("has_status"), lit("overlay")), edge(t.bill_texts, bill, _ref("text", c("doc_id")), lit("has_bill_text"), c("lang")),
-        edge(t.agenda, meeting, agenda, lit("has_agenda"), lit("listed")), edge(t.agenda, agenda, bill, lit("agenda_for_bill"), lit("exact_number")), edge(t.meetings, meeting, minutes, lit("has_minutes"), lit("url")),
+        edge(t.entities, bill, _ref("status", c("number")), lit("has_status"), lit("overlay")), edge(t.bill_texts, bill, _ref("text", F.concat(lost(c("doc_id") % 3 == 2), c("doc_id").cast("string"))), lit("has_bill_text"), c("lang")),
+        edge(t.agenda, meeting, agenda, lit("has_agenda"), lit("listed")), edge(t.agenda, agenda, bill, lit("agenda_for_bill"), lit("exact_number")), edge(t.meetings, meeting, _ref("minutes", F.concat(lost(c("group_id") % 9 == 4), c("group_id").cast("string"))), lit("has_minutes"), lit("url")),
         edge(t.agenda, agenda, minutes, lit("evidenced_by_minutes"), lit("meeting")), edge(t.review_reports, bill, _ref("report", c("page_id")), lit("has_review_report"), lit("url")), edge(t.turns, minutes, page, lit("has_page"), lit("locator")),
-        edge(t.turns, minutes, speech, lit("contains_speech"), lit("parsed")), edge(t.turns, page, speech, lit("page_contains_speech"), lit("locator")), bound, edge(t.links, speech, bill, lit("discusses_bill"), c("link_type")),
+        edge(t.turns, minutes, speech, lit("contains_speech"), lit("parsed")), edge(t.turns, _ref("page", F.concat(lost(c("group_id") % 5 == 2), F.concat_ws("/", c("group_id").cast("string"), _page(c("seq"))))), speech, lit("page_contains_speech"), lit("locator")), bound, edge(t.links, speech, bill, lit("discusses_bill"), c("link_type")),
         edge(t.turns, _ref("person", c("speaker")), speech, lit("made_speech"), lit("speaker")), edge(t.turns.where("role != 'system'"), _ref("response", c("turn_id")), speech, lit("derived_from_speech"), lit("role")),
         edge(relations(t), _ref("speech", c("source")), _ref("speech", c("target")), F.lower("relation"), lit("adjacent")), edge(follows, speech, _ref("speech", c("next")), lit("continues"), lit("page_break")),
         edge(issue_references(t), c("ref"), _ref("issue", c("item_id")), issue_kind, c("kind")),
@@ -146,11 +147,11 @@ def gr_responses(t: Tables) -> DataFrame:
     return t.turns.where("role = 'assistant'").select("turn_id").join(touched, "turn_id", "left").select("turn_id", F.when(F.col("qa"), "qa_response").otherwise("statement").alias("label"))
 
 
-@query("gr_page_links", "WITH p AS (SELECT group_id, seq // 3 AS page, count(*) AS n FROM turns WHERE group_id % 5 != 2 GROUP BY 1, 2), l AS (SELECT turn_id, group_id, unnest(CASE WHEN seq % 3 = 2 THEN [seq // 3, seq // 3 + 1] ELSE [seq // 3] END) AS page FROM turns) SELECT turn_id, l.page, CASE WHEN n IS NULL THEN 'missing' WHEN n > 3 THEN 'ambiguous' ELSE 'linked' END AS status FROM l LEFT JOIN p USING (group_id, page)")
+@query("gr_page_links", "WITH p AS (SELECT group_id, seq // 3 + CASE WHEN group_id % 5 = 2 THEN 1 ELSE 0 END AS page, count(*) AS n FROM turns GROUP BY 1, 2), l AS (SELECT turn_id, group_id, unnest(CASE WHEN seq % 3 = 2 THEN [seq // 3, seq // 3 + 1] ELSE [seq // 3] END) AS page FROM turns) SELECT turn_id, l.page, CASE WHEN n IS NULL THEN 'missing' WHEN n > 3 THEN 'ambiguous' ELSE 'linked' END AS status FROM l LEFT JOIN p USING (group_id, page)")
 def gr_page_links(t: Tables) -> DataFrame:
-    """Locators such as "0|1" are taken apart and each part looked up among the pages."""
+    """Locators such as "0|1" are taken apart and each part looked up among the pages, which some groups number from one on."""
     page = F.floor(F.col("seq") / 3)
-    known = t.turns.where("group_id % 5 != 2").groupBy("group_id", page.alias("page")).agg(F.count("*").alias("n"))
+    known = t.turns.groupBy("group_id", (page + F.when(F.col("group_id") % 5 == 2, 1).otherwise(0)).alias("page")).agg(F.count("*").alias("n"))
     locator = F.when(F.col("seq") % 3 == 2, F.concat(page.cast("string"), F.lit("|"), (page + 1).cast("string"))).otherwise(page.cast("string"))
     parts = t.turns.select("turn_id", "group_id", F.explode(F.transform(F.split(locator, r"\|"), lambda p: p.cast("long"))).alias("page"))
     status = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 3, "ambiguous").otherwise("linked")

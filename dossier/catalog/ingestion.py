@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.text import stable_id
 from dossier.operators import corpus
-from dossier.operators.index import shared_folder
+from dossier.scratch import shared_folder
 from dossier.registry import query
 from dossier.sources import pages
 from dossier.views import PAGE_SIZE, Tables

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.operators import corpus, linking
 from dossier.operators.gate import recall
-from dossier.operators.index import shared_folder
+from dossier.scratch import shared_folder
 from dossier.registry import query
 from dossier.views import Tables
 

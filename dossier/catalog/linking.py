@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.operators import gate, linking
+from dossier.catalog.searching import bm25_sql
+from dossier.operators import gate, linking, search
 from dossier.registry import query
 from dossier.views import Tables
 
@@ -96,15 +97,15 @@ def jn_required_exact(t: Tables) -> DataFrame:
 
 
 MAPPING_SQL = """
-  cand AS (SELECT doc_id % 400 AS identity, doc_id, CASE WHEN doc_id % 11 = 0 THEN 'moved' ELSE source END AS url, row_number() OVER (PARTITION BY doc_id % 400 ORDER BY doc_id) AS copy FROM documents),
-  work AS (SELECT doc_id % 450 AS identity, count(*) AS targets, min(source) AS url FROM documents WHERE doc_id % 3 != 0 GROUP BY 1)"""
+  cand AS (SELECT doc_id // 3 AS identity, doc_id, CASE WHEN doc_id % 11 = 0 THEN 'moved' ELSE source END AS url, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id) AS copy FROM documents),
+  work AS (SELECT CASE WHEN doc_id % 4 = 1 THEN doc_id // 3 ELSE doc_id + 1 END AS identity, count(*) AS targets, min(source) AS url FROM documents GROUP BY 1)"""
 
 
 @query("jn_exact_mapping", f"WITH {MAPPING_SQL} SELECT doc_id, CASE WHEN copy > 1 THEN 'duplicate' WHEN targets IS NULL THEN 'unmapped' WHEN targets > 1 THEN 'ambiguous' WHEN c.url != w.url THEN 'url_mismatch' ELSE 'mapped' END AS outcome FROM cand c LEFT JOIN work w USING (identity)")
 def jn_exact_mapping(t: Tables) -> DataFrame:
     docs = t.raw("documents")
-    candidates = docs.select((F.col("doc_id") % 400).alias("identity"), "doc_id", F.when(F.col("doc_id") % 11 == 0, "moved").otherwise(F.col("source")).alias("url"))
-    work = docs.where("doc_id % 3 != 0").select((F.col("doc_id") % 450).alias("identity"), F.col("source").alias("url"))
+    candidates = docs.select(F.floor(F.col("doc_id") / 3).cast("long").alias("identity"), "doc_id", F.when(F.col("doc_id") % 11 == 0, "moved").otherwise(F.col("source")).alias("url"))
+    work = docs.select(F.when(F.col("doc_id") % 4 == 1, F.floor(F.col("doc_id") / 3).cast("long")).otherwise(F.col("doc_id") + 1).alias("identity"), F.col("source").alias("url"))
     return linking.exact_mapping(candidates, work, [F.asc("doc_id")]).select("doc_id", "outcome")
 
 
@@ -140,11 +141,12 @@ def jn_status_overlay(t: Tables) -> DataFrame:
     return linking.overlay_status(own, rows, F.col("ord"), ["committee"], ["result", "stage"])
 
 
-@query("jn_agenda_gaps", "WITH a AS (SELECT group_id, seq, title || CASE WHEN seq % 7 = 6 THEN ' (new)' ELSE '' END AS title FROM agenda WHERE seq % 2 = 0), e AS (SELECT p_name AS title, count(DISTINCT p_partkey) AS n FROM part WHERE p_size > 45 GROUP BY 1) SELECT group_id, seq, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'inferred_unresolved' ELSE 'ambiguous' END AS gap FROM a LEFT JOIN e USING (title)")
+@query("jn_agenda_gaps", "WITH a AS (SELECT group_id, seq, title || CASE WHEN seq % 7 = 6 THEN ' (new)' ELSE '' END AS title FROM agenda), e AS (SELECT p_name || CASE WHEN p_size > 45 THEN '' WHEN p_size > 20 THEN ' (old)' ELSE ' (draft)' END AS title, count(DISTINCT p_partkey) AS n FROM part GROUP BY 1) SELECT group_id, seq, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'inferred_unresolved' ELSE 'ambiguous' END AS gap FROM a LEFT JOIN e USING (title)")
 def jn_agenda_gaps(t: Tables) -> DataFrame:
-    """Every second item of an agenda has no number; its title is looked up among the accepted parts, those of a large size."""
-    items = t.agenda.where("seq % 2 = 0").select("group_id", "seq", F.concat("title", F.when(F.col("seq") % 7 == 6, " (new)").otherwise("")).alias("title"))
-    accepted = t.raw("part").where("p_size > 45").select(F.col("p_name").alias("title"), F.col("p_partkey").alias("number"))
+    """An item without a number is looked up by its title among the parts; those of small size go by other titles."""
+    items = t.agenda.select("group_id", "seq", F.concat("title", F.when(F.col("seq") % 7 == 6, " (new)").otherwise("")).alias("title"))
+    title = F.concat("p_name", F.when(F.col("p_size") > 45, "").when(F.col("p_size") > 20, " (old)").otherwise(" (draft)"))
+    accepted = t.raw("part").select(title.alias("title"), F.col("p_partkey").alias("number"))
     return linking.title_gaps(items, accepted).select("group_id", "seq", "gap")
 
 
@@ -202,7 +204,7 @@ def jn_exact_enforce(t: Tables) -> DataFrame:
 
 @query(
     "wn_threads",
-    """WITH hits AS (SELECT l_orderkey AS group_id, l_linenumber AS seq FROM lineitem WHERE l_orderkey < 0 UNION SELECT group_id, seq FROM turns WHERE (group_id + seq) % 4 = 0),
+    f"""WITH {bm25_sql()}, hits AS (SELECT DISTINCT group_id, seq FROM ranked JOIN turns USING (turn_id) WHERE rank <= 10),
     f AS (SELECT group_id, seq, coalesce(CAST(seq - lag(seq) OVER (PARTITION BY group_id ORDER BY seq) > 3 AS INT), 1) AS new FROM hits), n AS (SELECT *, sum(new) OVER (PARTITION BY group_id ORDER BY seq) AS thread FROM f),
     s AS (SELECT group_id, thread, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_hits FROM n GROUP BY 1, 2),
     j AS (SELECT s.*, t.seq AS pos, t.role FROM s JOIN turns t ON t.group_id = s.group_id AND t.seq BETWEEN first_seq - 2 AND last_seq + 2), p AS (SELECT group_id, thread, role, min(pos) AS first_at FROM j GROUP BY 1, 2, 3),
@@ -210,4 +212,6 @@ def jn_exact_enforce(t: Tables) -> DataFrame:
     SELECT j.group_id, CAST(j.thread AS BIGINT) AS thread, first_seq, last_seq, n_hits, participants, count(*) AS n_turns FROM j JOIN q ON j.group_id = q.group_id AND j.thread = q.thread GROUP BY ALL""",
 )
 def wn_threads(t: Tables) -> DataFrame:
-    return linking.threads(t.turns.where("(group_id + seq) % 4 = 0"), t.turns, gap=3)
+    """The ten best turns of each benchmark text are the hits."""
+    hits = search.bm25(t.indexed("turns"), t.query_words, 10).select("turn_id").distinct().join(t.turns, "turn_id")
+    return linking.threads(hits, t.turns, gap=3)

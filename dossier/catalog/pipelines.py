@@ -9,10 +9,10 @@ from dossier.catalog.aggregation import BINDINGS_SQL, bindings
 from dossier.catalog.evidence import EDGES_SQL, RECORDS_SQL, evidence_records, resolved
 from dossier.catalog.ingestion import COHERENCE_SQL
 from dossier.catalog.lifecycle import INVENTORY_SQL, inventories
-from dossier.catalog.searching import fused_sql, speech_sql
+from dossier.catalog.searching import bm25_sql, entity_search_sql, fused_sql, speech_sql
 from dossier.catalog.texts import QUALITY_SQL, ag_parse_quality
-from dossier.operators import linking
-from dossier.operators.index import shared_folder, written
+from dossier.operators import linking, search
+from dossier.scratch import shared_folder, written
 from dossier.plans import research
 from dossier.registry import query
 from dossier.sources import pages
@@ -30,9 +30,11 @@ def pl_search_speeches(t: Tables) -> DataFrame:
     return research.search_speeches(t, 10, role="user", kind="committee", day_from="2020-01-05")
 
 
-@query("pl_speech_context", "SELECT h.turn_id AS hit, t.turn_id, t.role, m.url FROM turns h JOIN turns t ON t.group_id = h.group_id AND t.seq BETWEEN h.seq - 2 AND h.seq + 2 JOIN meetings m ON m.group_id = t.group_id WHERE h.group_id % 8 = 2 AND h.seq = 2")
+@query("pl_speech_context", f"WITH {bm25_sql()} SELECT h.turn_id AS hit, t.turn_id, t.role, m.url FROM turns h JOIN turns t ON t.group_id = h.group_id AND t.seq BETWEEN h.seq - 2 AND h.seq + 2 JOIN meetings m ON m.group_id = t.group_id WHERE h.turn_id IN (SELECT turn_id FROM ranked WHERE rank <= 3)")
 def pl_speech_context(t: Tables) -> DataFrame:
-    near = linking.context(t.turns, t.turns.where("group_id % 8 = 2 and seq = 2"), 2, 2)
+    """What stands around the three best turns of each benchmark text."""
+    hits = search.bm25(t.indexed("turns"), t.query_words, 3).select("turn_id").distinct()
+    near = linking.context(t.turns, t.turns.join(hits, "turn_id", "left_semi"), 2, 2)
     return near.join(t.turns.select("turn_id", "group_id"), "turn_id").join(t.meetings.select("group_id", "url"), "group_id").select("hit", "turn_id", "role", "url")
 
 
@@ -119,16 +121,18 @@ def pl_list_meetings(t: Tables) -> DataFrame:
     return t.meetings.where("term = 19").select("kind", "group_id", "held_on", F.row_number().over(order).cast("long").alias("place")).where("place <= 20")
 
 
-@query("pl_search_bills", """WITH w AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, ['urgent', 'low', 'customer#00000001', 'medium', 'machinery'][n_nationkey % 5 + 1] AS q, CASE WHEN n_nationkey % 2 = 0 THEN 'pending' END AS status FROM nation),
-  f AS (SELECT query_id, number, proposed_at, coalesce(result, 'pending') AS status FROM w JOIN entities ON (contains(lower(name), q) OR contains(lower(proposer), q) OR contains(lower(committee), q)) AND (w.status IS NULL OR coalesce(result, 'pending') = w.status)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY proposed_at DESC, number) AS rank FROM f),
-  o AS (SELECT number, count(DISTINCT turn_id) AS turns FROM links GROUP BY 1) SELECT query_id, number, rank, status, coalesce(turns, 0) AS turns FROM r LEFT JOIN o USING (number) WHERE rank <= 25""")
+BILL_QUERIES = ["urgent household", "low", "customer#00000001 the", "medium machinery", "furniture para der"]
+_BILLS_SQL = f"SELECT CAST(n_nationkey AS BIGINT) AS query_id, {BILL_QUERIES}[n_nationkey % 5 + 1] AS q, CASE WHEN n_nationkey % 2 = 0 THEN 'pending' END AS w_status, NULL::BIGINT AS w_term, NULL::VARCHAR AS w_committee FROM nation"
+
+
+@query("pl_search_bills", f"""WITH {entity_search_sql(_BILLS_SQL, "SELECT number, text FROM bill_texts JOIN documents USING (doc_id)", 25)},
+  o AS (SELECT number, count(DISTINCT turn_id) AS turns FROM links GROUP BY 1) SELECT query_id, number, part, rank, coalesce(result, 'pending') AS status, coalesce(turns, 0) AS turns FROM ranked JOIN entities USING (number) LEFT JOIN o USING (number)""")
 def pl_search_bills(t: Tables) -> DataFrame:
-    """Entities found by their words, with status and how many turns speak of them."""
+    """Entities by any of a query's words, then those whose documents hold one, with status and how many turns speak of them."""
     k = F.col("n_nationkey")
-    word = F.get(F.lit(["urgent", "low", "customer#00000001", "medium", "machinery"]), (k % 5).cast("int"))
     none = F.lit(None)
-    wanted = t.raw("nation").select(k.cast("long").alias("query_id"), word.alias("q"), F.when(k % 2 == 0, "pending").alias("status"), none.cast("long").alias("term"), none.cast("string").alias("committee"))
-    return research.search_bills(t.entities, t.links, wanted, 25)
+    wanted = t.raw("nation").select(k.cast("long").alias("query_id"), F.get(F.lit(BILL_QUERIES), (k % 5).cast("int")).alias("q"), F.when(k % 2 == 0, "pending").alias("status"), none.cast("long").alias("term"), none.cast("string").alias("committee"))
+    return research.search_bills(t, wanted, 25)
 
 
 @query("pl_corpus_build", f"""WITH {INVENTORY_SQL}, items AS (SELECT term, kind, item FROM work WHERE gap IS NULL), o AS (SELECT *, CASE CAST('0x' || sha256(item)[1:8] AS BIGINT) % 20 WHEN 3 THEN CASE WHEN kind = 'review' THEN 'permanent' ELSE 'success' END WHEN 7 THEN CASE WHEN kind = 'minutes' AND term = 19 THEN 'retryable' ELSE 'success' END ELSE 'success' END AS outcome FROM items),

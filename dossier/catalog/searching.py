@@ -35,8 +35,8 @@ def rk_index_build(t: Tables) -> DataFrame:
     for corpus in ("documents", "turns"):
         built = t.indexed(corpus)
         n_docs, _ = built.totals()
-        per = built.postings.groupBy("term").agg(F.max("df").alias("df"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most"), F.sum("dl").alias("lengths"), F.count("*").alias("postings"))
-        parts.append(per.withColumns({"corpus": F.lit(corpus), "documents": F.lit(n_docs)}))
+        per = built.postings.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.max("tf").alias("most"), F.sum("dl").alias("lengths"), F.count("*").alias("postings"))
+        parts.append(per.join(built.terms, "term").withColumns({"corpus": F.lit(corpus), "documents": F.lit(n_docs)}))
     return parts[0].unionByName(parts[1])
 
 
@@ -63,7 +63,8 @@ def rk_index_update(t: Tables) -> DataFrame:
     docs = t.raw("documents").select("doc_id", "text")
     changed = docs.where("doc_id % 10 = 4").withColumn("text", F.concat("text", F.lit(" appended words words")))
     built = index.build(docs, "doc_id", ["text"], index.shared_folder(t.spark, "index"))
-    return index.update(built, docs.where("doc_id % 10 = 3").select("doc_id"), changed, ["text"]).postings.select("doc_id", "term", "tf", "dl", "df")
+    now = index.update(built, docs.where("doc_id % 10 = 3").select("doc_id"), changed, ["text"])
+    return now.postings.join(now.terms, "term").select("doc_id", "term", "tf", "dl", "df")
 
 
 @query(
@@ -315,24 +316,35 @@ def rk_tier_select(t: Tables) -> DataFrame:
     return gate.tier_select(gate_decisions(t), 5)
 
 
-@query(
-    "rk_entity_search",
-    """WITH wanted AS (SELECT nation.n_nationkey AS query_id, CASE WHEN n_nationkey % 4 = 0 THEN lpad(CAST(n_nationkey * 17 + 3 AS VARCHAR), 7, '0') ELSE ['urgent', 'customer#00000001', 'machinery'][n_nationkey % 4] END AS q, CASE WHEN n_nationkey % 3 = 1 THEN 'pending' END AS w_status, CASE WHEN n_nationkey % 5 = 2 THEN 16 END AS w_term, CASE WHEN n_nationkey % 7 = 3 THEN 'BUILD' END AS w_committee FROM nation),
-    named AS (SELECT query_id, 1 AS part, number FROM wanted JOIN entities ON CASE WHEN regexp_matches(q, '^[0-9]+$') THEN number = q ELSE contains(lower(name), q) OR contains(lower(proposer), q) OR contains(lower(committee), q) END),
-    texts AS (SELECT query_id, 2 AS part, number FROM wanted JOIN links ON NOT regexp_matches(q, '^[0-9]+$') AND link_type = 'EXPLICIT_MENTION' JOIN turns USING (turn_id) WHERE contains(lower(turns.text), left(q, 3))),
-    firsts AS (SELECT query_id, number, min(part) AS part FROM (SELECT * FROM named UNION ALL SELECT * FROM texts) GROUP BY 1, 2),
-    kept AS (SELECT f.*, proposed_at FROM firsts f JOIN entities e USING (number) JOIN wanted w USING (query_id) WHERE (w_status IS NULL OR coalesce(result, 'pending') = w_status) AND (w_term IS NULL OR term = w_term) AND (w_committee IS NULL OR contains(lower(committee), lower(w_committee))))
-    SELECT CAST(query_id AS BIGINT) AS query_id, number, CAST(part AS BIGINT) AS part, row_number() OVER (PARTITION BY query_id ORDER BY part, proposed_at DESC, number) AS rank FROM kept QUALIFY rank <= 30""",
-)
+def entity_search_sql(wanted: str, texts: str, k: int) -> str:
+    """CTEs up to ``ranked``: ``wanted(query_id, q, w_status, w_term, w_committee)``; ``texts(number, text)`` are the documents' texts."""
+    words = lambda text: f"unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+'))"
+    return f"""wanted AS ({wanted}), raw AS (SELECT DISTINCT query_id, {words('q')} AS term FROM wanted WHERE NOT regexp_matches(q, '^[0-9]+$')),
+    asked AS (SELECT query_id, term FROM raw UNION SELECT query_id, {_STRIPPED} FROM raw WHERE {_STRIPPED} IS NOT NULL),
+    held AS (SELECT number, term, count(*) AS tf FROM (SELECT number, {words("concat_ws(' ', name, proposer, committee)")} AS term FROM entities) GROUP BY 1, 2), sized AS (SELECT number, sum(tf) AS dl FROM held GROUP BY 1), total AS (SELECT count(*) AS n, avg(dl) AS mean FROM sized), often AS (SELECT term, count(*) AS df FROM held GROUP BY 1),
+    named AS (SELECT query_id, number, 1 AS part, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score FROM asked JOIN held USING (term) JOIN often USING (term) JOIN sized USING (number), total GROUP BY 1, 2),
+    told AS (SELECT DISTINCT query_id, number, 2 AS part, 0.0 AS score FROM asked JOIN (SELECT DISTINCT number, {words('text')} AS term FROM ({texts})) USING (term)),
+    every AS (SELECT query_id, q AS number, 0 AS part, 0.0 AS score FROM wanted WHERE regexp_matches(q, '^[0-9]+$') UNION ALL SELECT * FROM named UNION ALL SELECT * FROM told),
+    kept AS (SELECT f.*, proposed_at FROM every f JOIN entities e USING (number) JOIN wanted w USING (query_id) WHERE part = 0 OR (w_status IS NULL OR coalesce(result, 'pending') = w_status) AND (w_term IS NULL OR term = w_term) AND (w_committee IS NULL OR contains(lower(committee), lower(w_committee)))),
+    listed AS (SELECT *, row_number() OVER (PARTITION BY query_id, part ORDER BY score DESC, proposed_at DESC, number) AS place FROM kept QUALIFY place <= {k}),
+    firsts AS (SELECT query_id, number, min((part, place)) AS first FROM listed GROUP BY 1, 2),
+    ranked AS (SELECT query_id, number, CAST(first[1] AS BIGINT) AS part, row_number() OVER (PARTITION BY query_id ORDER BY first) AS rank FROM firsts QUALIFY rank <= {k})"""
+
+
+ENTITY_QUERIES = ["Urgent machinery", "customer#00000001 low", "furniture the para der", "household building und"]
+_WANTED_SQL = f"SELECT CAST(n_nationkey AS BIGINT) AS query_id, CASE WHEN n_nationkey % 5 = 0 THEN lpad(CAST(n_nationkey * 17 + 3 AS VARCHAR), 7, '0') ELSE {ENTITY_QUERIES}[n_nationkey % 5] END AS q, CASE WHEN n_nationkey % 3 = 1 THEN 'pending' END AS w_status, CASE WHEN n_nationkey % 5 = 2 THEN 16 END AS w_term, CASE WHEN n_nationkey % 7 = 3 THEN 'BUILD' END AS w_committee FROM nation"
+
+
+@query("rk_entity_search", f"WITH {entity_search_sql(_WANTED_SQL, 'SELECT number, text FROM links JOIN turns USING (turn_id) WHERE link_type = $$EXPLICIT_MENTION$$', 30)} SELECT * FROM ranked".replace("$$", "'"))
 def rk_entity_search(t: Tables) -> DataFrame:
-    """A number is looked up; words search name, proposer and committee, and entities whose texts match come after; then the filters."""
+    """A number is looked up; any word of a query searches name, proposer and committee, and entities whose texts hold one come after; filters come first."""
     k = F.col("n_nationkey")
-    word = F.get(F.lit(["urgent", "customer#00000001", "machinery"]), (k % 4 - 1).cast("int"))
+    word = F.get(F.lit(ENTITY_QUERIES), (k % 5 - 1).cast("int"))
     wanted = t.raw("nation").select(
-        k.cast("long").alias("query_id"), F.when(k % 4 == 0, F.lpad((k * 17 + 3).cast("string"), 7, "0")).otherwise(word).alias("q"), F.when(k % 3 == 1, "pending").alias("status"), F.when(k % 5 == 2, 16).alias("term"), F.when(k % 7 == 3, "BUILD").alias("committee"),
+        k.cast("long").alias("query_id"), F.when(k % 5 == 0, F.lpad((k * 17 + 3).cast("string"), 7, "0")).otherwise(word).alias("q"), F.when(k % 3 == 1, "pending").alias("status"), F.when(k % 5 == 2, 16).alias("term"), F.when(k % 7 == 3, "BUILD").alias("committee"),
     )
-    mentions = t.links.where("link_type = 'EXPLICIT_MENTION'").join(t.turns.select("turn_id", "text"), "turn_id").select("number", "text")
-    return search.entity_search(t.entities, mentions, wanted, 30, prefix=3)
+    mentions = t.links.where("link_type = 'EXPLICIT_MENTION'").select("turn_id", "number")
+    return search.entity_search(t.indexed("entities"), t.indexed("turn_texts"), mentions, t.entities, wanted, 30)
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.operators import index
+from dossier import scratch
 from dossier.registry import query
 from dossier.streaming import arrivals
 from dossier.views import Tables
@@ -15,7 +15,7 @@ def events(t: Tables) -> DataFrame:
     return arrivals.open_stream(t.spark, f"{t.sf_dir}/events.parquet")
 
 
-OUTCOMES_SQL = """o AS (SELECT event_id % 700 AS work_id, event_id, CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' ELSE 'retryable' END AS status, CAST(floor(value) AS BIGINT) AS content FROM events),
+OUTCOMES_SQL = """o AS (SELECT event_id // 3 AS work_id, event_id, CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' ELSE 'retryable' END AS status, CAST(floor(value) AS BIGINT) AS content FROM events),
   f AS (SELECT work_id, min_by((event_id, status, content), event_id) FILTER (WHERE status != 'retryable') AS t, max_by((event_id, status, content), event_id) AS l FROM o GROUP BY 1), k AS (SELECT work_id, coalesce(t, l) AS kept, t IS NOT NULL AS stays FROM f)"""
 
 
@@ -25,7 +25,7 @@ def st_idempotent_ingest(t: Tables) -> DataFrame:
     twice = events(t).unionByName(events(t))
     once = arrivals.absorb_redelivery(twice, "event_id", "ts")
     status = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "failed").otherwise("retryable")
-    outcomes = once.select((F.col("event_id") % 700).alias("work_id"), "event_id", status.alias("status"), F.floor("value").cast("long").alias("content"))
+    outcomes = once.select(F.floor(F.col("event_id") / 3).cast("long").alias("work_id"), "event_id", status.alias("status"), F.floor("value").cast("long").alias("content"))
     return arrivals.absorb_outcomes(outcomes, "work_id", "event_id", "status", "content", ["success", "failed"])
 
 
@@ -33,7 +33,7 @@ def st_idempotent_ingest(t: Tables) -> DataFrame:
 def st_readiness(t: Tables) -> DataFrame:
     """Keys whose pieces have all come, each once, in the batch in which it became ready."""
     pieces = events(t).withColumns({"piece": F.concat("event_type", (F.col("event_id") % 3).cast("string")), "total": F.col("user_id") % 9 + 8})
-    return arrivals.drain(arrivals.readiness(pieces, "user_id", "piece", "total"), "append").drop("batch")
+    return arrivals.drain_keyed(arrivals.readiness(pieces, "user_id", "piece", "total")).select("user_id", "expected")
 
 
 @query("st_progress", "WITH c AS (SELECT user_id, count(*) AS arrived, count(*) FILTER (WHERE event_type = 'purchase') AS accepted, count(*) FILTER (WHERE event_type = 'error') AS failed, 5 + user_id % 40 AS expected FROM events GROUP BY 1) SELECT *, greatest(expected - accepted - failed, 0) AS pending, accepted + failed >= expected AS complete FROM c")
@@ -53,13 +53,14 @@ def st_threads(t: Tables) -> DataFrame:
     return closed.select("user_id", F.date_format("first_at", "yyyy-MM-dd HH:mm:ss").alias("first_at"), "n")
 
 
-@query("st_incremental_index", "WITH a AS (SELECT doc_id % 400 AS id, max_by(text, (doc_id % 800 >= 400, doc_id)) AS text FROM documents GROUP BY 1), p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM a) GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM p GROUP BY 1")
+@query("st_incremental_index", "WITH a AS (SELECT doc_id, text || CASE WHEN doc_id % 5 = 2 THEN ' corrected text' ELSE '' END AS text FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM a) GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM p GROUP BY 1")
 def st_incremental_index(t: Tables) -> DataFrame:
-    """The index maintained as documents arrive in two waves, many of them again with another text, equals one built of the last texts."""
-    docs = t.raw("documents").select((F.col("doc_id") % 400).alias("id"), "doc_id", "text")
-    folder, files = index.shared_folder(t.spark, "arriving"), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
-    for wave in ("doc_id % 800 < 400", "doc_id % 800 >= 400"):
-        docs.where(wave).repartition(files, "doc_id").write.mode("append").parquet(f"{folder}/documents")
+    """The index maintained as documents arrive, of which every fifth comes again with a correction, equals one built of the last texts."""
+    docs = t.raw("documents").select("doc_id", "text", F.lit(1).alias("wave"))
+    again = docs.where("doc_id % 5 = 2").select("doc_id", F.concat("text", F.lit(" corrected text")).alias("text"), F.lit(2).alias("wave"))
+    folder, files = scratch.shared_folder(t.spark, "arriving"), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    for wave in (docs, again):
+        wave.repartition(files, "doc_id").write.mode("append").parquet(f"{folder}/documents")
     stream = arrivals.open_stream(t.spark, f"{folder}/documents", files_per_trigger=files)
-    held = arrivals.incremental_index(stream, "id", ["text"], "doc_id", buckets=8)
-    return held.postings.groupBy("term").agg(F.max("df").alias("df"), F.sum("tf").alias("occurrences"))
+    held = arrivals.incremental_index(stream, "doc_id", ["text"], "wave")
+    return held.postings.groupBy("term").agg(F.sum("tf").alias("occurrences")).join(held.terms, "term")

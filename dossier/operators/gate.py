@@ -139,13 +139,22 @@ def promote(decisions: DataFrame, hits: DataFrame) -> DataFrame:
 def group_relevance(groups: DataFrame, topics: DataFrame, group_col: str, text_col: str, day_col: str, offset: int, limit: int, bonus: int = 5) -> DataFrame:
     """Groups ranked for each query: a point for every topic term their text holds, ``bonus`` if it holds the query's committee.
 
-    ``topics(query_id, terms, committee)``, a stated table; later days, then larger group ids come first; ranks ``offset`` + 1 to ``offset`` + ``limit`` stay.
+    ``topics(query_id, terms, committee)``; later days, then larger group ids come first; ranks ``offset`` + 1 to ``offset`` + ``limit`` stay.
+    Texts meet the terms in one automaton.  Groups without a point are only candidates if they are among the latest
+    ``offset`` + ``limit``, for no other can come into the ranks.
     """
-    low = groups.select(group_col, day_col, F.lower(text_col).alias("low"))
-    asked = F.broadcast(topics)  # stated queries
-    hits = F.size(F.filter("terms", lambda w: F.contains("low", F.lower(w))))
-    points = hits + F.when(F.coalesce(F.contains("low", F.lower("committee")), F.lit(False)), bonus).otherwise(0)
-    scored = low.join(asked).select("query_id", group_col, day_col, points.cast("long").alias("relevance"))
+    from dossier.operators.linking import substring_links
+
+    low = groups.select(group_col, F.lower(text_col).alias("text"))
+    asked = topics.select("query_id", F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("word"), F.lit(1).alias("points"))
+    asked = asked.unionByName(topics.where("committee is not null").select("query_id", F.lower("committee").alias("word"), F.lit(bonus).alias("points")))
+    words = asked.select("word", F.col("word").alias("pattern")).distinct()
+    points = substring_links(low, words, group_col, "word").join(asked, "word").groupBy("query_id", group_col).agg(F.sum("points").alias("relevance"))
+    latest = groups.select(F.struct(F.col(day_col).alias("day"), F.col(group_col).alias("id")).alias("g")).orderBy(F.desc_nulls_last("g.day"), F.desc("g.id")).limit(offset + limit)
+    few = [r.g.id for r in latest.collect()]
+    none = topics.select("query_id", F.explode(F.lit(few).cast(f"array<{groups.schema[group_col].dataType.simpleString()}>")).alias(group_col), F.lit(0).cast("long").alias("relevance"))
+    every = points.unionByName(none).groupBy("query_id", group_col).agg(F.max("relevance").cast("long").alias("relevance"))
+    scored = every.join(groups.select(group_col, day_col), group_col)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), F.desc_nulls_last(day_col), F.desc(group_col)))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= offset + limit).where(F.col("rank") > offset)
 

@@ -1,75 +1,116 @@
-"""A stored inverted index: postings by term bucket, with what ranking needs beside each posting.
+"""A stored inverted index of immutable segments, with what ranking needs beside each posting.
 
-``build`` writes it, ``update`` rewrites the buckets that changed documents touch, and searches read
-it: no search tokenises a corpus.  A posting holds the term's document frequency and the document's
-length, so scoring joins nothing but the query's terms.
+A segment holds the postings of the documents that one ``build`` or ``update`` brought, sorted by term and
+id and cut to files by their number of rows, so a frequent term lies in several files by ranges of its ids; the lengths of
+those documents; how many documents each term gained or lost; and the ids that it makes dead in the
+segments before it.  A manifest names the segments of a version and is published last, so a reader sees one version
+whole, and keeps the one that it began with.  An update writes a segment of its own documents only; segments of
+like size are merged, so a document is rewritten about log(size) times.
 """
 
 from __future__ import annotations
 
-import tempfile
+import json
+import math
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier import scratch
 from dossier.functions.text import tokens
+from dossier.scratch import shared_folder, written
 
-BUCKETS = 32
-_stored: dict[tuple[str, str], Index] = {}
+__all__ = ["Index", "Segment", "build", "forget", "frequencies", "opened", "shared_folder", "stored", "update", "vacuum", "written"]
 
+#: Postings of a file, about 16 bytes each.
+ROWS_PER_FILE = 250_000
+#: Segments of one size class that are merged, and the ratio of two classes.
+FAN = 4
+#: Distinct query terms up to which a search looks up which files hold them; beyond that it reads all.
+FEW_TERMS = 10_000
+_stored: dict[tuple[str, str], tuple[list, Index]] = {}
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; local sessions may lack it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written once to the shared folder and read from there: for what several branches use."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+@dataclass(frozen=True)
+class Segment:
+    """``age`` orders segments; ``documents`` and ``words`` are what it added less what it made dead; ``files`` have name, first and last term."""
 
-def bucket_of(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    name: str
+    age: int
+    postings: int
+    documents: int
+    words: int
+    dead: int
+    files: list[tuple[str, str, str]]
 
 
 @dataclass(frozen=True)
 class Index:
-    """``postings(term, id, tf, dl, df)`` in folders by ``term_bucket``; ``lengths(id, dl)``."""
+    """One version of an index: ``postings(id, term, tf, dl)``, ``lengths(id, dl)``, ``terms(term, df)``."""
 
     spark: SparkSession
     path: str
     id_col: str
     id_type: str
-    buckets: int
+    version: int
+    segments: tuple[Segment, ...]
+    #: The last batch of a stream that this version holds.
+    batch: int = -1
+
+    def _read(self, table: str, columns: str, wanted: list[Segment] | None = None) -> DataFrame:
+        paths = [f"{self.path}/segments/{s.name}/{table}" for s in (self.segments if wanted is None else wanted)]
+        schema = f"{columns}, age int"
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """``rows`` less those that a later segment made dead."""
+        deadly = [s for s in self.segments if s.dead]
+        if not deadly:
+            return rows
+        dead = self._read("dead", f"`{self.id_col}` {self.id_type}", deadly).groupBy(self.id_col).agg(F.max("age").alias("_dead"))
+        return rows.join(dead, self.id_col, "left").where("_dead is null or age >= _dead").drop("_dead")
+
+    def _postings(self, files: list[str] | None = None) -> DataFrame:
+        schema = f"`{self.id_col}` {self.id_type}, term string, tf long, dl long"
+        if files is None:
+            return self._live(self._read("postings", schema))
+        rows = self.spark.read.schema(f"{schema}, age int").parquet(*files) if files else self.spark.createDataFrame([], f"{schema}, age int")
+        return self._live(rows)
 
     @property
     def postings(self) -> DataFrame:
-        schema = f"`{self.id_col}` {self.id_type}, term string, tf long, dl long, df long, term_bucket int"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/postings")
+        return self._postings().drop("age")
 
     @property
     def lengths(self) -> DataFrame:
-        return self.spark.read.schema(f"`{self.id_col}` {self.id_type}, dl long").parquet(f"{self.path}/lengths")
+        return self._live(self._read("lengths", f"`{self.id_col}` {self.id_type}, dl long")).drop("age")
+
+    @property
+    def terms(self) -> DataFrame:
+        """``(term, df)`` of every term that a document holds."""
+        counts = self._read("terms", "term string, n long")
+        counts = counts.groupBy("term").agg(F.sum("n").alias("df")) if len(self.segments) > 1 else counts.select("term", F.col("n").alias("df"))
+        return counts.where("df > 0")
 
     def totals(self) -> tuple[int, float]:
-        """Number of documents that have words, and their mean length; read from the lengths' two columns."""
-        n, mean = self.lengths.agg(F.count("*"), F.avg("dl")).first()
-        return n, mean or 0.0
+        """Number of documents that have words, and their mean length; the manifest has both sums."""
+        n, words = sum(s.documents for s in self.segments), sum(s.words for s in self.segments)
+        return n, words / n if n else 0.0
+
+    def files_of(self, terms: list[str]) -> list[str]:
+        """Paths of the files that can hold postings of ``terms``."""
+        terms = sorted(terms)
+        return [f"{self.path}/segments/{s.name}/postings/{name}" for s in self.segments for name, first, last in s.files if bisect_left(terms, first) < bisect_right(terms, last)]
 
     def of_terms(self, terms: DataFrame) -> DataFrame:
-        """The postings of ``terms(..., term)``; only the buckets of those terms are read."""
-        wanted = terms.withColumn("term_bucket", bucket_of(F.col("term"), self.buckets))
-        return wanted.join(self.postings, ["term_bucket", "term"]).drop("term_bucket")
+        """``terms(..., term)`` with ``(id, tf, dl, df)`` of each posting; of few terms only the files that hold them are read."""
+        few = [r.term for r in terms.select("term").where("term is not null").distinct().limit(FEW_TERMS + 1).collect()]
+        files = self.files_of(few) if len(few) <= FEW_TERMS else None
+        return terms.join(self.terms, "term").join(self._postings(files).drop("age"), "term")
 
 
 def frequencies(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
@@ -78,58 +119,140 @@ def frequencies(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame
     return words.select(id_col, F.size("words").cast("long").alias("dl"), F.explode("words").alias("term")).groupBy(id_col, "term", "dl").agg(F.count("*").alias("tf")).select(id_col, "term", "tf", "dl")
 
 
-def _write_postings(rows: DataFrame, id_col: str, path: str, buckets: int) -> None:
-    """Buckets present in ``rows`` are replaced, each with its terms' document frequencies."""
-    df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    placed = rows.select(id_col, "term", "tf", "dl").join(df, "term").withColumn("term_bucket", bucket_of(F.col("term"), buckets))
-    writer = placed.repartition(buckets, "term_bucket").sortWithinPartitions("term_bucket", "term").write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy("term_bucket").parquet(f"{path}/postings")
+def _segment(index: Index, rows: DataFrame, lengths: DataFrame, terms: DataFrame, dead: DataFrame | None, age: int, gained: tuple[int, int], rows_per_file: int) -> Segment:
+    """Write a segment.  ``rows`` is read twice and should be stored; ``gained`` are documents and words."""
+    spark, key, name = index.spark, index.id_col, f"{age:06d}-{uuid.uuid4().hex}"
+    folder, aged = f"{index.path}/segments/{name}", F.lit(age).alias("age")
+    n = rows.count()
+    files = max(1, math.ceil(n / rows_per_file))
+    laid = rows.select(key, "term", "tf", "dl", aged).repartitionByRange(files, "term", key).sortWithinPartitions("term", key)
+    laid.write.option("maxRecordsPerFile", 2 * rows_per_file).parquet(f"{folder}/postings")
+    lengths.select(key, "dl", aged).write.parquet(f"{folder}/lengths")
+    terms.where("n != 0").select("term", "n", aged).write.parquet(f"{folder}/terms")
+    killed = 0
+    if dead is not None:
+        dead.select(key, aged).write.parquet(f"{folder}/dead")
+        killed = spark.read.parquet(f"{folder}/dead").count()
+    spans = spark.read.schema("term string").parquet(f"{folder}/postings").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("term").alias("first"), F.max("term").alias("last")).collect()  # a row a file
+    return Segment(name, age, n, *gained, killed, sorted((r["file"], r["first"], r["last"]) for r in spans))
+
+
+def _published(index: Index) -> Index:
+    """The index after its manifest is there; an error if another writer has published this version."""
+    held = {"id_col": index.id_col, "id_type": index.id_type, "batch": index.batch, "segments": [asdict(s) for s in index.segments]}
+    scratch.publish_text(index.spark, f"{index.path}/manifests/{index.version:09d}.json", json.dumps(held))
+    return index
+
+
+def opened(spark: SparkSession, path: str) -> Index | None:
+    """The newest version at ``path``, if there is one."""
+    versions = [n for n in scratch.names(spark, f"{path}/manifests") if n.endswith(".json")]
+    if not versions:
+        return None
+    held = json.loads(scratch.read_text(spark, f"{path}/manifests/{versions[-1]}"))
+    segments = tuple(Segment(**{**s, "files": [tuple(f) for f in s["files"]]}) for s in held["segments"])
+    return Index(spark, path, held["id_col"], held["id_type"], int(versions[-1].removesuffix(".json")), segments, held["batch"])
+
 
+def _lengths(rows: DataFrame, id_col: str) -> DataFrame:
+    return rows.groupBy(id_col).agg(F.first("dl").alias("dl"))
 
-def build(docs: DataFrame, id_col: str, text_cols: list[str], path: str, buckets: int = BUCKETS) -> Index:
+
+def _sums(lengths: DataFrame) -> tuple[int, int]:
+    n, words = lengths.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    return n, words
+
+
+def build(docs: DataFrame, id_col: str, text_cols: list[str], path: str, rows_per_file: int = ROWS_PER_FILE) -> Index:
     """Write the index of ``docs``; ids are taken to be unique, null texts are empty, documents without words are not in it.
 
     Texts are tokenised once: the frequencies are written and what follows is made of them.
     """
+    spark = docs.sparkSession
+    empty = Index(spark, path, id_col, docs.schema[id_col].dataType.simpleString(), 0, ())
     rows = written(frequencies(docs, id_col, text_cols), "frequencies")
-    _write_postings(rows, id_col, path, buckets)
-    rows.select(id_col, "dl").distinct().write.mode("overwrite").parquet(f"{path}/lengths")
-    return Index(docs.sparkSession, path, id_col, docs.schema[id_col].dataType.simpleString(), buckets)
+    lengths = written(_lengths(rows, id_col), "lengths")
+    counts = rows.groupBy("term").agg(F.count("*").alias("n"))
+    segment = _segment(empty, rows, lengths, counts, None, 1, _sums(lengths), rows_per_file)
+    return _published(replace(empty, version=1, segments=(segment,)))
 
 
-def update(index: Index, removed: DataFrame, changed: DataFrame, text_cols: list[str]) -> Index:
-    """The index after ``removed(id)`` left and ``changed`` (ids and texts) came or were rewritten.
+def update(index: Index, removed: DataFrame, changed: DataFrame, text_cols: list[str], rows_per_file: int = ROWS_PER_FILE, batch: int | None = None) -> Index:
+    """The next version: without ``removed(id)``, with ``changed`` (ids and texts) new or instead of what was there.
 
-    Only the buckets of terms in what left, changed or came are written anew, to a folder beside the
-    old one that takes their place when it is complete; the result equals a rebuild.
+    What is written is a segment of ``changed``, the ids that it makes dead and the counts that they take with them; then merges that are due.
+    Searches give what they would after a rebuild.  The index that is passed stays readable as it is.
     """
-    spark, key = index.spark, index.id_col
+    key = index.id_col
     touched = removed.select(key).unionByName(changed.select(key)).distinct()
-    staged = shared_folder(spark, "index-update")
-    new = frequencies(changed, key, text_cols).withColumn("term_bucket", bucket_of(F.col("term"), index.buckets))
-    new.write.parquet(f"{staged}/new")
-    new, old = spark.read.parquet(f"{staged}/new"), index.postings
-    buckets = new.select("term_bucket").unionByName(old.join(touched, key, "left_semi").select("term_bucket")).distinct()
-    kept = old.join(F.broadcast(buckets), "term_bucket", "left_semi").join(touched, key, "left_anti").select(key, "term", "tf", "dl")  # a row a bucket
-    kept.unionByName(new.select(key, "term", "tf", "dl")).write.parquet(f"{staged}/rows")
-    lengths = index.lengths.join(touched, key, "left_anti").unionByName(new.select(key, "dl").distinct())
-    lengths.write.parquet(f"{staged}/lengths")
-    emptied = [r.term_bucket for r in buckets.join(spark.read.parquet(f"{staged}/rows").select(bucket_of(F.col("term"), index.buckets).alias("term_bucket")).distinct(), "term_bucket", "left_anti").collect()]
-    _write_postings(spark.read.parquet(f"{staged}/rows"), key, index.path, index.buckets)
-    if emptied:  # buckets that lost all their postings: at most ``buckets`` names
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(index.path)
-        store = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-        for b in emptied:
-            store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{index.path}/postings/term_bucket={b}"), True)
-    spark.read.parquet(f"{staged}/lengths").write.mode("overwrite").parquet(f"{index.path}/lengths")
-    return index
+    gone = written(index.lengths.join(touched, key, "left_semi"), "dead-documents")
+    rows = written(frequencies(changed, key, text_cols), "frequencies")
+    lengths = written(_lengths(rows, key), "lengths")
+    lost = index.postings.join(gone.select(key), key, "left_semi").groupBy("term").agg((-F.count("*")).alias("n"))
+    counts = rows.groupBy("term").agg(F.count("*").alias("n")).unionByName(lost).groupBy("term").agg(F.sum("n").alias("n"))
+    (more, more_words), (less, less_words) = _sums(lengths), _sums(gone)
+    age = max((s.age for s in index.segments), default=0) + 1
+    segment = _segment(index, rows, lengths, counts, gone if less else None, age, (more - less, more_words - less_words), rows_per_file)
+    now = replace(index, version=index.version + 1, segments=(*index.segments, segment), batch=index.batch if batch is None else batch)
+    return _published(_merged(now, rows_per_file))
+
+
+def _size_class(segment: Segment) -> int:
+    return int(math.log(max(segment.postings + segment.dead, 1), FAN))
+
 
+def _merged(index: Index, rows_per_file: int) -> Index:
+    """The index with its newest segments of like size made one, while there are ``FAN`` of them."""
+    while True:
+        segments, n = index.segments, 0
+        while n < len(segments) and _size_class(segments[-1 - n]) <= max(_size_class(s) for s in segments[len(segments) - max(n, 1) :]):
+            n += 1
+        if n < FAN:
+            return index
+        older, newest = segments[:-n], list(segments[-n:])
+        part, key, age = replace(index, segments=tuple(newest)), index.id_col, newest[-1].age
+        rows = part._live(part._read("postings", f"`{key}` {index.id_type}, term string, tf long, dl long", newest))
+        lengths = part._live(part._read("lengths", f"`{key}` {index.id_type}, dl long", newest))
+        counts = part._read("terms", "term string, n long", newest).groupBy("term").agg(F.sum("n").alias("n"))
+        deadly = [s for s in newest if s.dead] if older else []
+        dead = part._read("dead", f"`{key}` {index.id_type}", deadly).select(key).distinct() if deadly else None
+        one = _segment(index, rows, lengths, counts, dead, age, (sum(s.documents for s in newest), sum(s.words for s in newest)), rows_per_file)
+        index = replace(index, segments=(*older, one))
 
-def stored(spark: SparkSession, name: str, source: Callable[[], tuple[DataFrame, str, list[str]]], buckets: int = BUCKETS) -> Index:
-    """The application's index of this name, built at its first use from the table as it then is."""
+
+def vacuum(index: Index) -> None:
+    """Delete the segments and manifests that the newest version does not name; readers of older ones fail after."""
+    newest = opened(index.spark, index.path)
+    named = {s.name for s in newest.segments}
+    for name in scratch.names(index.spark, f"{index.path}/segments"):
+        if name not in named:
+            scratch.delete(index.spark, f"{index.path}/segments/{name}")
+    for name in scratch.names(index.spark, f"{index.path}/manifests"):
+        if name != f"{newest.version:09d}.json":
+            scratch.delete(index.spark, f"{index.path}/manifests/{name}")
+
+
+def _state_of(docs: DataFrame) -> list[tuple[str, int, int]]:
+    """Files behind a table, their lengths and times of change."""
+    spark, out = docs.sparkSession, []
+    for path in docs.inputFiles():
+        fs, at = scratch.store(spark, path)
+        status = fs.getFileStatus(at)
+        out.append((path, status.getLen(), status.getModificationTime()))
+    return sorted(out)
+
+
+def stored(spark: SparkSession, name: str, source: Callable[[], tuple[DataFrame, str, list[str]]]) -> Index:
+    """The application's index of this name, built at its first use and again when the files of its table have changed."""
     key = (spark.sparkContext.applicationId, name)
-    if key not in _stored:
-        docs, id_col, text_cols = source()
-        _stored[key] = build(docs, id_col, text_cols, shared_folder(spark, "index"), buckets)
-    found = _stored[key]
-    return replace(found, spark=spark)
+    docs, id_col, text_cols = source()
+    state = _state_of(docs)
+    if key not in _stored or _stored[key][0] != state:
+        _stored[key] = state, build(docs, id_col, text_cols, shared_folder(spark, "index"))
+    return replace(_stored[key][1], spark=spark)
+
+
+def forget(spark: SparkSession) -> None:
+    """Drop the application's indexes from the list of what is built."""
+    for key in [k for k in _stored if k[0] == spark.sparkContext.applicationId]:
+        del _stored[key]

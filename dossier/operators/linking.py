@@ -192,22 +192,36 @@ def enforce_exact(wanted: DataFrame, entities: DataFrame, links: DataFrame, turn
     return kept | {"timeline": keep(timeline, kept["entities"], "number"), "inventory": keep(inventory, kept["entities"], "number")}
 
 
-def threads(hits: DataFrame, turns: DataFrame, gap: int = 8, pad: int = 2) -> DataFrame:
+#: Places of a group that thread ranges and turns are joined by.
+SWEEP = 64
+
+
+def threads(hits: DataFrame, turns: DataFrame, gap: int = 8, pad: int = 2, block: int = SWEEP) -> DataFrame:
     """Hits of a group whose sequence gaps are at most ``gap`` form a thread, widened by ``pad`` turns.
 
     ``(group_id, thread, first_seq, last_seq, n_hits, participants, n_turns)``; participants in order
-    of first appearance.
+    of first appearance.  Ranges and turns meet by group and aligned block of ``block`` places, so a turn is held
+    against the threads of its block alone, and roles are counted before they are listed.
     """
     order = Window.partitionBy("group_id").orderBy("seq")
     new = F.coalesce((F.col("seq") - F.lag("seq").over(order) > gap).cast("int"), F.lit(1))
     numbered = hits.select("group_id", "seq").withColumn("new", new).withColumn("thread", F.sum("new").over(order))
     spans = numbered.groupBy("group_id", "thread").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n_hits"))
-    inside = spans.join(turns.select("group_id", F.col("seq").alias("at"), "role"), "group_id").where(F.col("at").between(F.col("first_seq") - pad, F.col("last_seq") + pad))
-    told = inside.groupBy("group_id", "thread", "first_seq", "last_seq", "n_hits").agg(F.array_sort(F.collect_list(F.struct("at", "role"))).alias("told"), F.count("*").alias("n_turns"))
-    people = F.array_join(F.array_distinct(F.transform("told", lambda x: x["role"])), ",")
+    inside = swept(spans, turns, pad, block)
+    roles = inside.groupBy("group_id", "thread", "first_seq", "last_seq", "n_hits", "role").agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    told = roles.groupBy("group_id", "thread", "first_seq", "last_seq", "n_hits").agg(F.array_sort(F.collect_list(F.struct("at", "role"))).alias("told"), F.sum("n").alias("n_turns"))  # one of each role
+    people = F.array_join(F.transform("told", lambda x: x["role"]), ",")
     return told.select("group_id", "thread", "first_seq", "last_seq", "n_hits", people.alias("participants"), "n_turns")
 
 
+def swept(spans: DataFrame, turns: DataFrame, pad: int, block: int) -> DataFrame:
+    """``spans`` with ``at`` and ``role`` of each turn from ``first_seq - pad`` to ``last_seq + pad``."""
+    low, high = F.col("first_seq") - pad, F.col("last_seq") + pad
+    blocks = F.explode(F.sequence(F.floor(low / block).cast("long"), F.floor(high / block).cast("long")))
+    placed = turns.select("group_id", F.col("seq").alias("at"), "role", F.floor(F.col("seq") / block).cast("long").alias("block"))
+    return spans.withColumn("block", blocks).join(placed, ["group_id", "block"]).where(F.col("at").between(low, high)).drop("block")
+
+
 def interval_scope(dates: DataFrame, intervals: DataFrame, day: str) -> DataFrame:
     """Each row with the interval (``scope, day_from, day_to``) its day lies in; null in gaps."""
     inside = F.col(day).between(F.col("day_from"), F.col("day_to"))

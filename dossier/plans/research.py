@@ -71,13 +71,12 @@ def explore_issue(t: Tables, hits: DataFrame, linked: DataFrame, wanted: DataFra
     return out.withColumn("exact", F.coalesce("exact", F.lit(False)))
 
 
-def search_bills(entities: DataFrame, links: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``entity_search`` by words alone, with each entity's status and the number of turns that are linked to it."""
-    none = links.select("number", F.lit("").alias("text")).limit(0)
-    found = search.entity_search(entities, none, wanted, k)
-    about = links.groupBy("number").agg(F.count_distinct("turn_id").alias("turns"))
-    status = entities.select("number", F.coalesce("result", F.lit("pending")).alias("status"))
-    return found.join(status, "number").join(about, "number", "left").select("query_id", "number", "rank", "status", F.coalesce("turns", F.lit(0)).alias("turns"))
+def search_bills(t: Tables, wanted: DataFrame, k: int) -> DataFrame:
+    """``entity_search`` over the entities' names and their documents, with each entity's status and the number of turns that are linked to it."""
+    found = search.entity_search(t.indexed("entities"), t.indexed("documents"), t.bill_texts.select("doc_id", "number"), t.entities, wanted, k)
+    about = t.links.groupBy("number").agg(F.count_distinct("turn_id").alias("turns"))
+    status = t.entities.select("number", F.coalesce("result", F.lit("pending")).alias("status"))
+    return found.join(status, "number").join(about, "number", "left").select("query_id", "number", "part", "rank", "status", F.coalesce("turns", F.lit(0)).alias("turns"))
 
 
 def build_corpus(items: DataFrame, outcomes: DataFrame, root: str) -> DataFrame:

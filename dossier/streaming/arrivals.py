@@ -6,9 +6,14 @@ table that came of it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from dossier import scratch
 from dossier.operators import index
 
 
@@ -21,18 +26,23 @@ def open_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> D
     return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in stream.columns else stream
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Process everything available and return the rows written, with ``batch``, the number of their batch."""
+def drain(stream: DataFrame, mode: str, checkpoint: str | None = None, target: str | None = None) -> DataFrame:
+    """Process everything available and return the rows written, with ``batch``, the number of their batch.
+
+    A later call with the same ``checkpoint`` and ``target`` goes on where the last one ended; without them both are new.
+    """
     spark = stream.sparkSession
-    folder = index.shared_folder(spark, "stream")
+    folder = scratch.shared_folder(spark, "stream")
+    rows = target or f"{folder}/rows"
 
     def write(batch: DataFrame, number: int) -> None:
         # a batch done again replaces what it wrote before
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{rows}/batch={number}")
 
-    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema.add("batch", "long")).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+    schema = stream.schema.add("batch", "long")
+    return spark.read.schema(schema).option("basePath", rows).parquet(rows) if scratch.names(spark, rows) else spark.createDataFrame([], schema)
 
 
 def latest_state(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,66 +56,125 @@ def absorb_redelivery(events: DataFrame, key: str, time: str, within: str = "30
     return events.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
 
 
-def absorb_outcomes(outcomes: DataFrame, key: str, order: str, status: str, content: str, terminal: list[str]) -> DataFrame:
-    """The accepted outcome of each key of a stream, and how many later ones it refused: ``(key, order, status, content, conflicts)``.
+#: What keyed streams start with: state in RocksDB, which writes what changed; no batches without rows, of which a processor with timers
+#: would ask for ever more, so timers fire with the next rows.
+_KEYED = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 
-    A retryable outcome gives way to whatever comes after it; a terminal one stays, and what comes after it
-    with another status or content is a conflict.  Within a batch ``order`` tells what came first.
-    Every batch is merged with the state that the one before left, which is read back from the shared folder.
-    """
-    spark = outcomes.sparkSession
-    folder = index.shared_folder(spark, "outcomes")
-    kinds = {c: outcomes.schema[c].dataType.simpleString() for c in (key, order, status, content)}
-    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", conflicts long"
-    columns = list(kinds)
 
-    def write(batch: DataFrame, number: int) -> None:
-        prior = spark.read.schema(schema).parquet(f"{folder}/state/{number - 1}") if number else spark.createDataFrame([], schema)
-        final = F.col(status).isin(terminal)
-        rows = batch.select(*columns, F.lit(0).cast("long").alias("conflicts")).distinct().withColumn("age", F.lit(1)).unionByName(prior.withColumn("age", F.lit(0)))
-        place = F.struct("age", order)
-        one = F.struct(*columns, "age")
-        best = rows.groupBy(key).agg(F.coalesce(F.min_by(one, F.when(final, place)), F.max_by(one, place)).alias("kept"), F.sum("conflicts").alias("before"))
-        joined = rows.join(best, key)
-        kept, stays = F.col("kept"), F.col(f"kept.{status}").isin(terminal)
-        later = stays & (place > F.struct(kept["age"].alias("age"), kept[order].alias(order))) & ~(F.col(status).eqNullSafe(kept[status]) & F.col(content).eqNullSafe(kept[content]))
-        state = joined.groupBy(key, "kept", "before").agg(F.count(F.when(later, 1)).alias("new"))
-        state.select(key, *(F.col(f"kept.{c}").alias(c) for c in columns if c != key), (F.col("before") + F.col("new")).alias("conflicts")).write.mode("overwrite").parquet(f"{folder}/state/{number}")
-
-    run = outcomes.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
-    run.awaitTermination()
-    last = run.lastProgress["batchId"] if run.lastProgress else 0
-    # a last trigger without rows writes no state
-    return spark.read.schema(schema).parquet(f"{folder}/state/{_newest(spark, f'{folder}/state', last)}")
+@contextmanager
+def _keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside have the settings of keyed state; the session has its own again after."""
+    before = {name: spark.conf.get(name, None) for name in _KEYED}
+    for name, value in _KEYED.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
-def _newest(spark: SparkSession, folder: str, last: int) -> int:
-    """The number of the last batch up to ``last`` that wrote its state."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    while last > 0 and not store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{last}/_SUCCESS")):
-        last -= 1
-    return last
+def drain_keyed(stream: DataFrame, checkpoint: str | None = None, target: str | None = None) -> DataFrame:
+    """``drain`` in update mode for what ``outcomes_kept`` and ``readiness`` return."""
+    with _keyed_state(stream.sparkSession):
+        return drain(stream, "update", checkpoint, target)
 
 
-def readiness(arrivals: DataFrame, key: str, piece: str, total: str) -> DataFrame:
-    """``(key, expected)`` of each key, once: when as many different pieces as its largest ``total`` says have come."""
-    kind = arrivals.schema[key].dataType.simpleString()
+def outcomes_kept(outcomes: DataFrame, key: str, order: str, status: str, content: str, terminal: list[str], ttl_ms: int | None = None) -> DataFrame:
+    """The accepted outcome of each key that a batch brings something for, and how many later ones were refused so far.
 
-    def step(keys, batches, state):
-        import pandas as pd
+    A retryable outcome gives way to whatever comes after it; a terminal one stays, and what comes after it
+    with another status or content is a conflict.  Within a batch ``order`` tells what came first and repeated rows count
+    once.  The state of a key is its outcome and a count, and is forgotten ``ttl_ms`` after its last change, if given.
+    A batch reads and writes the state of its own keys alone.
+    """
+    kinds = {c: outcomes.schema[c].dataType.simpleString() for c in (key, order, status, content)}
+    columns = [order, status, content]
+    held = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", conflicts long"
+    final, names = frozenset(terminal), [key, *columns, "conflicts"]
+
+    class Keep(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.kept = handle.getValueState("kept", held, ttl_ms)
+
+        def handleInputRows(self, key, rows, timers):  # noqa: N802
+            prior = tuple(self.kept.get()) if self.kept.exists() else None
+            came = sorted({(r[order], r[status], r[content]) for r in rows}, key=lambda r: (r[0] is not None, r[0], str(r[1:])))
+            if prior is not None and prior[1] in final:
+                now, refused = prior[:3], sum(r[1:] != prior[1:3] for r in came)
+            else:
+                first = next((r for r in came if r[1] in final), None)
+                now = first or came[-1]
+                refused = sum(r[0] > first[0] and r[1:] != first[1:] for r in came) if first else 0
+            state = (*now, (prior[3] if prior else 0) + refused)
+            self.kept.update(state)
+            yield Row(**dict(zip(names, (*key, *state))))
+
+        def close(self) -> None:
+            pass
+
+    schema = f"`{key}` {kinds[key]}, {held}"
+    return outcomes.select(*kinds).groupBy(key).transformWithState(Keep(), schema, "update", "processingTime" if ttl_ms else "none")
+
+
+def absorb_outcomes(outcomes: DataFrame, key: str, order: str, status: str, content: str, terminal: list[str], checkpoint: str | None = None, target: str | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """``(key, order, status, content, conflicts)`` after all that is available: the last row of each key that ``outcomes_kept`` gave."""
+    kept = outcomes_kept(outcomes, key, order, status, content, terminal, ttl_ms)
+    return latest_state(drain_keyed(kept, checkpoint, target), [key])
+
+
+def readiness(arrivals: DataFrame, key: str, piece: str, total: str, ttl_ms: int | None = None, stuck_ms: int | None = None) -> DataFrame:
+    """``(key, expected, stuck)``: each key once when as many different pieces as its largest ``total`` says have come.
+
+    A piece is an entry of the key's state, so a batch adds its own and reads no others.  Once a key is ready its pieces are
+    dropped and a flag stays, for ``ttl_ms`` if given; what comes late gives nothing.  With ``stuck_ms`` a
+    key that is not ready so long after its last arrival is reported as stuck by the next batch, once until more of it arrives.
+    """
+    kind = arrivals.schema[key].dataType.simpleString()
 
-        seen, most, done = state.get if state.exists else ("", 0, False)
-        pieces = set(seen.split("\x1f")) - {""}
-        for rows in batches:
-            pieces |= set(rows["piece"].astype(str))
-            most = max(most, int(rows["total"].max()))
-        ready = not done and most > 0 and len(pieces) >= most
-        state.update(("\x1f".join(sorted(pieces)), most, done or ready))
-        yield pd.DataFrame({"key": [keys[0]], "expected": [most]} if ready else {"key": [], "expected": []})
+    class Gather(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.pieces = handle.getMapState("pieces", "piece string", "seen boolean", ttl_ms)
+            self.counts = handle.getValueState("counts", "seen long, most long, due long", ttl_ms)
+            self.done = handle.getValueState("done", "most long", ttl_ms)
+
+        def handleInputRows(self, key, rows, timers):  # noqa: N802
+            if self.done.exists():
+                return
+            seen, most, due = self.counts.get() if self.counts.exists() else (0, 0, 0)
+            for r in rows:
+                most = max(most, r["total"] or 0)
+                if r["piece"] is not None and not self.pieces.containsKey((r["piece"],)):
+                    self.pieces.updateValue((r["piece"],), (True,))
+                    seen += 1
+            if due:
+                self.handle.deleteTimer(due)
+            if 0 < most <= seen:
+                self.pieces.clear()
+                self.counts.clear()
+                self.done.update((most,))
+                yield Row(key=key[0], expected=most, stuck=False)
+                return
+            if stuck_ms:
+                due = timers.getCurrentProcessingTimeInMs() + stuck_ms
+                self.handle.registerTimer(due)
+            self.counts.update((seen, most, due))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+            if self.counts.exists():
+                seen, most, _ = self.counts.get()
+                self.counts.update((seen, most, 0))
+                yield Row(key=key[0], expected=most, stuck=True)
+
+        def close(self) -> None:
+            pass
 
     rows = arrivals.select(F.col(key).alias("key"), F.col(piece).cast("string").alias("piece"), F.col(total).cast("long").alias("total"))
-    found = rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, expected long", "pieces string, most long, done boolean", "append", "NoTimeout")
+    found = rows.groupBy("key").transformWithState(Gather(), f"key {kind}, expected long, stuck boolean", "update", "processingTime" if ttl_ms or stuck_ms else "none")
     return found.withColumnRenamed("key", key)
 
 
@@ -122,20 +191,25 @@ def threads(events: DataFrame, key: str, time: str, gap: str) -> DataFrame:
     return sessions.select(key, F.col("w.start").alias("first_at"), "n")
 
 
-def incremental_index(docs: DataFrame, id_col: str, text_cols: list[str], order: str, buckets: int = index.BUCKETS) -> index.Index:
-    """A stored index kept up as documents arrive, one batch at a time.
+def incremental_index(docs: DataFrame, id_col: str, text_cols: list[str], order: str, path: str | None = None, checkpoint: str | None = None) -> index.Index:
+    """A stored index kept up as documents arrive, one batch at a time; each batch is a segment of its own documents.
 
-    Each batch rewrites the buckets that its documents touch; a document that comes again replaces its
-    older postings (of one batch the one with the largest ``order`` counts), and a batch done again changes nothing.
+    A document that comes again replaces its older postings (of one batch the one with the largest ``order`` counts).
+    The version that a batch makes names the batch, so one done again changes nothing.  A later call with the same ``path`` and
+    ``checkpoint`` goes on where the last one ended.
     """
     spark = docs.sparkSession
-    folder = index.shared_folder(spark, "stream")
-    held = index.build(spark.createDataFrame([], docs.schema), id_col, text_cols, f"{folder}/index", buckets)
+    folder = scratch.shared_folder(spark, "stream")
+    path = path or f"{folder}/index"
+    if index.opened(spark, path) is None:
+        index.build(spark.createDataFrame([], docs.schema), id_col, text_cols, path)
 
     def write(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy(id_col).agg(F.max_by(F.struct(*text_cols), order).alias("last")).select(id_col, "last.*")
-        index.update(held, last.select(id_col).limit(0), last, text_cols)
+        held = index.opened(spark, path)
+        if held.batch < number:
+            last = batch.groupBy(id_col).agg(F.max_by(F.struct(*text_cols), order).alias("last")).select(id_col, "last.*")
+            index.update(held, last.select(id_col).limit(0), last, text_cols, batch=number)
 
-    run = docs.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
+    run = docs.writeStream.option("checkpointLocation", checkpoint or f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     run.awaitTermination()
-    return held
+    return index.opened(spark, path)

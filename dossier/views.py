@@ -149,10 +149,10 @@ class Tables:
         return words.groupBy("query_id", "term").agg(F.count("*").alias("n"))
 
     def indexed(self, name: str) -> index.Index:
-        """The stored index of the turns (five columns), of their texts alone, or of the documents."""
+        """The stored index of the turns (five columns), of their texts alone, of the entities' names, or of the documents."""
         sources = {
             "turns": lambda: (self.turns, "turn_id", ["text", "speaker", "organization", "committee", "kind"]),
-            "turn_texts": lambda: (self.turns, "turn_id", ["text"]), "documents": lambda: (self.raw("documents"), "doc_id", ["text"]),
+            "turn_texts": lambda: (self.turns, "turn_id", ["text"]), "entities": lambda: (self.entities, "number", ["name", "proposer", "committee"]), "documents": lambda: (self.raw("documents"), "doc_id", ["text"]),
         }
         return index.stored(self.spark, f"{self.sf_dir}/{name}", sources[name])
 

@@ -100,18 +100,6 @@ def test_graph_merges_conflicts_and_splits_claims(spark):
     assert rows(edges, "source", "target") == [("a", "p")] and rows(rest, "source", "target", "gap") == [("a", "b", "missing_target"), ("q", "b", "missing_both"), ("q", "p", "missing_source")]
 
 
-def test_index_update_equals_rebuild(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 60")
-    changed = docs.where("doc_id % 7 = 1").withColumn("text", F.lit("all new words"))
-    after = docs.where("doc_id % 7 != 1 and doc_id % 5 != 0").unionByName(changed)
-    new = lambda d: index.build(d, "doc_id", ["text"], index.shared_folder(spark, "index"), 4)
-    updated = index.update(new(docs), docs.where("doc_id % 5 = 0").select("doc_id"), changed, ["text"])
-    again = new(after)
-    assert rows(updated.postings, "doc_id", "term", "tf", "dl", "df") == rows(again.postings, "doc_id", "term", "tf", "dl", "df") and rows(updated.lengths) == rows(again.lengths)
-    emptied = index.update(updated, after.select("doc_id"), docs.limit(0), ["text"])
-    assert emptied.postings.count() == 0 and emptied.totals() == (0, 0.0)
-
-
 def test_substring_links_equal_all_pairs(spark):
     texts = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again and again"), (2, "quick"), (3, ""), (4, None), (5, "abcd" * 20)], "id long, text string")
     patterns = spark.createDataFrame([(1, "quick"), (2, "brown fox jumps over the lazy dog again"), (3, "abcdabcdabcdabcd"), (4, "lazy dog"), (5, "zzzz"), (6, "abcd")], "p long, pattern string")
@@ -261,7 +249,7 @@ def test_no_window_orders_a_table_in_one_task(spark, sf):
 
 def test_results_do_not_depend_on_partitions(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    built = [index.build(docs.repartition(n), "doc_id", ["text"], index.shared_folder(spark, "index"), 3) for n in (1, 7)]
+    built = [index.build(docs.repartition(n), "doc_id", ["text"], index.shared_folder(spark, "index"), 200) for n in (1, 7)]
     words = spark.createDataFrame([(1, "the", 1), (1, "and", 2), (2, "une", 1)], "query_id long, term string, n long")
     one, two = (rows(search.bm25(b, words, 20)) for b in built)
     assert one == two and rows(search.match_search(built[0], words.drop("n"))) == rows(search.match_search(built[1], words.drop("n")))
@@ -277,3 +265,26 @@ def test_filters_of_queries(spark):
         filters.matching(turns, make({"day_from": "2021-01-01", "day_to": "2020-01-01"}))
     with pytest.raises(ValueError):
         filters.structured(turns, colour="red")
+
+
+def test_threads_of_a_large_group_meet_their_own_turns(spark):
+    turns = spark.range(1_000_000).select(F.lit(1).alias("group_id"), F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("role"))
+    hits = turns.where("seq % 1000 in (0, 3, 9) and seq < 900000")
+    spans = hits.groupBy("group_id", F.floor(F.col("seq") / 1000).alias("thread")).agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    kept = linking.swept(spans, turns, 2, linking.SWEEP)
+    kept.write.format("noop").mode("overwrite").save()
+    assert kept.count() == 900 * 14 - 2
+    found = linking.threads(hits.where("seq < 5000"), turns.where("seq < 5100"), gap=8)
+    assert rows(found)[0] == (1, 1, 0, 9, 3, "a,b", 12) and rows(found, "n_turns") == [(12,)] + [(14,)] * 4
+
+
+def test_entities_by_any_word_then_their_texts_within_filters(spark):
+    made = lambda schema, *data: spark.createDataFrame(list(data), schema)
+    entities = made("number string, name string, proposer string, committee string, proposed_at string, result string, term long", ("1", "urgent tax act", "Ann", "law", "2020-01-01", None, 1), ("2", "tax", "Bob", "law", "2021-01-01", "x", 1), ("3", "roads", "Urgent Person", "works", "2022-01-01", None, 2), ("44", "other", "Eve", "law", "2019-01-01", None, 2), ("5", "none", None, None, "2018-01-01", None, 3))
+    texts = made("doc_id long, text string", (1, "urgency and roads"), (2, "urgent"), (3, None), (4, "tax"))
+    belongs = made("doc_id long, number string", (1, "5"), (2, "44"), (4, "1"), (4, "missing"))
+    wanted = made("query_id long, q string, status string, term long, committee string", (1, "urgent tax", None, None, None), (2, " 44 ", "pending", 9, None), (3, "TAX", "pending", None, "LA"), (4, "roads", None, None, None), (5, None, None, None, None), (6, "nothing", None, None, None))
+    fields = index.build(entities, "number", ["name", "proposer", "committee"], index.shared_folder(spark, "index"))
+    documents = index.build(texts, "doc_id", ["text"], index.shared_folder(spark, "index"))
+    found = rows(search.entity_search(fields, documents, belongs, entities, wanted, 10), "query_id", "rank", "number", "part")
+    assert found == [(1, 1, "1", 1), (1, 2, "2", 1), (1, 3, "3", 1), (1, 4, "44", 2), (2, 1, "44", 0), (3, 1, "1", 1), (4, 1, "3", 1), (4, 2, "5", 2)]
