@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.text import LATIN_SUFFIXES, match_key, tokens
-from dossier.operators import gate, index, search
+from dossier.operators import gate, index, search, vectors
 from dossier.registry import query
 from dossier.views import Tables
 
@@ -98,8 +98,7 @@ COSINE_SQL = """
 
 
 def _neighbours(t: Tables, k: int) -> DataFrame:
-    vectors = t.raw("embeddings")
-    return search.vector_top_k(vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), vectors, k, "vec_id", "embedding")
+    return vectors.nearest(t.vectors("embeddings"), t.raw("embeddings").where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), k)
 
 
 @query("rk_vector_topk", f"WITH {COSINE_SQL} SELECT * FROM near WHERE rank <= 10")
@@ -113,9 +112,9 @@ def rk_vector_topk(t: Tables) -> DataFrame:
     f"WITH {COSINE_SQL}, kept AS (SELECT scored.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored JOIN embeddings ON vec_id = id WHERE label % 2 = 0) SELECT * FROM kept WHERE rank <= 5",
 )
 def rk_semantic(t: Tables) -> DataFrame:
-    """The structured filter comes before the scan, so k are found wherever k exist."""
-    vectors = t.raw("embeddings")
-    return search.vector_top_k(vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), vectors.where("label % 2 = 0"), 5, "vec_id", "embedding")
+    """The structured filter comes before lists are cut, so k are found wherever k exist."""
+    every = t.raw("embeddings")
+    return vectors.nearest(t.vectors("embeddings"), every.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 5, within=every.where("label % 2 = 0"))
 
 
 @query(
@@ -149,13 +148,9 @@ def query_vectors(t: Tables) -> DataFrame:
     return search.dense(search.hash_embedding(t.raw("benchmark"), "item_id", "text"), "item_id").withColumnRenamed("item_id", "query_id")
 
 
-def turn_vectors(t: Tables) -> DataFrame:
-    return search.dense(search.hash_embedding(t.turns, "turn_id", "text"), "turn_id")
-
-
 def fused(t: Tables, k: int = 20, within: DataFrame | None = None) -> DataFrame:
     """BM25 over five columns and hashed-word vectors, ``k`` of each, the vectors at half the weight."""
-    return search.hybrid(t.indexed("turns"), t.query_words, query_vectors(t), turn_vectors(t), k, (1.0, 0.5), within)
+    return search.hybrid(t.indexed("turns"), t.query_words, query_vectors(t), t.vectors("turns"), k, (1.0, 0.5), within)
 
 
 @query("rk_rrf", f"WITH {FUSED_SQL} SELECT * FROM final")
@@ -424,8 +419,8 @@ LETTERS_SQL = "l AS (SELECT turn_id, text, [len(text) - len(replace(text, c, '')
 def ud_embedder(t: Tables) -> DataFrame:
     from dossier.functions.embedding import embed
 
-    vectors = t.turns.select("turn_id", F.posexplode(embed(F.col("text"), _letter_counts, 5)).alias("dimension", "value"))
-    return vectors.select("turn_id", F.col("dimension").cast("long").alias("dimension"), F.round(F.col("value").cast("double"), 4).alias("value"))
+    made = t.turns.select("turn_id", F.posexplode(embed(F.col("text"), _letter_counts, 5)).alias("dimension", "value"))
+    return made.select("turn_id", F.col("dimension").cast("long").alias("dimension"), F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
 @query("rk_embed_build", "SELECT turn_id, CASE WHEN seq % 7 = 3 THEN 'missing' WHEN seq % 7 = 5 THEN 'stale' END AS fault FROM turns WHERE seq % 7 IN (3, 5)")

@@ -43,9 +43,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def clear(spark: SparkSession) -> None:
     """Delete all that the application has written between its steps; DataFrames and indexes made of it cannot be read after."""
-    from dossier.operators import index
+    from dossier.operators import index, vectors
 
     index.forget(spark)
+    vectors.forget(spark)
     delete(spark, base(spark))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.text import LATIN_SUFFIXES, query_terms, tokens
-from dossier.operators import index
+from dossier.operators import index, search, vectors
 
 PAGE_SIZE = 100
 
@@ -156,6 +156,14 @@ class Tables:
         }
         return index.stored(self.spark, f"{self.sf_dir}/{name}", sources[name])
 
+    def vectors(self, name: str) -> vectors.Vectors:
+        """The stored vectors of the supplied table, or those of hashed words of the turns."""
+        sources = {
+            "embeddings": lambda: (self.raw("embeddings"), "vec_id", "embedding"),
+            "turns": lambda: (search.dense(search.hash_embedding(self.turns, "turn_id", "text"), "turn_id"), "turn_id", "embedding"),
+        }
+        return vectors.stored(self.spark, f"{self.sf_dir}/{name}", sources[name])
+
     @property
     def turn_terms(self) -> DataFrame:
         return self.indexed("turn_texts").postings.select("turn_id", "term", "tf")

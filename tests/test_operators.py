@@ -115,7 +115,7 @@ def test_positions_do_not_need_one_task(spark):
 def test_vector_search_in_blocks(spark):
     data = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(40)] + [(99, [0.0, 0.0, 0.0])], "id long, v array<float>")
     wanted = data.where("id < 9").withColumnRenamed("id", "query_id")
-    assert rows(search.vector_top_k(wanted, data, 4, "id", "v", block_rows=2)) == rows(search.vector_top_k(wanted, data, 4, "id", "v"))
+    assert rows(search.vector_top_k(wanted, data, 4, "id", "v", block_bytes=48)) == rows(search.vector_top_k(wanted, data, 4, "id", "v"))
     assert search.vector_top_k(wanted.limit(0), data, 4, "id", "v").count() == 0
 
 
