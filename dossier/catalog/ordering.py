@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.operators import corpus
+from dossier.operators import corpus, paging
 from dossier.operators.search import ranked_within
 from dossier.registry import query
+from dossier.scratch import shared_folder
 from dossier.views import Tables
 
 TIMELINE_SQL = """
@@ -70,17 +71,13 @@ def wn_source_cards(t: Tables) -> DataFrame:
 @query(
     "wn_keyset_page",
     """WITH r AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place, count(*) OVER (PARTITION BY lang) AS total FROM documents), after AS (SELECT lang, n_chars AS c, doc_id AS d FROM r WHERE place = 20)
-    SELECT r.lang, doc_id, place, total, total - 20 - 10 AS remaining FROM r JOIN after USING (lang) WHERE (n_chars < c OR (n_chars = c AND doc_id > d)) AND place <= 30""",
+    SELECT r.lang, doc_id, place, total, greatest(total - 30, 0) AS remaining FROM r JOIN after USING (lang) WHERE (n_chars < c OR (n_chars = c AND doc_id > d)) AND place <= 30""",
 )
 def wn_keyset_page(t: Tables) -> DataFrame:
-    """The third page of ten: what follows the last key of the second, by a predicate on the keys."""
+    """The third page of ten of each language, from the files that hold it."""
     docs = t.raw("documents").select("lang", "doc_id", "n_chars")
-    order = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("total"))
-    last = docs.withColumn("k", F.row_number().over(order)).where("k <= 20").where("k = 20").select("lang", F.col("n_chars").alias("c"), F.col("doc_id").alias("d"))
-    beyond = docs.join(last, "lang").where((F.col("n_chars") < F.col("c")) | ((F.col("n_chars") == F.col("c")) & (F.col("doc_id") > F.col("d"))))
-    page = beyond.withColumn("place", F.row_number().over(order).cast("long") + 20).where("place <= 30")
-    return page.join(sizes, "lang").select("lang", "doc_id", "place", "total", (F.col("total") - 30).alias("remaining"))
+    held = paging.store(docs, "lang", ["-n_chars", "doc_id"], shared_folder(t.spark, "pages"))
+    return held.read(dict.fromkeys(held.axes(), 20), 10).select("lang", "doc_id", "place", "total", "remaining")
 
 
 @query("so_union_first", "WITH u AS (SELECT lang, doc_id, 1 AS part, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS k FROM documents UNION ALL SELECT lang, doc_id, 2, row_number() OVER (PARTITION BY lang ORDER BY doc_id) FROM documents), f AS (SELECT lang, doc_id, min((part, k)) AS first FROM u WHERE k <= 15 GROUP BY 1, 2) SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY first) AS place FROM f")

@@ -11,7 +11,7 @@ from dossier.catalog.ingestion import COHERENCE_SQL
 from dossier.catalog.lifecycle import INVENTORY_SQL, inventories
 from dossier.catalog.searching import bm25_sql, entity_search_sql, fused_sql, speech_sql
 from dossier.catalog.texts import QUALITY_SQL, ag_parse_quality
-from dossier.operators import linking, search
+from dossier.operators import linking, paging, search
 from dossier.scratch import shared_folder, written
 from dossier.plans import research
 from dossier.registry import query
@@ -89,13 +89,13 @@ def pl_research(t: Tables) -> DataFrame:
     return research.run(evidence_records(t), verdicts, resolved(t), t.entities, t.meetings)
 
 
-@query("pl_result_page", f"WITH {RECORDS_SQL}, r AS (SELECT evidence_type, id, sort_key, row_number() OVER (PARTITION BY evidence_type ORDER BY sort_key, id) AS place, count(*) OVER (PARTITION BY evidence_type) AS total FROM records), p AS (SELECT * FROM r WHERE place BETWEEN 21 AND 40) SELECT evidence_type, id, sort_key, place, total, count(*) OVER (PARTITION BY evidence_type) AS returned, greatest(total - 40, 0) AS remaining, last_value(sort_key || '|' || id) OVER (PARTITION BY evidence_type ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS next_position FROM p")
+@query("pl_result_page", f"WITH {RECORDS_SQL}, r AS (SELECT evidence_type, id, sort_key, row_number() OVER (PARTITION BY evidence_type ORDER BY sort_key, id) AS place, count(*) OVER (PARTITION BY evidence_type) AS total FROM records), p AS (SELECT * FROM r WHERE place BETWEEN 21 AND 40) SELECT evidence_type, id, sort_key, place, total, count(*) OVER (PARTITION BY evidence_type) AS returned, greatest(total - 40, 0) AS remaining, CASE WHEN total > 40 THEN CAST(40 AS BIGINT) END AS next_offset FROM p")
 def pl_result_page(t: Tables) -> DataFrame:
-    """The second page of twenty: what follows the first page's last key, by a predicate on the keys."""
-    records = evidence_records(t)
-    first = research.result_page(records, None, 20)
-    ends = first.groupBy("evidence_type").agg(F.max("next_position").alias("after"), F.count("*").alias("seen"))
-    return research.result_page(records, ends, 20)
+    """The second page of twenty of each type of evidence, from the files that hold it."""
+    held = paging.store(evidence_records(t).select("evidence_type", "id", "sort_key"), "evidence_type", ["sort_key", "id"], shared_folder(t.spark, "pages"))
+    page = held.read(dict.fromkeys(held.axes(), 20), 20)
+    after = F.when(F.col("remaining") > 0, F.lit(40).cast("long"))
+    return page.select("evidence_type", "id", "sort_key", "place", "total", F.count("*").over(Window.partitionBy("evidence_type")).alias("returned"), "remaining", after.alias("next_offset"))
 
 
 @query("pl_evidence_text", "SELECT turn_id, text, sha256(text) AS digest FROM turns JOIN meetings m USING (group_id) WHERE m.kind = 'plenary'")

@@ -153,24 +153,3 @@ def run(records: DataFrame, verdicts: DataFrame, graph: tuple[DataFrame, DataFra
     return axes.join(F.broadcast(nets.join(snapshot))).select(  # one row
         F.col("evidence_type").alias("axis"), "checked", "matched", (F.col("checked") - F.col("matched")).alias("rejected"), complete.alias("complete"), "edges", "unresolved", "gap_kinds", "snapshot"
     )
-
-
-def result_page(records: DataFrame, after: DataFrame | None, size: int) -> DataFrame:
-    """A page of each axis in the order of (sort key, id): the ``size`` rows beyond ``after(evidence_type, after, seen)``.
-
-    Rows beyond the last key are found by a predicate; positions are ``sort_key|id``, whose order is the
-    key's as long as sort keys hold no ``|``.  With total, returned, remaining and the next position.
-    """
-    axis = Window.partitionBy("evidence_type")
-    sizes = records.groupBy("evidence_type").agg(F.count("*").alias("total"))
-    rows = records.select("evidence_type", "id", "sort_key")
-    if after is None:
-        rows = rows.withColumn("seen", F.lit(0))
-    else:
-        key = F.struct(F.substring_index("after", "|", 1).alias("sort_key"), F.expr("substring(after, locate('|', after) + 1)").alias("id"))
-        rows = rows.join(F.broadcast(after), "evidence_type").where(F.struct("sort_key", "id") > key).drop("after")  # a row an axis
-    place = F.row_number().over(axis.orderBy("sort_key", "id"))
-    page = rows.withColumn("k", place).where(F.col("k") <= size).withColumn("place", (F.col("k") + F.col("seen")).cast("long"))
-    last = F.max_by(F.concat("sort_key", F.lit("|"), "id"), "k").over(axis)
-    told = page.select("evidence_type", "id", "sort_key", "place", F.count("*").over(axis).alias("returned"), last.alias("next_position"), F.max("place").over(axis).alias("upto"))
-    return told.join(sizes, "evidence_type").select("evidence_type", "id", "sort_key", "place", "total", "returned", F.greatest(F.col("total") - F.col("upto"), F.lit(0)).cast("long").alias("remaining"), "next_position")
