@@ -223,7 +223,7 @@ def evidence_records(t: Tables) -> DataFrame:
 
 def placed_records(t: Tables) -> DataFrame:
     """Records with their place on their axis; rows of one sort key are ordered in one task, not those of one axis."""
-    return search.ranked_within(evidence_records(t), "evidence_type", [F.asc("sort_key"), F.asc("id")], ["sort_key"], ascending=True).withColumnRenamed("rank", "place")
+    return search.ranked_within(evidence_records(t), "evidence_type", [F.asc("sort_key"), F.asc("id")]).withColumnRenamed("rank", "place")
 
 
 @query("gr_evidence_records", f"WITH {RECORDS_SQL} SELECT *, row_number() OVER (PARTITION BY evidence_type ORDER BY sort_key, id) AS place FROM records")

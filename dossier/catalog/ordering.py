@@ -58,7 +58,7 @@ def wn_latest_per_key(t: Tables) -> DataFrame:
 @query("wn_list_meetings", "SELECT committee, group_id, held_on, row_number() OVER (PARTITION BY committee ORDER BY held_on DESC, group_id) AS place FROM meetings WHERE kind != 'plenary'")
 def wn_list_meetings(t: Tables) -> DataFrame:
     rows = t.meetings.where("kind != 'plenary'").select("committee", "group_id", "held_on")
-    return ranked_within(rows, "committee", [F.desc("held_on"), F.asc("group_id")], ["held_on"]).withColumnRenamed("rank", "place")
+    return ranked_within(rows, "committee", [F.desc("held_on"), F.asc("group_id")]).withColumnRenamed("rank", "place")
 
 
 @query("wn_source_cards", "WITH c AS (SELECT number, url, seq, left(text, 80) AS shown, turn_id FROM links JOIN turns USING (turn_id, group_id, seq) JOIN meetings USING (group_id)), r AS (SELECT *, row_number() OVER (PARTITION BY number, url ORDER BY seq, turn_id) AS k FROM c) SELECT number, url, shown FROM r WHERE k = 1")

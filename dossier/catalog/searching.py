@@ -194,7 +194,7 @@ def rk_eval_metrics(t: Tables) -> DataFrame:
 
 
 GATE_SQL = """
-  q AS (SELECT DISTINCT vec_id % 12 AS query_id FROM embeddings),
+  q AS (SELECT range AS query_id FROM range(12)),
   scopes AS (SELECT query_id, CASE WHEN query_id = 1 THEN ['0000003', '0000018'] WHEN query_id = 6 THEN ['0000018'] END AS numbers, CASE WHEN query_id IN (2, 7) THEN 'Machine-ry' WHEN query_id = 10 THEN 'the HOUSEHOLD committee' END AS committee,
     CASE WHEN query_id IN (3, 8, 11) THEN DATE '1997-01-01' END AS day_from, CASE WHEN query_id IN (3, 8) THEN DATE '1998-12-31' END AS day_to, query_id IN (3, 11) AS proposal_dated FROM q),
   terms AS (SELECT * FROM (VALUES (0, 'issue', 'urgent'), (0, 'related_issue', 'small'), (1, 'issue', 'low'), (3, 'statute', 'high'), (3, 'related_statute', 'ring'), (5, 'issue', 'widget'), (6, 'issue', 'bolt'), (8, 'related_statute', 'low'), (9, 'issue', 'medium'), (11, 'related_issue', 'gear')) v(query_id, kind, term)),
@@ -241,7 +241,7 @@ def gate_decisions(t: Tables) -> DataFrame:
     """Twelve stated queries over all entities; agendas come from line items of the same number."""
     q = F.col("query_id")
     day = lambda test, s: F.when(test, F.lit(s).cast("date"))
-    asked = t.raw("embeddings").select((F.col("vec_id") % 12).alias("query_id")).distinct()
+    asked = t.spark.range(12).withColumnRenamed("id", "query_id")
     scopes = asked.select(
         "query_id", F.when(q == 1, F.lit(["0000003", "0000018"])).when(q == 6, F.lit(["0000018"])).alias("numbers"), F.when(q.isin(2, 7), "Machine-ry").when(q == 10, "the HOUSEHOLD committee").alias("committee"),
         day(q.isin(3, 8, 11), "1997-01-01").alias("day_from"), day(q.isin(3, 8), "1998-12-31").alias("day_to"), q.isin(3, 11).alias("proposal_dated"),
@@ -267,7 +267,7 @@ def rk_relevance_gate(t: Tables) -> DataFrame:
 def rk_gate_rank(t: Tables) -> DataFrame:
     """Ranks of all accepted candidates; rows of one score and day are ordered in one task, not those of one query."""
     accepted = gate_decisions(t).where("accepted").withColumn("day_no", F.coalesce(F.unix_date("day"), F.lit(-(2**31) + 1)))
-    return search.ranked_within(accepted, "query_id", gate.order(), ["score", "day_no"]).select("query_id", "candidate", "score", "rank")
+    return search.ranked_within(accepted, "query_id", gate.order()).select("query_id", "candidate", "score", "rank")
 
 
 @query("ag_rejections", f"WITH {GATE_SQL} SELECT query_id, rejection, count(*) AS n FROM decided WHERE rejection IS NOT NULL GROUP BY 1, 2")
@@ -295,7 +295,7 @@ def rk_importance(t: Tables) -> DataFrame:
     base = F.when(F.col("result").isNotNull(), 12).when(F.col("committee") != "BUILDING", 2).otherwise(0)
     scored = t.entities.join(linked, "number", "left").withColumn("turns", F.coalesce("turns", F.lit(0))).withColumn("score", (base + F.least(F.lit(20), 5 * F.col("turns"))).cast("long"))
     order = [F.desc("score"), F.desc("turns"), F.desc("proposed_at"), F.asc("number")]
-    return search.ranked_within(scored.select("number", "score", "turns", "proposed_at", "term"), "term", order, ["score", "turns", "proposed_at"]).select("number", "score", "rank", "term")
+    return search.ranked_within(scored.select("number", "score", "turns", "proposed_at", "term"), "term", order).select("number", "score", "rank", "term")
 
 
 @query(

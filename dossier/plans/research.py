@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.operators import search
 from dossier.operators.filters import structured
+from dossier.scratch import written
 from dossier.views import Tables
 
 
@@ -80,30 +81,27 @@ def search_bills(t: Tables, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def build_corpus(items: DataFrame, outcomes: DataFrame, root: str) -> DataFrame:
-    """Coverage of each scope ``(term, kind)``, and a revision written for each that is complete.
+    """Coverage of each scope ``(term, kind)``, and a revision of each that is complete under ``root``.
 
     ``items(term, kind, item)`` is the work, ``outcomes(term, kind, item, outcome)`` with success, permanent or
-    retryable what came of it.  The writer is asked for every scope and refuses those that are not complete.
+    retryable what came of it.  Documents of all complete scopes are written at once, by scope; their manifests, with a name
+    that is a hash of the scope's content, are one table that is written last, so a scope without a line in it does not exist.
     """
-    from dossier.operators import corpus
-
     state = lambda s: F.count(F.when(F.col("outcome") == s, 1))
-    done = outcomes.groupBy("term", "kind").agg(state("success").alias("built"), state("permanent").alias("failed"), state("retryable").alias("pending"))
-    cells = items.groupBy("term", "kind").agg(F.count("*").alias("expected")).join(done, ["term", "kind"], "left").fillna(0, ["built", "failed", "pending"])
-    cells = cells.withColumn("complete", (F.col("failed") == 0) & (F.col("pending") == 0) & (F.col("expected") == F.col("built")))
-    listed = cells.collect()  # a row for each scope
-    written = []
-    for c in listed:
-        mine = (F.col("term") == c.term) & (F.col("kind") == c.kind)
-        docs = outcomes.where(mine & (F.col("outcome") == "success")).select("item", F.sha2("item", 256).alias("digest"))
-        folder = f"{root}/{c.kind}-{c.term}"
-        try:
-            name = corpus.publish(folder, docs, "item", "digest", items.sparkSession.createDataFrame([(c.complete,)], "complete boolean"))
-            n = corpus.manifests(items.sparkSession, folder).where(F.col("revision") == name).first().documents
-        except corpus.IncompleteError:
-            n = 0
-        written.append((c.term, c.kind, c.expected, c.built, c.failed, c.pending, c.complete, n))
-    return items.sparkSession.createDataFrame(written, "term long, kind string, expected long, built long, failed long, pending long, complete boolean, published long")
+    scope = ["term", "kind"]
+    done = outcomes.groupBy(*scope).agg(state("success").alias("built"), state("permanent").alias("failed"), state("retryable").alias("pending"))
+    cells = items.groupBy(*scope).agg(F.count("*").alias("expected")).join(done, scope, "left").fillna(0, ["built", "failed", "pending"])
+    cells = written(cells.withColumn("complete", (F.col("failed") == 0) & (F.col("pending") == 0) & (F.col("expected") == F.col("built"))), "scopes")
+    docs = outcomes.where("outcome = 'success'").join(cells.where("complete").select(*scope), scope, "left_semi").select("item", F.sha2("item", 256).alias("digest"), *scope)
+    docs.write.partitionBy(*scope).parquet(f"{root}/documents")
+    spark = items.sparkSession
+    stored = spark.read.schema(docs.schema).parquet(f"{root}/documents") if cells.where("complete").take(1) else docs.limit(0)
+    line = F.conv(F.substring(F.sha2(F.concat_ws("\u001f", "item", "digest"), 256), 1, 15), 16, 10).cast("long")
+    named = F.concat_ws("|", F.count("*"), F.bit_xor(line), F.sum(line % 1000003))
+    stored.groupBy(*scope).agg(F.left(F.sha2(named, 256), F.lit(16)).alias("revision"), F.count("*").alias("documents")).write.parquet(f"{root}/manifests")
+    published = spark.read.schema("term long, kind string, revision string, documents long").parquet(f"{root}/manifests")
+    told = cells.join(published, scope, "left").select(*scope, "expected", "built", "failed", "pending", "complete", F.coalesce("documents", F.lit(0)).alias("published"))
+    return told.withColumn("term", F.col("term").cast("long"))
 
 
 def bill_status(t: Tables) -> DataFrame:
