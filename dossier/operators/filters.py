@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.scratch import written
+
 #: Filters by equality, and by a part of the text in any case.
 EXACT = ["term", "role", "organization", "kind"]
 PARTS = ["committee", "speaker"]
@@ -35,30 +37,73 @@ def _test(name: str, value: Column) -> Column:
     return F.col("held_on") >= day if name == "day_from" else F.col("held_on") <= day
 
 
-def matching(turns: DataFrame, queries: DataFrame, id_col: str = "turn_id", block: int = 500) -> DataFrame:
+#: Blocks that the days of a table are cut to, and buckets that queries without filters are dealt to.
+DAY_BLOCKS, BUCKETS = 64, 64
+
+
+def matching(turns: DataFrame, queries: DataFrame, id_col: str = "turn_id") -> DataFrame:
     """``(query_id, id)`` of the turns that meet each row of ``queries(query_id, <filters>)``; null is no constraint.
 
-    The stated queries come to the driver in blocks of ``block`` rows and each turn is held against a
-    block in one narrow pass, so turns are never shuffled and no pair is made that does not match.  A
-    query whose ``day_from`` is after its ``day_to`` is an error.
+    An index over the queries: each stands under one key, the value of that of its filters which the fewest turns have, where a part of a text stands
+    under every value that holds it (found once for each distinct value), a query with days alone under the blocks
+    of days that it meets, and one without filters under every bucket of ids.  Turns meet queries by key in one join and
+    the other filters are tested on what meets.  Queries are a table of any size; one whose ``day_from`` is after its ``day_to`` is an error.
     """
-    names = [c for c in queries.columns if c != "query_id"]
-    wishes = sorted(queries.collect(), key=lambda r: str(r.query_id))
-    kind = queries.schema["query_id"].dataType
-    out = None
-    for at in range(0, max(1, len(wishes)), block):
-        hits = []
-        for w in wishes[at : at + block]:
-            given = {n: w[n] for n in names if w[n] is not None}
-            if given.get("day_from") and given.get("day_to") and given["day_from"] > given["day_to"]:
-                raise ValueError(f"query {w.query_id}: day_from is after day_to")
-            met = F.lit(True)
-            for n, v in given.items():
-                met = met & F.coalesce(_test(n, F.lit(v)), F.lit(False))
-            hits.append(F.when(met, F.lit(w.query_id).cast(kind)))
-        part = turns.select(F.explode(F.array_compact(F.array(*hits) if hits else F.array().cast(f"array<{kind.simpleString()}>"))).alias("query_id"), id_col)
-        out = part if out is None else out.unionByName(part)
-    return out
+    from dossier.operators.linking import substring_links
+
+    c, names = F.col, [n for n in queries.columns if n != "query_id"]
+    if unknown := set(names) - {*EXACT, *PARTS, "day_from", "day_to"}:
+        raise ValueError(f"no such filters: {sorted(unknown)}")
+    days = [n for n in ("day_from", "day_to") if n in names]
+    if len(days) == 2 and (wrong := queries.where(c("day_from").cast("date") > c("day_to").cast("date")).select("query_id").take(1)):
+        raise ValueError(f"query {wrong[0].query_id}: day_from is after day_to")
+    wishes = queries.select("query_id", *(c(n).cast("date").alias(f"_{n}") if n in days else c(n).alias(f"_{n}") for n in names))
+    wishes = written(wishes.withColumn("_row", F.monotonically_increasing_id()), "filter-queries")
+    low = size = None
+    if days:
+        low, high = turns.agg(F.min("held_on"), F.max("held_on")).first()
+        size = 1 if low is None else max(1, -(-((high - low).days + 1) // DAY_BLOCKS))
+    day = lambda d: F.floor(F.datediff(d, F.lit(low).cast("date")) / F.lit(size or 1)).cast("long")
+    equal = [n for n in (*EXACT, *PARTS) if n in names]
+    key = lambda kind, value: F.when(value.isNotNull(), F.struct(F.lit(kind).alias("key_kind"), value.cast("string").alias("key_value")))
+    keys = [key(n, c(n)) for n in equal] + ([key("day", day(c("held_on")))] if days else []) + [key("all", F.pmod(F.xxhash64(id_col), F.lit(BUCKETS)))]
+    needed = dict.fromkeys([id_col, *equal, *(["held_on"] if days else [])])
+    placed = turns.select(*needed, F.explode(F.array_compact(F.array(*keys))).alias("k")).select(*needed, "k.*")
+    often = written(placed.where(~c("key_kind").isin("day", "all")).groupBy("key_kind", "key_value").agg(F.count("*").alias("n")), "filter-values")
+    # each filter's values, and how many turns they have together
+    exact = [key(n, c(f"_{n}")) for n in equal if n in EXACT]
+    options = [wishes.select("_row", F.explode(F.array_compact(F.array(*exact))).alias("k")).select("_row", "k.*")] if exact else []
+    for n in (n for n in equal if n in PARTS):
+        asked = wishes.where(c(f"_{n}").isNotNull()).select("_row", F.lower(f"_{n}").alias("pattern"))
+        held = substring_links(often.where(c("key_kind") == n).select("key_value", F.lower("key_value").alias("text")), asked.select("pattern", c("pattern").alias("p")).distinct().select(c("p"), "pattern"), "key_value", "p")
+        options.append(asked.join(held, c("pattern") == c("p")).select("_row", F.lit(n).alias("key_kind"), "key_value"))
+    given = F.lit(False)
+    for n in equal:
+        given = given | c(f"_{n}").isNotNull()
+    chosen = []
+    if options:
+        every = options[0]
+        for o in options[1:]:
+            every = every.unionByName(o)
+        every = written(every.join(often, ["key_kind", "key_value"], "left").select("_row", "key_kind", "key_value", F.coalesce("n", F.lit(0)).alias("n")), "filter-options")
+        best = every.groupBy("_row", "key_kind").agg(F.sum("n").alias("n")).groupBy("_row").agg(F.min(F.struct("n", "key_kind")).alias("b")).select("_row", c("b.key_kind").alias("key_kind"))
+        chosen.append(every.join(best, ["_row", "key_kind"]).select("_row", "key_kind", "key_value"))
+    dated = F.lit(False)
+    for n in days:
+        dated = dated | c(f"_{n}").isNotNull()
+    if days and low is not None:
+        first = F.greatest(F.coalesce(day(c("_day_from")), F.lit(0)) if "day_from" in days else F.lit(0).cast("long"), F.lit(0))
+        last = F.least(F.coalesce(day(c("_day_to")), F.lit(DAY_BLOCKS)) if "day_to" in days else F.lit(DAY_BLOCKS).cast("long"), F.lit(DAY_BLOCKS).cast("long"))
+        blocks = F.explode(F.when(first <= last, F.transform(F.sequence(first, last), lambda b: b.cast("string"))))
+        chosen.append(wishes.where(~given & dated).select("_row", F.lit("day").alias("key_kind"), blocks.alias("key_value")))
+    chosen.append(wishes.where(~given & ~dated).select("_row", F.lit("all").alias("key_kind"), F.explode(F.lit([str(b) for b in range(BUCKETS)])).alias("key_value")))
+    under = chosen[0]
+    for o in chosen[1:]:
+        under = under.unionByName(o)
+    met = F.lit(True)
+    for n in names:
+        met = met & (c(f"_{n}").isNull() | F.coalesce(_test(n, c(f"_{n}")), F.lit(False)))
+    return placed.join(under.join(wishes, "_row"), ["key_kind", "key_value"]).where(met).select("query_id", id_col)
 
 
 def collapse_months(months: DataFrame, group: list[str], as_of: str) -> DataFrame:

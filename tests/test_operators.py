@@ -288,3 +288,18 @@ def test_entities_by_any_word_then_their_texts_within_filters(spark):
     documents = index.build(texts, "doc_id", ["text"], index.shared_folder(spark, "index"))
     found = rows(search.entity_search(fields, documents, belongs, entities, wanted, 10), "query_id", "rank", "number", "part")
     assert found == [(1, 1, "1", 1), (1, 2, "2", 1), (1, 3, "3", 1), (1, 4, "44", 2), (2, 1, "44", 0), (3, 1, "1", 1), (4, 1, "3", 1), (4, 2, "5", 2)]
+
+
+def test_a_hundred_thousand_filter_queries_in_one_join(spark):
+    turns = spark.range(3000).select(F.concat(F.lit("t"), "id").alias("turn_id"), (F.col("id") % 50).alias("term"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("Role "), (F.col("id") % 700).cast("string"))).alias("role"), F.concat(F.lit("Committee "), (F.col("id") % 300).cast("string")).alias("committee"), F.when(F.col("id") % 11 > 0, F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 900).cast("int"))).alias("held_on"))
+    k = F.col("id")
+    queries = spark.range(100_000).select(k.alias("query_id"), F.when(k % 3 == 0, k % 60).alias("term"), F.when(k % 3 == 1, F.concat(F.lit("Role "), (k % 900).cast("string"))).alias("role"), F.when(k % 3 != 1, F.concat(F.lit("TTEE "), (k % 300).cast("string"))).alias("committee"), F.when(k % 5 == 0, F.date_add(F.lit("2019-06-01").cast("date"), (k % 500).cast("int"))).alias("day_from"), F.when(k % 10 == 0, F.date_add(F.lit("2020-11-01").cast("date"), (k % 500).cast("int"))).alias("day_to"))
+    odd = spark.createDataFrame([(-1, None, None, None, None, None), (-2, None, None, None, "2020-02-01", None), (-3, None, None, None, None, "2020-02-01"), (-4, None, None, None, "2031-01-01", None), (-5, None, None, None, "1990-01-01", "1991-01-01"), (-6, None, None, "mitt", None, "2020-03-01")], "query_id long, term long, role string, committee string, day_from string, day_to string").withColumns({c: F.col(c).cast("date") for c in ("day_from", "day_to")})
+    found = filters.matching(turns, queries.unionByName(odd))
+    got = {}
+    for q, t in found.where("query_id < 0 or query_id % 997 = 0").collect():
+        got.setdefault(q, []).append(t)
+    listed = turns.collect()
+    for q in queries.where("query_id % 997 = 0").unionByName(odd).collect():
+        held = lambda t, q=q: (q.term is None or t.term == q.term) and (q.role is None or t.role == q.role) and (q.committee is None or q.committee.lower() in t.committee.lower()) and (q.day_from is None or (t.held_on is not None and t.held_on >= q.day_from)) and (q.day_to is None or (t.held_on is not None and t.held_on <= q.day_to))
+        assert sorted(got.get(q.query_id, [])) == sorted(t.turn_id for t in listed if held(t))

@@ -39,7 +39,7 @@ def test_proposers_and_work_items_with_high_ids(spark):
     t = Small(spark, {
         "supplier": made("s_suppkey long, s_name string", (5, "low"), (57, "high")), "part": made("p_partkey long, p_name string", (1, "p")),
         "lineitem": made("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_extendedprice double, l_shipdate string", (9, 1, 57, 1, 1.0, "1997-01-02"), (9, 1, 5, 2, 1.0, "1997-01-02")),
-        "documents": made("doc_id long, source string", (50, "web"), (950, "web")),
+        "documents": made("doc_id long, source string", (4_800_000, "web"), (4_800_001, "web")),
     })
     assert sorted((r.query_id, r.candidate, r.all_met) for r in linking.jn_role_match(t).collect()) == [(5, 9, True), (17, 9, True)]
-    assert {r.doc_id: r.outcome for r in linking.jn_exact_mapping(t).where("doc_id = 50").collect()} == {50: "ambiguous"}
+    assert {r.doc_id: r.outcome for r in linking.jn_exact_mapping(t).collect()} == {4_800_000: "mapped", 4_800_001: "duplicate"}
