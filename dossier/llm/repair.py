@@ -112,7 +112,8 @@ def lay_out(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
             nonlocal number
             t = pa.Table.from_batches(parts)
             number += 1
-            return pa.RecordBatch.from_arrays([t.column("conv")[:1].combine_chunks(), pa.array([number])] + [pa.array([t.column(c).to_pylist()], pa.list_(t.schema.field(c).type)) for c in lists], names=["conv", "chunk", *lists])
+            one = pa.array([0, t.num_rows], pa.int32())
+            return pa.RecordBatch.from_arrays([t.column("conv")[:1].combine_chunks(), pa.array([number])] + [pa.ListArray.from_arrays(one, t.column(c).combine_chunks()) for c in lists], names=["conv", "chunk", *lists])
 
         held = rows_held = 0
         for batch in batches:
@@ -231,30 +232,38 @@ def repaired_chunks(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                yield pa.RecordBatch.from_pylist([traced(row)], schema=out)
-
-    def traced(row: dict) -> dict:
+            texts = batch.column("text")
+            begin = texts.offsets.to_pylist() if isinstance(texts, pa.ListArray) else []
+            picked: list[int | None] = []  # the text of each repaired turn, none of an inserted one
+            made, ends = [], [0]
+            for row, first in zip(batch.drop_columns(["text"]).to_pylist(), begin):
+                made.append(traced(row, first, picked))
+                ends.append(len(picked))
+            if made:
+                told = texts.values.take(pa.array(picked, pa.int64())).fill_null("")
+                columns = {"texts": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), told)}
+                yield pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.array([m[f.name] for m in made], f.type) for f in out], schema=out)
+
+    def traced(row: dict, first: int, picked: list[int | None]) -> dict:
         codes, faults = _codes(row, _pairs(row))
         single = row["behind"] is None
         _, moves = backward(codes, END if single else tuple(row["behind"]), True)
         q, cost, audit = START if single else row["state"], 0, []
-        roles, texts, actions = [], [], []
-        for may, role, text in zip(moves, row["role"], row["text"]):
+        roles, actions = [], []
+        for at, (may, role) in enumerate(zip(moves, row["role"]), first):
             letters, to, paid = may[q]
             cost += paid
             audit.append(letters)
             for letter in letters:
                 if letter != "D":
                     roles.append(role if letter == "K" else "assistant" if q == USER else "user")
-                    texts.append("" if letter == "I" else text)
+                    picked.append(None if letter == "I" else at)
                     actions.append(letter)
                 q = _AFTER_INSERT[q] if letter == "I" else to
         if single or row["is_last"]:
             while q not in (START, ASSISTANT):
                 roles.append("assistant" if q == USER else "user")
-                texts.append("")
+                picked.append(None)
                 actions.append("I")
                 audit.append("I")
                 q, cost = _AFTER_INSERT[q], cost + INSERT
@@ -262,8 +271,8 @@ def repaired_chunks(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
         distinct = sum(a != b for a, b in zip(turns[1:], turns)) + bool(turns)
         initials = [r[:1] for r in row["role"]]
         illegal = sum(a + b not in LEGAL for a, b in zip(initials, initials[1:]))
-        made = [row["chunk"], not single, turns[0] if turns else None, turns[-1] if turns else None, min(turns, default=None), max(turns, default=None), distinct, *faults, illegal, initials[0], initials[-1], cost, "".join(audit), roles, texts, actions]
-        return dict(zip(names, [row["conv"], *made]))
+        facts = [row["chunk"], not single, turns[0] if turns else None, turns[-1] if turns else None, min(turns, default=None), max(turns, default=None), distinct, *faults, illegal, initials[0], initials[-1], cost, "".join(audit), roles, None, actions]
+        return dict(zip(names, [row["conv"], *facts]))
 
     kind = chunks.schema["conv"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
