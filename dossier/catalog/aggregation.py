@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dossier.catalog.evidence import RECORDS_SQL
 from dossier.catalog.ingestion import COHERENCE_SQL
 from dossier.functions.labels import suspect_name
-from dossier.operators import aggregation, corpus
+from dossier.operators import aggregation, corpus, revisions
 from dossier.scratch import shared_folder
 from dossier.registry import query
 from dossier.sources import pages
@@ -109,9 +109,9 @@ def co_publish_gate(t: Tables) -> DataFrame:
     """Which scopes are complete, and whether the writer took the corpus: it refuses unless all are."""
     cells = scope_cells(t)
     try:
-        corpus.publish(shared_folder(t.spark, "gated"), t.raw("documents").select("doc_id", F.sha2("text", 256).alias("digest")), "doc_id", "digest", cells)
+        revisions.publish(shared_folder(t.spark, "gated"), t.raw("documents").select("doc_id", F.sha2("text", 256).alias("digest")), "doc_id", "digest", cells)
         published = True
-    except corpus.IncompleteError:
+    except revisions.IncompleteError:
         published = False
     return cells.groupBy("source").agg(F.bool_and("complete").alias("publishable")).withColumn("published", F.lit(published))
 

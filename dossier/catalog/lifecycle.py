@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.operators import corpus, linking
+from dossier.operators import revisions as tree
 from dossier.operators.gate import recall
 from dossier.scratch import shared_folder
 from dossier.registry import query
@@ -36,21 +37,45 @@ def so_scope_prune(t: Tables) -> DataFrame:
     return old.where("not doc_id % 2 = 1").select("doc_id").unionByName(listed)
 
 
+def tree_sql(table: str) -> str:
+    """The top of the hash tree over ``table(doc_id, digest)``, with leaves of 64 keys."""
+    return f"""(SELECT sha256(string_agg(node || ':' || h, ',' ORDER BY node)) FROM (SELECT leaf // 256 AS node, sha256(string_agg(leaf || ':' || h, ',' ORDER BY leaf)) AS h FROM
+    (SELECT doc_id // 64 AS leaf, sha256(string_agg(doc_id || chr(31) || digest, chr(30) ORDER BY doc_id || chr(31) || digest)) AS h FROM {table} GROUP BY 1) GROUP BY 1))"""
+
+
 REVISION_SQL = f"""{REVISIONS_SQL}, r AS (SELECT doc_id, coalesce(n.digest, o.digest) AS digest, n.digest IS NOT NULL AND o.digest IS DISTINCT FROM n.digest AS rewritten FROM (SELECT * FROM old WHERE doc_id % 10 != 3) o FULL JOIN new n USING (doc_id)),
-  ids AS (SELECT (SELECT sha256('|' || CAST(count(*) AS VARCHAR) || '|' || CAST(bit_xor(d) AS VARCHAR) || '|' || CAST(CAST(sum(d % 1000003) AS BIGINT) AS VARCHAR))[1:16] FROM (SELECT CAST('0x' || sha256(CAST(doc_id AS VARCHAR) || chr(31) || digest)[1:15] AS BIGINT) AS d FROM old)) AS parent),
-  named AS (SELECT parent, (SELECT sha256(parent || '|' || CAST(count(*) AS VARCHAR) || '|' || CAST(bit_xor(d) AS VARCHAR) || '|' || CAST(CAST(sum(d % 1000003) AS BIGINT) AS VARCHAR))[1:16] FROM (SELECT CAST('0x' || sha256(CAST(doc_id AS VARCHAR) || chr(31) || digest)[1:15] AS BIGINT) AS d FROM r)) AS revision FROM ids)"""
+  ids AS (SELECT sha256('|' || {tree_sql("old")})[1:16] AS parent), named AS (SELECT parent, sha256(parent || '|' || {tree_sql("r")})[1:16] AS revision FROM ids)"""
 
 
-@query("co_revision", f"WITH {REVISION_SQL} SELECT doc_id, digest, rewritten, revision, parent FROM r, named")
-def co_revision(t: Tables) -> DataFrame:
-    """Two revisions are published, the second from the first without removals and with what came in, and read back by their names."""
+def two_revisions(t: Tables) -> tuple[str, str, str]:
+    """A folder with two revisions, the second from the first without removals and with what came in, and their names."""
     old, new = revisions(t)
     root = shared_folder(t.spark, "revisions")
     whole = t.spark.range(1).select(F.lit(True).alias("complete"))
-    first = corpus.publish(root, old, "doc_id", "digest", whole)
-    second = corpus.publish(root, new, "doc_id", "digest", whole, first, old.join(new, "doc_id", "left_anti").where("doc_id % 10 = 3"))
-    line = corpus.manifests(t.spark, root).where(F.col("revision") == second)
-    return corpus.read_revision(t.spark, root, second).join(F.broadcast(line.select("revision", "parent"))).select("doc_id", "digest", "rewritten", "revision", "parent")  # one row
+    first = tree.publish(root, old, "doc_id", "digest", whole, per_leaf=64)
+    return root, first, tree.publish(root, new, "doc_id", "digest", whole, first, old.join(new, "doc_id", "left_anti").where("doc_id % 10 = 3"))
+
+
+@query("co_revision", f"WITH {REVISION_SQL} SELECT doc_id, digest, rewritten, revision, parent FROM r, named")
+def co_revision(t: Tables) -> DataFrame:
+    """Two revisions are published and the second is read back by its name."""
+    root, first, second = two_revisions(t)
+    return tree.read(t.spark, root, second).withColumns({"revision": F.lit(second), "parent": F.lit(first)})
+
+
+@query("co_revision_changes", f"WITH {REVISION_SQL} SELECT doc_id, CASE WHEN o.digest IS NULL THEN 'added' WHEN r.digest IS NULL THEN 'removed' ELSE 'changed' END AS change FROM old o FULL JOIN r USING (doc_id) WHERE o.digest IS DISTINCT FROM r.digest")
+def co_revision_changes(t: Tables) -> DataFrame:
+    """What differs between two published revisions, found by going down their trees where hashes differ."""
+    return tree.changes(t.spark, *two_revisions(t))
+
+
+@query("co_verify_revision", "SELECT 'document' AS level, CAST(doc_id AS VARCHAR) AS at, 'tampered' AS fault FROM documents WHERE doc_id % 10 = 4")
+def co_verify_revision(t: Tables) -> DataFrame:
+    """A published revision whose texts do not all have the digest that was stated for them, verified from documents to top."""
+    root = shared_folder(t.spark, "revisions")
+    text = F.when(F.col("doc_id") % 10 == 4, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    docs = t.raw("documents").select("doc_id", F.sha2("text", 256).alias("digest"), text.alias("text"))
+    return tree.verify(t.spark, root, tree.publish(root, docs, "doc_id", "digest", t.spark.range(1).select(F.lit(True).alias("complete"))), "text")
 
 
 @query("co_verify", f"WITH {REVISIONS_SQL} SELECT doc_id, CASE WHEN n.digest IS NULL THEN 'missing' WHEN n.digest != o.digest THEN 'tampered' END AS fault FROM old o LEFT JOIN new n USING (doc_id) WHERE n.digest IS NULL OR n.digest != o.digest")

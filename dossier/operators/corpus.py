@@ -1,15 +1,11 @@
-"""Corpus lifecycle: revisions, incremental index, inventories, outcomes, publication, verification."""
+"""Corpus lifecycle: differences, upserts, inventories, outcomes, coverage, verification."""
 
 from __future__ import annotations
 
-import hashlib
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def revision_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """Each identity of two revisions as added, changed, removed or same."""
     o, n = old.select(key, F.col(digest).alias("o"), F.lit(True).alias("in_old")), new.select(key, F.col(digest).alias("n"), F.lit(True).alias("in_new"))
@@ -49,61 +45,6 @@ def scope_coverage(expected: DataFrame, outcomes: DataFrame, keys: list[str]) ->
     return joined.withColumns({"unaccounted": left, "complete": complete, "over_accounted": F.coalesce(left < 0, F.lit(False))})
 
 
-def fingerprint_id(df: DataFrame, columns: list[str], *parents: str) -> str:
-    """A name for content: the table's fingerprint and the names of its parents, hashed."""
-    r = table_fingerprint(df, columns).first()
-    told = "|".join([*parents, str(r.n_rows), str(r.xored or 0), str(r.summed or 0)])
-    return hashlib.sha256(told.encode()).hexdigest()[:16]
-
-
-class IncompleteError(ValueError):
-    """A revision of a scope that is not complete is not written."""
-
-
-def publish(root: str, docs: DataFrame, key: str, digest: str, cells: DataFrame, parent: str | None = None, removed: DataFrame | None = None) -> str:
-    """Write the revision that ``docs(key, digest, ...)`` make of the ``parent`` under ``root``, and return its identifier.
-
-    ``docs`` are upserts: rows of the parent with their keys are replaced, those of ``removed(key)`` leave.
-    The identifier is a hash of content and parent, so equal content of equal parents is one revision and
-    is not written again.  ``cells(complete)`` is the coverage; unless all of it is complete, and the parent
-    is there, nothing is written and ``IncompleteError`` is raised.  The manifest is written last: a
-    revision without one does not exist.
-    """
-    spark = docs.sparkSession
-    short = cells.where("not complete").count()
-    if short or not cells.take(1):
-        raise IncompleteError(f"{short} scopes are not complete" if short else "no scope is covered")
-    rows = docs.withColumn("rewritten", F.lit(True))
-    if parent is not None:
-        if parent not in {r.revision for r in manifests(spark, root).collect()}:
-            raise IncompleteError(f"there is no revision {parent}")
-        old = read_revision(spark, root, parent).withColumn("rewritten", F.lit(False))
-        gone = docs.select(key) if removed is None else docs.select(key).unionByName(removed.select(key))
-        same = old.join(docs.select(key, F.col(digest).alias("_new")), key, "left").where(F.col("_new").eqNullSafe(F.col(digest))).drop("_new")
-        rows = rows.join(same, key, "left_anti").unionByName(same).unionByName(old.join(gone.distinct(), key, "left_anti"))
-        if removed is not None:
-            rows = rows.join(removed.select(key).distinct(), key, "left_anti")
-    name = fingerprint_id(rows, [key, digest], parent or "")
-    if parent is None or name not in {r.revision for r in manifests(spark, root).collect()}:
-        rows.write.mode("overwrite").parquet(f"{root}/documents/revision={name}")
-        n = spark.read.parquet(f"{root}/documents/revision={name}").count()
-        line = spark.range(1).select(F.lit(name).alias("revision"), F.lit(parent).cast("string").alias("parent"), F.lit(n).cast("long").alias("documents"))
-        line.write.mode("overwrite").parquet(f"{root}/manifests/{name}")
-    return name
-
-
-def manifests(spark: SparkSession, root: str) -> DataFrame:
-    """``(revision, parent, documents)`` of all published revisions; a row each."""
-    try:
-        return spark.read.schema("revision string, parent string, documents long").option("recursiveFileLookup", "true").parquet(f"{root}/manifests")
-    except AnalysisException:  # nothing published yet
-        return spark.createDataFrame([], "revision string, parent string, documents long")
-
-
-def read_revision(spark: SparkSession, root: str, revision: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/documents/revision={revision}").drop("revision")
-
-
 def verify(stored: DataFrame, manifest: DataFrame, key: str, text: str, digest: str) -> DataFrame:
     """Keys of the ``manifest(key, digest)`` whose stored text is missing or has another hash."""
     joined = manifest.select(key, digest).join(stored.select(key, F.sha2(text, 256).alias("found")), key, "left")

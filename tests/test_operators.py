@@ -209,23 +209,6 @@ def test_links_of_any_markup(spark):
     assert {r.position: r.verdict for r in got.collect()} == {0: None, 1: None, 3: "title", 4: "not_http", 5: "title"}
 
 
-def test_revisions_are_written_once_and_refused_when_incomplete(spark, tmp_path):
-    root = str(tmp_path)
-    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, digest string")
-    whole, short = (spark.createDataFrame([(c,)], "complete boolean") for c in (True, False))
-    with pytest.raises(corpus.IncompleteError):
-        corpus.publish(root, docs, "k", "digest", short)
-    assert corpus.manifests(spark, root).count() == 0
-    first = corpus.publish(root, docs, "k", "digest", whole)
-    assert corpus.publish(root, docs, "k", "digest", whole) == first
-    new = spark.createDataFrame([(2, "B"), (3, "c"), (4, "d")], "k long, digest string")
-    second = corpus.publish(root, new, "k", "digest", whole, first, docs.where("k = 1"))
-    assert rows(corpus.read_revision(spark, root, second), "k", "digest", "rewritten") == [(2, "B", True), (3, "c", False), (4, "d", True)]
-    assert rows(corpus.manifests(spark, root).select("revision", "documents")) == sorted([(first, 3), (second, 3)])
-    with pytest.raises(corpus.IncompleteError):
-        corpus.publish(root, new, "k", "digest", whole, "unknown")
-
-
 def test_gate_of_proposers_and_bases(spark):
     day = "date"
     cand = spark.createDataFrame([(q, c, k, n, "Budget", None, None, "taxlaw", "", "") for q in (1, 2, 3) for c, k, n in (("e1", "entity", "1"), ("e2", "entity", "2"), ("v1", "event", "9"))], f"query_id long, candidate string, kind string, number string, committee string, day {day}, proposed_on {day}, title string, agenda string, body string")
