@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.scratch import written
+
 #: The types of nodes and edges.
 NODE_TYPES = ["bill", "bill_status", "bill_text", "meeting", "agenda", "minutes_document", "review_report", "document_page", "person", "speech", "government_response", "issue"]
 EDGE_TYPES = [
@@ -19,9 +21,10 @@ def merge_nodes(claimed: DataFrame) -> tuple[DataFrame, DataFrame]:
     Identical claims merge; a person keeps the least locator; any other difference under one id is a
     conflict, and that id is no node.
     """
-    person = F.col("node_type") == "person"
-    digest = F.sha2(F.concat_ws("\u001f", "node_type", "label", F.when(~person, F.col("locator"))), 256)
-    merged = claimed.groupBy("id").agg(F.count_distinct(digest).alias("versions"), F.min(F.struct("node_type", "label", "locator")).alias("n"), F.count("*").alias("claims"))
+    claims = claimed.groupBy("id", "node_type", "label", "locator").count()  # repeats go before rows are moved
+    own = F.when(F.col("node_type") != "person", F.col("locator"))
+    each = claims.groupBy("id", "node_type", "label", own.alias("_own")).agg(F.min("locator").alias("locator"), F.sum("count").alias("claims"))
+    merged = each.groupBy("id").agg(F.count("*").alias("versions"), F.min(F.struct("node_type", "label", "locator")).alias("n"), F.sum("claims").alias("claims"))
     nodes = merged.where("versions = 1").select("id", "n.node_type", "n.label", "n.locator", "claims")
     return nodes, merged.where("versions > 1").select("id", "versions", "claims")
 
@@ -39,15 +42,34 @@ def by_title(claims: DataFrame, nodes: DataFrame, node_type: str) -> tuple[DataF
     return found.where("not ambiguous").drop("ambiguous"), found.where("ambiguous").drop("ambiguous").withColumn("gap", F.lit("ambiguous_target"))
 
 
+#: An end that more than one in so many claims name is looked up by itself; there are fewer such ends than this.
+HEAVY = 1000
+
+
+def _known(claims: DataFrame, ids: DataFrame, end: str, n: int) -> DataFrame:
+    """``claims`` with ``<end>_known``: whether that end is among ``ids(id)``.
+
+    Ends that many claims name are found by a count that is combined before it is shuffled, looked up once
+    each and broadcast (fewer than ``HEAVY`` rows, whatever the table), so their claims are not brought together.
+    """
+    heavy = claims.groupBy(end).count().where(F.col("count") * HEAVY > n).select(F.col(end).alias("_end"))
+    flags = heavy.join(ids.select(F.col("id").alias("_end"), F.lit(True).alias("_there")), "_end", "left").withColumn("_heavy", F.lit(True))
+    told = claims.join(F.broadcast(flags), F.col(end) == F.col("_end"), "left")
+    nowhere = F.concat(F.lit("\u0000"), F.xxhash64("source", "target").cast("string"))  # spreads the claims that need no lookup
+    told = told.withColumn("_key", F.when(F.col("_heavy") | F.col(end).isNull(), nowhere).otherwise(F.col(end)))
+    found = told.join(ids.select(F.col("id").alias("_key"), F.lit(True).alias("_found")), "_key", "left")
+    return found.select(*claims.columns, F.when(F.col("_heavy"), F.col("_there")).otherwise(F.col("_found")).alias(f"{end}_known"))
+
+
 def resolve_edges(claims: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``claims(source, target, edge_type, reason)`` to edges and unresolved claims.
 
     An edge stands only if both ends are nodes; repeats are dropped.  An unresolved claim says which end
-    is missing.  Together they are all distinct claims.
+    is missing.  Together they are all distinct claims, which are written once.  A null end is missing.
     """
-    ids = nodes.select(F.col("id"), F.lit(True).alias("known"))
-    end = lambda name: ids.select(F.col("id").alias(name), F.col("known").alias(f"{name}_known"))
-    joined = claims.distinct().join(end("source"), "source", "left").join(end("target"), "target", "left")
+    claims, ids = written(claims.select("source", "target", "edge_type", "reason").distinct(), "claims"), nodes.select("id")
+    n = claims.count()
+    joined = _known(_known(claims, ids, "source", n), ids, "target", n)
     gap = F.when(F.col("source_known").isNull() & F.col("target_known").isNull(), "missing_both").when(F.col("source_known").isNull(), "missing_source").when(F.col("target_known").isNull(), "missing_target")
     marked = joined.select("source", "target", "edge_type", "reason", gap.alias("gap"))
     return marked.where("gap is null").drop("gap"), marked.where("gap is not null")

@@ -29,10 +29,11 @@ def question_answer_relations(turns: DataFrame, is_question: Column, answer_role
         "turn_id", "role", "asks", lead("turn_id", 1).alias("next_id"), lead("role", 1).alias("next_role"),
         lead("turn_id", 2).alias("third_id"), lead("role", 2).alias("third_role"), lead("asks", 2).alias("third_asks"),
     )
-    answered = seen.where(F.col("asks") & F.col("next_role").isin(answer_roles))
-    edge = lambda df, a, b, kind, conf: df.select(F.col(a).alias("source"), F.col(b).alias("target"), F.lit(kind).alias("relation"), F.lit(conf).alias("confidence"))
-    follow = answered.where(F.col("third_asks") & (F.col("third_role") == F.col("role")))
-    return edge(answered, "turn_id", "next_id", "QUESTION_TO", 0.9).unionByName(edge(answered, "next_id", "turn_id", "ANSWER_TO", 0.9)).unionByName(edge(follow, "third_id", "turn_id", "FOLLOW_UP_TO", 0.8))
+    answered = F.col("asks") & F.col("next_role").isin(answer_roles)
+    edge = lambda held, a, b, kind, conf: F.when(held, F.struct(F.col(a).alias("source"), F.col(b).alias("target"), F.lit(kind).alias("relation"), F.lit(conf).alias("confidence")))
+    follow = answered & F.col("third_asks") & (F.col("third_role") == F.col("role"))
+    told = F.array(edge(answered, "turn_id", "next_id", "QUESTION_TO", 0.9), edge(answered, "next_id", "turn_id", "ANSWER_TO", 0.9), edge(follow, "third_id", "turn_id", "FOLLOW_UP_TO", 0.8))
+    return seen.select(F.explode(told).alias("r")).where("r is not null").select("r.*")
 
 
 #: Bytes of patterns that are broadcast at a time.

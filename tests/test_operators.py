@@ -286,3 +286,17 @@ def test_a_hundred_thousand_filter_queries_in_one_join(spark):
     for q in queries.where("query_id % 997 = 0").unionByName(odd).collect():
         held = lambda t, q=q: (q.term is None or t.term == q.term) and (q.role is None or t.role == q.role) and (q.committee is None or q.committee.lower() in t.committee.lower()) and (q.day_from is None or (t.held_on is not None and t.held_on >= q.day_from)) and (q.day_to is None or (t.held_on is not None and t.held_on <= q.day_to))
         assert sorted(got.get(q.query_id, [])) == sorted(t.turn_id for t in listed if held(t))
+
+
+def test_an_end_that_most_claims_name_is_looked_up_once(spark):
+    claims = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hub").when(F.col("id") % 3 == 1, "gone").otherwise(F.concat(F.lit("n"), "id")).alias("source"),
+        F.when(F.col("id") != 6, F.concat(F.lit("n"), (F.col("id") % 1500).cast("string"))).alias("target"), F.lit("e").alias("edge_type"), F.lit("r").alias("reason"),
+    )
+    nodes = spark.range(1000).select(F.concat(F.lit("n"), "id").alias("id")).unionByName(spark.createDataFrame([("hub",)], "id string"))
+    known = {"hub", *(f"n{i}" for i in range(1000))}
+    gap = {(False, False): None, (True, False): "missing_source", (False, True): "missing_target", (True, True): "missing_both"}
+    wanted = {(r.source, r.target): gap[r.source not in known, r.target not in known] for r in claims.collect()}
+    edges, rest = evidence.resolve_edges(claims.unionAll(claims), nodes)
+    assert sorted(rows(edges, "source", "target"), key=str) == sorted((p for p, g in wanted.items() if g is None), key=str)
+    assert {(r.source, r.target): r.gap for r in rest.collect()} == {p: g for p, g in wanted.items() if g} and edges.count() + rest.count() == len(wanted)
