@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+from dossier.operators import search
 from dossier.operators.filters import collapse_months, content_terms, derived_months, matching, proposal_scope, strict_family, structured
 from dossier.operators.linking import interval_scope, intersecting_scopes
 from dossier.registry import query
@@ -122,7 +123,7 @@ def flt_proposal_scope(t: Tables) -> DataFrame:
 )
 def flt_content_terms(t: Tables) -> DataFrame:
     """Results with two of the query's terms; where none has, all stay."""
-    hits = t.indexed("turn_texts").of_terms(t.query_terms).groupBy("query_id", "turn_id").agg(F.count("*").alias("matched"))
+    hits = search.match_hits(t.indexed("turn_texts"), t.query_terms).drop("occurrences")
     return content_terms(hits, t.query_terms.groupBy("query_id").agg(F.count("*").alias("wanted")))
 
 
