@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.operators import corpus, linking
+from dossier.operators import corpus, linking, search
 from dossier.operators import revisions as tree
 from dossier.operators.gate import recall
 from dossier.scratch import shared_folder
@@ -157,12 +157,10 @@ RECALL_SQL = """
 def rk_corpus_recall(t: Tables) -> DataFrame:
     """Any-term recall, the gate on the whole text (half of the query's words), scope, exact mapping; dates bind minutes alone."""
     k = F.col("doc_id")
-    hits = t.indexed("documents").of_terms(t.query_terms).groupBy("query_id", "doc_id").agg(F.count("*").alias("matched"))
-    wanted = t.query_terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
+    relevant = search.match_hits(t.indexed("documents"), t.query_terms, 0.5)
     facts = t.raw("documents").select(
         "doc_id", (k % 400).alias("identity"), F.col("source").alias("url"), F.when(k % 10 != 3, F.date_add(F.lit("2020-01-01").cast("date"), (k % 2000).cast("int"))).alias("day"), F.when(k % 13 != 6, F.col("lang")).alias("committee"), (k % 2 == 0).alias("minutes")
     )
     work = t.raw("documents").where("doc_id % 3 != 0").select((k % 450).alias("identity"), F.col("source").alias("url"))
     mapped = linking.exact_mapping(facts, work, [F.asc("doc_id")])
-    relevant = hits.join(wanted, "query_id").where(F.col("matched") * 2 >= F.col("wanted"))
     return recall(relevant.select("query_id", "doc_id"), mapped, "doc_id", ["en", "fr"], "2020-02-01", "2023-12-31")
