@@ -43,3 +43,13 @@ def test_proposers_and_work_items_with_high_ids(spark):
     })
     assert sorted((r.query_id, r.candidate, r.all_met) for r in linking.jn_role_match(t).collect()) == [(5, 9, True), (17, 9, True)]
     assert {r.doc_id: r.outcome for r in linking.jn_exact_mapping(t).collect()} == {4_800_000: "mapped", 4_800_001: "duplicate"}
+
+
+def test_counts_of_the_graph_build_it_once(spark, sf, monkeypatch):
+    from dossier.operators import evidence as graph
+
+    calls, merge, write = [], graph.merge_nodes, evidence.written
+    monkeypatch.setattr(graph, "merge_nodes", lambda claimed: calls.append("nodes") or merge(claimed))
+    monkeypatch.setattr(evidence, "written", lambda df, name: calls.append(f"write {name}") or write(df, name))
+    evidence.gr_counts_hash(Tables(spark, sf))
+    assert calls == ["nodes", "write nodes"]
