@@ -53,3 +53,14 @@ def test_counts_of_the_graph_build_it_once(spark, sf, monkeypatch):
     monkeypatch.setattr(evidence, "written", lambda df, name: calls.append(f"write {name}") or write(df, name))
     evidence.gr_counts_hash(Tables(spark, sf))
     assert calls == ["nodes", "write nodes"]
+
+
+def test_tiers_move_no_decision(spark):
+    from dossier.operators import gate
+
+    made = spark.range(4000).selectExpr("id % 4 query_id", "id candidate", "cast(id as string) number", "date'2020-01-01' day", "id % 50 score", "id % 3 != 0 accepted", "if(id % 5 = 0, 'issue:a@title', 'issue:a@body') reasons")
+    found = gate.tier_select(made, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    kept = found.groupBy("query_id").agg({"selected": "count"}).collect()
+    assert found.count() == 4000 and len(kept) == 4 and found.where("selected").count() == 20 and found.where("selected and not eligible").count() == 0
