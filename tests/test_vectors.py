@@ -55,3 +55,26 @@ def test_nothing_stored_or_asked_and_unequal_lengths(spark):
     assert vectors.nearest(held, asked.limit(0), 3).collect() == [] and [r.id for r in vectors.nearest(held, asked, 3).orderBy("rank").collect()] == [1, 2]
     with pytest.raises(ValueError):
         vectors.nearest(held, spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>"), 3)
+
+
+def test_words_are_hashed_where_they_are_read_and_vectors_filled_in_batches(spark):
+    from hashlib import sha256
+
+    from dossier.operators import search
+
+    docs = spark.createDataFrame([("a", "One two two"), ("b", None), ("c", "..."), ("d", "x"), ("d", "x y")], "id string, text string")
+    sparse = search.hash_embedding(docs, "id", "text", 16)
+    plan = sparse._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and "MapInArrow" in plan  # words were exploded and grouped first
+    sparse = {(r.id, r.bucket): r.weight for r in sparse.collect()}
+    place = lambda w: (int(sha256(w.encode()).hexdigest()[:8], 16) % 16, 1 - 2 * (int(sha256(w.encode()).hexdigest()[8], 16) % 2))
+    for key, words in (("a", ["one", "two", "two"]), ("d", ["x", "x", "y"])):
+        sums = [0] * 16
+        for w in words:
+            sums[place(w)[0]] += place(w)[1]
+        norm = sum(v * v for v in sums) ** 0.5
+        assert {b: w for (i, b), w in sparse.items() if i == key} == {b: round(v / norm, 6) for b, v in enumerate(sums) if v}
+    assert {i for i, _ in sparse} == {"a", "d"}
+    filled = search.dense(spark.createDataFrame([(1, 0, 0.6), (1, 3, 0.8), (1, 9, 1.0), (2, 2, 1.0)], "id long, bucket long, weight double"), "id", 4)
+    assert {r.id: list(r.embedding) for r in filled.collect()} == {1: [0.6, 0.0, 0.0, 0.8], 2: [0.0, 0.0, 1.0, 0.0]}
+    assert "try_element_at" not in filled._jdf.queryExecution().optimizedPlan().toString()  # a search of a map for each of the places
