@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from dossier.catalog import evidence, linking
 from dossier.views import Tables
 
@@ -64,3 +66,42 @@ def test_tiers_move_no_decision(spark):
     assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
     kept = found.groupBy("query_id").agg({"selected": "count"}).collect()
     assert found.count() == 4000 and len(kept) == 4 and found.where("selected").count() == 20 and found.where("selected and not eligible").count() == 0
+
+
+def test_entities_that_share_a_number_are_one_in_searches(spark, sf, tmp_path):
+    """Order keys of eight digits are cut to seven, so several entities have one number."""
+    import sys
+    from pathlib import Path
+
+    sys.path.insert(0, str(Path(__file__).parent))
+    import duckdb
+    import oracle
+
+    import __spark_entry__
+
+    for t in oracle.TABLES:
+        shifted = "* REPLACE (o_orderkey + 10000000 AS o_orderkey)" if t == "orders" else "*"
+        duckdb.sql(f"COPY (SELECT {shifted} FROM '{sf}/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+    con, sql, queries = oracle.connect(str(tmp_path)), __spark_entry__.oracle_sql(), __spark_entry__.queries()
+    assert con.execute("SELECT count(DISTINCT o_orderkey // 10) * 2 < count(*) FROM orders").fetchone()[0]
+    for name in ("rk_entity_search", "pl_search_bills"):
+        assert oracle.difference(queries[name](spark, str(tmp_path)), sql[name], con) == ""
+
+
+def test_entities_of_a_query_are_cut_before_they_are_moved(spark):
+    from dossier.operators import index, search
+
+    n = 30_000
+    entities = spark.range(n).select(F.lpad(F.col("id").cast("string"), 7, "0").alias("number"), F.lit("word").alias("name"), F.when(F.col("id") % 2 == 0, "law").alias("committee"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 100).cast("int")).alias("proposed_at"), F.lit(None).cast("string").alias("result"), (F.col("id") % 3).alias("term"))
+    wanted = spark.createDataFrame([(1, "word", None, None, None), (2, "word", None, 1, "LA"), (3, "word", "done", None, None)], "query_id long, q string, status string, term long, committee string")
+    fields = index.build(entities, "number", ["name"], index.shared_folder(spark, "index"))
+    texts = index.build(spark.createDataFrame([], "doc_id long, text string"), "doc_id", ["text"], index.shared_folder(spark, "index"))
+    belongs = spark.createDataFrame([], "doc_id long, number string")
+    known = entities.select("number", "proposed_at", "term", "committee", F.lit("pending").alias("status"))
+    wishes = wanted.select("query_id", *(F.col(c).alias(f"want_{c}") for c in ("status", "term", "committee")))
+    words = wanted.select("query_id", F.lit("word").alias("term"), F.lit(1).alias("n"))
+    assert 0 < search._named(fields, words, known, wishes, 5).count() < n // 10  # every hit was joined and ranked before
+    found = search.entity_search(fields, texts, belongs, entities, wanted, 5)
+    newest = lambda test: [f"{i:07d}" for i in sorted((i for i in range(n) if test(i)), key=lambda i: (-(i % 100), i))[:5]]
+    got = [(r.query_id, r.number) for r in found.orderBy("query_id", "rank").collect()]
+    assert got == [(1, x) for x in newest(lambda i: True)] + [(2, x) for x in newest(lambda i: i % 3 == 1 and i % 2 == 0)]
