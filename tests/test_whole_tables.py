@@ -105,3 +105,19 @@ def test_entities_of_a_query_are_cut_before_they_are_moved(spark):
     newest = lambda test: [f"{i:07d}" for i in sorted((i for i in range(n) if test(i)), key=lambda i: (-(i % 100), i))[:5]]
     got = [(r.query_id, r.number) for r in found.orderBy("query_id", "rank").collect()]
     assert got == [(1, x) for x in newest(lambda i: True)] + [(2, x) for x in newest(lambda i: i % 3 == 1 and i % 2 == 0)]
+
+
+def test_proposers_move_no_decision_and_other_names_are_not_grouped(spark):
+    from dossier.operators import gate
+
+    offered = spark.range(2000).select(F.col("id").cast("string").alias("candidate"), F.when(F.col("id") % 2 == 0, "representative").otherwise("co").alias("role"), F.concat(F.lit("n"), (F.col("id") % 100).cast("string")).alias("name"))
+    proposers = spark.createDataFrame([(1, "any", "n7"), (2, "representative", "n8"), (2, "co", "n9")], "query_id long, role string, name string")
+    met = gate.match_proposers(offered, proposers)
+    assert "LeftSemi" in met._jdf.queryExecution().optimizedPlan().toString()  # every name was grouped first
+    assert met.count() == 60 and met.where("all_met").count() == 20
+    candidates = spark.range(2000).select(F.explode(F.lit([1, 2]).cast("array<long>")).alias("query_id"), F.col("id").cast("string").alias("candidate"), F.lit("entity").alias("kind"), F.col("id").cast("string").alias("number"), F.lit("law").alias("committee"), F.lit(None).cast("date").alias("day"), F.lit(None).cast("date").alias("proposed_on"), F.lit("t").alias("title"), F.lit("").alias("agenda"), F.lit("").alias("body"))
+    scopes = spark.createDataFrame([(q, None, None, None, None, False) for q in (1, 2)], "query_id long, numbers array<string>, committee string, day_from date, day_to date, proposal_dated boolean")
+    told = gate.relevance_gate(candidates, spark.createDataFrame([], "query_id long, kind string, term string"), scopes, offered, proposers)
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") >= 1  # decisions were shuffled with their texts
+    assert told.where("accepted").count() == 20
