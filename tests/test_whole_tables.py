@@ -121,3 +121,42 @@ def test_proposers_move_no_decision_and_other_names_are_not_grouped(spark):
     plan = told._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=broadcast") >= 1  # decisions were shuffled with their texts
     assert told.where("accepted").count() == 20
+
+
+def test_claims_of_keys_are_marked_as_every_claim_is(spark, monkeypatch):
+    from dossier.operators import evidence as graph
+
+    made = lambda schema, *data: spark.createDataFrame(list(data), schema)
+    ids = [f"meeting:{g}" for g in range(0, 40, 2)] + [f"minutes:{g}" for g in range(0, 40, 3)] + [f"agenda:n:{n}" for n in range(0, 9, 2)] + ["agenda:", "bill:n:1", "bill:n:2", "bill:", "report:n:5", None]
+    nodes = made("id string", *((i,) for i in ids))
+    pairs = made("g long, n string", *((g, f"n:{g % 9}") for g in range(40)), (1, "n:1"), (3, None), (None, "n:2"), (None, None), (7, ""))
+    numbers = pairs.select("n").unionByName(made("n string", ("n:77",)))
+    end = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
+    edge = lambda df, source, target, *told: df.select(source.alias("source"), target.alias("target"), *(F.lit(x).alias(c) for x, c in zip(told, ("edge_type", "reason"))))
+    rows = lambda df: sorted(map(str, df.select("source", "target", "edge_type", "reason", "gap").collect()))
+    plain = edge(pairs, end("meeting", "g"), end("agenda", "n"), "has", "x").unionByName(edge(pairs, end("agenda", "n"), end("minutes", "g"), "by", "y"))
+    for few in (graph.FEW_KEYS, 0):
+        monkeypatch.setattr(graph, "FEW_KEYS", few)
+        got = graph.mark_pairs(pairs, [("meeting", "agenda", "has", "x", False), ("agenda", "minutes", "by", "y", True)], nodes)
+        assert rows(got) == rows(graph.mark_edges(plain, nodes)) and {r.gap for r in got.collect()} == {None, "missing_source", "missing_target", "missing_both"}
+    plain = edge(numbers, end("agenda", "n"), end("bill", "n"), "for", "z").unionByName(edge(pairs, end("bill", "n"), end("report", "n"), "in", "w"))
+    own = graph.mark_one_key([(numbers, ("agenda", "bill", "for", "z")), (pairs.select("n"), ("bill", "report", "in", "w"))], nodes)
+    assert rows(own) == rows(graph.mark_edges(plain, nodes))
+    assert own._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+
+
+def test_claims_of_agenda_rows_and_entities_are_not_moved_as_claims(spark, sf, monkeypatch):
+    from dossier import scratch, views
+    from dossier.operators import evidence as graph
+
+    kept, own = {}, []
+    write = scratch.written
+    monkeypatch.setattr(graph, "written", lambda df, name: kept.setdefault(name, []).append(write(df, name)) or kept[name][-1])
+    monkeypatch.setattr(views.scratch, "written", lambda df, name: own.append(name) or write(df, name))
+    nodes, claims = evidence.marked(Tables(spark, sf))
+    (moved,) = kept["claims"]
+    keyed = ["has_status", "has_agenda", "agenda_for_bill", "evidenced_by_minutes"]
+    assert moved.where(F.col("edge_type").isin(keyed)).count() == 0  # these were nine tenths of the claims, made distinct, written and looked up twice
+    assert moved.select("edge_type").distinct().count() + len(keyed) == claims.select("edge_type").distinct().count()
+    assert sorted(own) == ["bills", "listed"]  # each join of the wide tables is made once
+    assert claims.count() == claims.select("source", "target", "edge_type", "reason").distinct().count()
