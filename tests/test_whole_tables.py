@@ -160,3 +160,30 @@ def test_claims_of_agenda_rows_and_entities_are_not_moved_as_claims(spark, sf, m
     assert moved.select("edge_type").distinct().count() + len(keyed) == claims.select("edge_type").distinct().count()
     assert sorted(own) == ["bills", "listed"]  # each join of the wide tables is made once
     assert claims.count() == claims.select("source", "target", "edge_type", "reason").distinct().count()
+
+
+def test_agenda_rows_are_moved_as_keys_and_parts_looked_up_once_each(spark, sf, tmp_path, monkeypatch):
+    import duckdb
+
+    import __spark_entry__
+    from dossier import views
+    import oracle
+
+    for name in oracle.TABLES:
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    for name in ("part", "lineitem"):
+        (tmp_path / f"{name}.parquet").unlink()
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT k AS p_partkey, n AS p_name FROM (VALUES (1, 'one'), (2, 'two'), (3, 'three'), (3, 'three again'), (4, 'four'), (1000000, 'short'), (10000001, 'long'), (10000002, 'longer'), (20000005, 'alone')) v(k, n)) TO '{tmp_path}/part.parquet'")
+    # parts that do not exist (8, 10000003, null) or that share a number, repeats, suppliers that do not exist
+    con.execute(f"""COPY (SELECT i % 23 AS l_orderkey, [1, 2, 3, 4, 8, NULL, 1000000, 10000001, 10000002, 10000003, 20000005][i * 7 % 11 + 1] AS l_partkey, CASE WHEN i % 13 = 5 THEN -1 ELSE 1 END AS l_suppkey, i % 7 AS l_linenumber, 1.0 AS l_extendedprice, DATE '1997-01-02' AS l_shipdate
+        FROM range(900) r(i) UNION ALL SELECT 2 * i, 20000005, 1, 1, 1.0, DATE '1997-01-02' FROM range(40) r(i)) TO '{tmp_path}/lineitem.parquet'""")
+    kept, write, queries, sql = {}, views.scratch.written, __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    monkeypatch.setattr(views.scratch, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    for name in ("gr_nodes", "gr_node_conflicts", "gr_edges", "gr_unresolved"):
+        for few in (views.FEW_KEYS, 0):
+            monkeypatch.setattr(views, "FEW_KEYS", few)
+            assert oracle.difference(queries[name](spark, str(tmp_path)), sql[name], oracle.connect(str(tmp_path))) == "", name
+    assert kept["listed"].count() <= 2 * 12  # a row for each line item was joined with its part and written
+    pairs = Tables(spark, str(tmp_path)).listed_pairs
+    assert pairs.count() == pairs.distinct().count() > 100
