@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier import scratch
 from dossier.operators import paging
+from dossier.sources import pages
 
 
 def test_pages_read_their_files_and_tokens_are_bound(spark):
@@ -43,3 +44,26 @@ def test_pages_read_their_files_and_tokens_are_bound(spark):
         scratch.publish_text(spark, f"{path}/manifest.json", "{}")
     empty = paging.store(rows.limit(0), "axis", ["id"], scratch.shared_folder(spark, "pages"))
     assert empty.axes() == [] and empty.read({"small": 0}, 5).count() == 0
+
+
+def test_a_snapshot_lies_in_files_by_rows_not_by_pages(spark, tmp_path):
+    keys = [*range(3000, 0, -1), 7, 7, None]
+    data = [(k, "long " * 1000 if k == 5 or k is None else None if k == 9 else f"text {i}") for i, k in enumerate(keys)]
+    made = spark.createDataFrame(data, "k long, t string").repartition(5)
+    kept, texts = pages.write_snapshot(made, str(tmp_path / "snapshot"), "k", "t", 10, rows_per_file=400)
+    got = kept.orderBy("position").collect()
+    assert [r.position for r in got] == list(range(3003)) and [r.page_bucket for r in got] == [i // 10 for i in range(3003)]
+    assert [r.k for r in got] == [*range(1, 7), 7, 7, 7, *range(8, 3001), None]  # equal keys once each, nulls last as in SQL
+    own = dict(sorted((k, t) for k, t in data if k is not None and k != 7))
+    assert all(r.inline_text == (None if r.k == 5 else own[r.k]) for r in got if r.k in own) and len({r.inline_text for r in got if r.k == 7}) == 3
+    assert {r.k for r in got if r.in_side_table} == {5, None} and [tuple(r) for r in texts.collect()] == [(got[4].digest, "long " * 1000)]
+    files = list((tmp_path / "snapshot/rows").rglob("*.parquet"))
+    assert len(files) <= 9  # 301 pages
+    for file in files:  # each holds neighbouring pages, in order
+        held = [r.position for r in spark.read.parquet(str(file)).select("position").collect()]
+        assert held == list(range(min(held), max(held) + 1))
+    empty, _ = pages.write_snapshot(made.limit(0), str(tmp_path / "empty"), "k", "t")
+    assert empty.count() == 0
+    words, _ = pages.write_snapshot(made.where("t like 'text%'"), str(tmp_path / "words"), "t", "t", rows_per_file=100)
+    ordered = sorted(t for _, t in data if t and t.startswith("text"))
+    assert [r.t for r in words.orderBy("position").select("t").collect()] == ordered
